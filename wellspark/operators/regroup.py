@@ -86,3 +86,8 @@ def nest_by_prefix(df: DataFrame, tables: Mapping[str, str], keep: Sequence[str]
                 break
     structs = [F.struct(*cols).alias(table) for table, cols in members.items()]
     return df.select(*keep, *structs)
+
+
+def max_changed(df: DataFrame, keys: Sequence[str], column: str = "row_changed_date") -> DataFrame:
+    """Latest change per group, for incremental exports."""
+    return df.groupBy(*keys).agg(F.max(column).alias("max_" + column))
