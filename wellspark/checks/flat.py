@@ -13,22 +13,15 @@ from wellspark.functions.values import timestamp_text
 NULL_MARK, ITEM, ROW = "~", "|", ";"
 
 
-def _text(value: Column, dtype: T.DataType) -> Column:
-    if isinstance(dtype, (T.DoubleType, T.FloatType)):
-        # The adapters' measures are whole numbers: print them as such.
-        value = value.cast("bigint")
-    if isinstance(dtype, (T.TimestampType, T.TimestampNTZType)):
-        value = timestamp_text(value)
-    return F.coalesce(value.cast("string"), F.lit(NULL_MARK))
-
-
 def joined(value: Column, dtype: T.ArrayType) -> Column:
     """A list as `a|~|c`, a list of lists as `a|b;c`."""
     item = dtype.elementType
     if isinstance(item, T.ArrayType):
-        rows = F.transform(value, lambda x: joined(x, item))
-        return F.array_join(rows, ROW)
-    return F.array_join(F.transform(value, lambda x: _text(x, item)), ITEM)
+        return F.array_join(F.transform(value, lambda x: joined(x, item)), ROW)
+    if isinstance(item, (T.DoubleType, T.FloatType)):
+        # The adapters' measures are whole numbers: print them as such.
+        value = value.cast("array<bigint>")
+    return F.array_join(value.cast("array<string>"), ITEM, NULL_MARK)
 
 
 def plain(value: Column, dtype: T.DataType) -> Column:

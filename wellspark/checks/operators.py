@@ -23,7 +23,14 @@ from wellspark.operators.spatial import (
     extent,
     valid_points,
 )
-from wellspark.plans.recipes import RECIPES, survey_headers, survey_stations, zone_attributes
+from wellspark.plans.recipes import (
+    RECIPES,
+    fold_stations,
+    survey_headers,
+    survey_stations,
+    zone_attributes,
+    zone_values,
+)
 from wellspark.sources.documents import to_json
 from wellspark.sources.scan import row_counts, scan_all
 
@@ -160,7 +167,7 @@ SURVEY_SEMI = query(
 
 def survey_union(spark, folder):
     t = tables(Given(spark, folder), "survey")
-    folded = t.fold(survey_stations(t), ["k_uwi", "k_survey_id", "k_source", "k_kind"], ["o_station_md"], ["d_"])
+    folded = fold_stations(t, survey_stations(t))
     out = flatten(folded.main)
     names = {c: c.replace("d_", "well_dir_srvy_station__", 1) for c in out.columns if c.startswith("d_")}
     names |= {f"k_{c}": c for c in ("uwi", "survey_id", "source", "kind")}
@@ -172,7 +179,8 @@ SURVEY_UNION = query("SELECT * EXCLUDE (n) FROM station_f", FOLDED)
 
 def zone_outer(spark, folder):
     given = Given(spark, folder)
-    values = zone_attributes(tables(given, "zone")).main
+    t = tables(given, "zone")
+    values = zone_attributes(t, zone_values(t), extra=[F.count(F.lit(1)).alias("_n")]).main
     values = values.select(F.col("k_uwi").alias("uwi"), F.col("k_zone_name").alias("zone_name"), "_n")
     known = given.well_zone_interval().join(given.gx_zone(), "zone_name")
     rows = known.join(values, ["uwi", "zone_name"], "left")
@@ -188,7 +196,8 @@ ZONE_OUTER = query(
 
 
 def zone_attributes_(spark, folder):
-    out = flatten(zone_attributes(tables(Given(spark, folder), "zone")).main)
+    t = tables(Given(spark, folder), "zone")
+    out = flatten(zone_attributes(t, zone_values(t), extra=[F.count(F.lit(1)).alias("_n")]).main)
     renamed = {"k_uwi": "uwi", "k_zone_name": "zone_name", "_n": "n"}
     for prefix, table in (("v_", "well_zone_intrvl_value__"), ("a_", "gx_zone_zattribute__"), ("g_", "gx_zattribute__")):
         renamed |= {c: table + c[2:] for c in out.columns if c.startswith(prefix)}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -81,7 +81,10 @@ def to_int(value: Column, dtype: T.DataType) -> Column:
 
 def floor_second(value: Column, dtype: T.DataType) -> Column:
     """Drop the sub-second part without leaving the timestamp type."""
+    if isinstance(dtype, T.TimestampNTZType) and _session_is_utc():
+        return F.date_trunc("second", value).cast("timestamp_ntz")
     if isinstance(dtype, T.TimestampNTZType):
+        # date_trunc goes through the session zone, whose clock changes would move some values.
         fraction = F.extract(F.lit("SECOND"), value) % F.lit(1)
         return value - F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), fraction)
     if isinstance(dtype, T.TimestampType):
@@ -89,6 +92,11 @@ def floor_second(value: Column, dtype: T.DataType) -> Column:
     return value
 
 
+def _session_is_utc() -> bool:
+    session = SparkSession.getActiveSession()
+    return session is not None and session.conf.get("spark.sql.session.timeZone") in ("UTC", "Etc/UTC", "Z")
+
+
 def to_timestamp(value: Column, dtype: T.DataType) -> Column:
     """Timestamp without sub-seconds; text loses its zone suffix; unparsable becomes null."""
     if isinstance(dtype, T.StringType):

@@ -10,7 +10,7 @@ pieces, numbered by `part`. Nothing is dropped; reading the pieces by `part` giv
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
@@ -41,46 +41,48 @@ def oversized(df: DataFrame, keys: Sequence[str], weight: Column, limit: int) ->
     `limit` units of input. Brought to the driver only up to MAX_BROADCAST_KEYS rows.
     """
     totals = df.groupBy(*keys).agg(F.sum(weight).alias("_weight")).filter(F.col("_weight") > limit)
-    rows = totals.limit(MAX_BROADCAST_KEYS + 1).collect()
-    if not rows:
+    found = totals.agg(
+        F.count(F.lit(1)).alias("groups"), F.sum(F.ceil(F.col("_weight") / limit)).alias("pieces")
+    ).first()
+    if not found["groups"]:
         return None
-    if len(rows) <= MAX_BROADCAST_KEYS:
-        pieces = sum(-(-int(row["_weight"]) // limit) for row in rows)
-        spark = df.sparkSession
-        local = spark.createDataFrame([tuple(row)[:-1] for row in rows], totals.select(*keys).schema)
-        return F.broadcast(local), pieces
-    pieces = totals.agg(F.sum(F.ceil(F.col("_weight") / limit))).first()[0]
-    return totals.select(*keys), int(pieces)
+    hot = totals.select(*keys)
+    if found["groups"] <= MAX_BROADCAST_KEYS:
+        hot = F.broadcast(df.sparkSession.createDataFrame([tuple(row) for row in hot.collect()], hot.schema))
+    return hot, int(found["pieces"])
 
 
 def _null_safe(keys: Sequence[str]) -> Column:
     return reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"_hot_{k}")) for k in keys])
 
 
-def _flag(df: DataFrame, hot: DataFrame, keys: Sequence[str]) -> DataFrame:
-    marks = hot.select(*[F.col(k).alias(f"_hot_{k}") for k in keys], F.lit(True).alias("_hot"))
-    joined = df.join(marks, _null_safe(keys), "left").drop(*[f"_hot_{k}" for k in keys])
-    return joined.withColumn("_hot", F.coalesce("_hot", F.lit(False)))
+def _split(df: DataFrame, hot: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """Rows of ordinary groups and rows of oversized ones."""
+    marks = hot.select(*[F.col(k).alias(f"_hot_{k}") for k in keys])
+    on = _null_safe(keys)
+    return df.join(marks, on, "left_anti"), df.join(marks, on, "left_semi")
 
 
-def _item(order: Sequence[str], cols: Sequence[str]) -> Column:
-    """The order columns lead, all listed columns break ties, so equal items are equal rows."""
-    lead = [F.col(c).alias(f"_order{i}") for i, c in enumerate(order)]
-    return F.struct(*lead, *[F.col(c) for c in cols])
+def _order_names(order: Sequence[str]) -> list[str]:
+    return [f"_order{i}" for i in range(len(order))]
 
 
-def _lists(cols: Sequence[str]) -> list[Column]:
-    return [F.col("_items").getField(c).alias(c) for c in cols]
-
-
-def _pieces(df: DataFrame, keys: Sequence[str], order: Sequence[str], cols: Sequence[str], n: int) -> DataFrame:
-    """Ordered pieces of the given (oversized) groups.
+def _pieces(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], values: Mapping[str, Column], n: int
+) -> DataFrame:
+    """Ordered pieces of the given (oversized) groups, as `_items` arrays.
 
     Identical rows collapse to a count before the shuffle, so copies cannot pile up; the copy
     number is the last range column, so even one repeated row spreads over partitions.
     """
-    row = list(dict.fromkeys([*keys, *order, *cols]))
-    counted = df.groupBy(*row).agg(F.count(F.lit(1)).alias("_n"))
+    lead = _order_names(order)
+    item = [*lead, *values]
+    rows = df.select(
+        *keys,
+        *[F.col(c).alias(o) for c, o in zip(order, lead)],
+        *[value.alias(name) for name, value in values.items()],
+    )
+    counted = rows.groupBy(*keys, *item).agg(F.count(F.lit(1)).alias("_n"))
     blocks = counted.withColumn(
         "_block", F.explode(F.sequence(F.lit(0), F.floor((F.col("_n") - 1) / COPY_BLOCK)))
     )
@@ -88,12 +90,11 @@ def _pieces(df: DataFrame, keys: Sequence[str], order: Sequence[str], cols: Sequ
     copies = blocks.withColumn(
         "_copy", F.explode(F.sequence(first, F.least(first + COPY_BLOCK, F.col("_n")) - 1))
     ).drop("_n", "_block")
-    ranged = copies.repartitionByRange(max(n, 1), *dict.fromkeys([*keys, *order, *cols, "_copy"]))
+    ranged = copies.repartitionByRange(max(n, 1), *keys, *item, "_copy")
     return (
         ranged.withColumn("part", F.spark_partition_id() + 1)
         .groupBy(*keys, "part")
-        .agg(F.sort_array(F.collect_list(_item(order, cols))).alias("_items"))
-        .select(*keys, "part", *_lists(cols))
+        .agg(F.sort_array(F.collect_list(F.struct(*item))).alias("_items"))
     )
 
 
@@ -101,36 +102,62 @@ def fold_lists(
     df: DataFrame,
     keys: Sequence[str],
     order: Sequence[str],
-    cols: Sequence[str],
+    values: Mapping[str, Column] | Sequence[str],
+    constants: Mapping[str, Column] | None = None,
     extra: Sequence[Column] = (),
     weight: Column | None = None,
-    max_cells: int = MAX_CELLS,
+    max_cells: int | None = MAX_CELLS,
+    partition_by: Sequence[str] | None = None,
 ) -> Folded:
-    """One array per column and group, all in the order of `order`, then of the columns themselves.
+    """One array per value and group, all in the order of `order`, then of the values themselves.
 
+    `values` maps list names to expressions over the rows. `constants` maps list names to
+    expressions over the keys: the same in every item, they are repeated instead of gathered.
     `extra` are ordinary aggregates computed along (over all rows, oversized groups included).
-    `weight` is the number of cells a row adds (default: one per listed column).
+    `weight` is the number of cells a row adds (default: one per list). `max_cells` None says
+    that every group is known to fit. `partition_by` are the columns to shuffle by, a subset of
+    the keys; empty when the rows already lie together.
+
+    Rows are shuffled before they are gathered: gathering shrinks nothing, so a map-side pass
+    would only cost memory, and the value expressions run after the shuffle, in even partitions.
     """
-    if weight is None:
-        weight = F.lit(len(cols))
-    hot = oversized(df, keys, weight, max_cells)
-    item = _item(order, cols)
-    if hot is None:
-        gathered = df.groupBy(*keys).agg(F.sort_array(F.collect_list(item)).alias("_items"), *extra)
-        overflow = None
-    else:
-        marks, n = hot
-        flagged = _flag(df, marks, keys)
-        # collect_list skips nulls: an oversized group folds to an empty list map-side.
-        cold = F.when(~F.col("_hot"), item)
-        gathered = flagged.groupBy(*keys).agg(F.sort_array(F.collect_list(cold)).alias("_items"), *extra)
-        overflow = _pieces(flagged.filter("_hot").drop("_hot"), keys, order, cols, n)
+    if not isinstance(values, Mapping):
+        values = {name: F.col(name) for name in values}
+    constants = constants or {}
+    partition_by = list(keys) if partition_by is None else list(partition_by)
+    hot = None
+    if max_cells is not None:
+        cells = F.lit(len(values) + len(constants)) if weight is None else weight
+        hot = oversized(df, keys, cells, max_cells)
+    rows, hot_rows = (df, None) if hot is None else _split(df, hot[0], keys)
+    if partition_by:
+        rows = rows.repartition(*partition_by)
+    lead = [F.col(c).alias(o) for c, o in zip(order, _order_names(order))]
+    item = F.struct(*lead, *[value.alias(name) for name, value in values.items()])
+    gathered = rows.groupBy(*keys).agg(F.sort_array(F.collect_list(item)).alias("_items"), *extra)
     names = [c for c in gathered.columns if c not in keys and c != "_items"]
-    return Folded(gathered.select(*keys, *names, *_lists(cols)), overflow)
+
+    def lists(frame: DataFrame, *kept: str) -> DataFrame:
+        out = [F.col("_items").getField(name).alias(name) for name in values]
+        out += [F.array_repeat(value, F.size("_items")).alias(name) for name, value in constants.items()]
+        return frame.select(*keys, *kept, *out)
+
+    main = lists(gathered, *names)
+    if hot_rows is None:
+        return Folded(main, None)
+    overflow = lists(_pieces(hot_rows, keys, order, values, hot[1]), "part")
+    # An oversized group is one combined row here, with its aggregates and empty lists.
+    stand_in = hot_rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"), *extra)
+    empty = [F.array().cast(f.dataType).alias(f.name) for f in overflow.schema.fields if f.name not in {*keys, "part"}]
+    return Folded(main.unionByName(stand_in.select(*keys, *names, *empty)), overflow)
 
 
 def ordered_lists(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], cols: Sequence[str], max_cells: int = MAX_CELLS
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[str],
+    cols: Sequence[str],
+    max_cells: int | None = MAX_CELLS,
 ) -> DataFrame:
     """fold_lists as one DataFrame: `part` 0 for whole groups, 1.. for the pieces of oversized ones."""
     folded = fold_lists(df, keys, order, cols, max_cells=max_cells)

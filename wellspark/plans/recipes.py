@@ -53,7 +53,7 @@ class Tables:
     ignore_case: bool = False
     missing: str = "null"
     truthy: Sequence[str] = ("true",)
-    max_cells: int = MAX_CELLS
+    max_cells: int | None = MAX_CELLS
     strict_reference: bool = False
 
     def get(self, name: str) -> DataFrame:
@@ -83,38 +83,88 @@ class Tables:
     def keys(self, *names: str) -> list[str]:
         return [*self.scope, *names]
 
-    def plain(self, name: str, columns: str, prefix: str, keys: Mapping[str, str]) -> DataFrame:
-        """Scalar columns typed and prefixed, next to the raw key columns (alias -> column)."""
-        df = self.get(name)
+    def raw(
+        self, df: DataFrame, columns: str, prefix: str, keys: Mapping[str, str], order: Sequence[str] = ()
+    ) -> DataFrame:
+        """Untyped columns, prefixed, next to the key columns (alias -> column) and order columns (`o_...`)."""
         out = [*self.scope, *[F.col(c).alias(k) for k, c in keys.items()]]
+        out += [F.col(c).alias("o_" + c) for c in order]
         for column in spec.names(columns):
             found = self.column(df, column, spec.default_type(column))
             if found:
-                out.append(scalar(*found).alias(prefix + column))
-        return df.select(*out)
-
-    def typed(
-        self, df: DataFrame, columns: str, prefix: str, keys: Mapping[str, str], order: Sequence[str] = ()
-    ) -> DataFrame:
-        """List elements typed and prefixed, next to raw keys and raw order columns (`o_...`).
+                out.append(found[0].alias(prefix + column))
+        rows = df.select(*out)
+        # Every document joins the well header: a row without a well is never wanted.
+        return rows.filter(F.col("k_uwi").isNotNull()) if "k_uwi" in keys else rows
 
-        Elements are typed per row, before they are gathered: no lambda runs over the arrays.
+    def plain(self, name: str, columns: str, prefix: str, keys: Mapping[str, str]) -> DataFrame:
+        """Scalar columns typed and prefixed, next to the raw key columns."""
+        rows = self.raw(self.get(name), columns, prefix, keys)
+        typed = {c: scalar(F.col(c), rows.schema[c].dataType) for c in rows.columns if c.startswith(prefix)}
+        return rows.withColumns(typed)
+
+    def fold(
+        self,
+        rows: DataFrame,
+        kinds: Mapping[str, str] | None,
+        keys: Sequence[str],
+        order: Sequence[str],
+        prefixes: Sequence[str],
+        same: Mapping[str, str] | None = None,
+        **options,
+    ) -> Folded:
+        """Prefixed columns folded per key; `kinds` types the elements, without it they are taken as they are.
+
+        `same` names list columns that repeat a key column.
         """
-        out = [*self.scope, *[F.col(c).alias(k) for k, c in keys.items()]]
-        out += [F.col(c).alias("o_" + c) for c in order]
-        for column, kind in spec.kinds(columns).items():
-            default = T.StringType() if kind != "timestamp" else T.TimestampNTZType()
-            found = self.column(df, column, default)
-            if found:
-                out.append(element(kind, *found, truthy=self.truthy).alias(prefix + column))
-        return df.select(*out)
+        listed = [c for c in rows.columns if c.startswith(tuple(prefixes))]
+        types = {f.name: f.dataType for f in rows.schema.fields}
+
+        def value(name: str, source: str) -> Column:
+            if kinds is None:
+                return F.col(source)
+            return element(kinds[name], F.col(source), types[source], truthy=self.truthy)
 
-    def fold(self, df: DataFrame, keys: Sequence[str], order: Sequence[str], prefixes: Sequence[str], **options):
-        cols = [c for c in df.columns if c.startswith(tuple(prefixes))]
+        same = {c: key for c, key in (same or {}).items() if c in listed}
         return fold_lists(
-            df, self.keys(*keys), list(order), cols, max_cells=self.max_cells, **options
+            rows,
+            self.keys(*keys),
+            list(order),
+            {c: value(c, c) for c in listed if c not in same},
+            constants={c: value(c, key) if kinds else scalar(F.col(key), types[key]) for c, key in same.items()},
+            **{"max_cells": self.max_cells, **options},
         )
 
+    def fits(self, *sides: tuple[DataFrame, Column | int]) -> bool:
+        """Whether no well can need more than one row: a bound from per-well weights, in one job.
+
+        The weights of one side add up; those of several sides multiply, as joined rows do.
+        """
+        if self.max_cells is None:
+            return True
+        on = self.keys("k_uwi")
+        parts = []
+        for i, (rows, weight) in enumerate(sides):
+            weight = F.lit(weight) if isinstance(weight, int) else weight
+            sides_of = [(weight if i == j else F.lit(0)).cast("double").alias(f"_w{j}") for j in range(len(sides))]
+            parts.append(rows.select(*on, *sides_of))
+        totals = reduce(DataFrame.unionByName, parts).groupBy(*on).agg(
+            *[F.greatest(F.sum(f"_w{j}"), F.lit(1.0)).alias(f"_w{j}") for j in range(len(sides))]
+        )
+        bound = reduce(Column.__mul__, [F.col(f"_w{j}") for j in range(len(sides))])
+        largest = totals.agg(F.max(bound)).first()[0]
+        return largest is None or largest <= self.max_cells
+
+    def together(self, keys: Sequence[str], fits: bool) -> list[str]:
+        """Columns to shuffle by. When every well fits a row, the well alone: its rows then stay
+        together through the joins on longer keys, the regrouping and the header join, if the
+        session lets joins use a part of their keys."""
+        setting = "spark.sql.requireAllClusterKeysForCoPartition"
+        spark = next(iter(self.frames.values())).sparkSession
+        if fits and spark.conf.get(setting, "true").lower() == "false":
+            return self.keys("k_uwi")
+        return self.keys(*keys)
+
     def header(self, columns: str = spec.WELL_HEADER) -> DataFrame:
         return self.plain("well", columns, "w_", {"k_uwi": "uwi"})
 
@@ -194,10 +244,21 @@ def _tests(tables: Tables, test_type: str) -> DataFrame:
 # One child table folded per well.
 
 
+def _prefixed_kinds(columns: str, prefix: str) -> dict[str, str]:
+    return {prefix + name: kind for name, kind in spec.kinds(columns).items()}
+
+
 def _one_child(table: str, columns: str, prefix: str, order: str, header: str = spec.WELL_HEADER):
     def pieces(tables: Tables) -> Pieces:
-        rows = tables.typed(tables.get(table), columns, prefix, {"k_uwi": "uwi"}, [order])
-        child = tables.fold(rows, ["k_uwi"], ["o_" + order], [prefix])
+        rows = tables.raw(tables.get(table), columns, prefix, {"k_uwi": "uwi"}, [order])
+        child = tables.fold(
+            rows,
+            _prefixed_kinds(columns, prefix),
+            ["k_uwi"],
+            ["o_" + order],
+            [prefix],
+            same={prefix + "uwi": "k_uwi"},
+        )
         wells, on = tables.header(header), tables.keys("k_uwi")
         made = Pieces(wells.join(child.main, on), ["k_uwi"])
         made.also(table, _joined(wells, child.overflow, on))
@@ -211,18 +272,28 @@ def _one_child(table: str, columns: str, prefix: str, order: str, header: str =
 
 def _core(tables: Tables) -> Pieces:
     keys = {"k_uwi": "uwi", "k_source": "source", "k_core_id": "core_id"}
-    samples = tables.typed(
-        tables.get("well_core_sample_anal"), spec.WELL_CORE_SAMPLE_ANAL, "s_", keys, ["core_id"]
+    on, uwi = tables.keys(*keys), tables.keys("k_uwi")
+    columns = spec.WELL_CORE_SAMPLE_ANAL
+    samples = tables.raw(tables.get("well_core_sample_anal"), columns, "s_", keys, ["core_id"])
+    fits = tables.fits((samples, len(samples.columns)))
+    together = tables.together(list(keys), fits)
+    folded = tables.fold(
+        samples,
+        _prefixed_kinds(columns, "s_"),
+        list(keys),
+        ["o_core_id"],
+        ["s_"],
+        same={"s_uwi": "k_uwi", "s_source": "k_source", "s_core_id": "k_core_id"},
+        partition_by=together,
+        max_cells=None if fits else tables.max_cells,
     )
-    folded = tables.fold(samples, list(keys), ["o_core_id"], ["s_"])
     cores = tables.plain("well_core", spec.WELL_CORE, "c_", keys)
-    wells, on = tables.header(), tables.keys(*keys)
+    wells = tables.header()
     lists = [c for c in folded.main.columns if c.startswith("s_")]
-    main = fill_empty_lists(cores.join(folded.main, on, "left"), lists)
-    made = Pieces(wells.join(main, tables.keys("k_uwi")), list(keys))
+    main = cores.repartition(*together).join(folded.main, on, "left")
+    made = Pieces(wells.join(fill_empty_lists(main, lists), uwi), list(keys))
     if folded.overflow is not None:
-        more = cores.join(folded.overflow, on)
-        made.also("well_core_sample_anal", wells.join(more, tables.keys("k_uwi")))
+        made.also("well_core_sample_anal", wells.join(cores.join(folded.overflow, on), uwi))
     return made
 
 
@@ -238,12 +309,25 @@ def _dst(tables: Tables) -> Pieces:
         "p_": ("well_test_recovery", recovery, spec.WELL_TEST_RECOVERY),
         "f_": ("well_test_flow", tables.get("well_test_flow"), spec.WELL_TEST_FLOW),
     }
-    folded: dict[str, Folded] = {}
-    for prefix, (table, df, columns) in sides.items():
-        # Only drill-stem rows of a child can meet one; the rest need not be gathered.
-        df = df.filter(F.col("test_type") == "DST")
-        rows = tables.typed(df, columns, prefix, TEST_KEYS, ["test_number"])
-        folded[prefix] = tables.fold(rows, keys, ["o_test_number"], [prefix])
+    # Only drill-stem rows of a child can meet one; the rest need not be gathered.
+    rows = {
+        prefix: tables.raw(df.filter(F.col("test_type") == "DST"), columns, prefix, TEST_KEYS, ["test_number"])
+        for prefix, (_, df, columns) in sides.items()
+    }
+    cells = [r.select(*tables.keys("k_uwi"), F.lit(len(r.columns)).alias("_cells")) for r in rows.values()]
+    fits = tables.fits((reduce(DataFrame.unionByName, cells), F.col("_cells")))
+    folded = {
+        prefix: tables.fold(
+            rows[prefix],
+            _prefixed_kinds(columns, prefix),
+            keys,
+            ["o_test_number"],
+            [prefix],
+            partition_by=tables.together(keys, fits),
+            max_cells=None if fits else tables.max_cells,
+        )
+        for prefix, (_, _, columns) in sides.items()
+    }
     main = folded["t_"].main
     tests = main.select(*on)
     for prefix in ("s_", "p_", "f_"):
@@ -267,12 +351,27 @@ def _per_well(
     rows: DataFrame,
     prefixes: Sequence[str],
     order: Sequence[str],
+    fits: bool,
     weight: Column | None = None,
+    same: Mapping[str, str] | None = None,
     extra: Sequence[Column] = (),
-    header: str = spec.WELL_HEADER,
+    together: Sequence[str] = (),
 ) -> Pieces:
-    gathered = tables.fold(rows, ["k_uwi"], order, prefixes, weight=weight, extra=extra)
-    wells, on = tables.header(header), tables.keys("k_uwi")
+    """`together` are the columns the rows are already shuffled by."""
+    on = tables.keys("k_uwi")
+    gathered = tables.fold(
+        rows,
+        None,
+        ["k_uwi"],
+        order,
+        prefixes,
+        same=same,
+        weight=weight,
+        extra=extra,
+        partition_by=[] if list(together) == on else on,
+        max_cells=None if fits else tables.max_cells,
+    )
+    wells = tables.header()
     made = Pieces(wells.join(gathered.main, on), ["k_uwi"])
     made.also("rows", _joined(wells, gathered.overflow, on))
     return made
@@ -289,22 +388,40 @@ def _continue_rows(
     made.also(table, tables.header().join(single, tables.keys("k_uwi")))
 
 
-def _counted() -> Column:
-    return F.count(F.lit(1)).alias("_n")
+def _counted(fits: bool) -> list[Column]:
+    """The length of a group's lists, where a later check needs it."""
+    return [] if fits else [F.count(F.lit(1)).alias("_n")]
 
 
-def _cells(rows: DataFrame, inner: Sequence[str], prefixes: Sequence[str]) -> Column:
+def _cells(rows: DataFrame, inner: Sequence[str], prefixes: Sequence[str], fits: bool) -> Column | None:
     """Cells of a joined row: its inner list columns times their length, plus its plain columns."""
+    if fits:
+        return None
     many = len([c for c in rows.columns if c.startswith(tuple(inner))])
     plain = len([c for c in rows.columns if c.startswith(tuple(prefixes))]) - many
     return F.coalesce(F.col("_n"), F.lit(0)) * many + plain
 
 
 def _ip(tables: Tables) -> Pieces:
-    tests = tables.typed(_tests(tables, "IP"), spec.IP_WELL_TEST, "t_", TEST_KEYS, ["test_number"])
-    runs = tables.fold(tests, list(TEST_KEYS), ["o_test_number"], ["t_"], extra=[_counted()])
+    keys = list(TEST_KEYS)
+    tests = tables.raw(_tests(tables, "IP"), spec.IP_WELL_TEST, "t_", TEST_KEYS, ["test_number"])
+    fits = tables.fits((tests, len(tests.columns)))
+    # No join in between: rows of a well that fits lie together from the first shuffle on.
+    together = tables.keys("k_uwi") if fits else tables.keys(*keys)
+    runs = tables.fold(
+        tests,
+        _prefixed_kinds(spec.IP_WELL_TEST, "t_"),
+        keys,
+        ["o_test_number"],
+        ["t_"],
+        same={"t_" + column: key for key, column in TEST_KEYS.items()},
+        extra=_counted(fits),
+        partition_by=together,
+        max_cells=None if fits else tables.max_cells,
+    )
     order = ["k_source", "k_run_number"]
-    made = _per_well(tables, runs.main, ["t_"], order, _cells(runs.main, ["t_"], ["t_"]))
+    weight = _cells(runs.main, ["t_"], ["t_"], fits)
+    made = _per_well(tables, runs.main, ["t_"], order, fits, weight, together=together)
     _continue_rows(tables, made, "well_test", runs.overflow, ["t_"])
     return made
 
@@ -316,18 +433,31 @@ def _production(tables: Tables) -> Pieces:
         "k_activity_type": "activity_type",
         "k_volume_method": "volume_method",
     }
-    monthly = tables.typed(
-        tables.get("gx_pden_vol_sum_by_month"), spec.GX_PDEN_VOL_SUM_BY_MONTH, "m_", keys, ["pden_date"]
-    )
-    series = tables.fold(monthly, list(keys), ["o_pden_date"], ["m_"], extra=[_counted()])
+    columns = spec.GX_PDEN_VOL_SUM_BY_MONTH
+    monthly = tables.raw(tables.get("gx_pden_vol_sum_by_month"), columns, "m_", keys, ["pden_date"])
     totals = tables.plain("well_cumulative_production", spec.WELL_CUMULATIVE_PRODUCTION, "p_", keys)
+    fits = tables.fits((monthly, len(monthly.columns)), (totals, len(totals.columns)))
+    together = tables.together(list(keys), fits)
+    series = tables.fold(
+        monthly,
+        _prefixed_kinds(columns, "m_"),
+        list(keys),
+        ["o_pden_date"],
+        ["m_"],
+        extra=_counted(fits),
+        partition_by=together,
+        max_cells=None if fits else tables.max_cells,
+    )
     on = tables.keys(*keys)
-    rows = totals.join(series.main, on)
+    rows = totals.repartition(*together).join(series.main, on)
     order = ["k_zone_id", "k_activity_type", "k_volume_method"]
-    made = _per_well(tables, rows, ["p_", "m_"], order, _cells(rows, ["m_"], ["p_", "m_"]))
+    prefixes = ["p_", "m_"]
+    weight = _cells(rows, ["m_"], prefixes, fits)
+    same = {"p_uwi": "k_uwi"}
+    made = _per_well(tables, rows, prefixes, order, fits, weight, same, together=together)
     if series.overflow is not None:
         more = totals.join(series.overflow, on)
-        _continue_rows(tables, made, "gx_pden_vol_sum_by_month", more, ["p_", "m_"])
+        _continue_rows(tables, made, "gx_pden_vol_sum_by_month", more, prefixes)
     return made
 
 
@@ -335,7 +465,7 @@ def _raster_log(tables: Tables) -> Pieces:
     name = "log_image_reg_log_section"
     keys = {"k_uwi": "well_id", "o_section": "log_section_index"}
     rows = tables.plain(name, spec.LOG_IMAGE_REG_LOG_SECTION, "r_", keys)
-    return _per_well(tables, rows, ["r_"], ["o_section"])
+    return _per_well(tables, rows, ["r_"], ["o_section"], fits=False, same={"r_well_id": "k_uwi"})
 
 
 SURVEY_TABLES = {
@@ -350,16 +480,28 @@ SURVEY_KEYS = {"k_uwi": "uwi", "k_survey_id": "survey_id", "k_source": "source"}
 
 
 def survey_stations(tables: Tables) -> DataFrame:
-    """Stations of both kinds; the kind tag keeps them apart, so the union needs no distinct."""
+    """Raw stations of both kinds; the kind tag keeps them apart, so the union needs no distinct."""
     parts = []
     for kind, (stations, _, _) in SURVEY_TABLES.items():
-        rows = tables.typed(
-            tables.get(stations), spec.WELL_DIR_SRVY_STATION, "d_", SURVEY_KEYS, ["station_md"]
-        )
+        df = tables.get(stations)
+        rows = tables.raw(df, spec.WELL_DIR_SRVY_STATION, "d_", SURVEY_KEYS, ["station_md"])
         parts.append(rows.withColumn("k_kind", F.lit(kind)))
     return parts[0].unionByName(parts[1], allowMissingColumns=True)
 
 
+def fold_stations(tables: Tables, stations: DataFrame, **options) -> Folded:
+    """Station lists per survey and kind."""
+    return tables.fold(
+        stations,
+        _prefixed_kinds(spec.WELL_DIR_SRVY_STATION, "d_"),
+        [*SURVEY_KEYS, "k_kind"],
+        ["o_station_md"],
+        ["d_"],
+        same={"d_" + column: key for key, column in SURVEY_KEYS.items()},
+        **options,
+    )
+
+
 def survey_headers(tables: Tables) -> DataFrame:
     """Distinct headers of both kinds whose well has stations of that kind; raw values."""
     parts = []
@@ -372,20 +514,32 @@ def survey_headers(tables: Tables) -> DataFrame:
 
 def _survey(tables: Tables) -> Pieces:
     keys = [*SURVEY_KEYS, "k_kind"]
-    stations = tables.fold(
-        survey_stations(tables), keys, ["o_station_md"], ["d_"], extra=[_counted()]
+    stations = survey_stations(tables)
+    given = [
+        tables.get(headers).select(*tables.scope, F.col("uwi").alias("k_uwi"))
+        for _, headers, _ in SURVEY_TABLES.values()
+    ]
+    fits = tables.fits((stations, len(stations.columns)), (given[0].unionByName(given[1]), 1))
+    together = tables.together(keys, fits)
+    folded = fold_stations(
+        tables,
+        stations,
+        extra=_counted(fits),
+        partition_by=together,
+        max_cells=None if fits else tables.max_cells,
     )
     columns = "kind " + spec.WELL_DIR_PROPOSED_SRVY
-    raw = survey_headers(tables)
-    typed = Tables({"headers": raw}, tables.scope, missing=tables.missing)
+    typed = Tables({"headers": survey_headers(tables)}, tables.scope, missing=tables.missing)
     headers = typed.plain("headers", columns, "s_", {**SURVEY_KEYS, "k_kind": "kind"})
     on = tables.keys(*keys)
-    rows = headers.join(stations.main, on)
-    order = ["k_kind", "k_survey_id", "k_source"]
-    made = _per_well(tables, rows, ["s_", "d_"], order, _cells(rows, ["d_"], ["s_", "d_"]))
-    if stations.overflow is not None:
-        more = headers.join(stations.overflow, on)
-        _continue_rows(tables, made, "well_dir_srvy_station", more, ["s_", "d_"])
+    rows = headers.repartition(*together).join(folded.main, on)
+    order, prefixes = ["k_kind", "k_survey_id", "k_source"], ["s_", "d_"]
+    weight = _cells(rows, ["d_"], prefixes, fits)
+    same = {"s_uwi": "k_uwi"}
+    made = _per_well(tables, rows, prefixes, order, fits, weight, same, together=together)
+    if folded.overflow is not None:
+        more = headers.join(folded.overflow, on)
+        _continue_rows(tables, made, "well_dir_srvy_station", more, prefixes)
     return made
 
 
@@ -401,8 +555,9 @@ def _vector_log(tables: Tables) -> Pieces:
     joined = joined.withColumn("_n", F.coalesce(F.octet_length(blob) / 4, F.lit(0)).cast("bigint") + plain)
     # Samples travel as 4-byte floats and widen once the rows are gathered.
     rows = joined.withColumn("v_curve_values", decode_curve(blob))
-    order = ["k_curveset", "k_curvename", "k_version"]
-    made = _per_well(tables, rows, ["c_", "s_", "v_"], order, F.col("_n"))
+    order, prefixes = ["k_curveset", "k_curvename", "k_version"], ["c_", "s_", "v_"]
+    same = {p + "wellid": "k_uwi" for p in prefixes}
+    made = _per_well(tables, rows, prefixes, order, False, F.col("_n"), same)
     widen = F.col("v_curve_values").cast("array<array<double>>")
     made.main = made.main.withColumn("v_curve_values", widen)
     made.continued = [(name, df.withColumn("v_curve_values", widen)) for name, df in made.continued]
@@ -416,40 +571,59 @@ ZONE_TABLES = {
 }
 
 
-def zone_attributes(tables: Tables) -> Folded:
-    """Zone values with their two dictionaries, folded per well and zone."""
+def zone_values(tables: Tables) -> DataFrame:
+    """Raw zone values with their two dictionaries."""
     keys = {
         "v_": {"k_uwi": "uwi", "k_zone_name": "zone_name", "o_attribute": "zattribute_name"},
         "a_": {"k_zone_name": "zone_name", "o_attribute": "zattribute_name"},
         "g_": {"o_attribute": "zattribute_name"},
     }
     v, a, g = [
-        tables.typed(tables.get(table), columns, prefix, keys[prefix])
+        tables.raw(tables.get(table), columns, prefix, keys[prefix])
         for prefix, (table, columns) in ZONE_TABLES.items()
     ]
-    joined = v.join(a, tables.keys("k_zone_name", "o_attribute")).join(g, tables.keys("o_attribute"))
-    return tables.fold(joined, ["k_uwi", "k_zone_name"], ["o_attribute"], list(ZONE_TABLES), extra=[_counted()])
+    return v.join(a, tables.keys("k_zone_name", "o_attribute")).join(g, tables.keys("o_attribute"))
+
+
+def zone_attributes(tables: Tables, values: DataFrame, **options) -> Folded:
+    """Zone values and dictionary entries folded per well and zone."""
+    kinds: dict[str, str] = {}
+    for prefix, (_, columns) in ZONE_TABLES.items():
+        kinds |= _prefixed_kinds(columns, prefix)
+    same = {"v_uwi": "k_uwi", "v_zone_name": "k_zone_name", "a_zone_name": "k_zone_name"}
+    return tables.fold(
+        values, kinds, ["k_uwi", "k_zone_name"], ["o_attribute"], list(ZONE_TABLES), same, **options
+    )
 
 
 def _zone(tables: Tables) -> Pieces:
     keys = {"k_uwi": "uwi", "k_zone_name": "zone_name"}
     intervals = tables.plain("well_zone_interval", spec.WELL_ZONE_INTERVAL, "i_", keys)
     zones = tables.plain("gx_zone", spec.GX_ZONE, "z_", {"k_zone_name": "zone_name"})
-    values = zone_attributes(tables)
-    inner, on = list(ZONE_TABLES), tables.keys(*keys)
     known = intervals.join(zones, tables.keys("k_zone_name"))
+    raw = zone_values(tables)
+    fits = tables.fits((raw, len(raw.columns)), (known, len(known.columns)))
+    together = tables.together(list(keys), fits)
+    values = zone_attributes(
+        tables,
+        raw,
+        extra=_counted(fits),
+        partition_by=together,
+        max_cells=None if fits else tables.max_cells,
+    )
+    inner, on = list(ZONE_TABLES), tables.keys(*keys)
     # A full outer join whose unmatched right rows the zone join rejects is a left join.
-    rows = known.join(values.main, on, "left")
+    rows = known.repartition(*together).join(values.main, on, "left")
     rows = fill_empty_lists(rows, [c for c in rows.columns if c.startswith(tuple(inner))])
-    every = ["i_", "v_", "z_", "a_", "g_"]
-    weight, order = _cells(rows, inner, every), ["k_zone_name"]
+    every, order = ["i_", "v_", "z_", "a_", "g_"], ["k_zone_name"]
+    weight, same = _cells(rows, inner, every, fits), {"i_uwi": "k_uwi"}
     if tables.strict_reference:
         # Dictionary columns of the first zone only.
         rank = F.struct(*[F.col(c) for c in rows.columns if c.startswith(("k_zone", "i_", "v_", "z_"))])
         first = [first_non_null(c, rank) for c in rows.columns if c.startswith(("a_", "g_"))]
-        made = _per_well(tables, rows, ["i_", "v_", "z_"], order, weight, extra=first)
+        made = _per_well(tables, rows, ["i_", "v_", "z_"], order, fits, weight, same, first, together)
     else:
-        made = _per_well(tables, rows, every, order, weight)
+        made = _per_well(tables, rows, every, order, fits, weight, same, together=together)
     if values.overflow is not None:
         more = known.join(values.overflow, on)
         if tables.strict_reference:
