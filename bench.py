@@ -1,6 +1,6 @@
 """Warm median times of the headline queries: one JSON line.
 
-BENCH_SF_DIR (default /root/testdata/sf0.1), BENCH_CPUS (default all), BENCH_RUNS (default 3),
+BENCH_SF_DIR (default /root/testdata/sf0.1), BENCH_CPUS (default all), BENCH_RUNS (default 2),
 BENCH_QUERIES (names, default the twelve documents and the heavier operators), BENCH_DUCKDB=1
 adds the times of the equivalent SQL in DuckDB on the same machine.
 """
@@ -17,19 +17,16 @@ from pathlib import Path
 sys.path.insert(0, str(Path(__file__).resolve().parent))
 
 from wellspark.checks import REGISTRY  # noqa: E402
+from wellspark.plans.recipes import RECIPES  # noqa: E402
 from wellspark.session import local_session  # noqa: E402
 
 HEADLINE = [
-    *[name for name in REGISTRY if name.startswith("doc_")],
+    *[f"doc_{asset}" for asset in RECIPES],
     "ordered_lists",
-    "regroup_generic",
     "asset_counts",
-    "project_inventory",
     "clean_string",
-    "curve_samples",
     "curve_stats",
     "convex_hull",
-    "coverage_boundary",
     "catalog_upsert",
 ]
 
@@ -47,7 +44,7 @@ def timed(action, runs: int) -> float:
 def main() -> None:
     folder = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", str(os.cpu_count()))
-    runs = int(os.environ.get("BENCH_RUNS", "3"))
+    runs = int(os.environ.get("BENCH_RUNS", "2"))
     names = os.environ.get("BENCH_QUERIES", ",".join(HEADLINE)).split(",")
     spark = local_session(cpus, partitions=int(cpus))
 

@@ -48,8 +48,8 @@ def _clean_sql(value: str) -> str:
 CLEAN_STRING = f"""
     SELECT id, {_clean_sql("dirty")} AS cleaned, {_clean_sql("misread")} AS repaired FROM (
         SELECT id, ' ' || chr(1) || text || chr(160) || 'x' || chr(8203) || chr(127) || chr(9) || chr(133) || ' ' AS dirty,
-            array_to_string(list_transform(range(0, strlen(text)),
-                lambda i: chr(CAST('0x' || substr(hex(encode(text)), CAST(2 * i + 1 AS INTEGER), 2) AS INTEGER))), '') AS misread
+            array_to_string(list_transform(regexp_extract_all(hex(encode(text)), '..'),
+                lambda h: chr(CAST('0x' || h AS INTEGER))), '') AS misread
         FROM (SELECT 'd' || doc_id AS id, text FROM documents UNION ALL SELECT 'p' || page_id, html FROM pages))"""
 
 

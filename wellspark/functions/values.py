@@ -10,8 +10,8 @@ from pyspark.sql import types as T
 
 # Fixed patterns.
 CONTROL_CHARS = r"[\x00-\x1F\x7F-\x9F]"
-UNPRINTABLE_CHARS = r"[\p{C}\p{Zl}\p{Zp}[\p{Zs}&&[^ ]]]"
-LATIN1_ONLY = r"^[\x{00}-\x{FF}]*$"
+UNPRINTABLE_CHARS = r"[[^\x20-\x7E]&&[\p{C}\p{Zl}\p{Zp}[\p{Zs}&&[^ ]]]]"
+LATIN1_ONLY = r"\A[\x{00}-\x{FF}]*\z"
 BEYOND_PRINTABLE_ASCII = r"[^\x20-\x7E]"
 INTEGER_TEXT = r"(?U)^\s*[+-]?\d(_?\d)*\s*$"
 FLOAT_TEXT = r"(?U)^\s*[+-]?(\d(_?\d)*\.?(\d(_?\d)*)?|\.\d(_?\d)*)([eE][+-]?\d(_?\d)*)?\s*$"
@@ -36,10 +36,11 @@ def clean_string(value: Column) -> Column:
     text = value.cast("string")
     plain = F.regexp_replace(text, CONTROL_CHARS, "")
     # encode() raises on characters beyond Latin-1: it may only be reached inside this branch.
-    redecoded = F.encode(plain, "ISO-8859-1").cast("string")
-    repaired = F.when(
-        plain.rlike(LATIN1_ONLY), F.coalesce(F.try_validate_utf8(redecoded), plain)
-    ).otherwise(plain)
+    # (The control characters are Latin-1 themselves, so the text decides as well as the plain one.)
+    redecoded = F.when(
+        text.rlike(LATIN1_ONLY), F.try_validate_utf8(F.encode(plain, "ISO-8859-1").cast("string"))
+    )
+    repaired = F.coalesce(redecoded, plain)
     full = F.trim(F.regexp_replace(repaired, UNPRINTABLE_CHARS, ""))
     return F.when(text.rlike(BEYOND_PRINTABLE_ASCII), full).otherwise(F.trim(text))
 

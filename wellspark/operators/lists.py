@@ -34,12 +34,26 @@ class Folded:
     overflow: DataFrame | None
 
 
+def largest(df: DataFrame, keys: Sequence[str], weights: Sequence[Column]) -> float:
+    """An upper bound of any group's weight; several weights are summed apart and multiplied.
+
+    Groups go by the hash of their keys: eight bytes each to combine and shuffle, whatever the
+    keys are, and a collision can only raise the bound.
+    """
+    sums = [F.greatest(F.sum(w).cast("double"), F.lit(1.0)).alias(f"_w{i}") for i, w in enumerate(weights)]
+    totals = df.groupBy(F.xxhash64(*keys).alias("_group")).agg(*sums)
+    product = reduce(Column.__mul__, [F.col(f"_w{i}") for i in range(len(weights))])
+    return totals.agg(F.max(product)).first()[0] or 0.0
+
+
 def oversized(df: DataFrame, keys: Sequence[str], weight: Column, limit: int) -> tuple[DataFrame, int] | None:
     """Groups whose total weight passes the limit, with the number of pieces they need.
 
-    A map-side combined sum over the key columns only; its answer is at most one row per
-    `limit` units of input. Brought to the driver only up to MAX_BROADCAST_KEYS rows.
+    Usually there are none, which the bound settles. Otherwise their keys are at most one row per
+    `limit` units of input, and come to the driver only up to MAX_BROADCAST_KEYS rows.
     """
+    if largest(df, keys, [weight]) <= limit:
+        return None
     totals = df.groupBy(*keys).agg(F.sum(weight).alias("_weight")).filter(F.col("_weight") > limit)
     found = totals.agg(
         F.count(F.lit(1)).alias("groups"), F.sum(F.ceil(F.col("_weight") / limit)).alias("pieces")

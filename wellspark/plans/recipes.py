@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 from wellspark.functions.binary import decode_curve
 from wellspark.functions.values import element, scalar
 from wellspark.operators.ids import match_ids, restrict
-from wellspark.operators.lists import MAX_CELLS, Folded, fill_empty_lists, fold_lists
+from wellspark.operators.lists import MAX_CELLS, Folded, fill_empty_lists, fold_lists, largest
 from wellspark.operators.regroup import first_non_null, nest_by_prefix
 from wellspark.plans import tables as spec
 
@@ -148,12 +148,8 @@ class Tables:
             weight = F.lit(weight) if isinstance(weight, int) else weight
             sides_of = [(weight if i == j else F.lit(0)).cast("double").alias(f"_w{j}") for j in range(len(sides))]
             parts.append(rows.select(*on, *sides_of))
-        totals = reduce(DataFrame.unionByName, parts).groupBy(*on).agg(
-            *[F.greatest(F.sum(f"_w{j}"), F.lit(1.0)).alias(f"_w{j}") for j in range(len(sides))]
-        )
-        bound = reduce(Column.__mul__, [F.col(f"_w{j}") for j in range(len(sides))])
-        largest = totals.agg(F.max(bound)).first()[0]
-        return largest is None or largest <= self.max_cells
+        weights = [F.col(f"_w{j}") for j in range(len(sides))]
+        return largest(reduce(DataFrame.unionByName, parts), on, weights) <= self.max_cells
 
     def together(self, keys: Sequence[str], fits: bool) -> list[str]:
         """Columns to shuffle by. When every well fits a row, the well alone: its rows then stay
