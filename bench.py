@@ -46,7 +46,7 @@ def main() -> None:
     cpus = os.environ.get("BENCH_CPUS", str(os.cpu_count()))
     runs = int(os.environ.get("BENCH_RUNS", "2"))
     names = os.environ.get("BENCH_QUERIES", ",".join(HEADLINE)).split(",")
-    spark = local_session(cpus, partitions=int(cpus))
+    spark = local_session(cpus, partitions=int(cpus), memory="16g")
 
     def run(name):
         # Every column of every row is computed and thrown away.

@@ -161,6 +161,11 @@ class Tables:
             return self.keys("k_uwi")
         return self.keys(*keys)
 
+    def beside(self, rows: DataFrame, together: Sequence[str], keys: Sequence[str]) -> DataFrame:
+        """The other side of a join with folded lists. Shuffled by the well where those are; else left
+        to the join's own exchange, which AQE may split when a key is hot."""
+        return rows if list(together) == self.keys(*keys) else rows.repartition(*together)
+
     def header(self, columns: str = spec.WELL_HEADER) -> DataFrame:
         return self.plain("well", columns, "w_", {"k_uwi": "uwi"})
 
@@ -266,12 +271,19 @@ def _one_child(table: str, columns: str, prefix: str, order: str, header: str =
 # Left-joined child lists.
 
 
+def _cells_of(tables: Tables, *sides: DataFrame) -> DataFrame:
+    """Well and cells of every row of several tables."""
+    on = tables.keys("k_uwi")
+    return reduce(DataFrame.unionByName, [df.select(*on, F.lit(len(df.columns)).alias("_cells")) for df in sides])
+
+
 def _core(tables: Tables) -> Pieces:
     keys = {"k_uwi": "uwi", "k_source": "source", "k_core_id": "core_id"}
     on, uwi = tables.keys(*keys), tables.keys("k_uwi")
     columns = spec.WELL_CORE_SAMPLE_ANAL
     samples = tables.raw(tables.get("well_core_sample_anal"), columns, "s_", keys, ["core_id"])
-    fits = tables.fits((samples, len(samples.columns)))
+    cores = tables.plain("well_core", spec.WELL_CORE, "c_", keys)
+    fits = tables.fits((_cells_of(tables, samples, cores), F.col("_cells")))
     together = tables.together(list(keys), fits)
     folded = tables.fold(
         samples,
@@ -283,10 +295,9 @@ def _core(tables: Tables) -> Pieces:
         partition_by=together,
         max_cells=None if fits else tables.max_cells,
     )
-    cores = tables.plain("well_core", spec.WELL_CORE, "c_", keys)
     wells = tables.header()
     lists = [c for c in folded.main.columns if c.startswith("s_")]
-    main = cores.repartition(*together).join(folded.main, on, "left")
+    main = tables.beside(cores, together, list(keys)).join(folded.main, on, "left")
     made = Pieces(wells.join(fill_empty_lists(main, lists), uwi), list(keys))
     if folded.overflow is not None:
         made.also("well_core_sample_anal", wells.join(cores.join(folded.overflow, on), uwi))
@@ -310,8 +321,7 @@ def _dst(tables: Tables) -> Pieces:
         prefix: tables.raw(df.filter(F.col("test_type") == "DST"), columns, prefix, TEST_KEYS, ["test_number"])
         for prefix, (_, df, columns) in sides.items()
     }
-    cells = [r.select(*tables.keys("k_uwi"), F.lit(len(r.columns)).alias("_cells")) for r in rows.values()]
-    fits = tables.fits((reduce(DataFrame.unionByName, cells), F.col("_cells")))
+    fits = tables.fits((_cells_of(tables, *rows.values()), F.col("_cells")))
     folded = {
         prefix: tables.fold(
             rows[prefix],
@@ -445,7 +455,7 @@ def _production(tables: Tables) -> Pieces:
         max_cells=None if fits else tables.max_cells,
     )
     on = tables.keys(*keys)
-    rows = totals.repartition(*together).join(series.main, on)
+    rows = tables.beside(totals, together, list(keys)).join(series.main, on)
     order = ["k_zone_id", "k_activity_type", "k_volume_method"]
     prefixes = ["p_", "m_"]
     weight = _cells(rows, ["m_"], prefixes, fits)
@@ -528,7 +538,7 @@ def _survey(tables: Tables) -> Pieces:
     typed = Tables({"headers": survey_headers(tables)}, tables.scope, missing=tables.missing)
     headers = typed.plain("headers", columns, "s_", {**SURVEY_KEYS, "k_kind": "kind"})
     on = tables.keys(*keys)
-    rows = headers.repartition(*together).join(folded.main, on)
+    rows = tables.beside(headers, together, keys).join(folded.main, on)
     order, prefixes = ["k_kind", "k_survey_id", "k_source"], ["s_", "d_"]
     weight = _cells(rows, ["d_"], prefixes, fits)
     same = {"s_uwi": "k_uwi"}
@@ -609,7 +619,7 @@ def _zone(tables: Tables) -> Pieces:
     )
     inner, on = list(ZONE_TABLES), tables.keys(*keys)
     # A full outer join whose unmatched right rows the zone join rejects is a left join.
-    rows = known.repartition(*together).join(values.main, on, "left")
+    rows = tables.beside(known, together, list(keys)).join(values.main, on, "left")
     rows = fill_empty_lists(rows, [c for c in rows.columns if c.startswith(tuple(inner))])
     every, order = ["i_", "v_", "z_", "a_", "g_"], ["k_zone_name"]
     weight, same = _cells(rows, inner, every, fits), {"i_uwi": "k_uwi"}
