@@ -31,7 +31,7 @@ def plain_clean(text):
 
 
 def test_clean_string_examples(spark):
-    texts = ["cafÃ©", "café", "a​b c", " \x01x\x85 ", "日本", "", "naÃ¯ve \U0001f600", "Ã", "tab\there"]
+    texts = ["cafÃ©", "café", "a​b c", " \x01x\x85 ", "日本", "", "naÃ¯ve \U0001f600", "Ã", "tab\there", "\U0001fae0 melting", "\ufeffbom"]
     assert column(spark, [*texts, None], STRING, V.clean_string) == [*map(plain_clean, texts), None]
 
 

@@ -10,7 +10,13 @@ from pyspark.sql import types as T
 
 # Fixed patterns.
 CONTROL_CHARS = r"[\x00-\x1F\x7F-\x9F]"
-UNPRINTABLE_CHARS = r"[[^\x20-\x7E]&&[\p{C}\p{Zl}\p{Zp}[\p{Zs}&&[^ ]]]]"
+# Control, format, surrogate, private-use and separator characters and noncharacters. Code points
+# without a character count as printable: which they are differs by Java version, and newer ones
+# (recent emoji) must survive. The two small ranges are format characters newer than Java 17's table.
+UNPRINTABLE_CHARS = (
+    r"[[^\x20-\x7E]&&[\p{Cc}\p{Cf}\p{Cs}\p{Co}\p{Zl}\p{Zp}\x{FDD0}-\x{FDEF}\x{FFFE}\x{FFFF}"
+    r"\x{890}-\x{891}\x{13439}-\x{1343F}[\p{Zs}&&[^ ]]]]"
+)
 LATIN1_ONLY = r"\A[\x{00}-\x{FF}]*\z"
 BEYOND_PRINTABLE_ASCII = r"[^\x20-\x7E]"
 INTEGER_TEXT = r"(?U)^\s*[+-]?\d(_?\d)*\s*$"
