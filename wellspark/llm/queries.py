@@ -5,9 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from wellspark.llm import quality_rules
+from wellspark.llm.sharding import sharded
 from wellspark.llm.simhash import simhash_groups
+from wellspark.llm.substring_dedup import substring_dedup
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -20,12 +23,26 @@ def op1_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return judged.select("doc_id", *quality_rules.MEASURES, "base_failed", "kept")
 
 
+def op3_sharding(spark: SparkSession, folder: str) -> DataFrame:
+    rows, _ = sharded(_table(spark, folder, "documents"), shards=8)
+    return rows.select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
+    )
+
+
+def op7_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    kept = substring_dedup(_table(spark, folder, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op10_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash_groups(_table(spark, folder, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
+    "op3_sharding": op3_sharding,
+    "op7_substring_dedup": op7_substring_dedup,
     "op10_simhash": op10_simhash,
 }
 ORACLES: dict[str, str] = {
