@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wellspark.llm import quality_rules
+from wellspark.llm.packing import pack_documents
 from wellspark.llm.sharding import sharded
 from wellspark.llm.simhash import simhash_groups
 from wellspark.llm.substring_dedup import substring_dedup
+from wellspark.llm.toxicity import toxicity
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -30,6 +32,15 @@ def op3_sharding(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op4_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return pack_documents(_table(spark, folder, "documents"))
+
+
+def op5_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    scored = toxicity(_table(spark, folder, "documents").select("doc_id", "text"), _table(spark, folder, "labels"))
+    return scored.select("doc_id", "held_out", "score", "predicted")
+
+
 def op7_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     kept = substring_dedup(_table(spark, folder, "documents").select("doc_id", "text"))
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -42,6 +53,8 @@ def op10_simhash(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op3_sharding": op3_sharding,
+    "op4_packing": op4_packing,
+    "op5_toxicity": op5_toxicity,
     "op7_substring_dedup": op7_substring_dedup,
     "op10_simhash": op10_simhash,
 }
