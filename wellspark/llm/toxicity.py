@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 # Labelled rows that the weights are fitted on, taken in the order of a hash of doc_id; a bound, not a sample of scores.
 TRAINING_ROWS = 20_000
-# A stem joins the insults if at least this part of the toxic training texts has a word that starts with it, toxic texts
-# have it this many times as often as others, and the log-likelihood ratio statistic is at least this.
+# A stem joins the insults if at least this part of the toxic training texts has a word that starts with it, words of toxic
+# texts start with it this many times as often as others, and the log-likelihood ratio statistic is at least this.
 STEM_SHARE = 0.01
 STEM_ODDS = 20.0
 STEM_EVIDENCE = 25.0
@@ -50,7 +50,7 @@ REPORTS = (
 ).split()
 QUOTES = '"“”„«»'
 # Classes of words: the input alphabet of the clause machine.
-INSULT, THREAT, TARGET, NEGATION, REPORT = range(5)
+INSULT, STEM, THREAT, TARGET, NEGATION, REPORT = range(6)
 # How many words a negation reaches.
 REACH = 4
 
@@ -68,8 +68,11 @@ def _lexical() -> dict[str, int]:
 
 
 # Kinds of matched clauses, the output alphabet: what is said, aimed at somebody, denied, reported.
-KINDS = [(what, aimed, told) for what in ("insult", "threat") for aimed in (False, True) for told in ("plain", "denied", "reported")]
+# An insult that only a learned stem finds is a kind of its own, as other words may start like it.
+WHAT = ("insult", "stem", "threat")
+KINDS = [(what, aimed, told) for what in WHAT for aimed in (False, True) for told in ("plain", "denied", "reported")]
 _INDEX = {k: i for i, k in enumerate(KINDS)}
+FEATURES = len(KINDS) + len(WHAT)
 
 
 @dataclass
@@ -77,7 +80,7 @@ class Grammar:
     """The composed transducers, and the weight of each kind of clause; learned stems join the insults."""
 
     stems: list[str] = field(default_factory=list)
-    weights: list[float] = field(default_factory=lambda: [0.0] * len(KINDS))
+    weights: list[float] = field(default_factory=lambda: [0.0] * FEATURES)
     bias: float = 0.0
 
     def __post_init__(self):
@@ -85,25 +88,25 @@ class Grammar:
         self.triggers = frozenset(w.encode() for w, kind in self.words.items() if kind in (INSULT, THREAT))
         self.starts = tuple(self.stems)
 
-    def clauses(self, text: str) -> Iterator[tuple[str, bool, str]]:
+    def clauses(self, tokens: list[str]) -> Iterator[tuple[str, bool, str]]:
         """Kinds of the clauses that hold an insult or a threat against somebody.
 
         States: inside quotes or not; words left under a negation; in the clause so far: a target, a reporting
         verb (which holds through the sentence), insults and threats with and without negation. A break
         ends the clause and emits."""
-        quoted = reporting = aimed = insulted = denied_insult = threatened = denied_threat = clause_reported = False
+        quoted = reporting = aimed = False
         denied = 0
-        for token in [*_TOKEN.findall(text), "\n"]:
+        # For each of WHAT in the clause: seen without and with negation, and seen in reported speech.
+        seen: dict[int, list[bool]] = {}
+        for token in [*tokens, "\n"]:
             if token in _BREAKS:
-                told = "reported" if clause_reported else "plain"
-                if insulted or denied_insult:
-                    yield "insult", aimed, told if insulted or clause_reported else "denied"
-                if aimed and (threatened or denied_threat):
-                    yield "threat", True, told if threatened or clause_reported else "denied"
-                aimed = insulted = denied_insult = threatened = denied_threat = clause_reported = False
-                denied = 0
+                for kind in sorted(seen):
+                    plain, reported = seen[kind]
+                    if kind != THREAT or aimed:
+                        yield WHAT[kind], aimed, "reported" if reported else "plain" if plain else "denied"
+                seen, aimed, denied = {}, False, 0
                 if token not in ",;:":
-                    reporting = False
+                    reporting = quoted and reporting
                 continue
             if token in QUOTES:
                 quoted = not quoted
@@ -111,29 +114,32 @@ class Grammar:
             word = token.lower()
             kind = self.words.get(word)
             if kind is None and word.startswith(self.starts):
-                kind = INSULT
+                kind = STEM
             if kind == NEGATION:
                 denied = REACH + 1
             elif kind == REPORT:
                 reporting = True
             elif kind == TARGET:
                 aimed = True
-            elif kind == INSULT:
-                insulted, denied_insult = insulted or not denied, denied_insult or denied > 0
-                clause_reported = clause_reported or quoted and reporting or reporting
-            elif kind == THREAT:
-                threatened, denied_threat = threatened or not denied, denied_threat or denied > 0
-                clause_reported = clause_reported or reporting
+            elif kind is not None:
+                plain, reported = seen.get(kind, (False, False))
+                seen[kind] = [plain or not denied, reported or reporting]
             denied = max(0, denied - 1)
 
     def features(self, text: bytes) -> np.ndarray | None:
-        """For each clause kind of a whole text 1 + log(count), 0 without one; None without any match."""
+        """log(1 + matched clauses per thousand words) for each kind and log(1 + matched clauses) for each of WHAT.
+
+        Of a whole text; None without any match. Rates tell a text full of insults from a long one in which a word
+        happens to start like one."""
         if not self._triggered(text):
             return None
+        tokens = _TOKEN.findall(text.decode())
         counts = np.zeros(len(KINDS))
-        for kind in self.clauses(text.decode()):
+        for kind in self.clauses(tokens):
             counts[_INDEX[kind]] += 1
-        return np.where(counts > 0, 1 + np.log(np.maximum(counts, 1)), 0) if counts.any() else None
+        words = sum(t[0].isalpha() for t in tokens)
+        totals = counts.reshape(len(WHAT), -1).sum(axis=1)
+        return np.log1p(np.concatenate([counts * 1000 / max(words, 1), totals])) if counts.any() else None
 
     def _triggered(self, text: bytes) -> bool:
         """Whether a text has an insulting or threatening word or stem at all; most have none and need no machine."""
@@ -168,9 +174,9 @@ def score(grammar: Grammar, text: str | Column) -> Column:
 
 
 def _fit(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> tuple[list[float], float]:
-    """Logistic regression by Newton steps. The ridge pulls to a weight of 2 for plain and 1 for other clauses, so kinds
-    that no label shows still count, denied and reported ones less."""
-    prior = np.array([2.0 if told == "plain" else 1.0 for _, _, told in KINDS] + [-2.0])
+    """Logistic regression by Newton steps. The ridge pulls to a weight of 1.5 for plain and 0.5 for other clauses, so
+    kinds that no label shows still count, denied and reported ones less."""
+    prior = np.array([1.5 if told == "plain" else 0.5 for _, _, told in KINDS] + [0.0] * len(WHAT) + [-3.0])
     x, w = np.c_[x, np.ones(len(x))], prior.copy()
     strength = np.full(len(w), ridge)
     strength[-1] = 1e-3
@@ -195,31 +201,31 @@ def _stems(training: DataFrame) -> list[str]:
     if not toxic or not clean:
         return []
     part = F.pmod(F.xxhash64("doc_id", F.lit("stems")), F.lit(1000)) < 1000 * CLEAN_SHARE * toxic / clean
-    words = F.array_distinct(F.split(F.lower("text"), r"[^\p{L}]+"))
+    words = F.split(F.lower("text"), r"[^\p{L}]+")
     starts = F.array(*(F.when(F.length("w") >= k, F.substring("w", 1, k)) for k in STEM_LENGTHS))
-    each = training.where((F.col("toxic") == 1) | part).select("doc_id", "toxic", F.explode(words).alias("w"))
-    each = each.select("doc_id", "toxic", F.explode(starts).alias("stem")).where("stem IS NOT NULL").distinct()
-    clean = min(clean, CLEAN_SHARE * toxic)
-    ids = F.collect_set(F.when(F.col("toxic") == 1, F.col("doc_id")))
+    chosen = training.where((F.col("toxic") == 1) | part).select("doc_id", "toxic", F.explode(words).alias("w"))
+    each = chosen.select("doc_id", "toxic", F.explode(starts).alias("stem")).where("stem IS NOT NULL")
+    n = {r["toxic"]: r["n"] for r in chosen.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     counted = each.groupBy("stem").agg(F.sum("toxic").alias("a"), F.sum(1 - F.col("toxic")).alias("b"))
-    a, b = F.col("a") + 0.5, F.col("b") + 0.5
-    share = (F.col("a") + F.col("b") + 1) / (toxic + clean)
-    evidence = 2 * (a * F.log(a / (toxic * share)) + b * F.log(b / (clean * share)))
-    strong = counted.where((F.col("a") >= STEM_SHARE * toxic) & (a / toxic >= STEM_ODDS * b / clean) & (evidence >= STEM_EVIDENCE))
+    a, b, bad, good = F.col("a") + 0.5, F.col("b") + 0.5, n.get(1, 1), n.get(0, 1)
+    share = (F.col("a") + F.col("b") + 1) / (bad + good)
+    evidence = 2 * (a * F.log(a / (bad * share)) + b * F.log(b / (good * share)))
+    strong = counted.where((F.col("a") >= STEM_SHARE * toxic) & (a / bad >= STEM_ODDS * b / good) & (evidence >= STEM_EVIDENCE))
     # Stems of at least one in a hundred toxic texts: their number is bounded by the training rows.
-    found = each.join(strong.select("stem"), "stem").groupBy("stem").agg(ids.alias("ids")).collect()
+    ids = F.collect_set("doc_id").alias("ids")
+    found = each.where("toxic = 1").join(strong.select("stem"), "stem").groupBy("stem").agg(ids).collect()
     left = {r["stem"]: set(r["ids"]) for r in found}
-    chosen: list[str] = []
-    while left and len(chosen) < STEMS:
+    stems: list[str] = []
+    while left and len(stems) < STEMS:
         best = max(left, key=lambda stem: (len(left[stem]), len(stem), stem))
         if len(left[best]) < STEM_SHARE * toxic:
             break
         while longer := [s for s in left if s != best and s.startswith(best) and len(left[s]) >= STEM_KEEPS * len(left[best])]:
             best = max(longer, key=lambda stem: (len(left[stem]), stem))
-        chosen.append(best)
+        stems.append(best)
         explained = left.pop(best)
         left = {stem: rest for stem, texts in left.items() if (rest := texts - explained)}
-    return chosen
+    return stems
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS) -> Grammar:
@@ -234,7 +240,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS) -> Gramma
     grammar = Grammar(stems=_stems(training))
     found = training.select("toxic", _features(grammar)("text").alias("x")).collect()
     # Without labelled rows: the prior alone.
-    x = np.array([r["x"] or [0.0] * len(KINDS) for r in found] or [[0.0] * len(KINDS)])
+    x = np.array([r["x"] or [0.0] * FEATURES for r in found] or [[0.0] * FEATURES])
     grammar.weights, grammar.bias = _fit(x, np.array([r["toxic"] for r in found] or [0], float))
     return grammar
 
