@@ -8,11 +8,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wellspark.llm import quality_rules
+from wellspark.llm.byte_bpe import decoded, encoded
 from wellspark.llm.packing import pack_documents
 from wellspark.llm.sharding import sharded
 from wellspark.llm.simhash import simhash_groups
 from wellspark.llm.substring_dedup import substring_dedup
 from wellspark.llm.toxicity import toxicity
+from wellspark.llm.url_filter import url_filter
+
+RULES = [
+    ("allow", "com/"),
+    ("block", "example.com/en/"),
+    ("allow", "www.example.com/en/"),
+    ("block", "net/es/"),
+    ("block", "net/fr/"),
+]
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -46,6 +56,22 @@ def op7_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op8_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    tokens = _table(spark, folder, "documents").select("doc_id", encoded(spark, "text").alias("ids"))
+    joined = F.array_join(F.col("ids").cast("array<string>"), " ")
+    return tokens.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(joined, 256).alias("ids_sha256"),
+        F.sha2(decoded(spark, "ids"), 256).alias("decoded_sha256"),
+    )
+
+
+def op9_url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    judged = url_filter(_table(spark, folder, "pages").select("page_id", "url"), RULES)
+    return judged.select("page_id", "host", "path", "rule", "verdict")
+
+
 def op10_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash_groups(_table(spark, folder, "documents"))
 
@@ -56,6 +82,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_packing": op4_packing,
     "op5_toxicity": op5_toxicity,
     "op7_substring_dedup": op7_substring_dedup,
+    "op8_byte_bpe": op8_byte_bpe,
+    "op9_url_filter": op9_url_filter,
     "op10_simhash": op10_simhash,
 }
 ORACLES: dict[str, str] = {
