@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from wellspark.llm import quality_rules
 from wellspark.llm.byte_bpe import decoded, encoded
+from wellspark.llm.embedding_dedup import embedding_dedup
+from wellspark.llm.lattice_lm import lattice_scores
 from wellspark.llm.packing import pack_documents
 from wellspark.llm.sharding import sharded
 from wellspark.llm.simhash import simhash_groups
@@ -35,6 +37,10 @@ def op1_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return judged.select("doc_id", *quality_rules.MEASURES, "base_failed", "kept")
 
 
+def op2_embedding_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return embedding_dedup(_table(spark, folder, "embeddings"), "vec_id", "embedding")
+
+
 def op3_sharding(spark: SparkSession, folder: str) -> DataFrame:
     rows, _ = sharded(_table(spark, folder, "documents"), shards=8)
     return rows.select(
@@ -51,6 +57,10 @@ def op5_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return scored.select("doc_id", "held_out", "score", "predicted")
 
 
+def op6_lattice_lm(spark: SparkSession, folder: str) -> DataFrame:
+    return lattice_scores(_table(spark, folder, "documents"))
+
+
 def op7_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     kept = substring_dedup(_table(spark, folder, "documents").select("doc_id", "text"))
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -78,9 +88,11 @@ def op10_simhash(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
+    "op2_embedding_dedup": op2_embedding_dedup,
     "op3_sharding": op3_sharding,
     "op4_packing": op4_packing,
     "op5_toxicity": op5_toxicity,
+    "op6_lattice_lm": op6_lattice_lm,
     "op7_substring_dedup": op7_substring_dedup,
     "op8_byte_bpe": op8_byte_bpe,
     "op9_url_filter": op9_url_filter,
