@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
+from itertools import islice
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wellspark.llm.common import LOWER, local_roots, stored
+from wellspark.llm.common import LOWER, stored
 from wellspark.llm.components import components
 
 SEED = 42
@@ -19,23 +19,42 @@ DISTANCE = 3
 # Rows of one grid cell that a task compares at once; larger cells are dealt out in tiles of two blocks.
 BLOCK = 4096
 _ODD = 0x5555555555555555
-_SHINGLES_AT_ONCE = 1 << 16
+_HASHES_AT_ONCE = 1 << 16
 
 
-def fingerprint(text: bytes, size: int) -> int:
-    """Signed 64-bit SimHash of the `size`-word shingles of a text, repeats included."""
-    words = text.translate(LOWER).split()
-    if not words:
-        return 0
-    n = max(1, len(words) - size + 1)
-    counts = np.zeros(64, np.int64)
-    for start in range(0, n, _SHINGLES_AT_ONCE):
-        part = words[start : start + _SHINGLES_AT_ONCE + size - 1]
-        shingles = map(b" ".join, zip(*(part[i:] for i in range(size)))) if len(part) >= size else [b" ".join(part)]
-        digest = xxhash.xxh64_digest
-        hashes = np.frombuffer(b"".join([digest(s, SEED) for s in shingles]), np.uint8).reshape(-1, 8)
+def _majority(items: Iterable[bytes], digest: Callable[[bytes], bytes], bits: int) -> np.ndarray:
+    """The bits set in over half the digests, packed in bytes; all zero without items."""
+    items, counts, n = iter(items), np.zeros(bits, np.int64), 0
+    while part := b"".join([digest(s) for s in islice(items, _HASHES_AT_ONCE)]):
+        hashes = np.frombuffer(part, np.uint8).reshape(-1, bits // 8)
         counts += np.unpackbits(hashes, axis=1).sum(axis=0, dtype=np.int32)
-    return int(np.packbits(counts * 2 > n).view(">i8")[0])
+        n += len(hashes)
+    return np.packbits(counts * 2 > n)
+
+
+def _words(text: bytes) -> list[bytes]:
+    return text.translate(LOWER).split()
+
+
+def _shingles(words: list[bytes], size: int) -> Iterable[bytes]:
+    """Runs of `size` words, repeats included; of fewer words the whole sequence; none without words."""
+    if len(words) < size:
+        return [b" ".join(words)] if words else []
+    return map(b" ".join, zip(*(islice(words, i, None) for i in range(size))))
+
+
+def fingerprint(text: bytes, size: int) -> int:
+    """Signed 64-bit SimHash of the `size`-word shingles of a text."""
+    return int(_majority(_shingles(_words(text), size), lambda s: xxhash.xxh64_digest(s, SEED), 64).view(">i8")[0])
+
+
+def _wide(items: Iterable[bytes], prints: int) -> list[int]:
+    """`prints` (an even number) independent SimHashes."""
+
+    def digest(item: bytes) -> bytes:
+        return b"".join([xxhash.xxh3_128_digest(item, SEED + k) for k in range(prints // 2)])
+
+    return _majority(items, digest, 64 * prints).view(">i8").tolist()
 
 
 def fingerprints(text: str | Column, size: int = 3) -> Column:
@@ -58,37 +77,43 @@ def _unary(value: Column) -> Column:
     return F.shiftleft(high.bitwiseAND(low), 1).bitwiseOR(high.bitwiseOR(low))
 
 
-def _cells(prints: DataFrame) -> DataFrame:
-    """Grid cells of every fingerprint: two halves of 16 segments each, the own cell and each one step up.
+def _cells(nodes: DataFrame) -> DataFrame:
+    """Grid cells (grid, cell) of every node: for each fingerprint two halves of 16 segments, the own cell of each half
+    and each one step up.
 
     Two fingerprints within Manhattan distance 3 differ by at most 1 in one of the halves, and then
     the lower one's cells hold the other's own cell."""
+    each = nodes.select("node", F.posexplode("prints").alias("k", "print")).withColumn("code", _unary(F.col("print")))
     halves = []
     for half, code in enumerate((F.shiftrightunsigned("code", 32), F.col("code").bitwiseAND(F.lit(0xFFFFFFFF)))):
         steps = []
         for segment in range(16):
-            first, second = 1 << 2 * segment, 2 << 2 * segment
-            free = F.lit(first).cast("long"), F.lit(second).cast("long")
+            first, second = F.lit(1 << 2 * segment).cast("long"), F.lit(2 << 2 * segment).cast("long")
             steps.append(
-                F.when(code.bitwiseAND(free[0]) == 0, code.bitwiseOR(free[0]))
-                .when(code.bitwiseAND(free[1]) == 0, code.bitwiseOR(free[1]))
+                F.when(code.bitwiseAND(first) == 0, code.bitwiseOR(first)).when(code.bitwiseAND(second) == 0, code.bitwiseOR(second))
             )
         spot = F.explode(F.filter(F.array(code, *steps), lambda x: x.isNotNull())).alias("cell")
-        halves.append(prints.withColumn("code", _unary(F.col("print"))).select("print", F.lit(half).alias("half"), spot))
+        halves.append(each.select("node", (2 * F.col("k") + half).alias("grid"), spot))
     return halves[0].unionAll(halves[1])
 
 
-def _tiles(cells: DataFrame, block: int) -> DataFrame:
-    """Rows of every cell in blocks; a row meets every block of its cell once, in tile (i, j) of its blocks."""
-    large = cells.groupBy("half", "cell").count().where(F.col("count") > block)
-    blocks = F.ceil(F.col("count") / block).cast("int")
-    dealt = cells.join(large, ["half", "cell"], "left").withColumn("blocks", F.coalesce(blocks, F.lit(1)))
-    own = F.pmod(F.xxhash64("print"), F.col("blocks")).cast("int")
+def _tiles(nodes: DataFrame, block: int) -> DataFrame:
+    """Rows of every cell with several nodes, in blocks; a row meets every block of its cell once, in tile (i, j) of its
+    blocks."""
+    cells = _cells(nodes)
+    # Pre-aggregated: a crowded cell costs one row per task.
+    shared = cells.groupBy("grid", "cell").agg(F.count("*").alias("n")).where("n > 1")
+    blocks = F.ceil(F.col("n") / block).cast("int")
+    met = cells.join(shared.select("grid", "cell", blocks.alias("blocks")), ["grid", "cell"])
+    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     return (
-        dealt.withColumn("own", own)
-        .withColumn("other", other)
-        .select("half", "cell", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "print")
+        met.join(nodes, "node")
+        .select("*", own.alias("own"), other.alias("other"))
+        .select(
+            *("grid", "cell", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node"),
+            *(F.element_at("prints", F.floor(F.col("grid") / 2).cast("int") + 1).alias("print"), "proof"),
+        )
     )
 
 
@@ -98,11 +123,11 @@ def _np_unary(value: np.ndarray) -> np.ndarray:
     return ((high & low) << np.uint64(1)) | high | low
 
 
-def _links(prints: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest of the links among the fingerprints of one tile: at most one row per fingerprint."""
+def _links(prints: np.ndarray, proofs: np.ndarray, distance: int, allowed: int) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of the links among the nodes of one tile: fewer rows than nodes."""
     codes = _np_unary(prints)
     waiting = np.ones(len(prints), bool)
-    left, right = [], []
+    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     queue: list[int] = []
     for seed in range(len(prints)):
         if not waiting[seed]:
@@ -113,58 +138,72 @@ def _links(prints: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
             at = queue.pop()
             near = np.flatnonzero(waiting & (np.bitwise_count(codes ^ codes[at]) <= distance))
             near = near[np.bitwise_count(prints[near] ^ prints[at]) <= distance]
-            waiting[near] = False
-            queue.extend(near.tolist())
-            left.append(np.full(len(near), at))
-            right.append(near)
+            if proofs.shape[1]:
+                near = near[np.bitwise_count(proofs[near] ^ proofs[at]).sum(axis=1) <= allowed]
+            if near.size:
+                waiting[near] = False
+                queue.extend(near.tolist())
+                left.append(np.full(len(near), at))
+                right.append(near)
     return np.concatenate(left), np.concatenate(right)
 
 
-def _tile_links(distance: int):
-    """Links of the tiles in a partition sorted by tile. Only the last, unfinished tile is carried on."""
+_KEYS = ["grid", "cell", "i", "j"]
 
-    def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        keys = ["half", "cell", "i", "j"]
-
-        def solve(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
-            key = rows[keys].to_numpy()
-            starts = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]).any(axis=1)])
-            ends = np.r_[starts[1:], len(rows)]
-            prints = rows["print"].to_numpy().view(np.uint64)
-            found = []
-            for start, end in zip(starts[ends - starts > 1], ends[ends - starts > 1]):
-                tile = np.unique(prints[start:end])
-                a, b = _links(tile, distance)
-                if a.size:
-                    found.append(np.stack([tile[a], tile[b]]))
-            if found:
-                both = np.concatenate(found, axis=1).view(np.int64)
-                yield pd.DataFrame({"a": both[0], "b": both[1]})
 
+def _tile_links(distance: int, allowed: int):
+    """Links of the tiles in a partition sorted by tile. Only the last, unfinished tile is carried on."""
+
+    def key(rows: pa.Table) -> np.ndarray:
+        return np.stack([rows[k].to_numpy() for k in _KEYS], axis=1)
+
+    def solve(rows: pa.Table, starts: np.ndarray) -> pa.RecordBatch:
+        ends = np.append(starts[1:], len(rows))
+        nodes, prints = rows["node"].to_numpy(), rows["print"].to_numpy().view(np.uint64)
+        proofs = rows["proof"].combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(rows), -1)
+        found = [np.zeros((2, 0), np.int64)]
+        for start, end in zip(starts[ends - starts > 1], ends[ends - starts > 1]):
+            names, at = np.unique(nodes[start:end], return_index=True)
+            a, b = _links(prints[start:end][at], proofs[start:end][at], distance, allowed)
+            found.append(np.stack([names[a], names[b]]))
+        both = np.concatenate(found, axis=1)
+        return pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], ["a", "b"])
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = None
         for batch in batches:
-            rows = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
-            last = (rows[keys] == rows[keys].iloc[-1]).all(axis=1).to_numpy()
-            cut = int(np.argmax(last))
-            rest = rows.iloc[cut:]
-            if cut:
-                yield from solve(rows.iloc[:cut])
+            if not len(batch):
+                continue
+            rows = pa.Table.from_batches([batch])
+            rows = (rows if rest is None else pa.concat_tables([rest, rows])).combine_chunks()
+            keys = key(rows)
+            starts = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]).any(axis=1)])
+            rest = rows.slice(starts[-1])
+            if len(starts) > 1:
+                yield solve(rows.slice(0, starts[-1]), starts[:-1])
         if rest is not None:
-            yield from solve(rest)
+            yield solve(rest.combine_chunks(), np.zeros(1, np.int64))
 
     return find
 
 
-def near_links(prints: DataFrame, distance: int = DISTANCE, block: int = BLOCK) -> DataFrame:
-    """Links (a, b) that join all distinct fingerprints (column `print`) at most `distance` bits apart.
+def near_links(nodes: DataFrame, distance: int = DISTANCE, allowed: int = 0, block: int = BLOCK) -> DataFrame:
+    """Links (a, b) among nodes (node, prints, proof): one of the fingerprints `prints` differs in at most `distance`
+    bits and, unless `proof` is an empty list, all of `proof` together in at most `allowed`.
 
     Not every pair: of each tile a spanning forest, so a group of a million neighbours gives about a
     million rows. Every row is a true link. `distance` may be 0 to 3: the grid covers no more."""
     if not 0 <= distance <= 3:
         raise ValueError("distance must be 0 to 3")
-    tiles = _tiles(_cells(prints), block)
-    dealt = tiles.repartition("half", "cell", "i", "j").sortWithinPartitions("half", "cell", "i", "j")
-    return dealt.mapInPandas(_tile_links(distance), "a long, b long")
+    dealt = _tiles(nodes, block).repartition(*_KEYS).sortWithinPartitions(*_KEYS)
+    return dealt.mapInArrow(_tile_links(distance, allowed), "a long, b long")
+
+
+def _named(rows: DataFrame, key: list[str], classes: DataFrame, links: DataFrame) -> DataFrame:
+    """`rows` with component_id, the smallest doc_id of all classes that their class reaches."""
+    placed = classes.join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    named = placed.groupBy("root").agg(F.min("first").alias("component_id"))
+    return rows.join(placed.select(*key, "root").join(named, "root").drop("root"), key)
 
 
 def simhash_groups(docs: DataFrame, size: int = 3, distance: int = DISTANCE, block: int = BLOCK) -> DataFrame:
@@ -174,13 +213,44 @@ def simhash_groups(docs: DataFrame, size: int = 3, distance: int = DISTANCE, blo
     comparison. Null texts have fingerprint zero; rows with a null doc_id are grouped but never name a
     component unless all ids in it are null. Repeated rows are kept as they are."""
     rows = stored(docs.select("doc_id", fingerprints(F.col("text"), size).alias("print")), "fingerprints")
-    classes = stored(rows.groupBy("print").agg(F.min("doc_id").alias("first")), "classes")
-    roots = components(near_links(classes.select("print"), distance, block))
-    placed = classes.join(roots.withColumnRenamed("node", "print"), "print", "left").withColumn(
-        "root", F.coalesce("root", "print")
-    )
-    named = placed.groupBy("root").agg(F.min("first").alias("component_id"))
-    component = placed.select("print", "root").join(named, "root").drop("root")
-    return rows.join(component, "print").select(
-        "doc_id", F.lpad(F.lower(F.hex("print")), 16, "0").alias("fingerprint"), "component_id"
-    )
+    classes = rows.groupBy("print").agg(F.min("doc_id").alias("first")).withColumn("node", F.col("print"))
+    classes = stored(classes, "classes")
+    nodes = classes.select("node", F.array("print").alias("prints"), F.array().cast("array<long>").alias("proof"))
+    grouped = _named(rows, ["print"], classes, near_links(nodes, distance, 0, block))
+    return grouped.select("doc_id", F.lpad(F.lower(F.hex("print")), 16, "0").alias("fingerprint"), "component_id")
+
+
+# Fingerprints over the different words of a text that look for near copies, and over its shingles that prove them.
+SEEKING = 4
+PROVING = 4
+
+
+def similar_groups(
+    docs: DataFrame, size: int = 5, similarity: float = 0.8, seeking: int = SEEKING, proving: int = PROVING, block: int = BLOCK
+) -> DataFrame:
+    """doc_id and component_id, where texts link whose `size`-word shingles have about `similarity` (Jaccard) or more.
+
+    One fingerprint over shingles differs in far more than 3 bits between texts that share four of five shingles. So
+    `seeking` fingerprints over the different words of the texts, which an edit moves less, find pairs on the
+    same grid (3 bits in any of them), and `proving` fingerprints over the shingles decide: they may differ in as many
+    bits as the similarity allows and one standard deviation more. Rows, nulls and copies as in simhash_groups;
+    texts with equal words in equal order are one node."""
+    bits = 64 * proving
+    share = np.arccos(2 * similarity / (1 + similarity)) / np.pi
+    allowed = int(bits * share + np.sqrt(bits * share * (1 - share)))
+
+    @F.arrow_udf("struct<prints:array<long>,proof:array<long>>")
+    def signatures(texts: pa.Array) -> pa.Array:
+        prints, proofs = [], []
+        for text in texts.cast(pa.binary()):
+            words = _words(text.as_py() or b"")
+            prints.append(_wide(set(words), seeking))
+            proofs.append(_wide(_shingles(words, size), proving))
+        lists = pa.list_(pa.int64())
+        return pa.StructArray.from_arrays([pa.array(prints, lists), pa.array(proofs, lists)], ["prints", "proof"])
+
+    rows = stored(docs.select("doc_id", signatures("text").alias("s")).select("doc_id", "s.*"), "signatures")
+    key = ["prints", "proof"]
+    classes = rows.groupBy(*key).agg(F.min("doc_id").alias("first"))
+    classes = stored(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
+    return _named(rows, key, classes, near_links(classes.select("node", *key), DISTANCE, allowed, block)).select("doc_id", "component_id")
