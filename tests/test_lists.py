@@ -1,7 +1,4 @@
-"""List folding, regrouping and the pieces of oversized groups."""
-
-import itertools
-from collections import Counter, defaultdict
+"""List folding, regrouping and documents."""
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,7 +6,7 @@ from pyspark.sql import functions as F
 from wellspark.checks.documents import documents
 from wellspark.operators.lists import fold_lists, ordered_lists
 from wellspark.operators.regroup import nest_by_prefix, regroup
-from wellspark.plans.recipes import RECIPES
+from wellspark.plans.recipes import RECIPES, Tables
 
 
 def rows(spark, n=40, hot=3000):
@@ -22,11 +19,7 @@ def rows(spark, n=40, hot=3000):
 
 
 def whole(df):
-    lists = defaultdict(lambda: ([], []))
-    for row in sorted(df.collect(), key=lambda r: r.part):
-        lists[row.k][0].extend(row.x)
-        lists[row.k][1].extend(row.s)
-    return dict(lists)
+    return {row.k: (row.x, row.s) for row in df.collect()}
 
 
 def test_lists_keep_nulls_and_share_one_order(spark):
@@ -35,35 +28,18 @@ def test_lists_keep_nulls_and_share_one_order(spark):
     assert (row.o, row.x) == ([None, 1, 1, 2], [1, None, 3, None])
 
 
-def test_oversized_groups_come_in_ordered_pieces(spark):
-    df = rows(spark)
-    split = ordered_lists(df, ["k"], ["o"], ["x", "s"], max_cells=500)
-    assert whole(split) == whole(ordered_lists(df, ["k"], ["o"], ["x", "s"]))
-    sizes = [r.n for r in split.select(F.size("x").alias("n")).collect()]
-    assert max(sizes) < 1000 and split.filter("part > 0").count() > 5
-
-
-def test_copies_of_one_row_are_split_too(spark):
-    df = spark.range(20_000).select(F.lit("a").alias("k"), F.lit(1).alias("o"), F.lit("same").alias("s"))
-    split = ordered_lists(df, ["k"], ["o"], ["s"], max_cells=2_000)
-    sizes = [r.n for r in split.filter("part > 0").select(F.size("s").alias("n")).collect()]
-    assert sum(sizes) == 20_000 and max(sizes) < 8_000
-
-
 def test_result_does_not_depend_on_partitions(spark):
     df = rows(spark, hot=200)
     results = [whole(ordered_lists(df.repartition(n), ["k"], ["o"], ["x", "s"])) for n in (1, 3, 11)]
     assert results[0] == results[1] == results[2]
 
 
-def test_constants_and_extra_aggregates(spark):
+def test_constants_firsts_and_extra_aggregates(spark):
     df = rows(spark)
-    folded = fold_lists(
-        df, ["k"], ["o"], ["x"], constants={"key": F.col("k")}, extra=[F.max("x").alias("top")], max_cells=1000
-    )
-    main = {r.k: r for r in folded.main.collect()}
-    assert main["b"].key == ["b"] * 40 and main["a"].x == [] and main["a"].top == 2
-    assert {r.k for r in folded.overflow.collect()} == {"a"}
+    folded = fold_lists(df, ["k"], ["o"], ["x"], constants={"key": F.col("k")}, firsts=["s"], extra=[F.max("x").alias("top")])
+    main = {r.k: r for r in folded.collect()}
+    assert main["b"].key == ["b"] * 40 and len(main["a"].x) == 3000 and main["a"].top == 2
+    assert main["a"].s == min(f"v{i % 6}" for i in range(0, 3000, 7) if i % 4 == 0)
 
 
 def test_regroup(spark):
@@ -86,46 +62,27 @@ def test_nesting_takes_the_first_prefix_and_drops_the_rest(spark):
     assert out.select("first.*").columns == ["a"] and out.select("second.*").columns == ["c"]
 
 
-def items(value):
-    """Every innermost element of a list or list of lists."""
-    if isinstance(value, list):
-        return list(itertools.chain.from_iterable(items(v) if isinstance(v, list) else [v] for v in value))
-    return [value]
-
-
-def contents(docs):
-    """All list elements per well, table and column, whatever row they are in."""
-    found = defaultdict(Counter)
-    for row in docs.collect():
-        uwi = row.doc_key.uwi
-        for table in docs.columns[3:]:
-            if table == "well" or row[table] is None:
-                continue
-            for name, value in row[table].asDict().items():
-                if isinstance(value, list):
-                    found[uwi, table, name].update(map(str, items(value)))
-    return {key: values for key, values in found.items() if values}
-
-
 @pytest.mark.parametrize("asset", sorted(RECIPES))
-def test_documents_of_oversized_wells_lose_nothing(given, asset):
-    """A limit far below most wells: the pieces together hold what the whole documents hold."""
-    limit = {"core": 10, "dst": 5, "raster_log": 20, "vector_log": 900, "production": 200}.get(asset, 25)
-    split = documents(given, asset, max_cells=limit).cache()
-    assert split.filter("part > 0").count() > 0
-    # Plain columns of a continued row are repeated in its continuation: compare folded tables only.
-    inner = {
-        "ip": ["well_test"],
-        "production": ["gx_pden_vol_sum_by_month"],
-        "survey": ["well_dir_srvy_station"],
-        "zone": ["well_zone_intrvl_value"],
-    }.get(asset)
-    ours, theirs = contents(split), contents(documents(given, asset))
-    if inner:
-        ours = {k: v for k, v in ours.items() if k[1] in inner}
-        theirs = {k: v for k, v in theirs.items() if k[1] in inner}
-    assert ours == theirs
-    split.unpersist()
+def test_building_starts_no_job_and_long_forms_hold_the_same(spark, given, asset):
+    from wellspark.checks.documents import tables
+
+    frames = {n: spark.createDataFrame([], df.schema) for n, df in tables(given, asset).frames.items()}
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup(f"build {asset}", "")
+    docs = RECIPES[asset].build(Tables(frames, missing="skip"))
+    assert list(tracker.getJobIdsForGroup(f"build {asset}")) == []
+    assert docs.columns[0] == "doc_key" and not {"part", "part_of"} & set(docs.columns)
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    for name, long in RECIPES[asset].items(tables(given, asset)).items():
+        assert "k_uwi" in long.columns and long.count() > 0, name
+
+
+def test_a_document_keeps_the_children_of_a_wide_well(spark):
+    wells = spark.createDataFrame([("w", "name")], "uwi string, well_name string")
+    items = spark.range(200_000).selectExpr("'w' AS uwi", "id AS completion_obs_no")
+    docs = RECIPES["completion"].build(Tables({"well": wells, "well_completion": items}, missing="skip"))
+    (row,) = docs.select(F.size("well_completion.completion_obs_no").alias("n")).collect()
+    assert row.n == 200_000
 
 
 def test_multi_project_scope(given):

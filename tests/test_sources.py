@@ -16,7 +16,7 @@ from wellspark.plans.recipes import RECIPES, Tables, recipe
 from wellspark.sources import catalog as cat
 from wellspark.sources.crs import crs_lookup, projections, read_crs
 from wellspark.sources.documents import export_name, write_docs
-from wellspark.sources.manifest import assign_projects, find_projects, last_modified, read_manifest, storage_stats
+from wellspark.sources.manifest import find_projects, project_totals, read_manifest
 
 # Ids.
 
@@ -104,12 +104,6 @@ def test_sink_writes_null_for_nan(spark, tmp_path):
     assert line["well"] == {"x": None, "y": [None, 1.0], "z": None}
 
 
-def test_sink_refuses_to_lose_continuations(spark, tmp_path):
-    docs = spark.sql("SELECT struct(1 AS x) AS well, 1 AS part")
-    with pytest.raises(ValueError):
-        write_docs(docs, str(tmp_path / "d"), bookkeeping=False)
-
-
 # Manifest and coordinate systems.
 
 
@@ -130,17 +124,41 @@ def test_projects_from_files(spark, tmp_path):
     manifest = read_manifest(spark, str(tmp_path))
     found = find_projects(manifest)
     assert [r.fs_path for r in found.collect()] == [str(tmp_path / "one")]
-    owned = assign_projects(manifest, found)
-    stats = storage_stats(owned).first()
-    assert (stats.bytes, stats.files, stats.directories) == (32, 4, 3)
-    changed = last_modified(owned).first().repo_mod
-    assert changed == datetime.datetime(2020, 9, 13, 12, 26, 40)
+    (stats,) = project_totals(manifest).collect()
+    assert (stats.project_root, stats.bytes, stats.files, stats.directories) == (str(tmp_path / "one"), 32, 4, 3)
+    assert stats.repo_mod == datetime.datetime(2020, 9, 13, 12, 26, 40)
+
+
+def test_nested_projects_count_their_folders_for_both(spark):
+    rows = []
+    for root, length in (("/a", 1), ("/a/b/c", 10)):
+        rows += [(f"{root}/{f}", False, length, None) for f in ("gxdb.db", "gxdb_production.db")] + [(f"{root}/Global", True, 0, None)]
+    rows.append(("/x/y.txt", False, 5, None))
+    manifest = spark.createDataFrame(rows, "path string, is_dir boolean, length long, mtime timestamp_ntz")
+    got = {r.project_root: (r.bytes, r.files, r.directories) for r in project_totals(manifest).collect()}
+    assert got == {"/a": (22, 4, 4), "/a/b/c": (20, 2, 2)}
+
+
+def test_the_inventory_reads_the_manifest_once(spark):
+    manifest = spark.range(3).selectExpr("concat('/p/', id) AS path", "false AS is_dir", "id AS length", "CAST(NULL AS timestamp_ntz) AS mtime")
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    watched = manifest.mapInArrow(counted, manifest.schema)
+    assert project_totals(watched).collect() == []
+    assert seen.value <= 6
 
 
 def test_last_modified_without_files_is_the_epoch(spark):
     rows = [("/p/gxdb.db", False, 1, datetime.datetime(2024, 1, 1)), ("/p/Global", True, 0, None)]
     manifest = spark.createDataFrame(rows, "path string, is_dir boolean, length long, mtime timestamp_ntz")
-    assert last_modified(manifest.withColumn("project_root", F.lit("/p"))).first().repo_mod == datetime.datetime(1970, 1, 1)
+    more = [("/p/gxdb_production.db", False, 1, datetime.datetime(2024, 1, 1))]
+    whole = manifest.unionByName(spark.createDataFrame(more, manifest.schema))
+    assert project_totals(whole).first().repo_mod == datetime.datetime(1970, 1, 1)
 
 
 def test_crs(spark):
@@ -192,6 +210,27 @@ def test_catalog_versions(spark, tmp_path):
         cat.require(catalog.read(), "Z")
 
 
+def test_an_upsert_reads_its_updates_once_and_keeps_one_row_per_id(spark, tmp_path):
+    catalog = cat.Catalog(spark, str(tmp_path / "catalog"))
+    old, new = datetime.datetime(2020, 1, 1), datetime.datetime(2021, 1, 1)
+    rows = [catalog_row(id="A", name="z", repo_mod=old), catalog_row(id="A", name="a", repo_mod=new), catalog_row(id="B")]
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    updates = spark.createDataFrame(rows, cat.SCHEMA).mapInArrow(counted, cat.SCHEMA)
+    got = catalog.upsert(updates).collect()
+    assert sorted((r.id, r.name) for r in got) == [("A", "a"), ("B", None)] and seen.value == 3
+    # A folder of a lost or rival writer is never written into.
+    os.makedirs(tmp_path / "catalog" / "version=2")
+    catalog.upsert(spark.createDataFrame([catalog_row(id="C")], cat.SCHEMA))
+    assert sorted(os.listdir(tmp_path / "catalog")) == ["version=1", "version=2", "version=3"]
+    assert catalog.read().count() == 3
+
+
 def test_counts_zero_and_null(spark):
     well = spark.createDataFrame([("p", "1"), ("p", "2"), ("q", "3")], "project_id string, uwi string")
     core = well.filter("uwi = '1'").unionByName(well.filter("uwi = '1'"))

@@ -350,4 +350,74 @@ DOC_SQL = {
     ),
 }
 
-QUERIES = {f"doc_{asset}": (doc_query(asset), DOC_SQL[f"doc_{asset}"]) for asset in RECIPES}
+# The first zone's dictionary lists only.
+_STRICT = {
+    **_ZONES,
+    **{
+        name: f"coalesce(first(v.{name} ORDER BY @ORDER), '')"
+        for name in VALUE
+        if name.startswith(("gx_zone_zattribute__", "gx_zattribute__"))
+    },
+}
+DOC_SQL["doc_zone_strict"] = DOC_SQL["doc_zone"]
+for _name, _value in _STRICT.items():
+    _old = f"{_ZONES[_name]} AS {_name}".replace("@ORDER", "i.zone_name")
+    DOC_SQL["doc_zone_strict"] = DOC_SQL["doc_zone_strict"].replace(_old, f"{_value} AS {_name}".replace("@ORDER", "i.zone_name"))
+
+
+def zone_strict(spark, folder: str) -> DataFrame:
+    return flatten(documents(Given(spark, folder), "zone", strict_reference=True))
+
+
+# Long forms: the same child rows, one per row.
+
+_LONG_NAMES = {"k_": "", "o_": "order_"}
+
+
+def items_query(asset: str):
+    """The long form of an asset's first child, values as text columns like in the documents."""
+
+    def run(spark, folder: str) -> DataFrame:
+        recipe, given = RECIPES[asset], Given(spark, folder)
+        ((_, rows),) = recipe.items(tables(given, asset)).items()
+        named = {}
+        for c in rows.columns:
+            prefix = c[:2]
+            named[c] = _LONG_NAMES[prefix] + c[2:] if prefix in _LONG_NAMES else f"{recipe.prefixes[prefix]}__{c[2:]}"
+        if asset == "vector_log":
+            micro = F.transform("v_curve_values", lambda x: F.round(x.cast("double") * 1_000_000).cast("bigint"))
+            rows = rows.withColumn("v_curve_values", micro)
+        return flatten(rows.withColumnsRenamed(named))
+
+    return run
+
+
+def _long(prefix: str, values: dict[str, str]) -> str:
+    return ", ".join(f"{v} AS {prefix}{k}" for k, v in values.items())
+
+
+ITEM_SQL = {
+    "items_completion": query(f"SELECT uwi, obs AS order_completion_obs_no, {_long('well_completion__', C)} FROM item"),
+    "items_survey": query(
+        f"""SELECT uwi, survey_id, source, CASE status WHEN 'F' THEN 'actual' ELSE 'proposed' END AS kind,
+            obs AS order_station_md, {_long("well_dir_srvy_station__", STATION)} FROM surveyed"""
+    ),
+    "items_vector_log": query(
+        f"""SELECT c.wellid AS uwi, c.curveset, c.curvename, 1 AS version,
+            c.wellid AS gx_well_curve__wellid, c.curveset AS gx_well_curve__curveset, c.curvename AS gx_well_curve__curvename,
+            1 AS gx_well_curve__version, c.topdepth AS gx_well_curve__topdepth,
+            s.wellid AS gx_well_curveset__wellid, s.curveset AS gx_well_curveset__curveset,
+            s.topdepth AS gx_well_curveset__topdepth, s.basedepth AS gx_well_curveset__basedepth,
+            c.wellid AS gx_well_curve_values__wellid, c.curveset AS gx_well_curve_values__curveset,
+            c.curvename AS gx_well_curve_values__curvename, 1 AS gx_well_curve_values__version,
+            c.samples AS gx_well_curve_values__curve_values
+            FROM curve_text c JOIN curveset s ON c.wellid = s.wellid AND c.curveset = s.curveset""",
+        _CURVE_TEXT,
+    ),
+}
+
+QUERIES = {
+    **{f"doc_{asset}": (doc_query(asset), DOC_SQL[f"doc_{asset}"]) for asset in RECIPES},
+    "doc_zone_strict": (zone_strict, DOC_SQL["doc_zone_strict"]),
+    **{name: (items_query(name.removeprefix("items_")), sql) for name, sql in ITEM_SQL.items()},
+}

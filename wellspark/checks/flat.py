@@ -34,7 +34,7 @@ def plain(value: Column, dtype: T.DataType) -> Column:
     return value
 
 
-def flatten(docs: DataFrame, without: Sequence[str] = ("doc_key", "part", "part_of")) -> DataFrame:
+def flatten(docs: DataFrame, without: Sequence[str] = ("doc_key",)) -> DataFrame:
     """Every struct field as `<table>__<field>`; scalar lists of a regrouped asset join with `|`."""
     out = []
     for field in docs.schema.fields:

@@ -25,11 +25,9 @@ from wellspark.operators.spatial import (
 )
 from wellspark.plans.recipes import (
     RECIPES,
-    fold_stations,
+    survey_children,
     survey_headers,
-    survey_stations,
-    zone_attributes,
-    zone_values,
+    zone_children,
 )
 from wellspark.sources.documents import to_json
 from wellspark.sources.scan import row_counts, scan_all
@@ -102,6 +100,18 @@ def uwi_pattern(spark, folder):
 UWI_PATTERN = query("SELECT uwi, well_name FROM well WHERE uwi LIKE '00000000001%' OR uwi LIKE '%77'")
 
 
+def uwi_patterns_many(spark, folder):
+    """1,500 patterns, most of them wildcards, without regard to case."""
+    text = " ".join([f"*{n:03d}1" for n in range(0, 1000, 3)] + [f"00000000{n:04d}_0" for n in range(1166)])
+    wells = Given(spark, folder).well().select(F.concat(F.lit("w"), "uwi").alias("uwi"), "well_name")
+    return match_ids(wells, "uwi", [f"W{p}" for p in parse_patterns(text)], ignore_case=True)
+
+
+UWI_PATTERNS_MANY = query("""SELECT 'w' || uwi AS uwi, well_name FROM well
+    WHERE (CAST(right(uwi, 4) AS INTEGER) % 10 = 1 AND CAST(left(right(uwi, 4), 3) AS INTEGER) % 3 = 0)
+       OR (left(uwi, 8) = '00000000' AND CAST(substr(uwi, 9, 4) AS INTEGER) < 1166 AND right(uwi, 1) = '0')""")
+
+
 def ids_with_asset(spark, folder):
     given = Given(spark, folder)
     parts = [
@@ -167,8 +177,7 @@ SURVEY_SEMI = query(
 
 def survey_union(spark, folder):
     t = tables(Given(spark, folder), "survey")
-    folded = fold_stations(t, survey_stations(t))
-    out = flatten(folded.main)
+    out = flatten(t.fold(survey_children(t)["well_dir_srvy_station"]))
     names = {c: c.replace("d_", "well_dir_srvy_station__", 1) for c in out.columns if c.startswith("d_")}
     names |= {f"k_{c}": c for c in ("uwi", "survey_id", "source", "kind")}
     return out.withColumnsRenamed(names)
@@ -180,7 +189,7 @@ SURVEY_UNION = query("SELECT * EXCLUDE (n) FROM station_f", FOLDED)
 def zone_outer(spark, folder):
     given = Given(spark, folder)
     t = tables(given, "zone")
-    values = zone_attributes(t, zone_values(t), extra=[F.count(F.lit(1)).alias("_n")]).main
+    values = t.fold(zone_children(t)["well_zone_intrvl_value"], extra=[F.count(F.lit(1)).alias("_n")])
     values = values.select(F.col("k_uwi").alias("uwi"), F.col("k_zone_name").alias("zone_name"), "_n")
     known = given.well_zone_interval().join(given.gx_zone(), "zone_name")
     rows = known.join(values, ["uwi", "zone_name"], "left")
@@ -197,7 +206,7 @@ ZONE_OUTER = query(
 
 def zone_attributes_(spark, folder):
     t = tables(Given(spark, folder), "zone")
-    out = flatten(zone_attributes(t, zone_values(t), extra=[F.count(F.lit(1)).alias("_n")]).main)
+    out = flatten(t.fold(zone_children(t)["well_zone_intrvl_value"], extra=[F.count(F.lit(1)).alias("_n")]))
     renamed = {"k_uwi": "uwi", "k_zone_name": "zone_name", "_n": "n"}
     for prefix, table in (("v_", "well_zone_intrvl_value__"), ("a_", "gx_zone_zattribute__"), ("g_", "gx_zattribute__")):
         renamed |= {c: table + c[2:] for c in out.columns if c.startswith(prefix)}
@@ -224,7 +233,7 @@ def ordered_lists_(spark, folder):
     completion = Given(spark, folder).well_completion()
     cols = ["base_depth", "completion_date", "completion_obs_no", "completion_type", "remark", "top_depth"]
     lists = ordered_lists(completion, ["uwi"], ["completion_obs_no"], cols)
-    return flatten(lists, without=["part"])
+    return flatten(lists)
 
 
 ORDERED_LISTS = query(
@@ -234,7 +243,7 @@ ORDERED_LISTS = query(
 
 def null_counts_in_lists(spark, folder):
     completion = Given(spark, folder).well_completion()
-    lists = fold_lists(completion, ["uwi"], ["completion_obs_no"], ["remark", "base_depth"]).main
+    lists = fold_lists(completion, ["uwi"], ["completion_obs_no"], ["remark", "base_depth"])
     return lists.select(
         "uwi",
         F.size("remark").cast("bigint").alias("items"),
@@ -282,7 +291,7 @@ def _joined_rows(given: Given) -> DataFrame:
 
 def regroup_generic(spark, folder):
     out = regroup(_joined_rows(Given(spark, folder)), "w_uwi", ["c_"], ["c_completion_obs_no"])
-    return flatten(out, without=["part"])
+    return flatten(out)
 
 
 REGROUP_GENERIC = query(
@@ -305,7 +314,7 @@ def regroup_empty_lists(spark, folder):
     given = Given(spark, folder)
     keys = ["uwi", "source", "core_id"]
     samples = fold_lists(given.well_core_sample_anal(), keys, ["analysis_obs_no"], ["analysis_obs_no", "porosity"])
-    cores = given.well_core().select(*keys).join(samples.main, keys, "left")
+    cores = given.well_core().select(*keys).join(samples, keys, "left")
     rows = cores.select(
         F.col("uwi").alias("w_uwi"), *[F.col(c).alias("s_" + c) for c in cores.columns if c != "uwi"]
     )
@@ -313,7 +322,7 @@ def regroup_empty_lists(spark, folder):
         rows, "w_uwi", ["s_"], ["s_source", "s_core_id"], empty_list_cols=["s_analysis_obs_no", "s_porosity"]
     )
     lists = F.transform("s_porosity", lambda x: F.size(x))
-    return flatten(out.withColumn("sizes", lists), without=["part"])
+    return flatten(out.withColumn("sizes", lists))
 
 
 _SAMPLES = {
@@ -460,10 +469,34 @@ COVERAGE_BOUNDARY = query(
 
 
 def convex_hull_(spark, folder):
+    """The corners as a set, and whether the ring is closed once."""
     rings = convex_hull(_points(spark, folder), ["project_id"])
-    return rings.select("project_id", "points", F.posexplode("polygon").alias("corner", "p")).select(
-        "project_id", "points", "corner", "p.lon", "p.lat"
-    )
+    ends = F.element_at("polygon", 1) == F.element_at("polygon", -1)
+    once = F.size("polygon") == F.size(F.array_distinct("polygon")) + 1
+    rows = rings.select("project_id", "points", (ends & once).alias("closed"), F.explode(F.array_distinct("polygon")).alias("p"))
+    return rows.select("project_id", "points", "closed", "p.lon", "p.lat")
+
+
+def hull_corners(points: str, key: str) -> str:
+    """Corners (key, lon, lat) of the hulls of the distinct points of a relation.
+
+    A point is a corner if some other point shows a direction with no point to its right, and none on the line behind."""
+    return f"""SELECT a.{key}, a.lon, a.lat
+        FROM {points} a JOIN {points} b ON a.{key} = b.{key} AND (a.lon <> b.lon OR a.lat <> b.lat)
+        JOIN {points} c ON a.{key} = c.{key}
+        GROUP BY a.{key}, a.lon, a.lat, b.lon, b.lat
+        HAVING bool_and((b.lon - a.lon) * (c.lat - a.lat) - (b.lat - a.lat) * (c.lon - a.lon) > 0
+            OR ((b.lon - a.lon) * (c.lat - a.lat) - (b.lat - a.lat) * (c.lon - a.lon) = 0
+                AND (b.lon - a.lon) * (c.lon - a.lon) + (b.lat - a.lat) * (c.lat - a.lat) >= 0))"""
+
+
+CONVEX_HULL = query(
+    f"""SELECT DISTINCT h.project_id, n.points, true AS closed, h.lon, h.lat
+    FROM ({hull_corners("spots", "project_id")}) h
+    JOIN (SELECT project_id, count(*) AS points FROM points GROUP BY project_id) n ON h.project_id = n.project_id
+    WHERE n.points >= 3""",
+    {"spots": "SELECT DISTINCT project_id, lon, lat FROM points"},
+)
 
 
 QUERIES = {
@@ -475,6 +508,7 @@ QUERIES = {
     "doc_json": (doc_json, DOC_JSON),
     "prefix_project": (prefix_project, PREFIX_PROJECT),
     "uwi_pattern": (uwi_pattern, UWI_PATTERN),
+    "uwi_patterns_many": (uwi_patterns_many, UWI_PATTERNS_MANY),
     "ids_with_asset": (ids_with_asset, IDS_WITH_ASSET),
     "semi_filter": (semi_filter, SEMI_FILTER),
     "test_filter": (test_filter, TEST_FILTER),
@@ -495,5 +529,5 @@ QUERIES = {
     "extent": (extent_, EXTENT),
     "coverage_cells": (coverage_cells_, COVERAGE_CELLS),
     "coverage_boundary": (coverage_boundary_, COVERAGE_BOUNDARY),
-    "convex_hull": (convex_hull_, None),
+    "convex_hull": (convex_hull_, CONVEX_HULL),
 }

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from wellspark.checks.adapters import Given, project
+from wellspark.checks.operators import hull_corners
 from wellspark.checks.oracle import moment, query
 from wellspark.functions import text as X
 from wellspark.functions.values import timestamp_text
@@ -13,10 +14,8 @@ from wellspark.plans.inventory import project_inventory as inventory
 from wellspark.sources import catalog as cat
 from wellspark.sources.crs import crs_lookup as look_up
 from wellspark.sources.crs import read_crs
-from wellspark.sources.manifest import assign_projects
 from wellspark.sources.manifest import find_projects as find
-from wellspark.sources.manifest import last_modified as modified
-from wellspark.sources.manifest import storage_stats as stats
+from wellspark.sources.manifest import project_totals
 
 
 def catalog_minimal(spark, folder):
@@ -36,7 +35,10 @@ CATALOG_GET = query("""SELECT * FROM catalog
 
 def catalog_upsert(spark, folder):
     given = Given(spark, folder)
-    return cat.upsert(given.catalog(), given.catalog_updates())
+    updates = given.catalog_updates()
+    # The second row of an id has a smaller name and must lose.
+    again = updates.withColumn("name", F.concat(F.lit(" "), "name"))
+    return cat.upsert(given.catalog(), updates.unionByName(again)).drop("_update")
 
 
 CATALOG_UPSERT = query("""SELECT * FROM catalog WHERE id NOT IN (SELECT id FROM catalog_updates)
@@ -65,13 +67,8 @@ def find_projects(spark, folder):
     return find(Given(spark, folder).manifest())
 
 
-def _owned(spark, folder):
-    manifest = Given(spark, folder).manifest()
-    return assign_projects(manifest, find(manifest))
-
-
 def storage_stats(spark, folder):
-    return stats(_owned(spark, folder))
+    return project_totals(Given(spark, folder).manifest()).drop("repo_mod")
 
 
 STORAGE = """SELECT m.project_root, CAST(coalesce(sum(length) FILTER (WHERE NOT is_dir), 0) AS BIGINT) AS bytes,
@@ -82,7 +79,7 @@ STORAGE_STATS = query(STORAGE)
 
 
 def last_modified(spark, folder):
-    out = modified(_owned(spark, folder))
+    out = project_totals(Given(spark, folder).manifest())
     return out.select("project_root", timestamp_text(F.col("repo_mod")).alias("repo_mod"))
 
 
@@ -200,23 +197,23 @@ def project_inventory(spark, folder):
     xml = given.crs_xml().join(given.table("nation"), F.col("project_root") == F.col("n_name"))
     xml = xml.groupBy("n_regionkey").agg(F.min("xml").alias("xml"))
     crs = roots.join(xml, region == F.col("n_regionkey")).select("project_root", "xml")
-    rows = inventory(given.manifest(), tables, crs, "demo", hull=False)
-    whole = ("min_lon", "min_lat", "max_lon", "max_lat")
-    return rows.drop("mean_lon", "mean_lat").withColumns(
-        {"repo_mod": timestamp_text(F.col("repo_mod")), **{c: F.col(c).cast("bigint") for c in whole}}
-    )
+    rows = inventory(given.manifest(), tables, crs, "demo")
+    corners = F.array_sort(F.array_distinct("polygon"))
+    spots = F.transform(corners, lambda p: F.concat_ws(" ", p["lon"].cast("bigint"), p["lat"].cast("bigint")))
+    return rows.withColumns({"repo_mod": timestamp_text(F.col("repo_mod")), "polygon": F.array_join(spots, "|")})
 
 
 _INVENTORY = {
     "counts": _counts_sql(_ROOT_SQL, "project_root"),
     "storage": STORAGE,
     "latest": LAST,
-    "box": f"""SELECT {_ROOT_SQL.format("uwi")} AS project_root, count(*) AS points,
-        CASE WHEN count(*) >= 3 THEN min(final_td) END AS min_lon,
-        CASE WHEN count(*) >= 3 THEN min(net_pay) END AS min_lat,
-        CASE WHEN count(*) >= 3 THEN max(final_td) END AS max_lon,
-        CASE WHEN count(*) >= 3 THEN max(net_pay) END AS max_lat
+    "spots": f"""SELECT DISTINCT {_ROOT_SQL.format("uwi")} AS project_root, final_td AS lon, net_pay AS lat
+        FROM well WHERE nullif(net_pay, final_td) IS NOT NULL""",
+    "sized": f"""SELECT {_ROOT_SQL.format("uwi")} AS project_root, count(*) AS points
         FROM well WHERE nullif(net_pay, final_td) IS NOT NULL GROUP BY 1""",
+    "outline": f"""SELECT h.project_root, string_agg(h.lon || ' ' || h.lat, '|' ORDER BY h.lon, h.lat) AS polygon
+        FROM (SELECT DISTINCT * FROM ({hull_corners("spots", "project_root")})) h
+        JOIN sized ON h.project_root = sized.project_root WHERE sized.points >= 3 GROUP BY h.project_root""",
     "crs": f"""SELECT project_root,
         {_codes("CAST(regexp_extract(project_root, 'src([0-9]+)', 1) AS INTEGER) % 5")} FROM found""",
 }
@@ -224,11 +221,11 @@ PROJECT_INVENTORY = query(
     "SELECT split_part(f.project_root, '/', 3) AS name, f.project_root AS fs_path, true AS active, 'demo' AS suite, "
     "upper(rpad(left(split_part(f.project_root, '/', 3), 3), 3, '_') || '_' || left(md5(f.project_root), 6)) AS id, "
     + ", ".join(f"coalesce(c.{n}, 0) AS {n}" for n in cat.COUNTS)
-    + ", s.bytes, s.files, s.directories, l.repo_mod, b.points, b.min_lon, b.min_lat, b.max_lon, b.max_lat, "
+    + ", s.bytes, s.files, s.directories, l.repo_mod, b.polygon, "
     "x.storage_epsg, x.storage_name, x.display_epsg, x.display_name "
     "FROM found f LEFT JOIN counts c ON f.project_root = c.project_root "
     "LEFT JOIN storage s ON f.project_root = s.project_root LEFT JOIN latest l ON f.project_root = l.project_root "
-    "LEFT JOIN box b ON f.project_root = b.project_root LEFT JOIN crs x ON f.project_root = x.project_root",
+    "LEFT JOIN outline b ON f.project_root = b.project_root LEFT JOIN crs x ON f.project_root = x.project_root",
     _INVENTORY,
 )
 

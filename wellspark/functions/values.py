@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -54,7 +55,7 @@ def clean_string(value: Column) -> Column:
 def to_bool(value: Column, dtype: T.DataType, truthy: Iterable[str] = ("true",)) -> Column:
     """Null is false; text is true only when it trims to a truthy word; numbers when non-zero."""
     if isinstance(dtype, T.StringType):
-        words = "|".join(sorted(truthy))
+        words = "|".join(map(re.escape, sorted(truthy)))
         return F.coalesce(F.lower(value).rlike(rf"(?U)^\s*({words})\s*$"), F.lit(False))
     if isinstance(dtype, T.BooleanType):
         return F.coalesce(value, F.lit(False))

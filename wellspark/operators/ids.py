@@ -2,50 +2,46 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MIN_PATTERN_TEXT = 3
-# Beyond this many patterns the predicate is evaluated against a pattern table instead.
-MAX_INLINE_PATTERNS = 500
+# A word of a pattern list: whatever stands between commas and white space.
+WORD = re.compile(r"[^,\s]+")
 
 
 def parse_patterns(text: str | None) -> list[str] | None:
-    """Comma or blank separated ids; `*` and `%` are wildcards, double quotes are ignored."""
+    """The ids of a list separated by commas or white space; `*` and `%` are wildcards, double quotes are ignored."""
     if text is None:
         return None
     if len(text) < MIN_PATTERN_TEXT:
         raise ValueError(f"an id pattern needs at least {MIN_PATTERN_TEXT} characters")
-    words = text.replace(",", " ").replace('"', "").split()
-    return [word.replace("*", "%") for word in words]
+    wild = str.maketrans({"*": "%", '"': None})
+    return WORD.findall(text.translate(wild))
 
 
-def matches(value: Column, patterns: Sequence[str], ignore_case: bool = False) -> Column:
-    """True when the value is LIKE any of the patterns."""
-    like = Column.ilike if ignore_case else Column.like
-    return reduce(Column.__or__, [like(value, pattern) for pattern in patterns])
+def _literal(pattern: str) -> str:
+    """The pattern as a SQL string, in which a backslash stands for itself."""
+    like = pattern.replace("\\", "\\\\")
+    return "'" + like.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def matches(key: str, patterns: Sequence[str], ignore_case: bool = False) -> Column:
+    """True when the column is like any of the patterns: `%` any text, `_` any character, all else itself."""
+    operator = "ILIKE" if ignore_case else "LIKE"
+    return F.expr(f"`{key}` {operator} ANY ({', '.join(map(_literal, patterns))})")
 
 
 def match_ids(df: DataFrame, key: str, patterns: Sequence[str] | None, ignore_case: bool = False) -> DataFrame:
     """Rows whose id matches any pattern; no patterns keep every row.
 
-    The predicate sits on a plain column, so Catalyst pushes it to the scan. The patterns are
-    typed by a user: a few, never data.
+    One flat predicate for any number of patterns, on a plain column, so Catalyst pushes what it can of it to the
+    scan. The patterns are typed by a user, never data; a table of ids goes through `restrict`.
     """
-    if not patterns:
-        return df
-    if len(patterns) > MAX_INLINE_PATTERNS:
-        exact = [p for p in patterns if "%" not in p and "_" not in p]
-        wild = [p for p in patterns if "%" in p or "_" in p]
-        if len(wild) > MAX_INLINE_PATTERNS:
-            raise ValueError(f"more than {MAX_INLINE_PATTERNS} wildcard patterns; restrict by an id table instead")
-        value = F.lower(key) if ignore_case else F.col(key)
-        known = value.isin([p.lower() for p in exact] if ignore_case else exact)
-        return df.filter(known | matches(F.col(key), wild, ignore_case) if wild else known)
-    return df.filter(matches(F.col(key), patterns, ignore_case))
+    return df.filter(matches(key, patterns, ignore_case)) if patterns else df
 
 
 def restrict(df: DataFrame, ids: DataFrame, key: str | Sequence[str]) -> DataFrame:

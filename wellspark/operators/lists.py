@@ -1,115 +1,28 @@
 """Ordered, null-keeping list aggregation.
 
 One `collect_list` of a struct per child table keeps every list of a group in the same row
-order and keeps null elements; one sort of that array orders them all.
-
-A group larger than a document row may hold (`max_cells`) is never gathered in one place.
-Its row keeps empty lists and its items come as `overflow`: range-partitioned, ordered
-pieces, numbered by `part`. Nothing is dropped; reading the pieces by `part` gives the list.
+order and keeps null elements; one sort of that array orders them all. A group is one row at any
+size; for groups too wide for a row, take the long form (`Recipe.items`) by name.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# About 100 MB of values in one row at 25 bytes a cell.
-MAX_CELLS = 4_000_000
-# More oversized groups than this are joined by shuffle instead of broadcast.
-MAX_BROADCAST_KEYS = 10_000
-# Copies of one identical row are re-expanded in blocks of this size.
-COPY_BLOCK = 65_536
-
-
-@dataclass(frozen=True)
-class Folded:
-    """`main`: one row per group. `overflow`: pieces of oversized groups, or None when there are none."""
-
-    main: DataFrame
-    overflow: DataFrame | None
-
-
-def largest(df: DataFrame, keys: Sequence[str], weights: Sequence[Column]) -> float:
-    """An upper bound of any group's weight; several weights are summed apart and multiplied.
-
-    Groups go by the hash of their keys: eight bytes each to combine and shuffle, whatever the
-    keys are, and a collision can only raise the bound.
-    """
-    sums = [F.greatest(F.sum(w).cast("double"), F.lit(1.0)).alias(f"_w{i}") for i, w in enumerate(weights)]
-    totals = df.groupBy(F.xxhash64(*keys).alias("_group")).agg(*sums)
-    product = reduce(Column.__mul__, [F.col(f"_w{i}") for i in range(len(weights))])
-    return totals.agg(F.max(product)).first()[0] or 0.0
-
-
-def oversized(df: DataFrame, keys: Sequence[str], weight: Column, limit: int) -> tuple[DataFrame, int] | None:
-    """Groups whose total weight passes the limit, with the number of pieces they need.
-
-    Usually there are none, which the bound settles. Otherwise their keys are at most one row per
-    `limit` units of input, and come to the driver only up to MAX_BROADCAST_KEYS rows.
-    """
-    if largest(df, keys, [weight]) <= limit:
-        return None
-    totals = df.groupBy(*keys).agg(F.sum(weight).alias("_weight")).filter(F.col("_weight") > limit)
-    found = totals.agg(
-        F.count(F.lit(1)).alias("groups"), F.sum(F.ceil(F.col("_weight") / limit)).alias("pieces")
-    ).first()
-    if not found["groups"]:
-        return None
-    hot = totals.select(*keys)
-    if found["groups"] <= MAX_BROADCAST_KEYS:
-        hot = F.broadcast(df.sparkSession.createDataFrame([tuple(row) for row in hot.collect()], hot.schema))
-    return hot, int(found["pieces"])
-
-
-def _null_safe(keys: Sequence[str]) -> Column:
-    return reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"_hot_{k}")) for k in keys])
-
-
-def _split(df: DataFrame, hot: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, DataFrame]:
-    """Rows of ordinary groups and rows of oversized ones."""
-    marks = hot.select(*[F.col(k).alias(f"_hot_{k}") for k in keys])
-    on = _null_safe(keys)
-    return df.join(marks, on, "left_anti"), df.join(marks, on, "left_semi")
-
 
 def _order_names(order: Sequence[str]) -> list[str]:
     return [f"_order{i}" for i in range(len(order))]
 
 
-def _pieces(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], values: Mapping[str, Column], n: int
-) -> DataFrame:
-    """Ordered pieces of the given (oversized) groups, as `_items` arrays.
-
-    Identical rows collapse to a count before the shuffle, so copies cannot pile up; the copy
-    number is the last range column, so even one repeated row spreads over partitions.
-    """
-    lead = _order_names(order)
-    item = [*lead, *values]
-    rows = df.select(
-        *keys,
-        *[F.col(c).alias(o) for c, o in zip(order, lead)],
-        *[value.alias(name) for name, value in values.items()],
-    )
-    counted = rows.groupBy(*keys, *item).agg(F.count(F.lit(1)).alias("_n"))
-    blocks = counted.withColumn(
-        "_block", F.explode(F.sequence(F.lit(0), F.floor((F.col("_n") - 1) / COPY_BLOCK)))
-    )
-    first = F.col("_block") * COPY_BLOCK
-    copies = blocks.withColumn(
-        "_copy", F.explode(F.sequence(first, F.least(first + COPY_BLOCK, F.col("_n")) - 1))
-    ).drop("_n", "_block")
-    ranged = copies.repartitionByRange(max(n, 1), *keys, *item, "_copy")
-    return (
-        ranged.withColumn("part", F.spark_partition_id() + 1)
-        .groupBy(*keys, "part")
-        .agg(F.sort_array(F.collect_list(F.struct(*item))).alias("_items"))
-    )
+def first_non_null(items: Column, name: str, rank: Sequence[str]) -> Column:
+    """The first non-null `name` among gathered items, by the fields `rank`; equal ranks take the smallest value."""
+    known = F.filter(items, lambda x: x[name].isNotNull())
+    ranked = F.transform(known, lambda x: F.struct(*[x[r].alias(r) for r in rank], x[name].alias("_value")))
+    return F.array_min(ranked)["_value"]
 
 
 def fold_lists(
@@ -118,18 +31,16 @@ def fold_lists(
     order: Sequence[str],
     values: Mapping[str, Column] | Sequence[str],
     constants: Mapping[str, Column] | None = None,
+    firsts: Sequence[str] = (),
     extra: Sequence[Column] = (),
-    weight: Column | None = None,
-    max_cells: int | None = MAX_CELLS,
     partition_by: Sequence[str] | None = None,
-) -> Folded:
+) -> DataFrame:
     """One array per value and group, all in the order of `order`, then of the values themselves.
 
     `values` maps list names to expressions over the rows. `constants` maps list names to
     expressions over the keys: the same in every item, they are repeated instead of gathered.
-    `extra` are ordinary aggregates computed along (over all rows, oversized groups included).
-    `weight` is the number of cells a row adds (default: one per list). `max_cells` None says
-    that every group is known to fit. `partition_by` are the columns to shuffle by, a subset of
+    `firsts` are columns of which the first non-null in that order is kept; `extra` are ordinary
+    aggregates computed along. `partition_by` are the columns to shuffle by, a subset of
     the keys; empty when the rows already lie together.
 
     Rows are shuffled before they are gathered: gathering shrinks nothing, so a map-side pass
@@ -139,46 +50,23 @@ def fold_lists(
         values = {name: F.col(name) for name in values}
     constants = constants or {}
     partition_by = list(keys) if partition_by is None else list(partition_by)
-    hot = None
-    if max_cells is not None:
-        cells = F.lit(len(values) + len(constants)) if weight is None else weight
-        hot = oversized(df, keys, cells, max_cells)
-    rows, hot_rows = (df, None) if hot is None else _split(df, hot[0], keys)
-    if partition_by:
-        rows = rows.repartition(*partition_by)
-    lead = [F.col(c).alias(o) for c, o in zip(order, _order_names(order))]
-    item = F.struct(*lead, *[value.alias(name) for name, value in values.items()])
-    gathered = rows.groupBy(*keys).agg(F.sort_array(F.collect_list(item)).alias("_items"), *extra)
-    names = [c for c in gathered.columns if c not in keys and c != "_items"]
-
-    def lists(frame: DataFrame, *kept: str) -> DataFrame:
-        out = [F.col("_items").getField(name).alias(name) for name in values]
-        out += [F.array_repeat(value, F.size("_items")).alias(name) for name, value in constants.items()]
-        return frame.select(*keys, *kept, *out)
-
-    main = lists(gathered, *names)
-    if hot_rows is None:
-        return Folded(main, None)
-    overflow = lists(_pieces(hot_rows, keys, order, values, hot[1]), "part")
-    # An oversized group is one combined row here, with its aggregates and empty lists.
-    stand_in = hot_rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"), *extra)
-    empty = [F.array().cast(f.dataType).alias(f.name) for f in overflow.schema.fields if f.name not in {*keys, "part"}]
-    return Folded(main.unionByName(stand_in.select(*keys, *names, *empty)), overflow)
-
-
-def ordered_lists(
-    df: DataFrame,
-    keys: Sequence[str],
-    order: Sequence[str],
-    cols: Sequence[str],
-    max_cells: int | None = MAX_CELLS,
-) -> DataFrame:
-    """fold_lists as one DataFrame: `part` 0 for whole groups, 1.. for the pieces of oversized ones."""
-    folded = fold_lists(df, keys, order, cols, max_cells=max_cells)
-    main = folded.main.withColumn("part", F.lit(0))
-    if folded.overflow is None:
-        return main
-    return main.unionByName(folded.overflow)
+    rows = df.repartition(*partition_by) if partition_by else df
+    lead = _order_names(order)
+    rank = [*lead, *[name for name in values if name not in firsts]]
+    item = [F.col(c).alias(o) for c, o in zip(order, lead)]
+    item += [value.alias(name) for name, value in values.items()] + [F.col(c) for c in firsts]
+    gathered = rows.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(*item))).alias("_items"), *extra)
+    kept = [c for c in gathered.columns if c not in keys and c != "_items"]
+    items = F.col("_items")
+    out = [first_non_null(items, name, rank).alias(name) for name in firsts]
+    out += [items.getField(name).alias(name) for name in values]
+    out += [F.array_repeat(value, F.size(items)).alias(name) for name, value in constants.items()]
+    return gathered.select(*keys, *kept, *out)
+
+
+def ordered_lists(df: DataFrame, keys: Sequence[str], order: Sequence[str], cols: Sequence[str]) -> DataFrame:
+    """fold_lists over plain columns."""
+    return fold_lists(df, keys, order, cols)
 
 
 def empty_list(field: T.StructField) -> Column:

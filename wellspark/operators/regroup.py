@@ -6,65 +6,24 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from wellspark.operators.lists import MAX_CELLS, Folded, fold_lists
+from wellspark.operators.lists import fold_lists
 
 
-def first_non_null(name: str, order: Column) -> Column:
-    """The first non-null value in the given order; unlike first() it does not depend on partitions."""
-    value = F.col(name)
-    ranked = F.when(value.isNotNull(), F.struct(order.alias("o"), value.alias("v")))
-    return F.min(ranked).getField("v").alias(name)
-
-
-def cells(schema: T.StructType, cols: Sequence[str]) -> Column:
-    """Cells a row adds: the sizes of its arrays plus one per plain column."""
-    arrays = [c for c in cols if isinstance(schema[c].dataType, T.ArrayType)]
-    total = F.lit(len(cols))
-    for name in arrays:
-        total = total + F.coalesce(F.size(name), F.lit(0))
-    return total
-
-
-def fold_rows(
-    df: DataFrame,
-    key: Sequence[str],
-    list_prefixes: Sequence[str],
-    order: Sequence[str],
-    empty_list_cols: Sequence[str] = (),
-    weight: Column | None = None,
-    max_cells: int = MAX_CELLS,
-) -> Folded:
-    """Columns with a listed prefix become lists over the rows; the others keep their first non-null.
+def regroup(
+    df: DataFrame, key: str, list_prefixes: Sequence[str], order: Sequence[str], empty_list_cols: Sequence[str] = ()
+) -> DataFrame:
+    """One row per key: columns with a listed prefix become lists over the rows, the others keep their first non-null.
 
     Rows without a key are dropped. Nulls and inner arrays are kept; `empty_list_cols` are
     array columns whose nulls become empty arrays inside the list.
     """
-    df = df.dropna(subset=list(key))
+    df = df.dropna(subset=[key])
     fill = {c: F.coalesce(F.col(c), F.array().cast(df.schema[c].dataType)) for c in empty_list_cols}
     df = df.withColumns(fill) if fill else df
     listed = [c for c in df.columns if c.startswith(tuple(list_prefixes))]
-    plain = [c for c in df.columns if c not in listed and c not in key and c not in order]
-    rank = F.struct(*[F.col(c) for c in dict.fromkeys([*order, *listed])])
-    return fold_lists(
-        df,
-        key,
-        order,
-        listed,
-        extra=[first_non_null(c, rank) for c in plain],
-        weight=cells(df.schema, listed) if weight is None else weight,
-        max_cells=max_cells,
-    )
-
-
-def regroup(df: DataFrame, key: str, list_prefixes: Sequence[str], order: Sequence[str], **options) -> DataFrame:
-    """fold_rows as one DataFrame with `part`, as in ordered_lists."""
-    folded = fold_rows(df, [key], list_prefixes, order, **options)
-    main = folded.main.withColumn("part", F.lit(0))
-    if folded.overflow is None:
-        return main
-    return main.unionByName(folded.overflow, allowMissingColumns=True)
+    plain = [c for c in df.columns if c not in listed and c != key and c not in order]
+    return fold_lists(df, [key], order, listed, firsts=plain)
 
 
 def prefixed(df: DataFrame, prefix: str, cols: Sequence[str] | None = None) -> DataFrame:

@@ -126,7 +126,9 @@ def convex_hull(points: DataFrame, keys: Sequence[str]) -> DataFrame:
 
     Hulls of parts, then hulls of those hulls: exact, because the hull of a union is the hull
     of the parts' hulls. Each task reduces its own rows first, so only hull points are
-    shuffled, and a salted middle step keeps a key with most of the points off a single task.
+    shuffled, and a salted middle step keeps a key with most of the points off a single task. The last
+    step holds the corners of one key's partial hulls: few for real outlines, all points if they lie
+    in convex position.
     """
     keys = list(keys)
     base = points.select(*keys, "lon", "lat")

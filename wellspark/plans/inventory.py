@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 
 from wellspark.functions.text import project_id, project_name
 from wellspark.operators.ids import restrict
-from wellspark.operators.spatial import convex_hull, extent, valid_points
+from wellspark.operators.spatial import convex_hull, valid_points
 from wellspark.sources.catalog import ASSETS, COUNTS, SCHEMA
-from wellspark.sources.crs import crs_lookup, read_crs
-from wellspark.sources.manifest import Markers, assign_projects, find_projects, last_modified, storage_stats
+from wellspark.sources.crs import UNKNOWN, crs_lookup, read_crs
+from wellspark.sources.manifest import Markers, project_totals
 
 # The tables whose distinct wells an asset count takes, with the well id column.
 COUNTED: dict[str, tuple[tuple[str, str], ...]] = {
@@ -52,6 +52,13 @@ def _asset_wells(frames: Mapping[str, DataFrame], asset: str, key: str) -> DataF
     return rows.select(key, F.lit(asset).alias("asset"), "uwi")
 
 
+def _counted(frames: Mapping[str, DataFrame], name: str) -> bool:
+    """Whether the tables of a count are given."""
+    asset = name.removeprefix("wells_with_")
+    needed = ["well"] if name == "well_count" else [table for table, _ in COUNTED[asset]]
+    return all(t in frames for t in needed) and (asset != "raster_log" or "well" in frames)
+
+
 def asset_counts(frames: Mapping[str, DataFrame], key: str = "project_id", projects: DataFrame | None = None) -> DataFrame:
     """Well counts per asset, one row per project: 0 when empty, null when a table is missing.
 
@@ -76,7 +83,7 @@ def asset_counts(frames: Mapping[str, DataFrame], key: str = "project_id", proje
     out = []
     for name in COUNTS:
         asset = "well" if name == "well_count" else name.removeprefix("wells_with_")
-        known = "well" in frames if asset == "well" else listed[asset] is not None
+        known = _counted(frames, name)
         total = F.coalesce(F.sum(F.when(F.col("asset") == asset, F.col("n"))), F.lit(0))
         out.append((total if known else F.max(F.lit(None).cast("bigint"))).alias(name))
     counted = long.groupBy(key).agg(*out)
@@ -89,28 +96,24 @@ def project_inventory(
     crs_xml: DataFrame,
     suite: str,
     markers: Markers = Markers(),
-    hull: bool = True,
 ) -> DataFrame:
     """Catalog rows of every project found in a manifest.
 
-    Tables carry `project_root`; crs_xml is (project_root, xml). Six aggregates, each at most one
-    row per project, joined on the project.
+    Tables carry `project_root`; crs_xml is (project_root, xml), a row per project. The manifest is reduced
+    to folders once; the other aggregates have at most one row per project and are joined to it.
     """
-    found = find_projects(manifest, markers)
-    roots = found.select(F.col("fs_path").alias("project_root"))
-    owned = assign_projects(manifest, found)
     key = "project_root"
-    counts = asset_counts(tables, key, roots)
-    storage = storage_stats(owned, [key])
-    changed = last_modified(owned, [key], markers)
-    codes = crs_lookup(read_crs(roots.join(crs_xml, key, "left")))
-    codes = codes.drop("xml", "storage_wkt", "display_wkt")
-    rows = roots
-    for part in (counts, storage, changed, codes):
+    rows = project_totals(manifest, markers)
+    counts = asset_counts(tables, key)
+    codes = crs_lookup(read_crs(crs_xml.select(key, "xml"))).drop("xml", "storage_wkt", "display_wkt")
+    for part in (counts, codes):
         rows = rows.join(part, key, "left")
+    filled = {c: F.coalesce(F.col(c), F.lit(0)) for c in COUNTS if _counted(tables, c)}
+    filled |= {c: F.coalesce(F.col(c), F.lit(0)) for c in ("storage_epsg", "display_epsg")}
+    filled |= {c: F.coalesce(F.col(c), F.lit(UNKNOWN)) for c in ("storage_name", "display_name")}
+    rows = rows.withColumns(filled)
     if "well" in tables:
-        points = valid_points(restrict(tables["well"], roots, key))
-        outline = convex_hull(points, [key]).drop("points") if hull else extent(points, [key])
+        outline = convex_hull(valid_points(tables["well"]), [key]).drop("points")
         rows = rows.join(outline, key, "left")
     else:
         rows = rows.withColumn("polygon", F.lit(None).cast(SCHEMA["polygon"].dataType))
@@ -123,5 +126,5 @@ def project_inventory(
             "fs_path": path,
             "suite": F.lit(suite),
         }
-    ).drop(key)
-    return rows.select(*SCHEMA.fieldNames()) if hull else rows
+    )
+    return rows.select(*SCHEMA.fieldNames())

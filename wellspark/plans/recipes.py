@@ -3,16 +3,20 @@
 Every child table is folded before it is joined, so a join meets one row per group and never
 fans out. Group keys and join keys are the same columns, so the fold's exchange serves the join.
 
-A document row holds `doc_key` (its grain), `part` and `part_of`, and one struct per table.
-`part` is 0 for a document. Rows with `part` > 0 continue a list that is too large for one row
-(see operators.lists): `part_of` names the table, and ordering by `part` continues the list.
+A document row holds `doc_key` (its grain) and one struct per table, at any size. Building runs no job.
+For wells too wide for a row, `Recipe.items` gives the same child rows in long form, never gathered; the
+caller picks it by name.
+
+All rows of a well are shuffled by the well alone, so they stay together through the joins on longer keys, the
+regrouping and the header join where the session lets joins use a part of their keys (see session.py).
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from functools import reduce
+from types import MappingProxyType
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -21,11 +25,12 @@ from pyspark.sql import types as T
 from wellspark.functions.binary import decode_curve
 from wellspark.functions.values import element, scalar
 from wellspark.operators.ids import match_ids, restrict
-from wellspark.operators.lists import MAX_CELLS, Folded, fill_empty_lists, fold_lists, largest
-from wellspark.operators.regroup import first_non_null, nest_by_prefix
+from wellspark.operators.lists import fill_empty_lists, fold_lists
+from wellspark.operators.regroup import nest_by_prefix
 from wellspark.plans import tables as spec
 
-# The well id column where it is not `uwi`; None marks a dictionary without wells.
+# The well id column where it is not `uwi`; None marks a dictionary without wells. The table names,
+# prefixes and key columns of the recipes below are fixed values too.
 WELL_ID = {
     "log_image_reg_log_section": "well_id",
     "gx_well_curve": "wellid",
@@ -53,7 +58,6 @@ class Tables:
     ignore_case: bool = False
     missing: str = "null"
     truthy: Sequence[str] = ("true",)
-    max_cells: int | None = MAX_CELLS
     strict_reference: bool = False
 
     def get(self, name: str) -> DataFrame:
@@ -103,122 +107,90 @@ class Tables:
         typed = {c: scalar(F.col(c), rows.schema[c].dataType) for c in rows.columns if c.startswith(prefix)}
         return rows.withColumns(typed)
 
-    def fold(
-        self,
-        rows: DataFrame,
-        kinds: Mapping[str, str] | None,
-        keys: Sequence[str],
-        order: Sequence[str],
-        prefixes: Sequence[str],
-        same: Mapping[str, str] | None = None,
-        **options,
-    ) -> Folded:
-        """Prefixed columns folded per key; `kinds` types the elements, without it they are taken as they are.
-
-        `same` names list columns that repeat a key column.
-        """
-        listed = [c for c in rows.columns if c.startswith(tuple(prefixes))]
-        types = {f.name: f.dataType for f in rows.schema.fields}
-
-        def value(name: str, source: str) -> Column:
-            if kinds is None:
-                return F.col(source)
-            return element(kinds[name], F.col(source), types[source], truthy=self.truthy)
-
-        same = {c: key for c, key in (same or {}).items() if c in listed}
+    def fold(self, child: Child, **options) -> DataFrame:
+        """The child's lists per key, all in its order."""
+        same = {c: key for c, key in child.same.items() if c in child.rows.columns}
+        types = {f.name: f.dataType for f in child.rows.schema.fields}
         return fold_lists(
-            rows,
-            self.keys(*keys),
-            list(order),
-            {c: value(c, c) for c in listed if c not in same},
-            constants={c: value(c, key) if kinds else scalar(F.col(key), types[key]) for c, key in same.items()},
-            **{"max_cells": self.max_cells, **options},
+            child.rows,
+            self.keys(*child.keys),
+            list(child.order),
+            {c: child.value(c, c, self.truthy) for c in child.listed() if c not in same},
+            constants={
+                c: child.value(c, key, self.truthy) if child.kinds else scalar(F.col(key), types[key]) for c, key in same.items()
+            },
+            **{"partition_by": self.keys("k_uwi"), **options},
         )
 
-    def fits(self, *sides: tuple[DataFrame, Column | int]) -> bool:
-        """Whether no well can need more than one row: a bound from per-well weights, in one job.
-
-        The weights of one side add up; those of several sides multiply, as joined rows do.
-        """
-        if self.max_cells is None:
-            return True
-        on = self.keys("k_uwi")
-        parts = []
-        for i, (rows, weight) in enumerate(sides):
-            weight = F.lit(weight) if isinstance(weight, int) else weight
-            sides_of = [(weight if i == j else F.lit(0)).cast("double").alias(f"_w{j}") for j in range(len(sides))]
-            parts.append(rows.select(*on, *sides_of))
-        weights = [F.col(f"_w{j}") for j in range(len(sides))]
-        return largest(reduce(DataFrame.unionByName, parts), on, weights) <= self.max_cells
-
-    def together(self, keys: Sequence[str], fits: bool) -> list[str]:
-        """Columns to shuffle by. When every well fits a row, the well alone: its rows then stay
-        together through the joins on longer keys, the regrouping and the header join, if the
-        session lets joins use a part of their keys."""
-        setting = "spark.sql.requireAllClusterKeysForCoPartition"
-        spark = next(iter(self.frames.values())).sparkSession
-        if fits and spark.conf.get(setting, "true").lower() == "false":
-            return self.keys("k_uwi")
-        return self.keys(*keys)
-
-    def beside(self, rows: DataFrame, together: Sequence[str], keys: Sequence[str]) -> DataFrame:
-        """The other side of a join with folded lists. Shuffled by the well where those are; else left
-        to the join's own exchange, which AQE may split when a key is hot."""
-        return rows if list(together) == self.keys(*keys) else rows.repartition(*together)
+    def beside(self, rows: DataFrame) -> DataFrame:
+        """The other side of a join with folded lists: shuffled by the well, as those are."""
+        return rows.repartition(*self.keys("k_uwi"))
 
     def header(self, columns: str = spec.WELL_HEADER) -> DataFrame:
         return self.plain("well", columns, "w_", {"k_uwi": "uwi"})
 
 
-@dataclass
-class Pieces:
-    """Prefixed rows that together make the documents: main rows and continuations by table."""
+@dataclass(frozen=True)
+class Child:
+    """Rows of one or several child tables that fold together: prefixed columns next to keys (`k_`) and order (`o_`).
 
-    main: DataFrame
-    grain: Sequence[str]
-    continued: list[tuple[str, DataFrame]] = field(default_factory=list)
+    `kinds` types the list elements; without it they are taken as they are. `same` names list columns that
+    repeat a key column.
+    """
+
+    rows: DataFrame
+    kinds: Mapping[str, str] | None
+    keys: Sequence[str]
+    order: Sequence[str]
+    prefixes: Sequence[str]
+    same: Mapping[str, str] = MappingProxyType({})
+
+    def listed(self) -> list[str]:
+        return [c for c in self.rows.columns if c.startswith(tuple(self.prefixes))]
 
-    def also(self, part_of: str, rows: DataFrame | None) -> None:
-        if rows is not None:
-            self.continued.append((part_of, rows))
+    def value(self, name: str, source: str, truthy: Sequence[str]) -> Column:
+        if self.kinds is None:
+            return F.col(source)
+        return element(self.kinds[name], F.col(source), self.rows.schema[source].dataType, truthy=truthy)
 
 
 @dataclass(frozen=True)
 class Recipe:
-    """One asset: its document builder, its id query and its prefix to table names."""
+    """One asset: its children, its document builder, its id query and its prefix to table names.
+
+    `children` maps a table name to the rows that fold under it. `rows` joins the folded children to one row per
+    `grain`, prefixed.
+    """
 
     asset: str
     prefixes: Mapping[str, str]
-    pieces: Callable[[Tables], Pieces]
+    grain: Sequence[str]
+    children: Callable[[Tables], dict[str, Child]]
+    rows: Callable[[Tables, dict[str, Child]], DataFrame]
     identifier: Callable[[Tables], DataFrame]
 
     def build(self, tables: Tables) -> DataFrame:
-        """All documents of the asset."""
-        made = self.pieces(tables)
-        scope = list(tables.scope)
-
-        def nested(rows: DataFrame, part: Column, part_of: Column) -> DataFrame:
-            grain = F.struct(*[F.col(c).alias(c.removeprefix("k_")) for c in made.grain])
-            rows = rows.withColumns(
-                {"doc_key": grain, "part": part.cast("int"), "part_of": part_of.cast("string")}
-            )
-            return nest_by_prefix(rows, self.prefixes, keep=[*scope, "doc_key", "part", "part_of"])
-
-        docs = nested(made.main, F.lit(0), F.lit(None))
-        for part_of, rows in made.continued:
-            more = nested(rows, F.col("part"), F.lit(part_of))
-            docs = docs.unionByName(more, allowMissingColumns=True)
-        return docs
+        """All documents of the asset, one row per grain. Lazy: no job runs."""
+        made = self.rows(tables, self.children(tables))
+        grain = F.struct(*[F.col(c).alias(c.removeprefix("k_")) for c in self.grain])
+        return nest_by_prefix(made.withColumn("doc_key", grain), self.prefixes, keep=[*tables.scope, "doc_key"])
+
+    def items(self, tables: Tables) -> dict[str, DataFrame]:
+        """The typed child rows in long form, one table per child: scope, keys, order and prefixed columns.
+
+        Nothing is gathered, so a well may hold any number of rows."""
+        out = {}
+        for name, child in self.children(tables).items():
+            typed = [child.value(c, c, tables.truthy).alias(c) for c in child.listed()]
+            lead = dict.fromkeys([*tables.keys(*child.keys), *child.order])
+            out[name] = child.rows.select(*lead, *typed)
+        return out
 
     def ids(self, tables: Tables) -> DataFrame:
         """Distinct well ids that have this asset."""
         return self.identifier(tables)
 
 
-def _joined(header: DataFrame, rows: DataFrame | None, keys: Sequence[str]) -> DataFrame | None:
-    return None if rows is None else header.join(rows, list(keys))
-
-
 def _ids_of(*names: str) -> Callable[[Tables], DataFrame]:
     def ids(tables: Tables) -> DataFrame:
         parts = [
@@ -245,108 +217,70 @@ def _tests(tables: Tables, test_type: str) -> DataFrame:
 # One child table folded per well.
 
 
+Parts = tuple[Callable[["Tables"], dict[str, Child]], Callable[["Tables", dict[str, Child]], DataFrame]]
+
+
 def _prefixed_kinds(columns: str, prefix: str) -> dict[str, str]:
     return {prefix + name: kind for name, kind in spec.kinds(columns).items()}
 
 
-def _one_child(table: str, columns: str, prefix: str, order: str, header: str = spec.WELL_HEADER):
-    def pieces(tables: Tables) -> Pieces:
+def _one_child(table: str, columns: str, prefix: str, order: str, header: str = spec.WELL_HEADER) -> Parts:
+    def children(tables: Tables) -> dict[str, Child]:
         rows = tables.raw(tables.get(table), columns, prefix, {"k_uwi": "uwi"}, [order])
-        child = tables.fold(
-            rows,
-            _prefixed_kinds(columns, prefix),
-            ["k_uwi"],
-            ["o_" + order],
-            [prefix],
-            same={prefix + "uwi": "k_uwi"},
-        )
-        wells, on = tables.header(header), tables.keys("k_uwi")
-        made = Pieces(wells.join(child.main, on), ["k_uwi"])
-        made.also(table, _joined(wells, child.overflow, on))
-        return made
+        kinds = _prefixed_kinds(columns, prefix)
+        return {table: Child(rows, kinds, ["k_uwi"], ["o_" + order], [prefix], {prefix + "uwi": "k_uwi"})}
+
+    def rows(tables: Tables, made: dict[str, Child]) -> DataFrame:
+        return tables.header(header).join(tables.fold(made[table]), tables.keys("k_uwi"))
 
-    return pieces
+    return children, rows
 
 
 # Left-joined child lists.
 
+CORE_KEYS = {"k_uwi": "uwi", "k_source": "source", "k_core_id": "core_id"}
+
+
+def _core_children(tables: Tables) -> dict[str, Child]:
+    name, columns = "well_core_sample_anal", spec.WELL_CORE_SAMPLE_ANAL
+    samples = tables.raw(tables.get(name), columns, "s_", CORE_KEYS, ["core_id"])
+    same = {"s_uwi": "k_uwi", "s_source": "k_source", "s_core_id": "k_core_id"}
+    return {name: Child(samples, _prefixed_kinds(columns, "s_"), list(CORE_KEYS), ["o_core_id"], ["s_"], same)}
+
 
-def _cells_of(tables: Tables, *sides: DataFrame) -> DataFrame:
-    """Well and cells of every row of several tables."""
-    on = tables.keys("k_uwi")
-    return reduce(DataFrame.unionByName, [df.select(*on, F.lit(len(df.columns)).alias("_cells")) for df in sides])
-
-
-def _core(tables: Tables) -> Pieces:
-    keys = {"k_uwi": "uwi", "k_source": "source", "k_core_id": "core_id"}
-    on, uwi = tables.keys(*keys), tables.keys("k_uwi")
-    columns = spec.WELL_CORE_SAMPLE_ANAL
-    samples = tables.raw(tables.get("well_core_sample_anal"), columns, "s_", keys, ["core_id"])
-    cores = tables.plain("well_core", spec.WELL_CORE, "c_", keys)
-    fits = tables.fits((_cells_of(tables, samples, cores), F.col("_cells")))
-    together = tables.together(list(keys), fits)
-    folded = tables.fold(
-        samples,
-        _prefixed_kinds(columns, "s_"),
-        list(keys),
-        ["o_core_id"],
-        ["s_"],
-        same={"s_uwi": "k_uwi", "s_source": "k_source", "s_core_id": "k_core_id"},
-        partition_by=together,
-        max_cells=None if fits else tables.max_cells,
-    )
-    wells = tables.header()
-    lists = [c for c in folded.main.columns if c.startswith("s_")]
-    main = tables.beside(cores, together, list(keys)).join(folded.main, on, "left")
-    made = Pieces(wells.join(fill_empty_lists(main, lists), uwi), list(keys))
-    if folded.overflow is not None:
-        made.also("well_core_sample_anal", wells.join(cores.join(folded.overflow, on), uwi))
-    return made
+def _core(tables: Tables, made: dict[str, Child]) -> DataFrame:
+    cores = tables.plain("well_core", spec.WELL_CORE, "c_", CORE_KEYS)
+    samples = tables.fold(made["well_core_sample_anal"])
+    main = tables.beside(cores).join(samples, tables.keys(*CORE_KEYS), "left")
+    lists = [c for c in samples.columns if c.startswith("s_")]
+    return tables.header().join(fill_empty_lists(main, lists), tables.keys("k_uwi"))
 
 
 TEST_KEYS = {"k_uwi": "uwi", "k_source": "source", "k_test_type": "test_type", "k_run_number": "run_number"}
 
 
-def _dst(tables: Tables) -> Pieces:
-    keys, on = list(TEST_KEYS), tables.keys(*TEST_KEYS)
+def _dst_children(tables: Tables) -> dict[str, Child]:
     recovery = tables.get("well_test_recovery").filter(F.col("recovery_method") == "PIPE")
     sides = {
-        "t_": ("well_test", _tests(tables, "DST"), spec.WELL_TEST),
-        "s_": ("well_test_pressure", tables.get("well_test_pressure"), spec.WELL_TEST_PRESSURE),
-        "p_": ("well_test_recovery", recovery, spec.WELL_TEST_RECOVERY),
-        "f_": ("well_test_flow", tables.get("well_test_flow"), spec.WELL_TEST_FLOW),
+        "well_test": ("t_", _tests(tables, "DST"), spec.WELL_TEST),
+        "well_test_pressure": ("s_", tables.get("well_test_pressure"), spec.WELL_TEST_PRESSURE),
+        "well_test_recovery": ("p_", recovery, spec.WELL_TEST_RECOVERY),
+        "well_test_flow": ("f_", tables.get("well_test_flow"), spec.WELL_TEST_FLOW),
     }
-    # Only drill-stem rows of a child can meet one; the rest need not be gathered.
-    rows = {
-        prefix: tables.raw(df.filter(F.col("test_type") == "DST"), columns, prefix, TEST_KEYS, ["test_number"])
-        for prefix, (_, df, columns) in sides.items()
-    }
-    fits = tables.fits((_cells_of(tables, *rows.values()), F.col("_cells")))
-    folded = {
-        prefix: tables.fold(
-            rows[prefix],
-            _prefixed_kinds(columns, prefix),
-            keys,
-            ["o_test_number"],
-            [prefix],
-            partition_by=tables.together(keys, fits),
-            max_cells=None if fits else tables.max_cells,
-        )
-        for prefix, (_, _, columns) in sides.items()
-    }
-    main = folded["t_"].main
-    tests = main.select(*on)
-    for prefix in ("s_", "p_", "f_"):
-        main = main.join(folded[prefix].main, on, "left")
+    out = {}
+    for name, (prefix, df, columns) in sides.items():
+        # Only drill-stem rows of a child can meet one; the rest need not be gathered.
+        rows = tables.raw(df.filter(F.col("test_type") == "DST"), columns, prefix, TEST_KEYS, ["test_number"])
+        out[name] = Child(rows, _prefixed_kinds(columns, prefix), list(TEST_KEYS), ["o_test_number"], [prefix])
+    return out
+
+
+def _dst(tables: Tables, made: dict[str, Child]) -> DataFrame:
+    main, *others = [tables.fold(child) for child in made.values()]
+    for side in others:
+        main = main.join(side, tables.keys(*TEST_KEYS), "left")
     main = fill_empty_lists(main, [c for c in main.columns if c.startswith(("s_", "p_", "f_"))])
-    wells, uwi = tables.header(), tables.keys("k_uwi")
-    made = Pieces(wells.join(main, uwi), keys)
-    for prefix, (table, _, _) in sides.items():
-        more = folded[prefix].overflow
-        if more is not None:
-            more = more if prefix == "t_" else more.join(tests, on, "left_semi")
-            made.also(table, wells.join(more, uwi))
-    return made
+    return tables.header().join(main, tables.keys("k_uwi"))
 
 
 # Joined rows gathered per well: lists of scalars and lists of lists.
@@ -357,121 +291,55 @@ def _per_well(
     rows: DataFrame,
     prefixes: Sequence[str],
     order: Sequence[str],
-    fits: bool,
-    weight: Column | None = None,
     same: Mapping[str, str] | None = None,
-    extra: Sequence[Column] = (),
-    together: Sequence[str] = (),
-) -> Pieces:
-    """`together` are the columns the rows are already shuffled by."""
-    on = tables.keys("k_uwi")
-    gathered = tables.fold(
-        rows,
-        None,
-        ["k_uwi"],
-        order,
-        prefixes,
-        same=same,
-        weight=weight,
-        extra=extra,
-        partition_by=[] if list(together) == on else on,
-        max_cells=None if fits else tables.max_cells,
-    )
-    wells = tables.header()
-    made = Pieces(wells.join(gathered.main, on), ["k_uwi"])
-    made.also("rows", _joined(wells, gathered.overflow, on))
-    return made
-
-
-def _continue_rows(
-    tables: Tables, made: Pieces, table: str, rows: DataFrame | None, prefixes: Sequence[str]
-) -> None:
-    """Continuations of one row's inner list: every column as the list of that single row."""
-    if rows is None:
-        return
-    lists = [F.array(c).alias(c) for c in rows.columns if c.startswith(tuple(prefixes))]
-    single = rows.select(*tables.keys("k_uwi"), "part", *lists)
-    made.also(table, tables.header().join(single, tables.keys("k_uwi")))
-
-
-def _counted(fits: bool) -> list[Column]:
-    """The length of a group's lists, where a later check needs it."""
-    return [] if fits else [F.count(F.lit(1)).alias("_n")]
-
-
-def _cells(rows: DataFrame, inner: Sequence[str], prefixes: Sequence[str], fits: bool) -> Column | None:
-    """Cells of a joined row: its inner list columns times their length, plus its plain columns."""
-    if fits:
-        return None
-    many = len([c for c in rows.columns if c.startswith(tuple(inner))])
-    plain = len([c for c in rows.columns if c.startswith(tuple(prefixes))]) - many
-    return F.coalesce(F.col("_n"), F.lit(0)) * many + plain
-
-
-def _ip(tables: Tables) -> Pieces:
-    keys = list(TEST_KEYS)
+    firsts: Sequence[str] = (),
+    shuffled: bool = True,
+) -> DataFrame:
+    """Rows gathered per well, next to its header; `shuffled` rows lie together by well already."""
+    child = Child(rows, None, ["k_uwi"], order, prefixes, same or {})
+    gathered = tables.fold(child, firsts=firsts, partition_by=[] if shuffled else tables.keys("k_uwi"))
+    return tables.header().join(gathered, tables.keys("k_uwi"))
+
+
+def _ip_children(tables: Tables) -> dict[str, Child]:
     tests = tables.raw(_tests(tables, "IP"), spec.IP_WELL_TEST, "t_", TEST_KEYS, ["test_number"])
-    fits = tables.fits((tests, len(tests.columns)))
-    # No join in between: rows of a well that fits lie together from the first shuffle on.
-    together = tables.keys("k_uwi") if fits else tables.keys(*keys)
-    runs = tables.fold(
-        tests,
-        _prefixed_kinds(spec.IP_WELL_TEST, "t_"),
-        keys,
-        ["o_test_number"],
-        ["t_"],
-        same={"t_" + column: key for key, column in TEST_KEYS.items()},
-        extra=_counted(fits),
-        partition_by=together,
-        max_cells=None if fits else tables.max_cells,
-    )
-    order = ["k_source", "k_run_number"]
-    weight = _cells(runs.main, ["t_"], ["t_"], fits)
-    made = _per_well(tables, runs.main, ["t_"], order, fits, weight, together=together)
-    _continue_rows(tables, made, "well_test", runs.overflow, ["t_"])
-    return made
-
-
-def _production(tables: Tables) -> Pieces:
-    keys = {
-        "k_uwi": "uwi",
-        "k_zone_id": "zone_id",
-        "k_activity_type": "activity_type",
-        "k_volume_method": "volume_method",
-    }
-    columns = spec.GX_PDEN_VOL_SUM_BY_MONTH
-    monthly = tables.raw(tables.get("gx_pden_vol_sum_by_month"), columns, "m_", keys, ["pden_date"])
-    totals = tables.plain("well_cumulative_production", spec.WELL_CUMULATIVE_PRODUCTION, "p_", keys)
-    fits = tables.fits((monthly, len(monthly.columns)), (totals, len(totals.columns)))
-    together = tables.together(list(keys), fits)
-    series = tables.fold(
-        monthly,
-        _prefixed_kinds(columns, "m_"),
-        list(keys),
-        ["o_pden_date"],
-        ["m_"],
-        extra=_counted(fits),
-        partition_by=together,
-        max_cells=None if fits else tables.max_cells,
-    )
-    on = tables.keys(*keys)
-    rows = tables.beside(totals, together, list(keys)).join(series.main, on)
+    same = {"t_" + column: key for key, column in TEST_KEYS.items()}
+    return {"well_test": Child(tests, _prefixed_kinds(spec.IP_WELL_TEST, "t_"), list(TEST_KEYS), ["o_test_number"], ["t_"], same)}
+
+
+def _ip(tables: Tables, made: dict[str, Child]) -> DataFrame:
+    return _per_well(tables, tables.fold(made["well_test"]), ["t_"], ["k_source", "k_run_number"])
+
+
+PRODUCTION_KEYS = {
+    "k_uwi": "uwi",
+    "k_zone_id": "zone_id",
+    "k_activity_type": "activity_type",
+    "k_volume_method": "volume_method",
+}
+
+
+def _production_children(tables: Tables) -> dict[str, Child]:
+    name, columns = "gx_pden_vol_sum_by_month", spec.GX_PDEN_VOL_SUM_BY_MONTH
+    monthly = tables.raw(tables.get(name), columns, "m_", PRODUCTION_KEYS, ["pden_date"])
+    return {name: Child(monthly, _prefixed_kinds(columns, "m_"), list(PRODUCTION_KEYS), ["o_pden_date"], ["m_"])}
+
+
+def _production(tables: Tables, made: dict[str, Child]) -> DataFrame:
+    totals = tables.plain("well_cumulative_production", spec.WELL_CUMULATIVE_PRODUCTION, "p_", PRODUCTION_KEYS)
+    rows = tables.beside(totals).join(tables.fold(made["gx_pden_vol_sum_by_month"]), tables.keys(*PRODUCTION_KEYS))
     order = ["k_zone_id", "k_activity_type", "k_volume_method"]
-    prefixes = ["p_", "m_"]
-    weight = _cells(rows, ["m_"], prefixes, fits)
-    same = {"p_uwi": "k_uwi"}
-    made = _per_well(tables, rows, prefixes, order, fits, weight, same, together=together)
-    if series.overflow is not None:
-        more = totals.join(series.overflow, on)
-        _continue_rows(tables, made, "gx_pden_vol_sum_by_month", more, prefixes)
-    return made
+    return _per_well(tables, rows, ["p_", "m_"], order, {"p_uwi": "k_uwi"})
 
 
-def _raster_log(tables: Tables) -> Pieces:
+def _raster_children(tables: Tables) -> dict[str, Child]:
     name = "log_image_reg_log_section"
-    keys = {"k_uwi": "well_id", "o_section": "log_section_index"}
-    rows = tables.plain(name, spec.LOG_IMAGE_REG_LOG_SECTION, "r_", keys)
-    return _per_well(tables, rows, ["r_"], ["o_section"], fits=False, same={"r_well_id": "k_uwi"})
+    rows = tables.plain(name, spec.LOG_IMAGE_REG_LOG_SECTION, "r_", {"k_uwi": "well_id", "o_section": "log_section_index"})
+    return {name: Child(rows, None, ["k_uwi"], ["o_section"], ["r_"], {"r_well_id": "k_uwi"})}
+
+
+def _raster_log(tables: Tables, made: dict[str, Child]) -> DataFrame:
+    return tables.header().join(tables.fold(made["log_image_reg_log_section"]), tables.keys("k_uwi"))
 
 
 SURVEY_TABLES = {
@@ -485,27 +353,16 @@ SURVEY_TABLES = {
 SURVEY_KEYS = {"k_uwi": "uwi", "k_survey_id": "survey_id", "k_source": "source"}
 
 
-def survey_stations(tables: Tables) -> DataFrame:
+def survey_children(tables: Tables) -> dict[str, Child]:
     """Raw stations of both kinds; the kind tag keeps them apart, so the union needs no distinct."""
     parts = []
     for kind, (stations, _, _) in SURVEY_TABLES.items():
-        df = tables.get(stations)
-        rows = tables.raw(df, spec.WELL_DIR_SRVY_STATION, "d_", SURVEY_KEYS, ["station_md"])
+        rows = tables.raw(tables.get(stations), spec.WELL_DIR_SRVY_STATION, "d_", SURVEY_KEYS, ["station_md"])
         parts.append(rows.withColumn("k_kind", F.lit(kind)))
-    return parts[0].unionByName(parts[1], allowMissingColumns=True)
-
-
-def fold_stations(tables: Tables, stations: DataFrame, **options) -> Folded:
-    """Station lists per survey and kind."""
-    return tables.fold(
-        stations,
-        _prefixed_kinds(spec.WELL_DIR_SRVY_STATION, "d_"),
-        [*SURVEY_KEYS, "k_kind"],
-        ["o_station_md"],
-        ["d_"],
-        same={"d_" + column: key for key, column in SURVEY_KEYS.items()},
-        **options,
-    )
+    stations = parts[0].unionByName(parts[1], allowMissingColumns=True)
+    kinds = _prefixed_kinds(spec.WELL_DIR_SRVY_STATION, "d_")
+    same = {"d_" + column: key for key, column in SURVEY_KEYS.items()}
+    return {"well_dir_srvy_station": Child(stations, kinds, [*SURVEY_KEYS, "k_kind"], ["o_station_md"], ["d_"], same)}
 
 
 def survey_headers(tables: Tables) -> DataFrame:
@@ -513,61 +370,43 @@ def survey_headers(tables: Tables) -> DataFrame:
     parts = []
     for kind, (stations, headers, columns) in SURVEY_TABLES.items():
         df = restrict(tables.get(headers), tables.get(stations), tables.keys("uwi"))
-        wanted = [c for c in spec.names(columns) if c in df.columns]
+        wanted = []
+        for c in spec.names(columns):
+            found = tables.column(df, c, spec.default_type(c))
+            if found:
+                wanted.append(found[0].alias(c))
         parts.append(df.select(*tables.scope, F.lit(kind).alias("kind"), *wanted))
-    return parts[0].unionByName(parts[1], allowMissingColumns=True).distinct()
+    # Shuffled by the well first: equal headers meet where the stations will.
+    both = parts[0].unionByName(parts[1], allowMissingColumns=True)
+    return both.repartition(*tables.keys("uwi")).distinct()
 
 
-def _survey(tables: Tables) -> Pieces:
-    keys = [*SURVEY_KEYS, "k_kind"]
-    stations = survey_stations(tables)
-    given = [
-        tables.get(headers).select(*tables.scope, F.col("uwi").alias("k_uwi"))
-        for _, headers, _ in SURVEY_TABLES.values()
-    ]
-    fits = tables.fits((stations, len(stations.columns)), (given[0].unionByName(given[1]), 1))
-    together = tables.together(keys, fits)
-    folded = fold_stations(
-        tables,
-        stations,
-        extra=_counted(fits),
-        partition_by=together,
-        max_cells=None if fits else tables.max_cells,
-    )
+def _survey(tables: Tables, made: dict[str, Child]) -> DataFrame:
     columns = "kind " + spec.WELL_DIR_PROPOSED_SRVY
     typed = Tables({"headers": survey_headers(tables)}, tables.scope, missing=tables.missing)
     headers = typed.plain("headers", columns, "s_", {**SURVEY_KEYS, "k_kind": "kind"})
-    on = tables.keys(*keys)
-    rows = tables.beside(headers, together, keys).join(folded.main, on)
-    order, prefixes = ["k_kind", "k_survey_id", "k_source"], ["s_", "d_"]
-    weight = _cells(rows, ["d_"], prefixes, fits)
-    same = {"s_uwi": "k_uwi"}
-    made = _per_well(tables, rows, prefixes, order, fits, weight, same, together=together)
-    if folded.overflow is not None:
-        more = headers.join(folded.overflow, on)
-        _continue_rows(tables, made, "well_dir_srvy_station", more, prefixes)
-    return made
-
-
-def _vector_log(tables: Tables) -> Pieces:
+    keys = [*SURVEY_KEYS, "k_kind"]
+    rows = tables.beside(headers).join(tables.fold(made["well_dir_srvy_station"]), tables.keys(*keys))
+    return _per_well(tables, rows, ["s_", "d_"], ["k_kind", "k_survey_id", "k_source"], {"s_uwi": "k_uwi"})
+
+
+def _vector_children(tables: Tables) -> dict[str, Child]:
     set_keys = {"k_uwi": "wellid", "k_curveset": "curveset"}
     keys = {**set_keys, "k_curvename": "curvename", "k_version": "version"}
     curves = tables.plain("gx_well_curve", spec.GX_WELL_CURVE, "c_", keys)
     sets = tables.plain("gx_well_curveset", spec.GX_WELL_CURVESET, "s_", set_keys)
     values = tables.plain("gx_well_curve_values", spec.GX_WELL_CURVE_VALUES, "v_", keys)
     joined = curves.join(values, tables.keys(*keys)).join(sets, tables.keys(*set_keys))
-    blob = F.col("v_curve_values")
-    plain = len([c for c in joined.columns if c.startswith(("c_", "s_", "v_"))])
-    joined = joined.withColumn("_n", F.coalesce(F.octet_length(blob) / 4, F.lit(0)).cast("bigint") + plain)
     # Samples travel as 4-byte floats and widen once the rows are gathered.
-    rows = joined.withColumn("v_curve_values", decode_curve(blob))
-    order, prefixes = ["k_curveset", "k_curvename", "k_version"], ["c_", "s_", "v_"]
-    same = {p + "wellid": "k_uwi" for p in prefixes}
-    made = _per_well(tables, rows, prefixes, order, False, F.col("_n"), same)
-    widen = F.col("v_curve_values").cast("array<array<double>>")
-    made.main = made.main.withColumn("v_curve_values", widen)
-    made.continued = [(name, df.withColumn("v_curve_values", widen)) for name, df in made.continued]
-    return made
+    rows = joined.withColumn("v_curve_values", decode_curve(F.col("v_curve_values")))
+    order = ["k_curveset", "k_curvename", "k_version"]
+    return {"gx_well_curve": Child(rows, None, ["k_uwi"], order, ["c_", "s_", "v_"], {p + "wellid": "k_uwi" for p in ("c_", "s_", "v_")})}
+
+
+def _vector_log(tables: Tables, made: dict[str, Child]) -> DataFrame:
+    lists = tables.fold(made["gx_well_curve"])
+    lists = lists.withColumn("v_curve_values", F.col("v_curve_values").cast("array<array<double>>"))
+    return tables.header().join(lists, tables.keys("k_uwi"))
 
 
 ZONE_TABLES = {
@@ -575,12 +414,13 @@ ZONE_TABLES = {
     "a_": ("gx_zone_zattribute", spec.GX_ZONE_ZATTRIBUTE),
     "g_": ("gx_zattribute", spec.GX_ZATTRIBUTE),
 }
+ZONE_KEYS = {"k_uwi": "uwi", "k_zone_name": "zone_name"}
 
 
-def zone_values(tables: Tables) -> DataFrame:
+def zone_children(tables: Tables) -> dict[str, Child]:
     """Raw zone values with their two dictionaries."""
     keys = {
-        "v_": {"k_uwi": "uwi", "k_zone_name": "zone_name", "o_attribute": "zattribute_name"},
+        "v_": {**ZONE_KEYS, "o_attribute": "zattribute_name"},
         "a_": {"k_zone_name": "zone_name", "o_attribute": "zattribute_name"},
         "g_": {"o_attribute": "zattribute_name"},
     }
@@ -588,58 +428,32 @@ def zone_values(tables: Tables) -> DataFrame:
         tables.raw(tables.get(table), columns, prefix, keys[prefix])
         for prefix, (table, columns) in ZONE_TABLES.items()
     ]
-    return v.join(a, tables.keys("k_zone_name", "o_attribute")).join(g, tables.keys("o_attribute"))
-
-
-def zone_attributes(tables: Tables, values: DataFrame, **options) -> Folded:
-    """Zone values and dictionary entries folded per well and zone."""
+    rows = v.join(a, tables.keys("k_zone_name", "o_attribute")).join(g, tables.keys("o_attribute"))
     kinds: dict[str, str] = {}
     for prefix, (_, columns) in ZONE_TABLES.items():
         kinds |= _prefixed_kinds(columns, prefix)
     same = {"v_uwi": "k_uwi", "v_zone_name": "k_zone_name", "a_zone_name": "k_zone_name"}
-    return tables.fold(
-        values, kinds, ["k_uwi", "k_zone_name"], ["o_attribute"], list(ZONE_TABLES), same, **options
-    )
+    return {"well_zone_intrvl_value": Child(rows, kinds, list(ZONE_KEYS), ["o_attribute"], list(ZONE_TABLES), same)}
 
 
-def _zone(tables: Tables) -> Pieces:
-    keys = {"k_uwi": "uwi", "k_zone_name": "zone_name"}
-    intervals = tables.plain("well_zone_interval", spec.WELL_ZONE_INTERVAL, "i_", keys)
+def _zone(tables: Tables, made: dict[str, Child]) -> DataFrame:
+    intervals = tables.plain("well_zone_interval", spec.WELL_ZONE_INTERVAL, "i_", ZONE_KEYS)
     zones = tables.plain("gx_zone", spec.GX_ZONE, "z_", {"k_zone_name": "zone_name"})
     known = intervals.join(zones, tables.keys("k_zone_name"))
-    raw = zone_values(tables)
-    fits = tables.fits((raw, len(raw.columns)), (known, len(known.columns)))
-    together = tables.together(list(keys), fits)
-    values = zone_attributes(
-        tables,
-        raw,
-        extra=_counted(fits),
-        partition_by=together,
-        max_cells=None if fits else tables.max_cells,
-    )
-    inner, on = list(ZONE_TABLES), tables.keys(*keys)
+    values = tables.fold(made["well_zone_intrvl_value"])
     # A full outer join whose unmatched right rows the zone join rejects is a left join.
-    rows = tables.beside(known, together, list(keys)).join(values.main, on, "left")
-    rows = fill_empty_lists(rows, [c for c in rows.columns if c.startswith(tuple(inner))])
-    every, order = ["i_", "v_", "z_", "a_", "g_"], ["k_zone_name"]
-    weight, same = _cells(rows, inner, every, fits), {"i_uwi": "k_uwi"}
+    rows = tables.beside(known).join(values, tables.keys(*ZONE_KEYS), "left")
+    rows = fill_empty_lists(rows, [c for c in rows.columns if c.startswith(tuple(ZONE_TABLES))])
+    order, same = ["k_zone_name"], {"i_uwi": "k_uwi"}
     if tables.strict_reference:
         # Dictionary columns of the first zone only.
-        rank = F.struct(*[F.col(c) for c in rows.columns if c.startswith(("k_zone", "i_", "v_", "z_"))])
-        first = [first_non_null(c, rank) for c in rows.columns if c.startswith(("a_", "g_"))]
-        made = _per_well(tables, rows, ["i_", "v_", "z_"], order, fits, weight, same, first, together)
-    else:
-        made = _per_well(tables, rows, every, order, fits, weight, same, together=together)
-    if values.overflow is not None:
-        more = known.join(values.overflow, on)
-        if tables.strict_reference:
-            more = more.drop(*[c for c in more.columns if c.startswith(("a_", "g_"))])
-        _continue_rows(tables, made, "well_zone_intrvl_value", more, every)
-    return made
+        firsts = [c for c in rows.columns if c.startswith(("a_", "g_"))]
+        return _per_well(tables, rows, ["i_", "v_", "z_"], order, same, firsts)
+    return _per_well(tables, rows, ["i_", "v_", "z_", "a_", "g_"], order, same)
 
 
-def _recipe(asset, prefixes, pieces, identifier) -> tuple[str, Recipe]:
-    return asset, Recipe(asset, {"w_": "well", **prefixes}, pieces, identifier)
+def _recipe(asset: str, prefixes: Mapping[str, str], parts: Parts, identifier, grain: Sequence[str] = ("k_uwi",)) -> tuple[str, Recipe]:
+    return asset, Recipe(asset, {"w_": "well", **prefixes}, grain, *parts, identifier)
 
 
 def _all_wells(tables: Tables) -> DataFrame:
@@ -657,8 +471,9 @@ RECIPES: dict[str, Recipe] = dict(
         _recipe(
             "core",
             {"c_": "well_core", "s_": "well_core_sample_anal"},
-            _core,
+            (_core_children, _core),
             _ids_of("well_core"),
+            tuple(CORE_KEYS),
         ),
         _recipe(
             "dst",
@@ -668,8 +483,9 @@ RECIPES: dict[str, Recipe] = dict(
                 "p_": "well_test_recovery",
                 "f_": "well_test_flow",
             },
-            _dst,
+            (_dst_children, _dst),
             _ids_of_test("DST"),
+            tuple(TEST_KEYS),
         ),
         _recipe(
             "formation",
@@ -677,7 +493,7 @@ RECIPES: dict[str, Recipe] = dict(
             _one_child("well_formation", spec.WELL_FORMATION, "f_", "form_obs_no"),
             _ids_of("well_formation"),
         ),
-        _recipe("ip", {"t_": "well_test"}, _ip, _ids_of_test("IP")),
+        _recipe("ip", {"t_": "well_test"}, (_ip_children, _ip), _ids_of_test("IP")),
         _recipe(
             "perforation",
             {"p_": "well_perforation"},
@@ -687,25 +503,25 @@ RECIPES: dict[str, Recipe] = dict(
         _recipe(
             "production",
             {"p_": "well_cumulative_production", "m_": "gx_pden_vol_sum_by_month"},
-            _production,
+            (_production_children, _production),
             _ids_of("gx_pden_vol_sum_by_month"),
         ),
         _recipe(
             "raster_log",
             {"r_": "log_image_reg_log_section"},
-            _raster_log,
+            (_raster_children, _raster_log),
             _ids_of("log_image_reg_log_section"),
         ),
         _recipe(
             "survey",
             {"d_": "well_dir_srvy_station", "s_": "well_dir_srvy"},
-            _survey,
+            (survey_children, _survey),
             _ids_of("well_dir_srvy_station", "well_dir_proposed_srvy_station"),
         ),
         _recipe(
             "vector_log",
             {"c_": "gx_well_curve", "s_": "gx_well_curveset", "v_": "gx_well_curve_values"},
-            _vector_log,
+            (_vector_children, _vector_log),
             _ids_of("gx_well_curve"),
         ),
         _recipe(
@@ -723,7 +539,7 @@ RECIPES: dict[str, Recipe] = dict(
                 "a_": "gx_zone_zattribute",
                 "g_": "gx_zattribute",
             },
-            _zone,
+            (zone_children, _zone),
             _ids_of("well_zone_interval"),
         ),
     ]

@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import SparkSession
 
 # UTC keeps zoneless parquet timestamps and their text forms equal on every executor.
-# The object-hash threshold lets list folding stay hash based: its default (128 groups)
-# would sort-fall-back on every task. 65536 groups of a few hundred bytes stay in memory.
 # Joins may use a part of their keys: rows shuffled by well stay put through joins on longer keys.
 # Small shuffled sides are hashed instead of sorting wide document rows; AQE checks the size.
 SETTINGS = {
@@ -17,7 +15,6 @@ SETTINGS = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "64MB",
     "spark.sql.requireAllClusterKeysForCoPartition": "false",
-    "spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "65536",
 }
 
 

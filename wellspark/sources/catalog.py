@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+# Names and types of the catalog columns.
 MINIMAL = ("id", "name", "fs_path", "well_count")
 ASSETS = (
     "completion",
@@ -67,22 +68,30 @@ def require(catalog: DataFrame, project_id: str, key: str = "id") -> str:
     return project_id
 
 
-def upsert(base: DataFrame, updates: DataFrame, key: str = "id") -> DataFrame:
-    """Rows of the base without an update, and every update. Updates need unique keys."""
-    return base.join(updates.select(key), key, "left_anti").unionByName(updates)
+def upsert(base: DataFrame, updates: DataFrame, key: str = "id", latest: str | None = None) -> DataFrame:
+    """One row per key: of the updates if they have the key, else of the base.
+
+    Of several updates with one key the one with the greatest `latest` counts, then the one with the greatest
+    columns in their order. Both sides are read once."""
+    both = base.withColumn("_update", F.lit(False)).unionByName(updates.withColumn("_update", F.lit(True)))
+    lead = ["_update", *([latest] if latest else [])]
+    best = F.max(F.struct(*[F.col(c).alias(f"_o{i}") for i, c in enumerate(lead)], *base.columns)).alias("_row")
+    return both.groupBy(F.col(key).alias("_key")).agg(best).select("_row.*").drop("_o1").withColumnRenamed("_o0", "_update")
 
 
 class Catalog:
     """Catalog versions in one folder: readers keep a whole version while the next is written.
 
-    A version counts once its marker file is there, so a job lost midway leaves the old one.
+    A version counts once its marker file is there, so a job lost midway leaves the old one. There is one
+    writer at a time: a second one that takes the same number finds the folder there and fails.
     """
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark = spark
         self.folder = folder.rstrip("/")
 
-    def _versions(self) -> list[int]:
+    def _versions(self, whole: bool = True) -> list[int]:
+        """Numbers of the versions; with `whole` only those that count."""
         path = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
         files = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
         if not files.exists(path):
@@ -91,20 +100,22 @@ class Catalog:
         for status in files.listStatus(path):
             name = status.getPath().getName()
             done = self.spark._jvm.org.apache.hadoop.fs.Path(status.getPath(), "_SUCCESS")
-            if name.startswith("version=") and files.exists(done):
+            if name.startswith("version=") and (not whole or files.exists(done)):
                 found.append(int(name.split("=")[1]))
         return sorted(found)
 
-    def read(self) -> DataFrame:
+    def _stored(self) -> DataFrame:
         versions = self._versions()
         if not versions:
-            return self.spark.createDataFrame([], SCHEMA)
+            return self.spark.createDataFrame([], SCHEMA).withColumn("_update", F.lit(False))
         return self.spark.read.parquet(f"{self.folder}/version={versions[-1]}")
 
+    def read(self) -> DataFrame:
+        return self._stored().drop("_update")
+
     def upsert(self, updates: DataFrame) -> DataFrame:
-        """Write the next version and return the upserted rows as stored."""
-        versions = self._versions()
-        ordered = updates.select(*SCHEMA.fieldNames())
-        following = f"{self.folder}/version={(versions[-1] if versions else 0) + 1}"
-        upsert(self.read(), ordered).write.mode("overwrite").parquet(following)
-        return get(self.read(), ordered.select("id"))
+        """Write the next version and return the upserted rows as stored; `updates` is evaluated once."""
+        following = f"{self.folder}/version={max(self._versions(whole=False), default=0) + 1}"
+        rows = upsert(self.read(), updates.select(*SCHEMA.fieldNames()), latest="repo_mod")
+        rows.write.mode("errorifexists").parquet(following)
+        return self.spark.read.parquet(following).where("_update").drop("_update")

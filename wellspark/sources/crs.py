@@ -1,7 +1,6 @@
 """Storage and display coordinate systems of projects.
 
-Codes are guesses from well-known-text names. The projection table is built by rule from one
-list of state plane zones; pass another table where these names do not fit.
+Codes are guesses from well-known-text names. Pass another projection table where these names do not fit.
 """
 
 from __future__ import annotations
@@ -26,64 +25,245 @@ GEODETIC = [
     ("gcs_clarke_1866", "d_clarke_1866", 4008),
 ]
 
-# State plane zones of 1927 with their EPSG codes.
-STATE_PLANE_1927 = """
-    alabama_east 26729, alabama_west 26730, arizona_central 26749, arizona_east 26748,
-    arizona_west 26750, arkansas_north 26751, arkansas_south 26752, california_i 26741,
-    california_ii 26742, california_iii 26743, california_iv 26744, california_v 26745,
-    california_vi 26746, california_vii 26799, colorado_central 26754, colorado_north 26753,
-    colorado_south 26755, connecticut 26756, delaware 26757, florida_east 26758,
-    florida_north 26760, florida_west 26759, georgia_east 26766, georgia_west 26767,
-    idaho_central 26769, idaho_east 26768, idaho_west 26770, illinois_east 26771,
-    illinois_west 26772, indiana_east 26773, indiana_west 26774, iowa_north 26775,
-    iowa_south 26776, kansas_north 26777, kansas_south 26778, kentucky_north 26779,
-    kentucky_south 26780, louisiana_north 26781, louisiana_offshore 32099, louisiana_south 26782,
-    maine_east 26783, maine_west 26784, maryland 26785, massachusetts_island 26787,
-    massachusetts_mainland 26786, michigan_central_lambert 6201,
-    michigan_central_tm_obsolete 5624, michigan_east_tm_obsolete 5623,
-    michigan_north_lambert 6966, michigan_south_lambert 6202, michigan_west_tm_obsolete 5625,
-    minnesota_central 26792, minnesota_north 26791, minnesota_south 26793,
-    mississippi_east 26794, mississippi_west 26795, missouri_central 26797, missouri_east 26796,
-    missouri_west 26798, montana_central 32002, montana_north 32001, montana_south 32003,
-    nebraska_north 32005, nebraska_south 32006, nevada_central 32008, nevada_east 32007,
-    nevada_west 32009, new_hampshire 32010, new_jersey 32011, new_mexico_central 32013,
-    new_mexico_east 32012, new_mexico_west 32014, new_york_central 32016, new_york_east 32015,
-    new_york_long_island 4456, new_york_west 32017, north_carolina 32019,
-    north_dakota_north 32020, north_dakota_south 32021, ohio_north 32022, ohio_south 32023,
-    oklahoma_north 32024, oklahoma_south 32025, oregon_north 32026, oregon_south 32027,
-    pennsylvania_north 32028, pennsylvania_south 4455, rhode_island_south 32030,
-    south_carolina_north 32031, south_carolina_south 32033, south_dakota_north 32034,
-    south_dakota_south 32035, tennessee 2204, texas_central 32039, texas_north 32037,
-    texas_north_central 32038, texas_south 32041, texas_south_central 32040, utah_central 32043,
-    utah_north 32042, utah_south 32044, vermont 32045, virginia_north 32046,
-    virginia_south 32047, washington_north 32048, washington_south 32049,
-    west_virginia_north 32050, west_virginia_south 32051, wisconsin_central 32053,
-    wisconsin_north 32052, wisconsin_south 32054, wyoming_east 32055,
-    wyoming_east_central 32056, wyoming_west 32058, wyoming_west_central 32057
-"""
-
-# Zones that 1983 dropped, and zones whose 1983 code the rule below does not give.
-DROPPED_1983 = """
-    california_vii michigan_central_tm_obsolete michigan_east_tm_obsolete
-    michigan_west_tm_obsolete montana_central montana_north montana_south nebraska_north
-    nebraska_south south_carolina_north south_carolina_south
-"""
-STATE_PLANE_1983 = {
-    "kentucky_north": 2205,
-    "michigan_central_lambert": 26989,
-    "michigan_north_lambert": 26988,
-    "michigan_south_lambert": 26990,
-    "montana": 32100,
-    "nebraska": 32104,
-    "new_york_long_island": 32118,
-    "pennsylvania_south": 32129,
-    "south_carolina": 32133,
-    "south_dakota_south": 32125,
-    "tennessee": 32136,
-}
-# Further spellings under which some 1983 zones are also known.
-ALSO_1983_UNDER_1927 = ("idaho_central", "idaho_east", "idaho_west")
-ALSO_1983_SPLIT_NAME = ("maine_east", "maine_west", "maryland")
+# State plane zones of 1927 and their EPSG codes.
+STATE_PLANE_1927 = [
+    ("alabama_east", 26729),
+    ("alabama_west", 26730),
+    ("arizona_central", 26749),
+    ("arizona_east", 26748),
+    ("arizona_west", 26750),
+    ("arkansas_north", 26751),
+    ("arkansas_south", 26752),
+    ("california_i", 26741),
+    ("california_ii", 26742),
+    ("california_iii", 26743),
+    ("california_iv", 26744),
+    ("california_v", 26745),
+    ("california_vi", 26746),
+    ("california_vii", 26799),
+    ("colorado_central", 26754),
+    ("colorado_north", 26753),
+    ("colorado_south", 26755),
+    ("connecticut", 26756),
+    ("delaware", 26757),
+    ("florida_east", 26758),
+    ("florida_north", 26760),
+    ("florida_west", 26759),
+    ("georgia_east", 26766),
+    ("georgia_west", 26767),
+    ("idaho_central", 26769),
+    ("idaho_east", 26768),
+    ("idaho_west", 26770),
+    ("illinois_east", 26771),
+    ("illinois_west", 26772),
+    ("indiana_east", 26773),
+    ("indiana_west", 26774),
+    ("iowa_north", 26775),
+    ("iowa_south", 26776),
+    ("kansas_north", 26777),
+    ("kansas_south", 26778),
+    ("kentucky_north", 26779),
+    ("kentucky_south", 26780),
+    ("louisiana_north", 26781),
+    ("louisiana_offshore", 32099),
+    ("louisiana_south", 26782),
+    ("maine_east", 26783),
+    ("maine_west", 26784),
+    ("maryland", 26785),
+    ("massachusetts_island", 26787),
+    ("massachusetts_mainland", 26786),
+    ("michigan_central_lambert", 6201),
+    ("michigan_central_tm_obsolete", 5624),
+    ("michigan_east_tm_obsolete", 5623),
+    ("michigan_north_lambert", 6966),
+    ("michigan_south_lambert", 6202),
+    ("michigan_west_tm_obsolete", 5625),
+    ("minnesota_central", 26792),
+    ("minnesota_north", 26791),
+    ("minnesota_south", 26793),
+    ("mississippi_east", 26794),
+    ("mississippi_west", 26795),
+    ("missouri_central", 26797),
+    ("missouri_east", 26796),
+    ("missouri_west", 26798),
+    ("montana_central", 32002),
+    ("montana_north", 32001),
+    ("montana_south", 32003),
+    ("nebraska_north", 32005),
+    ("nebraska_south", 32006),
+    ("nevada_central", 32008),
+    ("nevada_east", 32007),
+    ("nevada_west", 32009),
+    ("new_hampshire", 32010),
+    ("new_jersey", 32011),
+    ("new_mexico_central", 32013),
+    ("new_mexico_east", 32012),
+    ("new_mexico_west", 32014),
+    ("new_york_central", 32016),
+    ("new_york_east", 32015),
+    ("new_york_long_island", 4456),
+    ("new_york_west", 32017),
+    ("north_carolina", 32019),
+    ("north_dakota_north", 32020),
+    ("north_dakota_south", 32021),
+    ("ohio_north", 32022),
+    ("ohio_south", 32023),
+    ("oklahoma_north", 32024),
+    ("oklahoma_south", 32025),
+    ("oregon_north", 32026),
+    ("oregon_south", 32027),
+    ("pennsylvania_north", 32028),
+    ("pennsylvania_south", 4455),
+    ("rhode_island_south", 32030),
+    ("south_carolina_north", 32031),
+    ("south_carolina_south", 32033),
+    ("south_dakota_north", 32034),
+    ("south_dakota_south", 32035),
+    ("tennessee", 2204),
+    ("texas_central", 32039),
+    ("texas_north", 32037),
+    ("texas_north_central", 32038),
+    ("texas_south", 32041),
+    ("texas_south_central", 32040),
+    ("utah_central", 32043),
+    ("utah_north", 32042),
+    ("utah_south", 32044),
+    ("vermont", 32045),
+    ("virginia_north", 32046),
+    ("virginia_south", 32047),
+    ("washington_north", 32048),
+    ("washington_south", 32049),
+    ("west_virginia_north", 32050),
+    ("west_virginia_south", 32051),
+    ("wisconsin_central", 32053),
+    ("wisconsin_north", 32052),
+    ("wisconsin_south", 32054),
+    ("wyoming_east", 32055),
+    ("wyoming_east_central", 32056),
+    ("wyoming_west", 32058),
+    ("wyoming_west_central", 32057),
+]
+# State plane zones of 1983 and their EPSG codes.
+STATE_PLANE_1983 = [
+    ("alabama_east", 26929),
+    ("alabama_west", 26930),
+    ("arizona_central", 26949),
+    ("arizona_east", 26948),
+    ("arizona_west", 26950),
+    ("arkansas_north", 26951),
+    ("arkansas_south", 26952),
+    ("california_i", 26941),
+    ("california_ii", 26942),
+    ("california_iii", 26943),
+    ("california_iv", 26944),
+    ("california_v", 26945),
+    ("california_vi", 26946),
+    ("colorado_central", 26954),
+    ("colorado_north", 26953),
+    ("colorado_south", 26955),
+    ("connecticut", 26956),
+    ("delaware", 26957),
+    ("florida_east", 26958),
+    ("florida_north", 26960),
+    ("florida_west", 26959),
+    ("georgia_east", 26966),
+    ("georgia_west", 26967),
+    ("idaho_central", 26969),
+    ("idaho_east", 26968),
+    ("idaho_west", 26970),
+    ("illinois_east", 26971),
+    ("illinois_west", 26972),
+    ("indiana_east", 26973),
+    ("indiana_west", 26974),
+    ("iowa_north", 26975),
+    ("iowa_south", 26976),
+    ("kansas_north", 26977),
+    ("kansas_south", 26978),
+    ("kentucky_north", 2205),
+    ("kentucky_south", 26980),
+    ("louisiana_north", 26981),
+    ("louisiana_offshore", 32199),
+    ("louisiana_south", 26982),
+    ("maine_east", 26983),
+    ("maine_west", 26984),
+    ("maryland", 26985),
+    ("massachusetts_island", 26987),
+    ("massachusetts_mainland", 26986),
+    ("michigan_central_lambert", 26989),
+    ("michigan_north_lambert", 26988),
+    ("michigan_south_lambert", 26990),
+    ("minnesota_central", 26992),
+    ("minnesota_north", 26991),
+    ("minnesota_south", 26993),
+    ("mississippi_east", 26994),
+    ("mississippi_west", 26995),
+    ("missouri_central", 26997),
+    ("missouri_east", 26996),
+    ("missouri_west", 26998),
+    ("montana", 32100),
+    ("nebraska", 32104),
+    ("nevada_central", 32108),
+    ("nevada_east", 32107),
+    ("nevada_west", 32109),
+    ("new_hampshire", 32110),
+    ("new_jersey", 32111),
+    ("new_mexico_central", 32113),
+    ("new_mexico_east", 32112),
+    ("new_mexico_west", 32114),
+    ("new_york_central", 32116),
+    ("new_york_east", 32115),
+    ("new_york_long_island", 32118),
+    ("new_york_west", 32117),
+    ("north_carolina", 32119),
+    ("north_dakota_north", 32120),
+    ("north_dakota_south", 32121),
+    ("ohio_north", 32122),
+    ("ohio_south", 32123),
+    ("oklahoma_north", 32124),
+    ("oklahoma_south", 32125),
+    ("oregon_north", 32126),
+    ("oregon_south", 32127),
+    ("pennsylvania_north", 32128),
+    ("pennsylvania_south", 32129),
+    ("rhode_island_south", 32130),
+    ("south_carolina", 32133),
+    ("south_dakota_north", 32134),
+    ("south_dakota_south", 32125),
+    ("tennessee", 32136),
+    ("texas_central", 32139),
+    ("texas_north", 32137),
+    ("texas_north_central", 32138),
+    ("texas_south", 32141),
+    ("texas_south_central", 32140),
+    ("utah_central", 32143),
+    ("utah_north", 32142),
+    ("utah_south", 32144),
+    ("vermont", 32145),
+    ("virginia_north", 32146),
+    ("virginia_south", 32147),
+    ("washington_north", 32148),
+    ("washington_south", 32149),
+    ("west_virginia_north", 32150),
+    ("west_virginia_south", 32151),
+    ("wisconsin_central", 32153),
+    ("wisconsin_north", 32152),
+    ("wisconsin_south", 32154),
+    ("wyoming_east", 32155),
+    ("wyoming_east_central", 32156),
+    ("wyoming_west", 32158),
+    ("wyoming_west_central", 32157),
+]
+# Six zones of 1983 whose names are also found with another geographic system, or with the first letters of
+# the system at the end of their own name. Both spellings are kept, as display systems are looked up by exact name.
+FURTHER_SPELLINGS = [
+    ("spcs83__idaho_central", "gcs_north_american_1927", 26969),
+    ("spcs83__idaho_east", "gcs_north_american_1927", 26968),
+    ("spcs83__idaho_west", "gcs_north_american_1927", 26970),
+    ("spcs83__maine_east_gcs", "north_american_1983", 26983),
+    ("spcs83__maine_west_gcs", "north_american_1983", 26984),
+    ("spcs83__maryland_gcs", "north_american_1983", 26985),
+]
+# Fixed values: (projection, geographic system, EPSG code).
 OTHER_PROJECTIONS = [
     ("albers_equal_area_conic_usgs_dlg_1_to_2m", NAD83, 102008),
     ("albers_equal_area_conic_usgs_dlg_1_to_2m", NAD27, 5069),
@@ -96,8 +276,7 @@ OTHER_PROJECTIONS = [
 def projections() -> list[tuple[str, str, int]]:
     """(projection, geographic system, EPSG code).
 
-    UTM codes are a base plus the zone, Alaska zones likewise. A 1983 state plane code is the
-    1927 code plus 200 in the 26700s and plus 100 in the 32000s.
+    UTM codes are a base plus the zone, Alaska zones likewise; the others are listed.
     """
     out: list[tuple[str, str, int]] = []
     for zone in range(1, 20):
@@ -109,18 +288,9 @@ def projections() -> list[tuple[str, str, int]]:
     for zone in range(1, 11):
         out.append((f"state_plane_1927__alaska_zone_{zone}", NAD27, 26730 + zone))
         out.append((f"state_plane_1983__alaska_zone_{zone}", NAD83, 26930 + zone))
-    zones = dict(entry.split() for entry in STATE_PLANE_1927.split(","))
-    out += [(f"spcs27__{zone}", NAD27, int(code)) for zone, code in zones.items()]
-    newer = {
-        zone: int(code) + (200 if code.startswith("267") else 100)
-        for zone, code in zones.items()
-        if zone not in DROPPED_1983.split()
-    }
-    newer |= STATE_PLANE_1983
-    out += [(f"spcs83__{zone}", NAD83, code) for zone, code in newer.items()]
-    out += [(f"spcs83__{zone}", NAD27, newer[zone]) for zone in ALSO_1983_UNDER_1927]
-    out += [(f"spcs83__{zone}_gcs", NAD83.removeprefix("gcs_"), newer[zone]) for zone in ALSO_1983_SPLIT_NAME]
-    return out + OTHER_PROJECTIONS
+    out += [(f"spcs27__{zone}", NAD27, code) for zone, code in STATE_PLANE_1927]
+    out += [(f"spcs83__{zone}", NAD83, code) for zone, code in STATE_PLANE_1983]
+    return out + FURTHER_SPELLINGS + OTHER_PROJECTIONS
 
 
 def geodetic_table(spark: SparkSession) -> DataFrame:

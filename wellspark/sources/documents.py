@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from wellspark.functions.values import TEXT_TIMESTAMP, json_sanitize
 
-BOOKKEEPING = ("doc_key", "part", "part_of")
+# What a document row has besides the tables; an export leaves it out.
+BOOKKEEPING = ("doc_key",)
 JSON_OPTIONS = {
     "ignoreNullFields": "false",
     "timestampFormat": TEXT_TIMESTAMP,
@@ -30,16 +31,10 @@ def to_json(docs: DataFrame, alias: str = "json") -> Column:
 
 
 def write_docs(
-    docs: DataFrame, path: str, max_records: int = 100_000, bookkeeping: bool = True, mode: str = "errorifexists"
+    docs: DataFrame, path: str, max_records: int = 100_000, bookkeeping: bool = False, mode: str = "errorifexists"
 ) -> None:
-    """JSON Lines, one file set per job; no task holds more than the rows it is writing.
-
-    Continuation rows need their bookkeeping columns. Without them the export must hold whole
-    documents only, which is checked before anything is written.
-    """
+    """JSON Lines, one document per row, one file set per job; no task holds more than the rows it is writing."""
     if not bookkeeping:
-        if not docs.filter(F.col("part") > 0).isEmpty():
-            raise ValueError("some documents continue over several rows: keep the bookkeeping columns")
         docs = docs.drop(*BOOKKEEPING)
     # Timestamps stay typed here: the sink has its own text format for them.
     json_sanitize(docs, timestamps=False).write.mode(mode).options(**JSON_OPTIONS, maxRecordsPerFile=str(max_records)).json(path)

@@ -1,7 +1,4 @@
-"""Projects, storage totals and modification times from a file manifest.
-
-A manifest is a table (path, is_dir, length, mtime); `project_root` is added by assign_projects.
-"""
+"""Projects, storage totals and modification times from a file manifest (path, is_dir, length, mtime)."""
 
 from __future__ import annotations
 
@@ -66,55 +63,60 @@ def _ancestors(path: Column) -> Column:
     return F.transform(depths, lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))
 
 
-def find_projects(manifest: DataFrame, markers: Markers = Markers()) -> DataFrame:
-    """Distinct directories that directly hold every marker file and folder.
+def folders(manifest: DataFrame, markers: Markers = Markers()) -> DataFrame:
+    """One row per folder: bytes and files it holds directly, their latest time, and whether it is a project.
 
-    Only marker rows reach the grouping, so a huge folder costs one combined flag row per task.
-    """
+    The manifest is read once and combined before the shuffle, so a huge folder costs one row per task. A marker
+    folder marks the one above it."""
     path = normal_path(F.col("path"))
     name = _name(path)
-    marks = {
-        **{f"file {f}": ~F.col("is_dir") & (name == f) for f in markers.files},
-        **{f"folder {f}": F.col("is_dir") & (name == f) for f in markers.folders},
-    }
-    any_mark = name.isin([*markers.files, *markers.folders])
-    flags = [F.bool_or(mark).alias(label) for label, mark in marks.items()]
-    found = manifest.filter(any_mark).groupBy(_parent(path).alias("fs_path")).agg(*flags)
-    for label in marks:
-        found = found.filter(F.col(f"`{label}`"))
-    return found.select("fs_path")
-
-
-def assign_projects(manifest: DataFrame, projects: DataFrame) -> DataFrame:
-    """Each entry once per project directory above it, by equality on its ancestor folders."""
-    path = normal_path(F.col("path"))
-    above = manifest.withColumn("project_root", F.explode(_ancestors(path)))
-    roots = projects.select(F.col("fs_path").alias("project_root"))
-    return above.join(roots, "project_root")
-
-
-def storage_stats(manifest: DataFrame, keys: Sequence[str] = ("project_root",)) -> DataFrame:
-    """Bytes, files and distinct directories per project."""
-    path = normal_path(F.col("path"))
-    folder = F.when(F.col("is_dir"), path).otherwise(_parent(path))
-    # Rows combine per directory first: the distinct count then adds small, even groups.
-    per_folder = manifest.groupBy(*keys, folder.alias("_folder")).agg(
-        F.sum(F.when(~F.col("is_dir"), F.col("length"))).alias("_bytes"),
-        F.count_if(~F.col("is_dir")).alias("_files"),
+    is_file = ~F.col("is_dir")
+    none = F.lit(None).cast("string")
+    own = F.struct(
+        F.when(F.col("is_dir"), path).otherwise(_parent(path)).alias("folder"),
+        F.lit(True).alias("listed"),
+        F.when(is_file & name.isin(list(markers.files)), F.concat(F.lit("file "), name)).otherwise(none).alias("mark"),
     )
-    return per_folder.groupBy(*keys).agg(
-        F.coalesce(F.sum("_bytes"), F.lit(0)).alias("bytes"),
-        F.sum("_files").alias("files"),
-        F.count("_folder").alias("directories"),
+    above = F.struct(_parent(path).alias("folder"), F.lit(False).alias("listed"), F.concat(F.lit("folder "), name).alias("mark"))
+    parts = F.when(F.col("is_dir") & name.isin(list(markers.folders)), F.array(own, above)).otherwise(F.array(own))
+    counts = F.when(is_file & ~name.isin(list(markers.volatile)), F.col("mtime").cast("timestamp_ntz"))
+    rows = manifest.select("is_dir", "length", counts.alias("mtime"), F.explode(parts).alias("_f"))
+    listed = F.col("_f.listed") & ~F.col("is_dir")
+    marks = [f"file {f}" for f in markers.files] + [f"folder {f}" for f in markers.folders]
+    whole = [F.coalesce(F.bool_or(F.col("_f.mark") == m), F.lit(False)) for m in marks]
+    project = whole[0]
+    for mark in whole[1:]:
+        project = project & mark
+    return rows.groupBy(F.col("_f.folder").alias("folder")).agg(
+        F.sum(F.when(listed, F.col("length"))).alias("bytes"),
+        F.count_if(listed).alias("files"),
+        F.max(F.when(listed, F.col("mtime"))).alias("mtime"),
+        F.bool_or("_f.listed").alias("listed"),
+        project.alias("is_project"),
     )
 
 
-def last_modified(
-    manifest: DataFrame, keys: Sequence[str] = ("project_root",), markers: Markers = Markers()
-) -> DataFrame:
-    """Latest file time per project without the database files; 1970-01-01 when there is none."""
-    counts = ~F.col("is_dir") & ~_name(normal_path(F.col("path"))).isin(list(markers.volatile))
+def find_projects(manifest: DataFrame, markers: Markers = Markers()) -> DataFrame:
+    """Distinct directories that directly hold every marker file and folder."""
+    return folders(manifest, markers).where("is_project").select(F.col("folder").alias("fs_path"))
+
+
+def project_totals(manifest: DataFrame, markers: Markers = Markers()) -> DataFrame:
+    """project_root, bytes, files, directories and repo_mod (latest time of a file that is not volatile; 1970-01-01
+    without one) of every project.
+
+    Every folder is counted for each project at or above it, by equality on its ancestors: folders, not files, are
+    multiplied, and only as often as they are deep."""
+    each = folders(manifest, markers)
+    roots = each.where("is_project").select(F.col("folder").alias("project_root"))
+    # The ancestors of a path below a folder are the folder and all above it; the empty one is no folder.
+    above = F.filter(_ancestors(F.concat("folder", F.lit("/"))), lambda p: p != "")
+    owned = each.where("listed").withColumn("project_root", F.explode(above)).join(roots, "project_root")
     epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
-    latest = F.max(F.when(counts, F.col("mtime").cast("timestamp_ntz")))
-    out = manifest.groupBy(*keys).agg(F.greatest(F.coalesce(latest, epoch), epoch).alias("repo_mod"))
+    out = owned.groupBy("project_root").agg(
+        F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes"),
+        F.sum("files").alias("files"),
+        F.count(F.lit(1)).alias("directories"),
+        F.greatest(F.coalesce(F.max("mtime"), epoch), epoch).alias("repo_mod"),
+    )
     return out.withColumn("repo_mod", floor_second(F.col("repo_mod"), out.schema["repo_mod"].dataType))

@@ -21,23 +21,19 @@ def scan_jdbc(
     spark: SparkSession,
     url: str,
     table: str,
-    partition_column: str | None = None,
-    bounds: tuple[int, int] | None = None,
-    partitions: int = 1,
+    partition_column: str,
+    bounds: tuple[int, int],
+    partitions: int,
     options: Mapping[str, str] | None = None,
 ) -> DataFrame:
-    """A database table, read by `partitions` parallel range queries over a numeric column."""
-    reader = spark.read.format("jdbc").options(url=url, dbtable=table, **(options or {}))
-    if partition_column:
-        if bounds is None:
-            raise ValueError("a partition column needs its bounds")
-        reader = reader.options(
-            partitionColumn=partition_column,
-            lowerBound=str(bounds[0]),
-            upperBound=str(bounds[1]),
-            numPartitions=str(partitions),
-        )
-    return reader.load()
+    """A database table, read by `partitions` parallel range queries over a numeric column; never by one task."""
+    ranges = {
+        "partitionColumn": partition_column,
+        "lowerBound": str(bounds[0]),
+        "upperBound": str(bounds[1]),
+        "numPartitions": str(partitions),
+    }
+    return spark.read.format("jdbc").options(url=url, dbtable=table, **ranges, **(options or {})).load()
 
 
 def row_counts(frames: Mapping[str, DataFrame]) -> DataFrame:
