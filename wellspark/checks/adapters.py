@@ -1,6 +1,7 @@
 """Domain tables derived from the given tables, whole and lazily.
 
-A well is an order, a supplier, a conversation or an embedding label, by what fits the asset.
+A well is an order, a supplier, a conversation or a run of embeddings, by what fits the asset; their number
+grows with the tables.
 Every function has its SQL twin of the same name in `oracle.CTES`.
 """
 
@@ -18,8 +19,14 @@ from wellspark.sources.scan import scan
 REGISTRATION_HEADER = 12
 
 
-def uwi(key: str) -> Column:
-    return F.lpad(F.col(key).cast("string"), 14, "0").alias("uwi")
+def uwi(key: str | Column) -> Column:
+    value = F.col(key) if isinstance(key, str) else key
+    return F.lpad(value.cast("string"), 14, "0").alias("uwi")
+
+
+def run(length: int) -> Column:
+    """The number of an embedding's run of so many vectors."""
+    return F.floor(F.col("vec_id") / length)
 
 
 def cents(name: str) -> Column:
@@ -95,10 +102,10 @@ class Given:
             uwi("conv_id"), F.col("conv_id").alias("gx_wsn"), F.concat(F.lit("conv "), "conv_id").alias("well_name")
         )
 
-    def label_well(self) -> DataFrame:
-        ids = self.table("embeddings").select("label").distinct()
+    def curve_well(self) -> DataFrame:
+        ids = self.table("embeddings").select(run(16).alias("run")).distinct()
         return ids.select(
-            uwi("label"), F.col("label").alias("gx_wsn"), F.concat(F.lit("label "), "label").alias("well_name")
+            uwi("run"), F.col("run").alias("gx_wsn"), F.concat(F.lit("run "), "run").alias("well_name")
         )
 
     # Lineitem, with the columns the child tables share.
@@ -311,11 +318,11 @@ class Given:
     def well_dir_proposed_srvy(self) -> DataFrame:
         return self._survey_headers().withColumn("gx_lp_tvd", F.col("top_depth"))
 
-    # Curves: an embedding label is a well, a vector is a curve.
+    # Curves: sixteen embeddings are a well, a vector is a curve.
 
     def gx_well_curve(self) -> DataFrame:
         return self.table("embeddings").select(
-            uwi("label").alias("wellid"),
+            uwi(run(16)).alias("wellid"),
             (F.col("vec_id") % 3).cast("string").alias("curveset"),
             F.col("vec_id").cast("string").alias("curvename"),
             F.lit(1).alias("version"),
@@ -329,7 +336,7 @@ class Given:
 
     def gx_well_curve_values(self) -> DataFrame:
         return self.table("embeddings").select(
-            uwi("label").alias("wellid"),
+            uwi(run(16)).alias("wellid"),
             (F.col("vec_id") % 3).cast("string").alias("curveset"),
             F.col("vec_id").cast("string").alias("curvename"),
             F.lit(1).alias("version"),
@@ -418,7 +425,7 @@ class Given:
         """Surface locations; some have no longitude."""
         lon = F.when(F.col("embedding")[3] <= 0.15, F.col("embedding")[0].cast("double") * 100)
         return self.table("embeddings").select(
-            F.col("label").alias("project_id"),
+            run(64).alias("project_id"),
             lon.alias("surface_longitude"),
             (F.col("embedding")[1].cast("double") * 100).alias("surface_latitude"),
         )

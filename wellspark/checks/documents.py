@@ -28,7 +28,7 @@ ASSET_TABLES = {
         "well_dir_srvy",
         "well_dir_proposed_srvy",
     ),
-    "vector_log": ("label_well", "gx_well_curve", "gx_well_curveset", "gx_well_curve_values"),
+    "vector_log": ("curve_well", "gx_well_curve", "gx_well_curveset", "gx_well_curve_values"),
     "zone": (
         "well",
         "well_zone_interval",
@@ -334,7 +334,7 @@ DOC_SQL = {
         FOLDED,
     ),
     "doc_vector_log": query(
-        f"""SELECT {SHORT_HEADER}, l.* EXCLUDE (uwi) FROM label_well w JOIN (
+        f"""SELECT {SHORT_HEADER}, l.* EXCLUDE (uwi) FROM curve_well w JOIN (
             SELECT c.wellid AS uwi, {_outer(_CURVES, "c.curveset, c.curvename")}
             FROM curve_text c JOIN curveset s ON c.wellid = s.wellid AND c.curveset = s.curveset
             GROUP BY c.wellid) l ON w.uwi = l.uwi""",

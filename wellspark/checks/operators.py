@@ -129,7 +129,7 @@ IDS_WITH_ASSET = query(
     UNION ALL SELECT 'ip', uwi FROM well WHERE uwi IN (SELECT uwi FROM item WHERE flag = 'A')
     UNION ALL SELECT DISTINCT 'production', uwi FROM produced
     UNION ALL SELECT 'raster_log', uwi FROM conversation_well
-    UNION ALL SELECT 'vector_log', uwi FROM label_well"""
+    UNION ALL SELECT 'vector_log', uwi FROM curve_well"""
 )
 
 

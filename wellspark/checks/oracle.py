@@ -35,9 +35,9 @@ CTES: dict[str, str] = {
     "conversation_well": f"""
         SELECT DISTINCT {pad("conv_id")} AS uwi, conv_id AS gx_wsn, 'conv ' || conv_id AS well_name
         FROM conversations""",
-    "label_well": f"""
-        SELECT DISTINCT {pad("label")} AS uwi, CAST(label AS BIGINT) AS gx_wsn,
-               'label ' || label AS well_name
+    "curve_well": f"""
+        SELECT DISTINCT {pad("vec_id // 16")} AS uwi, vec_id // 16 AS gx_wsn,
+               'run ' || (vec_id // 16) AS well_name
         FROM embeddings""",
     "item": f"""
         SELECT {pad("l_orderkey")} AS uwi, l_linenumber AS obs, l_partkey AS part, l_suppkey AS supp,
@@ -76,7 +76,7 @@ CTES: dict[str, str] = {
                o_orderdate AS survey_date, {cents("o_totalprice")} AS top_depth
         FROM surveyed s JOIN orders ON s.uwi = {pad("o_orderkey")}""",
     "curve": f"""
-        SELECT {pad("label")} AS wellid, CAST(vec_id % 3 AS VARCHAR) AS curveset,
+        SELECT {pad("vec_id // 16")} AS wellid, CAST(vec_id % 3 AS VARCHAR) AS curveset,
                CAST(vec_id AS VARCHAR) AS curvename, vec_id % 100 AS topdepth, embedding
         FROM embeddings""",
     "curveset": """
@@ -101,7 +101,7 @@ CTES: dict[str, str] = {
         SELECT project_root FROM manifest GROUP BY project_root
         HAVING bool_or(lang = 'en') AND bool_or(lang = 'fr') AND bool_or(lang = 'de')""",
     "points": """
-        SELECT label AS project_id, CAST(embedding[1] AS DOUBLE) * 100 AS lon,
+        SELECT vec_id // 64 AS project_id, CAST(embedding[1] AS DOUBLE) * 100 AS lon,
                CAST(embedding[2] AS DOUBLE) * 100 AS lat
         FROM embeddings WHERE embedding[4] <= 0.15""",
     "catalog": """

@@ -165,7 +165,7 @@ def _counts_sql(scope: str, key: str) -> str:
         counted("wells_with_ip", "(SELECT uwi FROM item WHERE flag = 'A')", d),
         counted("wells_with_production", "produced", d),
         counted("wells_with_raster_log", "(SELECT uwi FROM conversation_well WHERE uwi IN (SELECT uwi FROM well))", d),
-        counted("wells_with_vector_log", "label_well", d),
+        counted("wells_with_vector_log", "curve_well", d),
     ]
     sums = ", ".join(
         f"CAST(coalesce(sum(n) FILTER (WHERE asset = '{c}'), 0) AS BIGINT) AS {c}" for c in cat.COUNTS
