@@ -252,8 +252,8 @@ def lattice_scores(docs: DataFrame, path: str = VOCABULARY, rounds: int = ROUNDS
     both = F.when(F.col("n") > 0, high + F.log1p(F.exp(low - high))).otherwise(part)
     values = stored(valued.select("word", "n", base.alias("base"), (both / LOG10).alias("value")), "values")
 
-    top = values.orderBy(F.desc("n"), "word").limit(frequent).collect()
-    table = {r["word"]: (r["n"], r["base"], r["value"]) for r in top}
+    top = values.orderBy(F.desc("n"), "word").limit(frequent).toArrow().to_pydict()
+    table = dict(zip(top["word"], zip(top["n"], top["base"], top["value"])))
     ends = counts.where(F.col("word") == END).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
     end_base = math.log10((ends + 0.1) / (tokens + 0.1 * (kinds + 1)))
     end_value = math.log10((ends + 0.5) / (tokens + 1)) + math.log10(1 - new)
