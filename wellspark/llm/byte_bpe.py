@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import re
+from array import array
 
 import numpy as np
 import public_tokenizers
@@ -12,10 +13,12 @@ from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Regex, Tokenizer, models, pre_tokenizers
 
+from wellspark.llm.common import Remembered
+
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 PATTERN = public_tokenizers.PATTERN
-# Pieces of text that a task remembers the ids of, and the longest such piece in bytes.
-REMEMBERED = 500_000
+# Pieces of text that a task remembers the ids of (twice this many), and the longest such piece in bytes.
+REMEMBERED = 400_000
 LONGEST = 64
 
 # A piece is white space and the run of other characters after it. The pattern never matches across the end of
@@ -23,6 +26,11 @@ LONGEST = 64
 _PIECE = re.compile(rb"[ \t\n\r\x0b\x0c]*[^ \t\n\r\x0b\x0c]+|[ \t\n\r\x0b\x0c]+")
 # White space beyond ASCII, and what Python calls so: a text with any of it is not taken apart.
 _RARE_SPACE = re.compile(r"[^\S \t\n\r\x0b\x0c]")
+_SEPARATORS = re.compile(rb"[\x1c-\x1f]")
+# ASCII marks without the apostrophe, which may begin a match of its own kind.
+_MARKS = ".,!?;:#$%&*+-/=@^_`~\"()[]{}\\<|>"
+# The last letter of the Latin blocks, which every Unicode version knows as letters.
+_LATIN = "\u024f"
 
 
 def byte_characters() -> list[str]:
@@ -69,27 +77,39 @@ def tokenizer_from_ranks(tokens: list[bytes], pattern: str = PATTERN) -> str:
     return tokenizer.to_str()
 
 
-class PieceIds(dict):
-    """piece of text -> its token ids as little-endian 32-bit bytes; remembers short pieces."""
+class PieceIds(Remembered):
+    """piece of text -> its token ids as little-endian 32-bit bytes; remembers short pieces.
+
+    Marks after a letter or digit, and one line break or tab before a word, are matches of their own and
+    looked up by themselves. A word of Latin letters with at most one space before is one match: it goes to the
+    merges at once, written in the characters that stand for its bytes."""
 
     def __init__(self, json: str):
-        super().__init__()
+        super().__init__(REMEMBERED, LONGEST)
         self.tokenizer = Tokenizer.from_str(json)
-
-    def _encode(self, text: bytes) -> bytes:
-        return np.array(self.tokenizer.encode(text.decode(), add_special_tokens=False).ids, "<u4").tobytes()
-
-    def __missing__(self, piece: bytes) -> bytes:
-        if len(self) >= REMEMBERED:
-            self.clear()
-        ids = self._encode(piece)
-        if len(piece) <= LONGEST:
-            self[piece] = ids
-        return ids
+        self.merges = self.tokenizer.model
+        self.characters = dict(enumerate(byte_characters()))
+
+    def made(self, piece: bytes) -> bytes:
+        if piece[:1] in (b"\n", b"\t", b"\r") and not piece[1:2].isspace() and len(piece) > 1:
+            return self[piece[:1]] + self[piece[1:]]
+        text = piece.decode()
+        stem = text.rstrip(_MARKS)
+        if stem != text and stem and stem[-1].isalnum() and stem[-1] <= _LATIN:
+            cut = len(stem.encode())
+            return self[piece[:cut]] + self[piece[cut:]]
+        word = text.removeprefix(" ")
+        if word.isalpha() and max(word) <= _LATIN:
+            ids = [t.id for t in self.merges.tokenize(piece.decode("latin-1").translate(self.characters))]
+            return array("I", ids).tobytes()
+        return self.whole(piece)
+
+    def whole(self, text: bytes) -> bytes:
+        return array("I", self.tokenizer.encode(text.decode(), add_special_tokens=False).ids).tobytes()
 
     def of(self, text: bytes) -> bytes:
-        if not text.isascii() and _RARE_SPACE.search(text.decode()) or b"\x1c" <= min(text, default=32).to_bytes() <= b"\x1f":
-            return self._encode(text)
+        if _SEPARATORS.search(text) or not text.isascii() and _RARE_SPACE.search(text.decode()):
+            return self.whole(text)
         return b"".join(map(self.__getitem__, _PIECE.findall(text)))
 
 
@@ -122,13 +142,11 @@ def decoded(spark: SparkSession, ids: str | Column, path: str = RANKS) -> Column
 
     @F.arrow_udf("binary")
     def token_bytes(lists: pa.Array) -> pa.Array:
-        table = tokens.value
-        flat = lists.flatten().to_pylist()
-        ends = np.cumsum([0, *(n or 0 for n in lists.value_lengths().to_pylist())]).tolist()
-        if flat and min(flat) < 0:
+        token, flat = tokens.value.__getitem__, lists.flatten().to_numpy()
+        if flat.size and flat.min() < 0:
             raise ValueError("negative token id")
-        parts = list(map(table.__getitem__, flat))
-        return pa.array([b"".join(parts[a:b]) for a, b in zip(ends, ends[1:])], pa.binary())
+        ends = np.cumsum([0, *(n or 0 for n in lists.value_lengths().to_pylist())]).tolist()
+        return pa.array([b"".join(map(token, flat[a:b].tolist())) for a, b in zip(ends, ends[1:])], pa.binary())
 
     return token_bytes(ids)
 

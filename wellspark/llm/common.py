@@ -24,7 +24,7 @@ def shared_folder(spark: SparkSession) -> str:
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder
-    if not spark.sparkContext.master.startswith("local["):
+    if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return _own_folder()
 
@@ -38,6 +38,28 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Remembered(dict):
+    """key -> made(key), kept in two generations of at most `most` keys, so memory is bounded and frequent keys stay."""
+
+    def __init__(self, most: int, longest: int):
+        super().__init__()
+        self.most, self.longest, self.older = most, longest, {}
+
+    def made(self, key: bytes) -> bytes:
+        raise NotImplementedError
+
+    def __missing__(self, key: bytes) -> bytes:
+        value = self.older.get(key)
+        if value is None:
+            value = self.made(key)
+        if len(self) >= self.most:
+            self.older = dict(self)
+            self.clear()
+        if len(key) <= self.longest:
+            self[key] = value
+        return value
+
+
 def local_roots(n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
     """For nodes 0..n-1 of one task: the smallest node that each one reaches over the given links."""
     root = np.arange(n)
