@@ -22,13 +22,18 @@ _ODD = 0x5555555555555555
 _HASHES_AT_ONCE = 1 << 16
 
 
-def _majority(items: Iterable[bytes], digest: Callable[[bytes], bytes], bits: int) -> np.ndarray:
-    """The bits set in over half the digests, packed in bytes; all zero without items."""
+def _majority(items: Iterable[bytes], hashed: Callable[[list[bytes]], np.ndarray], bits: int) -> np.ndarray:
+    """The bits set in over half the hashes of the items, packed in bytes; all zero without items.
+
+    `hashed` gives a row of bytes per item."""
     items, counts, n = iter(items), np.zeros(bits, np.int64), 0
-    while part := b"".join([digest(s) for s in islice(items, _HASHES_AT_ONCE)]):
-        hashes = np.frombuffer(part, np.uint8).reshape(-1, bits // 8)
-        counts += np.unpackbits(hashes, axis=1).sum(axis=0, dtype=np.int32)
-        n += len(hashes)
+    while part := list(islice(items, _HASHES_AT_ONCE)):
+        votes = np.unpackbits(hashed(part), axis=1)
+        # Sums of up to 255 rows fit a byte, and bytes add fastest.
+        whole = len(votes) // 255 * 255
+        blocks = votes[:whole].reshape(-1, 255, bits).sum(axis=1, dtype=np.uint8)
+        counts += blocks.sum(axis=0, dtype=np.int64) + votes[whole:].sum(axis=0, dtype=np.uint8)
+        n += len(votes)
     return np.packbits(counts * 2 > n)
 
 
@@ -43,18 +48,29 @@ def _shingles(words: list[bytes], size: int) -> Iterable[bytes]:
     return map(b" ".join, zip(*(islice(words, i, None) for i in range(size))))
 
 
+def _xxh64(items: list[bytes]) -> np.ndarray:
+    digest = xxhash.xxh64_digest
+    return np.frombuffer(b"".join([digest(s, SEED) for s in items]), np.uint8).reshape(-1, 8)
+
+
 def fingerprint(text: bytes, size: int) -> int:
     """Signed 64-bit SimHash of the `size`-word shingles of a text."""
-    return int(_majority(_shingles(_words(text), size), lambda s: xxhash.xxh64_digest(s, SEED), 64).view(">i8")[0])
+    return int(_majority(_shingles(_words(text), size), _xxh64, 64).view(">i8")[0])
 
 
 def _wide(items: Iterable[bytes], prints: int) -> list[int]:
-    """`prints` (an even number) independent SimHashes."""
+    """`prints` independent SimHashes: of each item one 128-bit hash, mixed anew for every print."""
+    step = np.arange(1, prints + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
 
-    def digest(item: bytes) -> bytes:
-        return b"".join([xxhash.xxh3_128_digest(item, SEED + k) for k in range(prints // 2)])
+    def hashed(part: list[bytes]) -> np.ndarray:
+        lanes = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, part)), "<u8").reshape(-1, 2)
+        z = lanes[:, np.arange(prints) % 2] + step
+        # The finalizer of splitmix64.
+        z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        return np.ascontiguousarray(z ^ (z >> np.uint64(31)), ">u8").view(np.uint8)
 
-    return _majority(items, digest, 64 * prints).view(">i8").tolist()
+    return _majority(items, hashed, 64 * prints).view(">i8").tolist()
 
 
 def fingerprints(text: str | Column, size: int = 3) -> Column:
@@ -78,8 +94,8 @@ def _unary(value: Column) -> Column:
 
 
 def _cells(nodes: DataFrame) -> DataFrame:
-    """Grid cells (grid, cell) of every node: for each fingerprint two halves of 16 segments, the own cell of each half
-    and each one step up.
+    """Grid cells (grid, step, cell) of every node: for each fingerprint two halves of 16 segments, the own cell of each
+    half (step 0) and each one step up.
 
     Two fingerprints within Manhattan distance 3 differ by at most 1 in one of the halves, and then
     the lower one's cells hold the other's own cell."""
@@ -92,19 +108,20 @@ def _cells(nodes: DataFrame) -> DataFrame:
             steps.append(
                 F.when(code.bitwiseAND(first) == 0, code.bitwiseOR(first)).when(code.bitwiseAND(second) == 0, code.bitwiseOR(second))
             )
-        spot = F.explode(F.filter(F.array(code, *steps), lambda x: x.isNotNull())).alias("cell")
-        halves.append(each.select("node", (2 * F.col("k") + half).alias("grid"), spot))
+        spot = F.posexplode(F.array(code, *steps)).alias("step", "cell")
+        halves.append(each.select("node", (2 * F.col("k") + half).alias("grid"), spot).where("cell IS NOT NULL"))
     return halves[0].unionAll(halves[1])
 
 
 def _tiles(nodes: DataFrame, block: int) -> DataFrame:
-    """Rows of every cell with several nodes, in blocks; a row meets every block of its cell once, in tile (i, j) of its
-    blocks."""
+    """Rows of every cell that is some node's own and that others reach, in blocks; a row meets every block of its cell
+    once, in tile (i, j) of its blocks."""
     cells = _cells(nodes)
-    # Pre-aggregated: a crowded cell costs one row per task.
-    shared = cells.groupBy("grid", "cell").agg(F.count("*").alias("n")).where("n > 1")
+    # A cell that is nobody's own joins no pair. Pre-aggregated: a crowded cell costs one row per task.
+    counted = cells.groupBy("grid", "cell").agg(F.count("*").alias("n"), F.min("step").alias("first"))
+    shared = counted.where("n > 1 AND first = 0")
     blocks = F.ceil(F.col("n") / block).cast("int")
-    met = cells.join(shared.select("grid", "cell", blocks.alias("blocks")), ["grid", "cell"])
+    met = cells.drop("step").join(shared.select("grid", "cell", blocks.alias("blocks")), ["grid", "cell"])
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     return (
