@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -13,42 +14,50 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from wellspark.llm.common import stored
+from wellspark.llm.byte_bpe import byte_characters
+from wellspark.llm.common import Remembered, stored
 
 CAPACITY = 2048
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 SEPARATOR = 0
-# Words that a task remembers the ids of, and the longest such word in bytes.
-REMEMBERED = 500_000
+# ASCII marks that never belong to a token with letters or digits: no apostrophe, and none of <|> for special tokens.
+CLOSING = b".,!?;:#$%&*+-/=@^_`~\"()[]{}\\"
+# The last letter of the Latin blocks: up to it, lower-case letters are in normal form.
+LATIN = "\u024f"
+# Words that a task remembers the ids of (twice this many), and the longest such word in bytes.
+REMEMBERED = 400_000
 LONGEST = 64
 # Pieces of one length that one task ranks.
 RANKED = 1_000_000
 
 
-class WordIds(dict):
+class WordIds(Remembered):
     """word -> its token ids as little-endian 32-bit bytes.
 
     The vocabulary never merges across white space, so a text's ids are those of its words one after the
-    other. ASCII words are looked up in lower case and without one closing mark, which is a token of its own
-    after a letter or digit: both are what the vocabulary's normalizer and pattern do."""
+    other. ASCII words are looked up in lower case, and marks after a letter or digit by themselves: both are what the
+    vocabulary's normalizer and pattern do. Words of lower-case Latin
+    letters, which these leave as they are, go to its merges at once."""
 
     def __init__(self, path: str):
-        super().__init__()
+        super().__init__(REMEMBERED, LONGEST)
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-
-    def __missing__(self, word: bytes) -> bytes:
-        if len(self) >= REMEMBERED:
-            self.clear()
-        if word[-1:] in (b".", b",", b"!", b"?", b";", b":") and word[-2:-1].isalnum():
-            ids = self[word[:-1]] + self[word[-1:]]
-        elif word.isalpha() and not word.islower():
-            ids = self[word.lower()]
+        self.merges = self.tokenizer.model
+        self.characters = dict(enumerate(byte_characters()))
+
+    def made(self, word: bytes) -> bytes:
+        if word.isalpha():
+            if not word.islower():
+                return self[word.lower()]
+            ids = [t.id for t in self.merges.tokenize(word.decode())]
+        elif (stem := word.rstrip(CLOSING)) != word and stem and (last := stem.decode()[-1].lower()).isalnum() and last <= LATIN:
+            return self[stem] + self[word[len(stem) :]]
+        elif (text := word.decode()).isalpha() and text == text.lower() and max(text) <= LATIN:
+            ids = [t.id for t in self.merges.tokenize(word.decode("latin-1").translate(self.characters))]
         else:
-            ids = np.array(self.tokenizer.encode(word.decode(), add_special_tokens=False).ids, "<u4").tobytes()
-        if len(word) <= LONGEST:
-            self[word] = ids
-        return ids
+            ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+        return array("I", ids).tobytes()
 
     def of(self, text: bytes) -> bytes:
         return b"".join(map(self.__getitem__, text.split()))
