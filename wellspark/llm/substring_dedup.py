@@ -45,7 +45,7 @@ _POWERS = [_Powers(f) for f in FACTORS]
 
 
 class _Text:
-    """The words of a text and the rolling hashes of its windows, two lanes of 64 bits."""
+    """The words of a text and the rolling hashes of its windows: 64 bits, and 32 more of a second lane."""
 
     def __init__(self, text: bytes | None):
         self.words = (text or b"").split()
@@ -63,7 +63,8 @@ class _Text:
     def hashes(self, at: np.ndarray, size: int, lane: int) -> np.ndarray:
         sums = self._lane(lane)
         _, inverse = _POWERS[lane].upto(self.n)
-        return (sums[at + size] - sums[at]) * inverse[at]
+        found = (sums[at + size] - sums[at]) * inverse[at]
+        return (found >> np.uint64(32)).astype(np.uint32) if lane else found
 
     def anchors(self) -> np.ndarray:
         """Cover positions at which an anchor starts; none in a text without a window."""
@@ -120,7 +121,7 @@ def _anchor_rows(key: tuple, table: pa.Table) -> pa.Table:
 
 
 def _window_rows(key: tuple, docs: pa.Table, shared: pa.Table) -> pa.Table:
-    """Windows around shared anchors, each once per bucket, with the lowest and highest document that has it."""
+    """Windows around shared anchors, each once per bucket, with the lowest document that has it and whether others have."""
     known = np.sort(shared["anchor"].to_numpy().view(np.uint64))
     lanes: tuple[list, list] = [], []
     ids = []
@@ -134,18 +135,19 @@ def _window_rows(key: tuple, docs: pa.Table, shared: pa.Table) -> pa.Table:
         for lane in (0, 1):
             lanes[lane].append(text.hashes(starts, WINDOW, lane))
         ids.append(np.full(len(starts), doc_id))
-    low, high, doc = _joined(lanes[0], np.uint64), _joined(lanes[1], np.uint64), _joined(ids, np.int64)
+    low, high, doc = _joined(lanes[0], np.uint64), _joined(lanes[1], np.uint32), _joined(ids, np.int64)
     order = np.lexsort((high, low))
     low, high, doc = low[order], high[order], doc[order]
     new = (low[1:] != low[:-1]) | (high[1:] != high[:-1])
     first = np.flatnonzero(np.r_[True, new]) if low.size else np.zeros(0, np.int64)
+    lowest = np.minimum.reduceat(doc, first) if first.size else doc
     return pa.table(
         {
             "_bucket": pa.array(np.full(len(first), key[0].as_py()), pa.int64()),
             "h0": low[first].view(np.int64),
-            "h1": high[first].view(np.int64),
-            "lowest": np.minimum.reduceat(doc, first) if first.size else doc,
-            "highest": np.maximum.reduceat(doc, first) if first.size else doc,
+            "h1": high[first].view(np.int32),
+            "lowest": lowest,
+            "several": np.maximum.reduceat(doc, first) > lowest if first.size else np.zeros(0, bool),
         }
     )
 
@@ -154,7 +156,7 @@ class _Earlier:
     """The windows that start in an earlier document, with the smallest id of such a document."""
 
     def __init__(self, rows: pa.Table):
-        low, high = rows["h0"].to_numpy().view(np.uint64), rows["h1"].to_numpy().view(np.uint64)
+        low, high = rows["h0"].to_numpy().view(np.uint64), rows["h1"].to_numpy().view(np.uint32)
         order = np.lexsort((high, low))
         self.low, self.high, self.owner = low[order], high[order], rows["owner"].to_numpy()[order]
         # A table of the low 20 bits answers most questions without a search.
@@ -202,7 +204,7 @@ def substring_dedup(docs: DataFrame, bucket_chars: int = BUCKET) -> DataFrame:
     A word goes if it lies in a window of 50 words that also starts in a document with a smaller doc_id.
     Documents are shuffled once, into buckets of bounded size, and that shuffle is read three times:
     (1) every anchor once per bucket; anchors that two documents hold are shared; (2) the windows
-    around shared anchors, once per bucket and with 128-bit hashes, give the smallest document of each; (3)
+    around shared anchors, once per bucket and with 96-bit hashes, give the smallest document of each; (3)
     the words are removed. A passage in a third of all documents costs one row per bucket.
 
     Null texts have no words; rows without doc_id come after all others and lose nothing to each other,
@@ -226,12 +228,12 @@ def substring_dedup(docs: DataFrame, bucket_chars: int = BUCKET) -> DataFrame:
     windows = (
         dealt.groupBy("_bucket")
         .cogroup(shared.groupBy("_bucket"))
-        .applyInArrow(_window_rows, "_bucket long, h0 long, h1 long, lowest long, highest long")
+        .applyInArrow(_window_rows, "_bucket long, h0 long, h1 int, lowest long, several boolean")
     )
     same = Window.partitionBy("h0", "h1")
     earlier = (
         windows.select("*", F.min("lowest").over(same).alias("owner"))
-        .where("owner < highest")
+        .where("several OR owner < lowest")
         .select("_bucket", "h0", "h1", "owner")
     )
     schema = T.StructType(
