@@ -7,7 +7,7 @@ from collections import Counter
 
 import pytest
 
-from wellspark.llm.lattice_lm import START, Lattice, fitted, lattice_scores, read_pieces, word_counts
+from wellspark.llm.lattice_lm import START, Lattice, Lattices, fitted, lattice_scores, read_pieces, word_counts
 
 
 def segmentations(text, lattice):
@@ -44,6 +44,20 @@ def test_marginal_equals_sum_over_segmentations():
         assert counts == pytest.approx(dict(want))
 
 
+def test_many_words_at_once_equal_one_by_one():
+    pieces, draw = read_pieces(), random.Random(4)
+    alphabet = [*"abcdeiotnhszäñç.,-!1日🎉\x00▁"]
+    words = WORDS + ["".join(draw.choices(alphabet, k=draw.randrange(1, 90))) for _ in range(400)] + ["a"] * 3
+    one, many = Lattice(pieces), Lattices(pieces)
+    assert many.log_probabilities(words) == pytest.approx([one.log_probability(w) for w in words])
+    ours, theirs = {}, {}
+    many.expected(words, ours)
+    for w in words:
+        one.expected(w, theirs, 1.0)
+    assert {p: v for p, v in ours.items() if v > 1e-9} == pytest.approx({p: v for p, v in theirs.items() if v > 1e-9}, rel=1e-6)
+    assert list(many.log_probabilities([])) == []
+
+
 def test_long_words_do_not_underflow():
     value = Lattice(read_pieces()).log_probability("thon" * 20_000)
     assert math.isfinite(value) and value < -10_000
