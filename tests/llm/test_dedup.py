@@ -87,8 +87,8 @@ def test_simhash_components(spark, block):
     assert {i: got[i]["component_id"] for i in ids} == {i: ids[roots[n]] for n, i in enumerate(ids)}
 
 
-@pytest.mark.parametrize("block", [4096, 50])
-def test_grid_loses_no_link(spark, block):
+@pytest.mark.parametrize("block, crowd", [(4096, 64), (50, 2), (4096, 10_000)])
+def test_grid_loses_no_link(spark, block, crowd):
     """Crowded fingerprints, each a few bits from others: roots equal those of all pairs."""
     draw = random.Random(3)
     prints = {draw.getrandbits(64) for _ in range(30)} | {0, 2**64 - 1}
@@ -100,7 +100,7 @@ def test_grid_loses_no_link(spark, block):
     prints = sorted(prints)
     signed = [p - 2**64 if p >= 2**63 else p for p in prints]
     nodes = spark.createDataFrame([(p, [p], []) for p in signed], "node long, prints array<long>, proof array<long>")
-    found = near_links(nodes, block=block)
+    found = near_links(nodes, block=block, crowd=crowd)
     pairs = {(r["a"] % 2**64, r["b"] % 2**64) for r in found.collect()}
     assert all(linked(a, b) for a, b in pairs)
     roots = {r["node"] % 2**64: r["root"] for r in components(found).collect()}

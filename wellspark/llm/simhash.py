@@ -16,7 +16,9 @@ from wellspark.llm.components import components
 
 SEED = 42
 DISTANCE = 3
-# Rows of one grid cell that a task compares at once; larger cells are dealt out in tiles of two blocks.
+# Cells with more rows than this are crowded: tasks compare their rows in tiles of two blocks. Rows of other cells are joined.
+CROWDED = 64
+# Rows of a crowded cell in a block.
 BLOCK = 4096
 _ODD = 0x5555555555555555
 _HASHES_AT_ONCE = 1 << 16
@@ -94,7 +96,7 @@ def _unary(value: Column) -> Column:
 
 
 def _cells(nodes: DataFrame) -> DataFrame:
-    """Grid cells (grid, step, cell) of every node: for each fingerprint two halves of 16 segments, the own cell of each
+    """Grid cells (grid, step, cell, code) of every node: for each fingerprint two halves of 16 segments, the own cell of each
     half (step 0) and each one step up.
 
     Two fingerprints within Manhattan distance 3 differ by at most 1 in one of the halves, and then
@@ -109,19 +111,31 @@ def _cells(nodes: DataFrame) -> DataFrame:
                 F.when(code.bitwiseAND(first) == 0, code.bitwiseOR(first)).when(code.bitwiseAND(second) == 0, code.bitwiseOR(second))
             )
         spot = F.posexplode(F.array(code, *steps)).alias("step", "cell")
-        halves.append(each.select("node", (2 * F.col("k") + half).alias("grid"), spot).where("cell IS NOT NULL"))
+        grid = (2 * F.col("k") + half).alias("grid")
+        halves.append(each.select("node", grid, spot, "code").where("cell IS NOT NULL"))
     return halves[0].unionAll(halves[1])
 
 
-def _tiles(nodes: DataFrame, block: int) -> DataFrame:
-    """Rows of every cell that is some node's own and that others reach, in blocks; a row meets every block of its cell
-    once, in tile (i, j) of its blocks."""
-    cells = _cells(nodes)
-    # A cell that is nobody's own joins no pair. Pre-aggregated: a crowded cell costs one row per task.
-    counted = cells.groupBy("grid", "cell").agg(F.count("*").alias("n"), F.min("step").alias("first"))
-    shared = counted.where("n > 1 AND first = 0")
+def _joined(cells: DataFrame, nodes: DataFrame, distance: int, allowed: int) -> DataFrame:
+    """All links within sparse cells: rows that meet a cell's own node there, near by all segments, then exact."""
+    own = cells.where("step = 0").select("grid", "cell", F.col("node").alias("a"), F.col("code").alias("code_a"))
+    close = F.bit_count(F.col("code").bitwiseXOR(F.col("code_a"))) <= distance
+    pairs = own.join(cells, ["grid", "cell"]).where((F.col("a") != F.col("node")) & close)
+    pairs = pairs.select(F.floor(F.col("grid") / 2).cast("int").alias("k"), "a", F.col("node").alias("b")).distinct()
+    for end in ("a", "b"):
+        sides = nodes.select(F.col("node").alias(end), F.col("prints").alias(f"prints_{end}"), F.col("proof").alias(f"proof_{end}"))
+        pairs = pairs.join(sides, end)
+    prints = [F.element_at(f"prints_{end}", F.col("k") + 1) for end in ("a", "b")]
+    exact = F.bit_count(prints[0].bitwiseXOR(prints[1])) <= distance
+    apart = F.zip_with("proof_a", "proof_b", lambda x, y: F.bit_count(x.bitwiseXOR(y)))
+    proved = F.aggregate(apart, F.lit(0), lambda total, x: total + x) <= allowed
+    return pairs.where(exact & proved).select("a", "b")
+
+
+def _tiles(cells: DataFrame, crowded: DataFrame, nodes: DataFrame, block: int) -> DataFrame:
+    """Rows of crowded cells in blocks; a row meets every block of its cell once, in tile (i, j) of its blocks."""
     blocks = F.ceil(F.col("n") / block).cast("int")
-    met = cells.drop("step").join(shared.select("grid", "cell", blocks.alias("blocks")), ["grid", "cell"])
+    met = cells.drop("step", "code").join(crowded.select("grid", "cell", blocks.alias("blocks")), ["grid", "cell"])
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     return (
@@ -204,16 +218,25 @@ def _tile_links(distance: int, allowed: int):
     return find
 
 
-def near_links(nodes: DataFrame, distance: int = DISTANCE, allowed: int = 0, block: int = BLOCK) -> DataFrame:
+def near_links(
+    nodes: DataFrame, distance: int = DISTANCE, allowed: int = 0, block: int = BLOCK, crowd: int = CROWDED
+) -> DataFrame:
     """Links (a, b) among nodes (node, prints, proof): one of the fingerprints `prints` differs in at most `distance`
     bits and, unless `proof` is an empty list, all of `proof` together in at most `allowed`.
 
-    Not every pair: of each tile a spanning forest, so a group of a million neighbours gives about a
-    million rows. Every row is a true link. `distance` may be 0 to 3: the grid covers no more."""
+    In sparse cells all links, at most `crowd` per row; in crowded ones a spanning forest of each tile, so a group
+    of a million neighbours gives about a million rows. Every row is a true link. `distance` may be 0 to 3:
+    the grid covers no more."""
     if not 0 <= distance <= 3:
         raise ValueError("distance must be 0 to 3")
-    dealt = _tiles(nodes, block).repartition(*_KEYS).sortWithinPartitions(*_KEYS)
-    return dealt.mapInArrow(_tile_links(distance, allowed), "a long, b long")
+    cells = _cells(nodes)
+    # A cell that is nobody's own joins no pair. Pre-aggregated: a crowded cell costs one row per task.
+    counted = cells.groupBy("grid", "cell").agg(F.count("*").alias("n"), F.min("step").alias("first"))
+    crowded = stored(counted.where((F.col("n") > crowd) & (F.col("first") == 0)), "crowded")
+    sparse = cells.join(crowded, ["grid", "cell"], "left_anti")
+    dealt = _tiles(cells, crowded, nodes, block).repartition(*_KEYS).sortWithinPartitions(*_KEYS)
+    found = dealt.mapInArrow(_tile_links(distance, allowed), "a long, b long")
+    return found.unionAll(_joined(sparse, nodes, distance, allowed))
 
 
 def _named(rows: DataFrame, key: list[str], classes: DataFrame, links: DataFrame) -> DataFrame:
