@@ -1,0 +1,74 @@
+"""Near copies by true Jaccard similarity, against brute force that shares no code with the operator."""
+
+import random
+from fractions import Fraction
+
+import pytest
+
+from wellspark.llm.simhash import similar_groups
+
+WORDS = [f"{a}{b}" for a in range(80) for b in "abcdefghijklmnopqrstuvwxyz"]
+
+
+def shingles(text):
+    words = (text or "").split(" ")
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
+
+
+def jaccard(a, b):
+    return Fraction(len(a & b), len(a | b))
+
+
+def edited(draw, text, edits):
+    words = text.split(" ")
+    for at in draw.sample(range(len(words)), edits):
+        words[at] = draw.choice(WORDS)
+    return " ".join(words)
+
+
+def placed(spark, texts, **more):
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    return {r["doc_id"]: r["component_id"] for r in similar_groups(docs, **more).collect()}
+
+
+def test_every_similar_pair_links_and_no_other(spark):
+    """Pairs at all similarities from 0.6 on, most of them near 0.8, with edits scattered over texts of several sizes."""
+    draw = random.Random(29)
+    texts = []
+    for size, pairs in ((40, 150), (100, 150), (300, 120), (1000, 40), (3000, 12)):
+        for _ in range(pairs):
+            base = " ".join(draw.choices(WORDS, k=size))
+            texts += [base, edited(draw, base, max(1, round(size / 45 * draw.uniform(0.4, 2))))]
+    got = placed(spark, texts)
+    found = {}
+    for i in range(0, len(texts), 2):
+        true = jaccard(shingles(texts[i]), shingles(texts[i + 1]))
+        assert got[i] == i
+        found.setdefault(int(true * 20), []).append((true >= Fraction(4, 5), got[i + 1] == i))
+    assert all(want == linked for band in found.values() for want, linked in band)
+    assert len(found[16]) >= 30 and len(found[15]) >= 30 and len(found[14]) >= 20
+
+
+@pytest.mark.parametrize("crowd", [64, 4, 1])
+def test_crowds_and_chains(spark, crowd):
+    """Families that drift, families that share three quarters of a text, copies, and texts of a few words."""
+    draw = random.Random(31)
+    template, texts = " ".join(draw.choices(WORDS, k=150)), []
+    for _ in range(6):
+        text = f"{template} {' '.join(draw.choices(WORDS, k=draw.choice([20, 40, 60])))}"
+        for _ in range(20):
+            texts.append(text)
+            text = edited(draw, text, draw.choice([0, 1, 2, 3, 4]))
+    hub = " ".join(draw.choices(WORDS, k=200))
+    texts += [edited(draw, hub, draw.choice([1, 2, 3, 4])) for _ in range(80)]
+    texts += [f"{a} {b}" for a in "xyz" for b in "xyz"] + ["", "x", "x x x x x x x x x", *texts[:5]]
+    draw.shuffle(texts)
+    sets = [shingles(t) for t in texts]
+    root = list(range(len(texts)))
+    for a in range(len(texts)):
+        for b in range(a):
+            if root[a] != root[b] and jaccard(sets[a], sets[b]) >= Fraction(4, 5):
+                low, high = sorted((root[a], root[b]))
+                root = [low if r == high else r for r in root]
+    assert placed(spark, texts, crowd=crowd) == dict(enumerate(root))
+    assert 10 < len(set(root)) < len(texts) - 100

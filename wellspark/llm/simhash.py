@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
+from fractions import Fraction
 from itertools import islice
 
 import numpy as np
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 
 from wellspark.llm.common import LOWER, stored
 from wellspark.llm.components import components
+from wellspark.llm.jaccard import CROWD, signed, similar_links
 
 SEED = 42
 DISTANCE = 3
@@ -260,37 +262,24 @@ def simhash_groups(docs: DataFrame, size: int = 3, distance: int = DISTANCE, blo
     return grouped.select("doc_id", F.lpad(F.lower(F.hex("print")), 16, "0").alias("fingerprint"), "component_id")
 
 
-# Fingerprints over the different words of a text that look for near copies, and over its shingles that prove them.
+# Fingerprints over the different words of a text, and over its shingles, that estimate what similar_groups finds exactly:
+# the tests of the pipeline hold it against them.
 SEEKING = 4
 PROVING = 4
 
 
-def similar_groups(
-    docs: DataFrame, size: int = 5, similarity: float = 0.8, seeking: int = SEEKING, proving: int = PROVING, block: int = BLOCK
-) -> DataFrame:
-    """doc_id and component_id, where texts link whose `size`-word shingles have about `similarity` (Jaccard) or more.
-
-    One fingerprint over shingles differs in far more than 3 bits between texts that share four of five shingles. So
-    `seeking` fingerprints over the different words of the texts, which an edit moves less, find pairs on the
-    same grid (3 bits in any of them), and `proving` fingerprints over the shingles decide: they may differ in as many
-    bits as the similarity allows and one standard deviation more. Rows, nulls and copies as in simhash_groups;
-    texts with equal words in equal order are one node."""
-    bits = 64 * proving
-    share = np.arccos(2 * similarity / (1 + similarity)) / np.pi
-    allowed = int(bits * share + np.sqrt(bits * share * (1 - share)))
-
-    @F.arrow_udf("struct<prints:array<long>,proof:array<long>>")
-    def signatures(texts: pa.Array) -> pa.Array:
-        prints, proofs = [], []
-        for text in texts.cast(pa.binary()):
-            words = _words(text.as_py() or b"")
-            prints.append(_wide(set(words), seeking))
-            proofs.append(_wide(_shingles(words, size), proving))
-        lists = pa.list_(pa.int64())
-        return pa.StructArray.from_arrays([pa.array(prints, lists), pa.array(proofs, lists)], ["prints", "proof"])
-
-    rows = stored(docs.select("doc_id", signatures("text").alias("s")).select("doc_id", "s.*"), "signatures")
-    key = ["prints", "proof"]
-    classes = rows.groupBy(*key).agg(F.min("doc_id").alias("first"))
-    classes = stored(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
-    return _named(rows, key, classes, near_links(classes.select("node", *key), DISTANCE, allowed, block)).select("doc_id", "component_id")
+def similar_groups(docs: DataFrame, size: int = 5, similarity: float = 0.8, crowd: int = CROWD) -> DataFrame:
+    """doc_id and component_id, where texts link whose sets of `size`-word shingles have a Jaccard similarity of `similarity`
+    or more.
+
+    No such pair is lost and no other one links: candidates come from a prefix filter, which every similar pair passes, and
+    are verified on the sets. A SimHash grid finds pairs of this similarity with a probability only, as their
+    fingerprints differ in about 4 bits over words and 10 over shingles. Rows, nulls and copies as in
+    simhash_groups; texts with equal sets are one node, also those without words."""
+    share = Fraction(str(similarity))
+    texts = stored(docs.select("doc_id", "text").withColumn("row", F.monotonically_increasing_id()), "texts")
+    rows = stored(signed(texts, size, share), "signatures")
+    classes = stored(rows.groupBy("key").agg(F.min("doc_id").alias("first"), F.min("row").alias("node")), "classes")
+    nodes = rows.withColumnRenamed("row", "node").join(classes.select("node"), "node", "left_semi").select("node", "n", "prefix")
+    links = similar_links(texts, nodes, size, share, crowd)
+    return _named(rows.select("doc_id", "key"), ["key"], classes, links).select("doc_id", "component_id")
