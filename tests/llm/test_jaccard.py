@@ -5,6 +5,7 @@ from fractions import Fraction
 
 import pytest
 
+import corpus_pipeline as pipeline
 from wellspark.llm.simhash import similar_groups
 
 WORDS = [f"{a}{b}" for a in range(80) for b in "abcdefghijklmnopqrstuvwxyz"]
@@ -72,3 +73,15 @@ def test_crowds_and_chains(spark, crowd):
                 root = [low if r == high else r for r in root]
     assert placed(spark, texts, crowd=crowd) == dict(enumerate(root))
     assert 10 < len(set(root)) < len(texts) - 100
+
+
+def test_one_row_of_each_group_stays_also_under_repeated_ids(spark):
+    draw = random.Random(37)
+    a, b, c, d, e, f = (" ".join(draw.choices(WORDS, k=200)) for _ in range(6))
+    rows = [(3, edited(draw, a, 1)), (5, a), (5, b), (8, b), (None, c), (None, edited(draw, c, 1)), (7, d), (7, d), (9, e), (None, e), (7, f)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], schema)
+    stayed = [(r["doc_id"], r["text"]) for r in pipeline.near_duplicates(spark, docs.repartition(3), "").collect()]
+    nameless = [t for i, t in stayed if i is None]
+    assert len(nameless) == 1 and nameless[0] in (rows[4][1], rows[5][1])
+    assert sorted(x for x in stayed if x[0]) == sorted([rows[0], (5, b), (7, d), (9, e), (7, f)])

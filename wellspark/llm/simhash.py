@@ -268,18 +268,31 @@ SEEKING = 4
 PROVING = 4
 
 
-def similar_groups(docs: DataFrame, size: int = 5, similarity: float = 0.8, crowd: int = CROWD) -> DataFrame:
+def similar_groups(
+    docs: DataFrame, size: int = 5, similarity: float = 0.8, crowd: int = CROWD, row: str | None = None
+) -> DataFrame:
     """doc_id and component_id, where texts link whose sets of `size`-word shingles have a Jaccard similarity of `similarity`
     or more.
 
     No such pair is lost and no other one links: candidates come from a prefix filter, which every similar pair passes, and
     are verified on the sets. A SimHash grid finds pairs of this similarity with a probability only, as their
     fingerprints differ in about 4 bits over words and 10 over shingles. Rows, nulls and copies as in
-    simhash_groups; texts with equal sets are one node, also those without words."""
+    simhash_groups; texts with equal sets are one node, also those without words.
+
+    With `row`, the name of a long column that is different in all rows of the stored `docs`, also that column and
+    `kept`: true for one row per component, the first by doc_id (null last), hash of the text and row."""
     share = Fraction(str(similarity))
-    texts = stored(docs.select("doc_id", "text").withColumn("row", F.monotonically_increasing_id()), "texts")
+    if row is None:
+        texts = stored(docs.select("doc_id", "text").withColumn("row", F.monotonically_increasing_id()), "texts")
+    else:
+        texts = docs.select("doc_id", "text", F.col(row).alias("row"))
     rows = stored(signed(texts, size, share), "signatures")
-    classes = stored(rows.groupBy("key").agg(F.min("doc_id").alias("first"), F.min("row").alias("node")), "classes")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "hash", "row")).alias("first")
+    classes = stored(rows.groupBy("key").agg(first, F.min("row").alias("node")), "classes")
     nodes = rows.withColumnRenamed("row", "node").join(classes.select("node"), "node", "left_semi").select("node", "n", "prefix")
     links = similar_links(texts, nodes, size, share, crowd)
-    return _named(rows.select("doc_id", "key"), ["key"], classes, links).select("doc_id", "component_id")
+    named = _named(rows.select("doc_id", "row", "key"), ["key"], classes, links)
+    component = F.col("component_id.doc_id").alias("component_id")
+    if row is None:
+        return named.select("doc_id", component)
+    return named.select("doc_id", component, F.col("row").alias(row), (F.col("row") == F.col("component_id.row")).alias("kept"))
