@@ -1,5 +1,7 @@
 """The clause grammar, and its accuracy on held-out labels."""
 
+import string
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -29,6 +31,17 @@ def test_clauses(text, kinds):
     assert (grammar.features(text.encode()) is not None) == bool(kinds)
 
 
+@pytest.mark.parametrize("around", ["a text", "Müll, ΑΣ.Β"])
+@pytest.mark.parametrize("mark", [*string.punctuation, *string.digits, "\t", "\x00", "\x1c", "''"])
+def test_prefilter_passes_what_the_machine_finds(mark, around):
+    grammar = Grammar(stems=["zork"])
+    for word in ("moron", "Kill", "zorks", "idiot's", "fine"):
+        for said in (f"{mark}{word}{mark}", f"{word}{mark}", f"{word}{mark}like", f"x{mark}{word}"):
+            text = f"{around} you {said} there"
+            found = list(grammar.clauses(_TOKEN.findall(text)))
+            assert (grammar.features(text.encode()) is not None) == bool(found), text
+
+
 def test_stems_join_the_insults():
     grammar = Grammar(stems=["zork"])
     assert list(grammar.clauses(["You", "zorkling"])) == [("stem", True, "plain")]

@@ -56,7 +56,8 @@ REACH = 4
 
 _TOKEN = re.compile(rf"[^\W\d_]+(?:['’][^\W\d_]+)*|[.,;:!?\n]|[{QUOTES}]")
 _BREAKS = frozenset(".,;:!?\n")
-_MARKS = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ.,;:!?()[]{}\"*_<>|/", b"abcdefghijklmnopqrstuvwxyz                   ")
+# Letters in lower case, blanks for all other bytes of ASCII.
+_LETTERS = bytes(c | 0x20 if chr(c).isalpha() else 0x20 for c in range(128)) + bytes(range(128, 256))
 
 
 def _lexical() -> dict[str, int]:
@@ -87,6 +88,7 @@ class Grammar:
         self.words = _lexical()
         self.triggers = frozenset(w.encode() for w, kind in self.words.items() if kind in (INSULT, THREAT))
         self.starts = tuple(self.stems)
+        self.beginnings = [stem.encode() for stem in self.stems]
 
     def clauses(self, tokens: list[str]) -> Iterator[tuple[str, bool, str]]:
         """Kinds of the clauses that hold an insult or a threat against somebody.
@@ -143,12 +145,12 @@ class Grammar:
 
     def _triggered(self, text: bytes) -> bool:
         """Whether a text has an insulting or threatening word or stem at all; most have none and need no machine."""
-        low = text.decode().lower()
-        if any(stem in low for stem in self.stems):
-            return True
         if text.isascii():
-            return not self.triggers.isdisjoint(text.translate(_MARKS).split())
-        return not self.triggers.isdisjoint(w.encode() for w in _TOKEN.findall(low))
+            # Every word that the machine could find is a run of letters; runs that an apostrophe joins it sorts out.
+            low = text.translate(_LETTERS)
+            return any(stem in low for stem in self.beginnings) or not self.triggers.isdisjoint(low.split())
+        words = [t.lower() for t in _TOKEN.findall(text.decode())]
+        return any(w.startswith(self.starts) for w in words) or not self.triggers.isdisjoint(w.encode() for w in words)
 
     def score(self, text: bytes) -> float:
         found = self.features(text)
