@@ -80,3 +80,15 @@ def test_odd_rows_and_no_labels(spark):
     assert fit(empty, none).stems == []
     with pytest.raises(ValueError):
         toxicity(docs.withColumn("score", F.lit(1)), none)
+
+
+def test_training_rows_are_bounded_by_labels_not_by_documents(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr("wellspark.llm.toxicity._fit", lambda x, y: seen.append((x.tolist(), y.tolist())) or ([0.0] * x.shape[1], 0.0))
+    rows = [(i, "you idiot" if i % 2 else "fine") for i in range(10)] + [(3, f"you moron {i}") for i in range(500)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(10)] + [(3, 0)], "doc_id long, toxic int")
+    for n in (4, 100):
+        for parts in (1, 7):
+            fit(spark.createDataFrame(rows, "doc_id long, text string").repartition(parts), labels, n)
+    assert [len(y) for _, y in seen] == [4, 4, 11, 11]
+    assert sorted(map(str, zip(*seen[2]))) == sorted(map(str, zip(*seen[3])))

@@ -233,12 +233,14 @@ def _stems(training: DataFrame) -> list[str]:
 def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS) -> Grammar:
     """A grammar fitted on at most `rows` labelled documents; labels without a doc_id or a verdict are not used.
 
-    Learned are stems of insults that the lists lack and the weights of the clause kinds. What reaches the driver
-    is bounded by `rows`."""
+    Learned are stems of insults that the lists lack and the weights of the clause kinds. Of documents with one doc_id the
+    one with the smallest hash of its text is learned from, so what reaches the driver is bounded by `rows`."""
     labelled = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").select("doc_id", F.col("toxic").cast("int"))
     chosen = labelled.orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(rows)
     # At most `rows` pairs of numbers.
-    training = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    named = docs.select("doc_id", "text").join(F.broadcast(chosen.select("doc_id").distinct()), "doc_id")
+    one = named.groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("text"), "text")).alias("first")).select("doc_id", "first.text")
+    training = one.join(F.broadcast(chosen), "doc_id")
     grammar = Grammar(stems=_stems(training))
     found = training.select("toxic", _features(grammar)("text").alias("x")).collect()
     # Without labelled rows: the prior alone.
