@@ -289,7 +289,8 @@ def similar_groups(
     rows = stored(signed(texts, size, share), "signatures")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "hash", "row")).alias("first")
     classes = stored(rows.groupBy("key").agg(first, F.min("row").alias("node")), "classes")
-    nodes = rows.withColumnRenamed("row", "node").join(classes.select("node"), "node", "left_semi").select("node", "n", "prefix")
+    nodes = rows.withColumnRenamed("row", "node").join(classes.select("node"), "node", "left_semi")
+    nodes = nodes.select("node", "n", "prefix", "odd")
     links = similar_links(texts, nodes, size, share, crowd)
     named = _named(rows.select("doc_id", "row", "key"), ["key"], classes, links)
     component = F.col("component_id.doc_id").alias("component_id")
