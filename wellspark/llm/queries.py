@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wellspark.llm import quality_rules
+from wellspark.llm import merkle_manifest, quality_rules
 from wellspark.llm.byte_bpe import decoded, encoded
 from wellspark.llm.embedding_dedup import embedding_dedup
 from wellspark.llm.lattice_lm import lattice_scores
@@ -86,6 +86,13 @@ def op10_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash_groups(_table(spark, folder, "documents"))
 
 
+def op11_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    # Tampering takes the line feeds from every text whose doc_id has an even checksum.
+    even = F.crc32(F.col("doc_id").cast("string")) % 2 == 0
+    altered = F.when(even, F.translate("text", "\n", "")).otherwise(F.col("text"))
+    return merkle_manifest.merkle_manifest(_table(spark, folder, "documents"), altered)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_embedding_dedup": op2_embedding_dedup,
@@ -97,7 +104,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_byte_bpe": op8_byte_bpe,
     "op9_url_filter": op9_url_filter,
     "op10_simhash": op10_simhash,
+    "op11_merkle_manifest": op11_merkle_manifest,
 }
 ORACLES: dict[str, str] = {
     "op1_quality_rules": quality_rules.SQL,
+    "op11_merkle_manifest": merkle_manifest.SQL,
 }
