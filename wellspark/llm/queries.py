@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wellspark.llm import merkle_manifest, paragraph_sketch, quality_rules
+from wellspark.llm import merkle_manifest, paragraph_sketch, phrase_mining, quality_rules
 from wellspark.llm.byte_bpe import decoded, encoded
 from wellspark.llm.embedding_dedup import embedding_dedup
 from wellspark.llm.lattice_lm import lattice_scores
@@ -93,6 +93,10 @@ def op11_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
     return merkle_manifest.merkle_manifest(_table(spark, folder, "documents"), altered)
 
 
+def op12_phrase_mining(spark: SparkSession, folder: str) -> DataFrame:
+    return phrase_mining.phrases(_table(spark, folder, "documents"))
+
+
 def op13_paragraph_sketch(spark: SparkSession, folder: str) -> DataFrame:
     return paragraph_sketch.compared(_table(spark, folder, "documents"))
 
@@ -109,10 +113,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_url_filter": op9_url_filter,
     "op10_simhash": op10_simhash,
     "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_phrase_mining": op12_phrase_mining,
     "op13_paragraph_sketch": op13_paragraph_sketch,
 }
 ORACLES: dict[str, str] = {
     "op1_quality_rules": quality_rules.SQL,
     "op11_merkle_manifest": merkle_manifest.SQL,
+    "op12_phrase_mining": phrase_mining.SQL,
     "op13_paragraph_sketch": paragraph_sketch.SQL,
 }
