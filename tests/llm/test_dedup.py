@@ -8,7 +8,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from wellspark.llm.components import components
-from wellspark.llm.simhash import fingerprint, near_links, simhash_groups, similar_groups
+from wellspark.llm.simhash import fingerprint, near_links, simhash_groups
 from wellspark.llm.substring_dedup import COVER, PERIOD, substring_dedup
 
 SPACES = " \t\n\x0b\x0c\r"
@@ -99,7 +99,7 @@ def test_grid_loses_no_link(spark, block, crowd):
             prints.add(p)
     prints = sorted(prints)
     signed = [p - 2**64 if p >= 2**63 else p for p in prints]
-    nodes = spark.createDataFrame([(p, [p], []) for p in signed], "node long, prints array<long>, proof array<long>")
+    nodes = spark.createDataFrame([(p, p) for p in signed], "node long, print long")
     found = near_links(nodes, block=block, crowd=crowd)
     pairs = {(r["a"] % 2**64, r["b"] % 2**64) for r in found.collect()}
     assert all(linked(a, b) for a, b in pairs)
@@ -113,33 +113,30 @@ def test_grid_loses_no_link(spark, block, crowd):
         near_links(nodes, distance=4)
 
 
-def test_any_print_seeks_and_the_proof_decides(spark):
-    far = 0x0F0F0F0F0F0F0F0F
-    rows = [(1, [0, far], [0, 0]), (2, [far, far], [3, 0]), (3, [0, -1], [0, 31]), (4, [-1, 0], [0, 0]), (5, [7, 0x3333333333333333], [1, 1])]
-    nodes = spark.createDataFrame(rows, "node long, prints array<long>, proof array<long>")
-    found = {tuple(sorted((r["a"], r["b"]))) for r in near_links(nodes, 3, 4).collect()}
-    assert (1, 2) in found and not {(1, 3), (1, 4), (3, 4)} & found
-    roots = {r["node"]: r["root"] for r in components(near_links(nodes, 3, 4)).collect()}
-    assert roots[1] == roots[2] == roots[5] and {3, 4}.isdisjoint(roots)
-
-
-def test_similar_groups_find_near_copies_only(spark):
+def test_one_row_of_each_group_is_kept(spark):
     draw = random.Random(11)
     vocabulary = [f"w{i}" for i in range(500)]
-    rows, wanted = [], {}
+    rows = []
     for g in range(40):
-        base = draw.choices(vocabulary, k=draw.randrange(150, 400))
+        base = draw.choices(vocabulary, k=400)
         for copy in range(4):
-            words = [draw.choice(vocabulary) if copy and draw.random() < 0.008 else w for w in base]
-            rows.append((g * 10 + copy, " ".join(words)))
-            wanted[g * 10 + copy] = g * 10
-    rows += [(9000, None), (9001, ""), (9002, rows[0][1].upper()), (None, rows[0][1])]
-    got = similar_groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
-    placed = {r["doc_id"]: r["component_id"] for r in got}
-    assert len(got) == len(rows) and placed[9002] == placed[None] == 0 and placed[9000] == placed[9001] == 9000
-    assert all(placed[i] // 10 == g // 10 for i, g in wanted.items())
-    assert sum(placed[i] == g for i, g in wanted.items()) >= 0.9 * len(wanted)
-    assert similar_groups(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+            at = draw.randrange(400)
+            rows.append((g * 10 + copy, " ".join([*base[:at], "x", *base[at + 1 :]] if copy else base)))
+    rows += [(9000, None), (9001, ""), (9002, rows[0][1].upper()), (None, rows[0][1]), (5, rows[0][1]), (5, rows[0][1]), (None, "q r s"), (None, "q r s")]
+    table = spark.createDataFrame([(*r, i, "clash") for i, r in enumerate(rows)], "doc_id long, text string, at long, kept string")
+    got = simhash_groups(table, row="at").collect()
+    prints = {r["at"]: int(r["fingerprint"], 16) for r in got}
+    assert prints == {i: fingerprint((t or "").encode(), 3) % 2**64 for i, (_, t) in enumerate(rows)}
+    roots = brute_components(len(rows), lambda a, b: linked(prints[a], prints[b]))
+    groups = {}
+    for r in got:
+        groups.setdefault(roots[r["at"]], []).append(r)
+    for members in groups.values():
+        ids = [r["doc_id"] for r in members if r["doc_id"] is not None]
+        kept = [r for r in members if r["kept"]]
+        assert len(kept) == 1 and kept[0]["doc_id"] == min(ids, default=None)
+        assert {r["component_id"] for r in members} == {min(ids, default=None)}
+    assert len(groups) < 80
 
 
 def test_simhash_odd_rows(spark):

@@ -1,15 +1,16 @@
 """Every stage of the pipeline against a plain Python version of it, on the output of the stage before."""
 
 import random
+import re
 
 import pytest
+import xxhash
 
 import corpus_pipeline as pipeline
 from test_dedup import split
 from wellspark.checks.compare import connect
 from wellspark.llm.packing import VOCABULARY, WordIds
 from wellspark.llm.quality_rules import SQL
-from wellspark.llm.simhash import PROVING, SEEKING, _shingles, _wide, _words
 from wellspark.llm.toxicity import fit, held_out
 from pyspark.sql import functions as F
 
@@ -68,18 +69,19 @@ def test_toxicity_drops_what_the_grammar_calls_toxic(spark, corpus):
 def test_one_document_of_each_group_stays(corpus):
     _, tables = corpus
     before = rows_of(tables[2])
-    signs = {}
-    for i, row in before.items():
-        words = _words(row[1].encode())
-        signs[i] = _wide(set(words), SEEKING), _wide(_shingles(words, 5), PROVING)
 
-    def apart(a, b):
-        return [bin((x ^ y) % 2**64).count("1") for x, y in zip(a, b)]
+    def simhash(text):
+        words = re.split("[ \t-\r]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text).strip(" \t\n\v\f\r"))
+        words = [w for w in words if w]
+        shingles = [" ".join(words[i : i + 3]) for i in range(len(words) - 2)] or ([" ".join(words)] if words else [])
+        hashes = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles]
+        return sum(1 << bit for bit in range(64) if 2 * sum(h >> bit & 1 for h in hashes) > len(hashes))
 
+    signs = {i: simhash(row[1]) for i, row in before.items()}
     root = {i: i for i in before}
     for i in sorted(before):
         for j in sorted(before):
-            linked = min(apart(signs[i][0], signs[j][0])) <= 3 and sum(apart(signs[i][1], signs[j][1])) <= 44
+            linked = (signs[i] ^ signs[j]).bit_count() <= 3
             if j < i and linked and root[i] != root[j]:
                 low, high = sorted((root[i], root[j]))
                 root = {k: low if r == high else r for k, r in root.items()}

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
-from fractions import Fraction
 from itertools import islice
 
 import numpy as np
@@ -14,7 +13,6 @@ from pyspark.sql import functions as F
 
 from wellspark.llm.common import LOWER, stored
 from wellspark.llm.components import components
-from wellspark.llm.jaccard import CROWD, signed, similar_links
 
 SEED = 42
 DISTANCE = 3
@@ -62,21 +60,6 @@ def fingerprint(text: bytes, size: int) -> int:
     return int(_majority(_shingles(_words(text), size), _xxh64, 64).view(">i8")[0])
 
 
-def _wide(items: Iterable[bytes], prints: int) -> list[int]:
-    """`prints` independent SimHashes: of each item one 128-bit hash, mixed anew for every print."""
-    step = np.arange(1, prints + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-
-    def hashed(part: list[bytes]) -> np.ndarray:
-        lanes = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, part)), "<u8").reshape(-1, 2)
-        z = lanes[:, np.arange(prints) % 2] + step
-        # The finalizer of splitmix64.
-        z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        return np.ascontiguousarray(z ^ (z >> np.uint64(31)), ">u8").view(np.uint8)
-
-    return _majority(items, hashed, 64 * prints).view(">i8").tolist()
-
-
 def fingerprints(text: str | Column, size: int = 3) -> Column:
     """SimHash of a text column as a signed long; zero for null and for texts without words."""
 
@@ -98,12 +81,12 @@ def _unary(value: Column) -> Column:
 
 
 def _cells(nodes: DataFrame) -> DataFrame:
-    """Grid cells (grid, step, cell, code) of every node: for each fingerprint two halves of 16 segments, the own cell of each
-    half (step 0) and each one step up.
+    """Grid cells (grid, step, cell, code) of every node: for its two halves of 16 segments the own cell (step 0) and each one
+    step up.
 
     Two fingerprints within Manhattan distance 3 differ by at most 1 in one of the halves, and then
     the lower one's cells hold the other's own cell."""
-    each = nodes.select("node", F.posexplode("prints").alias("k", "print")).withColumn("code", _unary(F.col("print")))
+    each = nodes.withColumn("code", _unary(F.col("print")))
     halves = []
     for half, code in enumerate((F.shiftrightunsigned("code", 32), F.col("code").bitwiseAND(F.lit(0xFFFFFFFF)))):
         steps = []
@@ -113,25 +96,19 @@ def _cells(nodes: DataFrame) -> DataFrame:
                 F.when(code.bitwiseAND(first) == 0, code.bitwiseOR(first)).when(code.bitwiseAND(second) == 0, code.bitwiseOR(second))
             )
         spot = F.posexplode(F.array(code, *steps)).alias("step", "cell")
-        grid = (2 * F.col("k") + half).alias("grid")
-        halves.append(each.select("node", grid, spot, "code").where("cell IS NOT NULL"))
+        halves.append(each.select("node", F.lit(half).alias("grid"), spot, "code").where("cell IS NOT NULL"))
     return halves[0].unionAll(halves[1])
 
 
-def _joined(cells: DataFrame, nodes: DataFrame, distance: int, allowed: int) -> DataFrame:
+def _joined(cells: DataFrame, nodes: DataFrame, distance: int) -> DataFrame:
     """All links within sparse cells: rows that meet a cell's own node there, near by all segments, then exact."""
     own = cells.where("step = 0").select("grid", "cell", F.col("node").alias("a"), F.col("code").alias("code_a"))
     close = F.bit_count(F.col("code").bitwiseXOR(F.col("code_a"))) <= distance
     pairs = own.join(cells, ["grid", "cell"]).where((F.col("a") != F.col("node")) & close)
-    pairs = pairs.select(F.floor(F.col("grid") / 2).cast("int").alias("k"), "a", F.col("node").alias("b")).distinct()
+    pairs = pairs.select("a", F.col("node").alias("b")).distinct()
     for end in ("a", "b"):
-        sides = nodes.select(F.col("node").alias(end), F.col("prints").alias(f"prints_{end}"), F.col("proof").alias(f"proof_{end}"))
-        pairs = pairs.join(sides, end)
-    prints = [F.element_at(f"prints_{end}", F.col("k") + 1) for end in ("a", "b")]
-    exact = F.bit_count(prints[0].bitwiseXOR(prints[1])) <= distance
-    apart = F.zip_with("proof_a", "proof_b", lambda x, y: F.bit_count(x.bitwiseXOR(y)))
-    proved = F.aggregate(apart, F.lit(0), lambda total, x: total + x) <= allowed
-    return pairs.where(exact & proved).select("a", "b")
+        pairs = pairs.join(nodes.select(F.col("node").alias(end), F.col("print").alias(f"print_{end}")), end)
+    return pairs.where(F.bit_count(F.col("print_a").bitwiseXOR(F.col("print_b"))) <= distance).select("a", "b")
 
 
 def _tiles(cells: DataFrame, crowded: DataFrame, nodes: DataFrame, block: int) -> DataFrame:
@@ -140,14 +117,8 @@ def _tiles(cells: DataFrame, crowded: DataFrame, nodes: DataFrame, block: int) -
     met = cells.drop("step", "code").join(crowded.select("grid", "cell", blocks.alias("blocks")), ["grid", "cell"])
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    return (
-        met.join(nodes, "node")
-        .select("*", own.alias("own"), other.alias("other"))
-        .select(
-            *("grid", "cell", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node"),
-            *(F.element_at("prints", F.floor(F.col("grid") / 2).cast("int") + 1).alias("print"), "proof"),
-        )
-    )
+    dealt = met.join(nodes, "node").select("*", own.alias("own"), other.alias("other"))
+    return dealt.select("grid", "cell", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "print")
 
 
 def _np_unary(value: np.ndarray) -> np.ndarray:
@@ -156,7 +127,7 @@ def _np_unary(value: np.ndarray) -> np.ndarray:
     return ((high & low) << np.uint64(1)) | high | low
 
 
-def _links(prints: np.ndarray, proofs: np.ndarray, distance: int, allowed: int) -> tuple[np.ndarray, np.ndarray]:
+def _links(prints: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
     """A spanning forest of the links among the nodes of one tile: fewer rows than nodes."""
     codes = _np_unary(prints)
     waiting = np.ones(len(prints), bool)
@@ -171,8 +142,6 @@ def _links(prints: np.ndarray, proofs: np.ndarray, distance: int, allowed: int)
             at = queue.pop()
             near = np.flatnonzero(waiting & (np.bitwise_count(codes ^ codes[at]) <= distance))
             near = near[np.bitwise_count(prints[near] ^ prints[at]) <= distance]
-            if proofs.shape[1]:
-                near = near[np.bitwise_count(proofs[near] ^ proofs[at]).sum(axis=1) <= allowed]
             if near.size:
                 waiting[near] = False
                 queue.extend(near.tolist())
@@ -184,7 +153,7 @@ def _links(prints: np.ndarray, proofs: np.ndarray, distance: int, allowed: int)
 _KEYS = ["grid", "cell", "i", "j"]
 
 
-def _tile_links(distance: int, allowed: int):
+def _tile_links(distance: int):
     """Links of the tiles in a partition sorted by tile. Only the last, unfinished tile is carried on."""
 
     def key(rows: pa.Table) -> np.ndarray:
@@ -193,11 +162,10 @@ def _tile_links(distance: int, allowed: int):
     def solve(rows: pa.Table, starts: np.ndarray) -> pa.RecordBatch:
         ends = np.append(starts[1:], len(rows))
         nodes, prints = rows["node"].to_numpy(), rows["print"].to_numpy().view(np.uint64)
-        proofs = rows["proof"].combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(rows), -1)
         found = [np.zeros((2, 0), np.int64)]
         for start, end in zip(starts[ends - starts > 1], ends[ends - starts > 1]):
             names, at = np.unique(nodes[start:end], return_index=True)
-            a, b = _links(prints[start:end][at], proofs[start:end][at], distance, allowed)
+            a, b = _links(prints[start:end][at], distance)
             found.append(np.stack([names[a], names[b]]))
         both = np.concatenate(found, axis=1)
         return pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], ["a", "b"])
@@ -220,11 +188,8 @@ def _tile_links(distance: int, allowed: int):
     return find
 
 
-def near_links(
-    nodes: DataFrame, distance: int = DISTANCE, allowed: int = 0, block: int = BLOCK, crowd: int = CROWDED
-) -> DataFrame:
-    """Links (a, b) among nodes (node, prints, proof): one of the fingerprints `prints` differs in at most `distance`
-    bits and, unless `proof` is an empty list, all of `proof` together in at most `allowed`.
+def near_links(nodes: DataFrame, distance: int = DISTANCE, block: int = BLOCK, crowd: int = CROWDED) -> DataFrame:
+    """Links (a, b) among nodes (node, print) whose fingerprints differ in at most `distance` bits.
 
     In sparse cells all links, at most `crowd` per row; in crowded ones a spanning forest of each tile, so a group
     of a million neighbours gives about a million rows. Every row is a true link. `distance` may be 0 to 3:
@@ -237,63 +202,35 @@ def near_links(
     crowded = stored(counted.where((F.col("n") > crowd) & (F.col("first") == 0)), "crowded")
     sparse = cells.join(crowded, ["grid", "cell"], "left_anti")
     dealt = _tiles(cells, crowded, nodes, block).repartition(*_KEYS).sortWithinPartitions(*_KEYS)
-    found = dealt.mapInArrow(_tile_links(distance, allowed), "a long, b long")
-    return found.unionAll(_joined(sparse, nodes, distance, allowed))
-
-
-def _named(rows: DataFrame, key: list[str], classes: DataFrame, links: DataFrame) -> DataFrame:
-    """`rows` with component_id, the smallest doc_id of all classes that their class reaches."""
-    placed = classes.join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
-    named = placed.groupBy("root").agg(F.min("first").alias("component_id"))
-    return rows.join(placed.select(*key, "root").join(named, "root").drop("root"), key)
+    found = dealt.mapInArrow(_tile_links(distance), "a long, b long")
+    return found.unionAll(_joined(sparse, nodes, distance))
 
 
-def simhash_groups(docs: DataFrame, size: int = 3, distance: int = DISTANCE, block: int = BLOCK) -> DataFrame:
-    """doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable) of every row of `docs`.
-
-    Only doc_id and text are read. Equal fingerprints are one node, so copies of any number cost one
-    comparison. Null texts have fingerprint zero; rows with a null doc_id are grouped but never name a
-    component unless all ids in it are null. Repeated rows are kept as they are."""
-    rows = stored(docs.select("doc_id", fingerprints(F.col("text"), size).alias("print")), "fingerprints")
-    classes = rows.groupBy("print").agg(F.min("doc_id").alias("first")).withColumn("node", F.col("print"))
-    classes = stored(classes, "classes")
-    nodes = classes.select("node", F.array("print").alias("prints"), F.array().cast("array<long>").alias("proof"))
-    grouped = _named(rows, ["print"], classes, near_links(nodes, distance, 0, block))
-    return grouped.select("doc_id", F.lpad(F.lower(F.hex("print")), 16, "0").alias("fingerprint"), "component_id")
-
-
-# Fingerprints over the different words of a text, and over its shingles, that estimate what similar_groups finds exactly:
-# the tests of the pipeline hold it against them.
-SEEKING = 4
-PROVING = 4
-
-
-def similar_groups(
-    docs: DataFrame, size: int = 5, similarity: float = 0.8, crowd: int = CROWD, row: str | None = None
+def simhash_groups(
+    docs: DataFrame, size: int = 3, distance: int = DISTANCE, block: int = BLOCK, row: str | None = None
 ) -> DataFrame:
-    """doc_id and component_id, where texts link whose sets of `size`-word shingles have a Jaccard similarity of `similarity`
-    or more.
+    """doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable) of every row of `docs`.
 
-    No such pair is lost and no other one links: candidates come from a prefix filter, which every similar pair passes, and
-    are verified on the sets. A SimHash grid finds pairs of this similarity with a probability only, as their
-    fingerprints differ in about 4 bits over words and 10 over shingles. Rows, nulls and copies as in
-    simhash_groups; texts with equal sets are one node, also those without words.
+    Only doc_id, text and `row` are read. Equal fingerprints are one node, so copies of any number cost one
+    comparison. Null, empty and blank texts have fingerprint zero and are near copies of each other; texts of any length
+    are hashed in parts. Rows with a null doc_id are grouped but never name a component unless all ids in it are
+    null. Repeated rows are kept as they are; an empty table gives an empty result.
 
     With `row`, the name of a long column that is different in all rows of the stored `docs`, also that column and
     `kept`: true for one row per component, the first by doc_id (null last), hash of the text and row."""
-    share = Fraction(str(similarity))
-    if row is None:
-        texts = stored(docs.select("doc_id", "text").withColumn("row", F.monotonically_increasing_id()), "texts")
-    else:
-        texts = docs.select("doc_id", "text", F.col(row).alias("row"))
-    rows = stored(signed(texts, size, share), "signatures")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "hash", "row")).alias("first")
-    classes = stored(rows.groupBy("key").agg(first, F.min("row").alias("node")), "classes")
-    nodes = rows.withColumnRenamed("row", "node").join(classes.select("node"), "node", "left_semi")
-    nodes = nodes.select("node", "n", "prefix", "odd")
-    links = similar_links(texts, nodes, size, share, crowd)
-    named = _named(rows.select("doc_id", "row", "key"), ["key"], classes, links)
-    component = F.col("component_id.doc_id").alias("component_id")
-    if row is None:
-        return named.select("doc_id", component)
-    return named.select("doc_id", component, F.col("row").alias(row), (F.col("row") == F.col("component_id.row")).alias("kept"))
+    key = F.col(row) if row else F.lit(0).cast("long")
+    tie = F.xxhash64("text") if row else F.lit(0).cast("long")
+    prints = fingerprints(F.col("text"), size).alias("print")
+    rows = stored(docs.select("doc_id", tie.alias("tie"), key.alias("row"), prints), "fingerprints")
+    first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tie", "row")
+    classes = stored(rows.groupBy("print").agg(F.min(first).alias("first")), "classes")
+    nodes = classes.select(F.col("print").alias("node"), "print")
+    linked = components(near_links(nodes, distance, block)).withColumnRenamed("node", "print")
+    placed = classes.join(linked, "print", "left").withColumn("root", F.coalesce("root", "print"))
+    named = placed.groupBy("root").agg(F.min("first").alias("first"))
+    grouped = rows.join(placed.select("print", "root").join(named, "root").drop("root"), "print")
+    shown = F.lpad(F.lower(F.hex("print")), 16, "0").alias("fingerprint")
+    result = ["doc_id", shown, F.col("first.doc_id").alias("component_id")]
+    if row:
+        result += [F.col("row").alias(row), (F.col("row") == F.col("first.row")).alias("kept")]
+    return grouped.select(*result)
