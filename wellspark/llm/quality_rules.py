@@ -17,8 +17,11 @@ SYMBOLS = "#*$%&|<>"
 # The margin keeps groups whose documents are all alike (spread 0) from losing ordinary ones.
 MARGINS = {"symbol_rate": 20, "mark_rate": 20, "upper_rate": 60, "line_rate": 400, "repeat_rate": 250, "echo_rate": 60}
 SPREADS = 10
-# A group with fewer documents takes the merged sketch of its language, then that of all documents.
-MIN_GROUP = 100
+# A group's sketch is blended with those of its language and of all documents, each of which weighs as much as this many
+# documents: large groups go by themselves, small ones by what is usual around them, with no step in between.
+PRIOR = 50
+# Weights are whole numbers of so many parts of a document.
+SCALE = 1_000_000
 MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
@@ -117,6 +120,22 @@ def sketches(measured: DataFrame, keys: list[str]) -> DataFrame:
     return measured.select(*keys, rates.alias("_r")).groupBy(*keys, "_r.rate", "_r.value").agg(F.count("*").alias("n"))
 
 
+def blended(sketch: DataFrame, language: str, source: str) -> DataFrame:
+    """The sketch of every language and source, as weights n, with those of its language and of all documents added at the
+    weight of PRIOR documents each. At most 1001 counters per group and rate."""
+    keys = [language, source]
+    groups = sketch.select(*keys, "rate").distinct()
+    parts = sketch.select(*keys, "rate", "value", (F.col("n") * SCALE).alias("n"))
+    for held in ([language], []):
+        merged = sketch.groupBy(*held, "rate", "value").agg(F.sum("n").alias("n"))
+        of_rate = ", ".join([*held, "rate"])
+        share = F.expr(f"n * {PRIOR * SCALE}L div sum(n) OVER (PARTITION BY {of_rate})").alias("n")
+        merged = merged.select(*(F.col(k).alias(f"_{k}") for k in held), F.col("rate").alias("_rate"), "value", share)
+        same = reduce(Column.__and__, (F.col(k).eqNullSafe(F.col(f"_{k}")) for k in [*held, "rate"]))
+        parts = parts.unionAll(groups.join(merged, same).select(*keys, "rate", "value", "n"))
+    return parts.groupBy(*keys, "rate", "value").agg(F.sum("n").alias("n"))
+
+
 def fences(sketch: DataFrame, keys: list[str]) -> DataFrame:
     """Per group the highest rate that is no outlier: q75 + SPREADS * (q75 - q25) + margin, as a column per rate."""
     total = f"sum(n) OVER (PARTITION BY {', '.join([*keys, 'rate'])})"
@@ -124,10 +143,10 @@ def fences(sketch: DataFrame, keys: list[str]) -> DataFrame:
     ranked = sketch.select("*", F.expr(total).alias("total"), F.expr(upto).alias("upto"))
     quarter = F.min(F.when(F.col("upto") * 4 >= F.col("total"), F.col("value")))
     upper = F.min(F.when(F.col("upto") * 4 >= F.col("total") * 3, F.col("value")))
-    found = ranked.groupBy(*keys, "rate").agg(quarter.alias("q25"), upper.alias("q75"), F.max("total").alias("total"))
+    found = ranked.groupBy(*keys, "rate").agg(quarter.alias("q25"), upper.alias("q75"))
     fence = F.col("q75") + SPREADS * (F.col("q75") - F.col("q25"))
     one = [F.max(F.when(F.col("rate") == r, fence + margin)).alias(f"{r}_fence") for r, margin in MARGINS.items()]
-    return found.groupBy(*keys).agg(F.max("total").alias("group_size"), *one)
+    return found.groupBy(*keys).agg(*one)
 
 
 def quality_rules(
@@ -137,8 +156,9 @@ def quality_rules(
 
     Rejected is what fails a base rule or exceeds a fence of its language and source. Measures are taken
     once and stored; sketches and filter read them. Sketches are pre-aggregated, so a source with a third
-    of all rows costs what the others cost. Null and empty texts have no words and fail; null languages and
-    sources are groups like others; repeated rows count each time; an empty table gives an empty one.
+    of all rows costs what the others cost. Null and empty texts have no words and fail; texts are read whole at
+    any length; null languages and sources are groups like others; repeated rows count each time; an empty table gives an
+    empty one.
     Columns of `docs` that have the name of a result are refused, as one of the two would be lost."""
     added = {*MEASURES, *MARGINS, "base_failed", "kept"}
     if clash := added & set(docs.columns):
@@ -146,22 +166,13 @@ def quality_rules(
     carry = docs.columns if carry is None else list(dict.fromkeys([*carry, language, source]))
     measured = stored(measures(docs).select(*carry, *MEASURES, *MARGINS, "base_failed"), "measures")
     sketch = stored(sketches(measured, [language, source]), "sketches")
-    levels = [[language, source], [language], []]
-    tables = []
-    for depth, keys in enumerate(levels):
-        merged = sketch.groupBy(*keys, "rate", "value").agg(F.sum("n").alias("n"))
-        limits = F.struct("group_size", *(f"{r}_fence" for r in MARGINS)).alias(f"_level{depth}")
-        tables.append(fences(merged, keys).select(*(F.col(k).alias(f"_{k}") for k in keys), limits))
-    judged = measured
-    for keys, table in zip(levels, tables):
-        same = reduce(Column.__and__, (F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys), F.lit(True))
-        judged = (judged.join(table, same, "left") if keys else judged.join(F.broadcast(table), how="left")).drop(
-            *(f"_{k}" for k in keys)
-        )
-    enough = [F.when(F.col(f"_level{i}")["group_size"] >= MIN_GROUP, F.col(f"_level{i}")) for i in (0, 1)]
-    judged = judged.withColumn("_fence", F.coalesce(*enough, F.col("_level2")))
+    keys = [language, source]
+    limits = F.struct(*(f"{r}_fence" for r in MARGINS)).alias("_fence")
+    table = fences(blended(sketch, language, source), keys).select(*(F.col(k).alias(f"_{k}") for k in keys), limits)
+    same = reduce(Column.__and__, (F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys))
+    judged = measured.join(table, same, "left").drop(*(f"_{k}" for k in keys))
     inside = reduce(Column.__and__, (F.col(r) <= F.col("_fence")[f"{r}_fence"] for r in MARGINS))
-    return judged.withColumn("kept", ~F.col("base_failed") & inside).drop("_fence", *(f"_level{i}" for i in range(3)))
+    return judged.withColumn("kept", ~F.col("base_failed") & inside).drop("_fence")
 
 
 # The same result in SQL: every window as a row instead of arrays, and quantiles from the sorted values.
@@ -204,15 +215,27 @@ r AS (
     coalesce(n_dup_lines * 1000 // nullif(n_lines, 0), 0) AS line_rate,
     coalesce(n_repeat_words * 1000 // nullif(n_words, 0), 0) AS repeat_rate,
     coalesce(echoes * 1000 // nullif(n_words, 0), 0) AS echo_rate FROM m),
+own AS (
+  SELECT lang, source, rate, value, count(*) AS n FROM ({" UNION ALL ".join(f"SELECT lang, source, '{r}' AS rate, {r} AS value FROM r" for r in MARGINS)})
+  GROUP BY ALL),
+groups AS (SELECT DISTINCT lang, source FROM r),
+by_lang AS (SELECT lang, rate, value, sum(n) AS n, sum(sum(n)) OVER (PARTITION BY lang, rate) AS total FROM own GROUP BY lang, rate, value),
+by_all AS (SELECT rate, value, sum(n) AS n, sum(sum(n)) OVER (PARTITION BY rate) AS total FROM own GROUP BY rate, value),
+blend AS (
+  SELECT lang, source, rate, value, sum(w) AS w FROM (
+    SELECT lang, source, rate, value, n * {SCALE} AS w FROM own
+    UNION ALL SELECT g.lang, g.source, rate, value, n * {PRIOR * SCALE} // total FROM groups g JOIN by_lang b ON b.lang IS NOT DISTINCT FROM g.lang
+    UNION ALL SELECT g.lang, g.source, rate, value, n * {PRIOR * SCALE} // total FROM groups g, by_all)
+  GROUP BY ALL),
+upto AS (
+  SELECT *, sum(w) OVER (PARTITION BY lang, source, rate ORDER BY value) AS u, sum(w) OVER (PARTITION BY lang, source, rate) AS t FROM blend),
+quartile AS (
+  SELECT lang, source, rate, min(value) FILTER (u * 4 >= t) AS q25, min(value) FILTER (u * 4 >= t * 3) AS q75 FROM upto GROUP BY lang, source, rate),
 fence AS (
-  SELECT lang, source, GROUPING(lang, source) AS level, count(*) AS n,
-    {", ".join(f"quantile_disc({r}, 0.75) + {SPREADS} * (quantile_disc({r}, 0.75) - quantile_disc({r}, 0.25)) + {m} AS {r}_fence" for r, m in MARGINS.items())}
-  FROM r GROUP BY GROUPING SETS ((lang, source), (lang), ())),
-f AS (
-  SELECT r.*, {", ".join(f"CASE WHEN a.n >= {MIN_GROUP} THEN a.{r}_fence WHEN b.n >= {MIN_GROUP} THEN b.{r}_fence ELSE c.{r}_fence END AS {r}_fence" for r in MARGINS)}
-  FROM r LEFT JOIN fence a ON a.level = 0 AND a.lang IS NOT DISTINCT FROM r.lang AND a.source IS NOT DISTINCT FROM r.source
-  LEFT JOIN fence b ON b.level = 1 AND b.lang IS NOT DISTINCT FROM r.lang
-  LEFT JOIN fence c ON c.level = 3)
+  SELECT lang, source,
+    {", ".join(f"max(CASE WHEN rate = '{r}' THEN q75 + {SPREADS} * (q75 - q25) + {m} END) AS {r}_fence" for r, m in MARGINS.items())}
+  FROM quartile GROUP BY lang, source),
+f AS (SELECT r.*, fence.* EXCLUDE (lang, source) FROM r JOIN fence ON fence.lang IS NOT DISTINCT FROM r.lang AND fence.source IS NOT DISTINCT FROM r.source)
 SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars,
   CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines,
   CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed,
