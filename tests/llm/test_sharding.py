@@ -6,7 +6,8 @@ from collections import Counter, defaultdict
 
 import pytest
 
-from wellspark.llm.sharding import Slot, new_map, rebalanced, sharded
+from wellspark.llm.sharding import Slot, hash_slot, new_map, read_map, rebalanced, sharded
+from pyspark.sql import functions as F
 
 
 def filled(mapped, weights):
@@ -72,6 +73,38 @@ def test_a_hot_text_is_split(spark):
     assert table.where("part > 0").count() > 0
 
 
+def test_light_texts_beside_a_hot_one_stay_together(spark):
+    hot = "hot text " * 20
+    names = spark.range(60_000).select(F.concat(F.lit("light "), F.col("id")).alias("text")).unionAll(spark.createDataFrame([(hot,)], "text string"))
+    slots = names.select("text", hash_slot(F.col("text")).alias("slot"))
+    place = slots.where(F.col("text") == hot).first()["slot"]
+    beside = [r["text"] for r in slots.where((F.col("slot") == place) & (F.col("text") != hot)).limit(3).collect()]
+    rows = [(i, hot) for i in range(1500)] + [(2000 + i, t) for t in beside for i in range(40)] + [(5000 + i, f"text {i} " * 20) for i in range(2000)]
+    got, _ = sharded(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), 8)
+    sizes, by_text = check(rows, got.collect(), 8)
+    assert len(beside) == 3 and max(sizes.values()) <= 1.05 * sum(sizes.values()) / 8
+    assert sorted(map(len, by_text.values()))[-2:] == [1, 8]
+
+
+def test_many_small_rows_of_a_slot_are_numbered_in_parts(spark, monkeypatch):
+    monkeypatch.setattr("wellspark.llm.sharding.NUMBERED", 50)
+    rows = [(i % 300 or None, None if i % 2 else "") for i in range(1200)] + [(5000 + i, f"text {i} " * 60) for i in range(900)]
+    got, table = sharded(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), 8)
+    _, by_text = check(rows, got.collect(), 8)
+    assert table.agg(F.max("salts")).first()[0] == 24 and all(len(s) == 1 for s in by_text.values())
+
+
+def test_versions_follow_each_other_from_storage(spark, tmp_path):
+    docs = spark.createDataFrame([(i, f"text {i} " * (i % 30)) for i in range(2000)], "doc_id long, text string")
+    path, old = str(tmp_path / "maps"), None
+    for version, shards in ((1, 4), (2, 5), (3, 3)):
+        rows, table = sharded(docs, shards, old=old, version=version)
+        table.write.mode("append").parquet(path)
+        old = read_map(spark.read.parquet(path))
+        assert old == read_map(spark.read.parquet(path), version) == {(r["hash_slot"], r["part"]): r["shard"] for r in table.collect()}
+        assert {r["shard"] for r in rows.collect()} == set(range(shards))
+
+
 def test_the_next_version_edits_the_stored_map(spark):
     rows = [(i, f"text {i} " * (i % 30)) for i in range(2000)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
