@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+from functools import cache
+
 from pyspark.sql import SparkSession
 
 # UTC keeps zoneless parquet timestamps and their text forms equal on every executor.
@@ -37,3 +40,18 @@ def local_session(cores: int | str = "*", partitions: int = 8, memory: str = "8g
     session = configure(builder).getOrCreate()
     session.sparkContext.setLogLevel("ERROR")
     return session
+
+
+@cache
+def _own_folder() -> str:
+    return "file://" + tempfile.mkdtemp(prefix="wellspark-")
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for tables between jobs that all executors share: spark.checkpoint.dir, or one of our own in a local session."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return _own_folder()

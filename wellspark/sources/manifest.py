@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import os
+import re
+import uuid
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from itertools import islice
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wellspark.functions.text import normal_path
 from wellspark.functions.values import floor_second
+from wellspark.session import shared_folder
 
 # Fixed file names: what makes a directory a project, and what a mere connection touches.
 DATABASE_FILES = ("gxdb.db", "gxdb_production.db")
@@ -26,26 +32,73 @@ class Markers:
     volatile: Sequence[str] = VOLATILE_FILES
 
 
-def read_manifest(spark: SparkSession, root: str) -> DataFrame:
-    """Files below a root with size and time; contents are not read.
-
-    The listing leaves out hidden names and empty folders: folders are taken from file paths.
-    """
-    files = (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", "true")
-        .load(root)
-        .select("path", F.col("length"), F.col("modificationTime").cast("timestamp_ntz").alias("mtime"))
-        .withColumn("path", F.regexp_replace("path", "^file:/*", "/"))
-        .withColumn("is_dir", F.lit(False))
-    )
-    base = root.rstrip("/")
-    parents = F.filter(_ancestors(F.col("path")), lambda p: F.startswith(p, F.lit(base)))
-    folders = files.select(F.explode(parents).alias("path")).distinct()
-    folders = folders.withColumns(
-        {"is_dir": F.lit(True), "length": F.lit(0).cast("bigint"), "mtime": F.lit(None).cast("timestamp_ntz")}
-    )
-    return files.unionByName(folders)
+MANIFEST = "path string, is_dir boolean, length bigint, mtime timestamp_ntz"
+# Folders that one task lists, about, and the entries of a folder that leave it at once.
+FOLDERS, ENTRIES = 64, 10_000
+
+
+def _local_entries(folder: str) -> Iterator[tuple]:
+    """What a folder of a mounted file system holds, hidden names too. Links are not followed: they may lead back."""
+    try:
+        with os.scandir(folder) as found:
+            for entry in found:
+                try:
+                    if entry.is_dir(follow_symlinks=False):
+                        yield entry.path, True, 0, None
+                    else:
+                        about = entry.stat(follow_symlinks=False)
+                        yield entry.path, False, about.st_size, int(about.st_mtime * 1_000_000)
+                except FileNotFoundError:
+                    continue  # gone meanwhile
+    except (FileNotFoundError, NotADirectoryError, PermissionError):
+        return
+
+
+def _remote_entries(folder: str) -> Iterator[tuple]:
+    """The same of a folder in a store that has a URI."""
+    from pyarrow import fs
+
+    store, inside = fs.FileSystem.from_uri(folder)
+    lead = folder[: len(folder) - len(inside)] if folder.endswith(inside) else folder.split("://")[0] + "://"
+    for entry in store.get_file_info(fs.FileSelector(inside, allow_not_found=True)):
+        if entry.type == fs.FileType.Directory:
+            yield lead + entry.path, True, 0, None
+        else:
+            yield lead + entry.path, False, entry.size or 0, entry.mtime_ns and entry.mtime_ns // 1000
+
+
+def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The entries of each folder; no more than ENTRIES are held at once."""
+    names, kinds = ["path", "is_dir", "length", "mtime"], [pa.string(), pa.bool_(), pa.int64(), pa.timestamp("us")]
+    for batch in batches:
+        for folder in batch["path"].to_pylist():
+            entries = _remote_entries(folder) if "://" in folder else _local_entries(folder)
+            while part := list(islice(entries, ENTRIES)):
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*part), kinds)], names=names)
+
+
+def read_manifest(spark: SparkSession, root: str, folder: str | None = None) -> DataFrame:
+    """Files and folders at and below a root with size and time, empty folders and hidden names too; contents are not read.
+
+    The tree is listed level by level: the folders of a level are dealt over the executors, which list them and write what
+    they find below `folder` (default: the session's shared folder); the folders among it are the next level. The
+    driver learns only how many there are, and as many jobs run as the tree is deep. A path without a scheme, or with
+    `file:`, has to be mounted on all executors. Links count as files and are not followed; folders that vanish or
+    may not be read are listed without what they hold. A root that is not there gives its own row only."""
+    start = re.sub("^file:/*", "/", root).rstrip("/") or "/"
+    base = f"{(folder or shared_folder(spark)).rstrip('/')}/manifest-{uuid.uuid4().hex}"
+    level, depth = spark.createDataFrame([(start, True, 0, None)], MANIFEST), 0
+    while True:
+        level.write.parquet(f"{base}/{depth}")
+        level = spark.read.schema(MANIFEST).parquet(f"{base}/{depth}")
+        waiting = level.where("is_dir").select("path")
+        count = waiting.count()
+        if not count:
+            break
+        # Dealt by hash, so the folders of one parent go to many tasks.
+        level = waiting.repartition(-(-count // FOLDERS), "path").mapInArrow(_listed, MANIFEST)
+        depth += 1
+    return spark.read.schema(MANIFEST).parquet(*(f"{base}/{d}" for d in range(depth + 1)))
 
 
 def _parent(path: Column) -> Column:
