@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
 from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wellspark.checks.adapters import Given, project
-from wellspark.checks.documents import FOLDED, C, documents, tables
+from wellspark.checks.documents import DOC_SQL, FOLDED, C, documents, tables
 from wellspark.checks.flat import flatten
 from wellspark.checks.oracle import agg, moment, query
 from wellspark.functions.values import json_sanitize, standardize, timestamp_text
@@ -20,6 +21,7 @@ from wellspark.operators.spatial import (
     convex_hull,
     coverage_boundary,
     coverage_cells,
+    coverage_rings,
     extent,
     valid_points,
 )
@@ -29,6 +31,7 @@ from wellspark.plans.recipes import (
     survey_headers,
     zone_children,
 )
+from wellspark.plans.refresh import changes, refreshed, signatures
 from wellspark.sources.documents import to_json
 from wellspark.sources.scan import row_counts, scan_all
 
@@ -280,6 +283,19 @@ MAX_CHANGED = query(f"""
         uwi, source, {moment("max(ship)")} FROM surveyed GROUP BY uwi, source, status""")
 
 
+def refreshed_completion(spark, folder):
+    """Completion documents as an earlier state of the tables gives them, brought up to date: the full result."""
+    now = tables(Given(spark, folder), "completion")
+    well, child = now.frames["well"], now.frames["well_completion"]
+    # Since then some wells came, some got their rows, some lost one of two copies, and some went.
+    part = F.pmod(F.xxhash64("uwi"), F.lit(10))
+    twice = child.unionByName(child.where(part == 3))
+    gone = well.where(part == 4).withColumn("uwi", F.concat(F.lit("gone "), "uwi"))
+    then = replace(now, frames={"well": well.where(part != 1).unionByName(gone), "well_completion": twice.where(part != 2)})
+    changed = changes(signatures(then), signatures(now))
+    return flatten(refreshed(RECIPES["completion"], now, RECIPES["completion"].build(then), changed))
+
+
 def _joined_rows(given: Given) -> DataFrame:
     wells = prefixed(given.well().select("uwi", "well_name", "county"), "w_")
     items = given.well_completion()
@@ -468,6 +484,46 @@ COVERAGE_BOUNDARY = query(
 )
 
 
+def coverage_rings_(spark, folder):
+    """Every corner of every ring with its place, on the grid."""
+    cells = coverage_cells(_points(spark, folder), ["project_id"], CELL)
+    rings = coverage_rings(cells, ["project_id"], CELL)
+    named = rings.select(*[c for c in rings.columns if c != "ring"], F.posexplode("ring").alias("place", "_p"))
+    corner = [F.round(F.col(f"_p.{c}") / CELL).cast("bigint").alias(f"corner_{a}") for c, a in (("lon", "x"), ("lat", "y"))]
+    return named.select(*named.columns[:-1], *corner)
+
+
+# Every ring is walked from each of its edges, and the walk from its smallest edge is kept.
+COVERAGE_RINGS = query(
+    """SELECT project_id, ring.x AS ring_x, ring.y AS ring_y, ring.d AS ring_d, area < 0 AS hole, area,
+        ring = best AS largest,
+        place, corner_x, corner_y
+    FROM (SELECT *, arg_min(ring, (-area, ring)) OVER (PARTITION BY project_id) AS best FROM corners)""",
+    _CELLS
+    | {
+        "sides": "SELECT * FROM (VALUES (0, 0, -1, 0, 0, 1, 0), (1, 1, 0, 1, 0, 0, 1), (2, 0, 1, 1, 1, -1, 0), (3, -1, 0, 0, 1, 0, -1)) "
+        "t(d, nx, ny, sx, sy, dx, dy)",
+        "edges": """SELECT project_id, {'x': cell_x + sx, 'y': cell_y + sy, 'd': d} AS e, cell_x + sx + dx AS ex, cell_y + sy + dy AS ey
+        FROM cells c CROSS JOIN sides s WHERE NOT EXISTS (SELECT 1 FROM cells n WHERE n.project_id = c.project_id
+            AND n.cell_x = c.cell_x + s.nx AND n.cell_y = c.cell_y + s.ny)""",
+        "follows": """SELECT a.project_id, a.e, any_value(a.ex) AS ex, any_value(a.ey) AS ey, arg_min(b.e, (a.e.d + 5 - b.e.d) % 4) AS next
+        FROM edges a JOIN edges b ON b.project_id = a.project_id AND b.e.x = a.ex AND b.e.y = a.ey GROUP BY a.project_id, a.e""",
+        "walk": """SELECT project_id, e AS ring, e, next, ex, ey, 0 AS spot FROM follows
+        UNION ALL SELECT w.project_id, w.ring, f.e, f.next, f.ex, f.ey, w.spot + 1
+        FROM walk w JOIN follows f ON f.project_id = w.project_id AND f.e = w.next WHERE w.next > w.ring""",
+        "whole": """SELECT project_id, ring FROM walk GROUP BY project_id, ring HAVING count(*) FILTER (next = ring) = 1""",
+        "steps": """SELECT w.*, lag(e.d) OVER r AS before, last_value(e.d) OVER (r ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS final,
+        CAST(sum(e.x * ey - e.y * ex) OVER (PARTITION BY project_id, ring) // 2 AS BIGINT) AS area
+        FROM walk w JOIN whole USING (project_id, ring) WINDOW r AS (PARTITION BY project_id, ring ORDER BY spot)""",
+        "turns": """SELECT project_id, ring, area, row_number() OVER (PARTITION BY project_id, ring ORDER BY spot) - 1 AS place, e.x AS corner_x, e.y AS corner_y
+        FROM steps WHERE e.d <> coalesce(before, final)""",
+        "corners": """SELECT * FROM turns UNION ALL
+        SELECT project_id, ring, area, (SELECT count(*) FROM turns o WHERE o.project_id = t.project_id AND o.ring = t.ring), corner_x, corner_y
+        FROM turns t WHERE place = 0""",
+    },
+).replace("WITH ", "WITH RECURSIVE ", 1)
+
+
 def convex_hull_(spark, folder):
     """The corners as a set, and whether the ring is closed once."""
     rings = convex_hull(_points(spark, folder), ["project_id"])
@@ -520,6 +576,7 @@ QUERIES = {
     "ordered_lists": (ordered_lists_, ORDERED_LISTS),
     "null_counts_in_lists": (null_counts_in_lists, NULL_COUNTS),
     "max_changed": (max_changed_, MAX_CHANGED),
+    "refreshed_completion": (refreshed_completion, DOC_SQL["doc_completion"]),
     "regroup_generic": (regroup_generic, REGROUP_GENERIC),
     "regroup_empty_lists": (regroup_empty_lists, REGROUP_EMPTY),
     "nest_by_prefix": (nest_by_prefix_, NEST),
@@ -529,5 +586,6 @@ QUERIES = {
     "extent": (extent_, EXTENT),
     "coverage_cells": (coverage_cells_, COVERAGE_CELLS),
     "coverage_boundary": (coverage_boundary_, COVERAGE_BOUNDARY),
+    "coverage_rings": (coverage_rings_, COVERAGE_RINGS),
     "convex_hull": (convex_hull_, CONVEX_HULL),
 }
