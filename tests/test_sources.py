@@ -2,6 +2,7 @@ import datetime
 import json
 import os
 import struct
+from dataclasses import replace
 
 import numpy as np
 import pytest
@@ -10,13 +11,14 @@ from pyspark.sql import functions as F
 from wellspark.functions import binary as B
 from wellspark.operators.curves import curve_samples, curve_stats, depth_registration
 from wellspark.operators.ids import match_ids, parse_patterns, restrict
-from wellspark.operators.spatial import convex_hull, coverage_boundary, coverage_cells, extent, valid_points
+from wellspark.operators.spatial import convex_hull, coverage_boundary, coverage_cells, coverage_rings, extent, valid_points
 from wellspark.plans.inventory import asset_counts, project_inventory
 from wellspark.plans.recipes import RECIPES, Tables, recipe
+from wellspark.plans.refresh import changes, refreshed, signatures
 from wellspark.sources import catalog as cat
 from wellspark.sources.crs import crs_lookup, projections, read_crs
-from wellspark.sources.documents import export_name, write_docs
-from wellspark.sources.manifest import find_projects, project_totals, read_manifest
+from wellspark.sources.documents import export, export_name, write_docs
+from wellspark.sources.manifest import _local_entries, _remote_entries, find_projects, project_totals, read_manifest
 
 # Ids.
 
@@ -129,6 +131,89 @@ def test_projects_from_files(spark, tmp_path):
     assert stats.repo_mod == datetime.datetime(2020, 9, 13, 12, 26, 40)
 
 
+def test_the_manifest_has_empty_folders_and_hidden_names(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr("wellspark.sources.manifest.FOLDERS", 2)
+    root = tmp_path / "tree"
+    for name in ("gxdb.db", "gxdb_production.db"):
+        (root / "area" / "empty marker").mkdir(parents=True, exist_ok=True)
+        (root / "area" / "empty marker" / name).write_bytes(b"123")
+    (root / "area" / "empty marker" / "Global").mkdir()
+    (root / ".hidden" / "_deep" / "a").mkdir(parents=True)
+    (root / ".hidden" / "_deep" / ".x").write_text("xx")
+    for i in range(9):
+        (root / "many" / f"f{i}" / "g").mkdir(parents=True)
+    (root / "loop").symlink_to(root)
+    os.utime(root / ".hidden" / "_deep" / ".x", (1_500_000_000, 1_500_000_000))
+    manifest = read_manifest(spark, f"file://{root}", str(tmp_path / "waves"))
+    got = {r.path: (r.is_dir, r.length) for r in manifest.collect()}
+    want = {str(root): (True, 0)}
+    for folder, folders, files in os.walk(root):
+        for name in folders + files:
+            path = os.path.join(folder, name)
+            plain = os.path.isdir(path) and not os.path.islink(path)
+            want[path] = (plain, 0 if plain else os.lstat(path).st_size)
+    assert got == want
+    (hidden,) = manifest.where("path LIKE '%/.x'").collect()
+    assert hidden.mtime == datetime.datetime(2017, 7, 14, 2, 40)
+    assert [r.fs_path for r in find_projects(manifest).collect()] == [str(root / "area" / "empty marker")]
+    gone = read_manifest(spark, str(tmp_path / "nowhere"))
+    assert [(r.path, r.is_dir) for r in gone.collect()] == [(str(tmp_path / "nowhere"), True)]
+
+
+def test_a_store_with_a_uri_is_listed_like_a_mounted_one(tmp_path):
+    (tmp_path / "a" / "b").mkdir(parents=True)
+    (tmp_path / "a" / ".c").write_text("123")
+    mine = {(p.removeprefix("file://"), d, n) for p, d, n, _ in _remote_entries(f"file://{tmp_path}/a")}
+    assert mine == {(p, d, n) for p, d, n, _ in _local_entries(f"{tmp_path}/a")} and len(mine) == 2
+    assert list(_local_entries(f"{tmp_path}/none")) == list(_remote_entries(f"file://{tmp_path}/none")) == []
+
+
+def test_an_export_counts_what_it_writes(spark, given, tmp_path):
+    from wellspark.checks.documents import documents
+
+    for asset in ("completion", "core", "ip"):
+        docs = documents(given, asset)
+        told = export(docs, str(tmp_path), "COL_7159C5", asset)
+        read = spark.read.json(told["out_file"])
+        assert told["documents"] == docs.count() == read.count() and told["message"] == f"json docs written: {docs.count()}"
+        for table, items in told["items"].items():
+            name = next(f.name for f in docs.schema[table].dataType.fields if f.dataType.typeName() == "array")
+            assert items == docs.selectExpr(f"coalesce(sum(size({table}.{name})), 0)").first()[0] > 0
+    none = export(documents(given, "completion").limit(0), str(tmp_path / "none"), "X", "completion")
+    assert none["documents"] == 0 and set(none["items"].values()) == {0}
+
+
+def test_a_refreshed_export_equals_a_full_one(spark, given):
+    from wellspark.checks.documents import tables
+    from wellspark.checks.flat import flatten
+    from wellspark.plans.recipes import RECIPES
+
+    for asset, child in (("completion", "well_completion"), ("zone", "well_zone_interval")):
+        whole = tables(given, asset)
+        dated = {n: f.withColumn("row_changed_date", F.lit("2024-01-01")) for n, f in whole.frames.items()}
+        number = F.pmod(F.xxhash64("uwi"), F.lit(20))
+        old, new = dict(dated), dict(dated)
+        old["well"] = dated["well"].where(number != 1)  # 1: new wells
+        new["well"] = dated["well"].where(number != 2)  # 2: deleted ones
+        old[child] = dated[child].where(~number.isin(1, 3))  # 3: new child rows
+        touched = F.when(number == 4, F.lit("2024-02-02")).otherwise(F.col("row_changed_date"))  # 4: updated ones
+        new[child] = dated[child].where(~number.isin(2, 5)).withColumn("row_changed_date", touched)  # 5: deleted child rows
+        before, now = replace(whole, frames=old), replace(whole, frames=new)
+        last = RECIPES[asset].build(before)
+        changed = changes(signatures(before), signatures(now))
+        kinds = {tuple(r) for r in changed.select("change").distinct().collect()}
+        assert kinds == {("new",), ("changed",), ("deleted",)}
+        wells = now.frames["well"].select("uwi").distinct().count()
+        assert 0 < changed.count() < wells / 2
+        got = flatten(refreshed(RECIPES[asset], now, last, changed)).collect()
+        want = flatten(RECIPES[asset].build(now)).collect()
+        assert sorted(map(str, got)) == sorted(map(str, want)) and len(want) > 0
+        assert changes(signatures(now), signatures(now)).collect() == []
+    book = {n: f.withColumn("row_changed_date", F.lit("2025-05-05")) if n == "gx_zone" else f for n, f in dated.items()}
+    all_wells = changes(signatures(replace(whole, frames=dated)), signatures(replace(whole, frames=book)))
+    assert all_wells.count() == signatures(whole).count()
+
+
 def test_nested_projects_count_their_folders_for_both(spark):
     rows = []
     for root, length in (("/a", 1), ("/a/b/c", 10)):
@@ -325,3 +410,47 @@ def test_boundary_cells_ignore_far_out_wells(spark):
     cells = coverage_cells(points, ["k"], 1.0)
     edge = {(r.cell_x, r.cell_y) for r in coverage_boundary(cells, ["k"], min_wells=2).collect()}
     assert edge == {(x, y) for x in range(3) for y in range(3)} - {(1, 1)}
+
+
+def rings_of(spark, cells, **options):
+    rows = [(p, x, y, w) for p, x, y, w in cells]
+    table = spark.createDataFrame(rows, "project string, cell_x long, cell_y long, wells long").repartition(3)
+    return coverage_rings(table, ["project"], 0.5, **options).collect()
+
+
+def test_rings_of_shapes(spark):
+    frame = [("a", x, y, 1) for x in range(4) for y in range(4) if not (x in (1, 2) and y in (1, 2))]
+    pinch = [("b", 0, 0, 1), ("b", 1, 1, 1), ("b", -5, -5, 3)]
+    got = rings_of(spark, frame + pinch)
+    assert sorted((r.project, r.area, r.hole, r.largest, len(r.ring)) for r in got) == [
+        ("a", -4, True, False, 5), ("a", 12 + 4, False, True, 5), ("b", 1, False, False, 5), ("b", 1, False, False, 5), ("b", 1, False, True, 5)
+    ]
+    (outer,) = [r for r in got if r.project == "a" and not r.hole]
+    assert [(p.lon, p.lat) for p in outer.ring] == [(0, 0), (2, 0), (2, 2), (0, 2), (0, 0)]
+    assert {(r.ring_x, r.ring_y) for r in got if r.project == "b" and r.largest} == {(-5, -5)}
+    assert rings_of(spark, pinch, min_wells=2)[0].ring_x == -5 and len(rings_of(spark, pinch, min_wells=2)) == 1
+    assert rings_of(spark, []) == []
+
+
+def test_rings_close_and_hold_all_cells(spark):
+    draw = np.random.default_rng(4)
+    cells = [("r", int(x), int(y), 1) for x, y in np.argwhere(draw.random((25, 25)) < 0.55)]
+    # A comb has one ring of a thousand edges.
+    cells += [("comb", x, y, 1) for x in range(60) for y in range(12) if x % 2 == 0 or y == 0]
+    got = rings_of(spark, cells)
+    for project in ("r", "comb"):
+        mine = [r for r in got if r.project == project]
+        assert sum(r.area for r in mine) == sum(c[0] == project for c in cells)
+        assert sum(r.largest for r in mine) == 1
+        for r in mine:
+            points = [(round(p.lon * 2), round(p.lat * 2)) for p in r.ring]
+            assert points[0] == points[-1] and len(points) >= 5
+            # Corners alternate between the axes, and the shoelace formula gives the area.
+            assert all((a[0] == b[0]) != (a[1] == b[1]) for a, b in zip(points, points[1:]))
+            assert sum(a[0] * b[1] - a[1] * b[0] for a, b in zip(points, points[1:])) == 2 * r.area
+    assert len([r for r in got if r.project == "comb"]) == 1
+    # Edges of the rings are the sides between occupied and empty cells.
+    held = {c[1:3] for c in cells if c[0] == "r"}
+    sides = sum((x + dx, y + dy) not in held for x, y in held for dx, dy in ((1, 0), (-1, 0), (0, 1), (0, -1)))
+    length = sum(abs(a.lon - b.lon) + abs(a.lat - b.lat) for r in got if r.project == "r" for a, b in zip(r.ring, r.ring[1:]))
+    assert round(length * 2) == sides
