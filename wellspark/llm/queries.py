@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wellspark.llm import embedding_dedup as embeddings
 from wellspark.llm import merkle_manifest, paragraph_sketch, phrase_mining, quality_rules
+from wellspark.llm import substring_dedup as substrings
 from wellspark.llm.byte_bpe import decoded, encoded
 from wellspark.llm.embedding_dedup import embedding_dedup
 from wellspark.llm.lattice_lm import lattice_scores
@@ -118,6 +120,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 ORACLES: dict[str, str] = {
     "op1_quality_rules": quality_rules.SQL,
+    "op2_embedding_dedup": embeddings.SQL,
+    "op7_substring_dedup": substrings.SQL,
     "op11_merkle_manifest": merkle_manifest.SQL,
     "op12_phrase_mining": phrase_mining.SQL,
     "op13_paragraph_sketch": paragraph_sketch.SQL,

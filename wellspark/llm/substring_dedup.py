@@ -245,3 +245,21 @@ def substring_dedup(docs: DataFrame, bucket_chars: int = BUCKET) -> DataFrame:
         ]
     )
     return dealt.groupBy("_bucket").cogroup(earlier.groupBy("_bucket")).applyInArrow(_kept_rows, schema).drop("_bucket")
+
+
+# The same result in SQL: every window as a text.
+SQL = f"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id,
+    list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') AS ws
+  FROM documents),
+spot AS (SELECT r, doc_id, ws, unnest(range(1, len(ws) - {WINDOW - 2})) AS i FROM d),
+run AS (SELECT r, doc_id, i, array_to_string(ws[i:i + {WINDOW - 1}], ' ') AS g FROM spot),
+lowest AS (SELECT g, min(doc_id) AS owner FROM run GROUP BY g),
+gone AS (SELECT DISTINCT r, unnest(range(i, i + {WINDOW})) AS i FROM run JOIN lowest USING (g) WHERE owner < doc_id),
+word AS (SELECT r, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM d),
+kept AS (SELECT r, string_agg(w, ' ' ORDER BY i) AS text, count(*) AS n FROM word ANTI JOIN gone USING (r, i) GROUP BY r)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) - coalesce(n, 0) AS BIGINT) AS n_removed,
+  sha256(coalesce(kept.text, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (r)
+"""
