@@ -19,9 +19,7 @@ ODD = [
 
 @pytest.fixture(scope="module")
 def tokenizer():
-    t = Tokenizer.from_file(VOCABULARY)
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(VOCABULARY)
 
 
 def test_words_give_the_ids_of_the_text(tokenizer):
@@ -32,6 +30,14 @@ def test_words_give_the_ids_of_the_text(tokenizer):
         assert np.frombuffer(words.of(text.encode()), "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids, repr(text)
 
 
+def test_special_tokens_in_a_text_are_read_as_the_library_reads_them(tokenizer):
+    words, special = WordIds(VOCABULARY), tokenizer.token_to_id("<|endoftext|>")
+    for text in ["<|endoftext|>", "a <|endoftext|>. B", "it<|endoftext|>'s", "(<|endoftext|>)word, <|endoftext|><|endoftext|>"]:
+        got = np.frombuffer(words.of(text.encode()), "<u4").tolist()
+        assert got == tokenizer.encode(text, add_special_tokens=False).ids
+        assert got.count(special) == text.count("<|endoftext|>")
+
+
 def test_memory_of_words_is_bounded(monkeypatch):
     monkeypatch.setattr(packing, "REMEMBERED", 3)
     words = WordIds(VOCABULARY)

@@ -37,12 +37,12 @@ class WordIds(Remembered):
     The vocabulary never merges across white space, so a text's ids are those of its words one after the
     other. ASCII words are looked up in lower case, and marks after a letter or digit by themselves: both are what the
     vocabulary's normalizer and pattern do. Words of lower-case Latin
-    letters, which these leave as they are, go to its merges at once."""
+    letters, which these leave as they are, go to its merges at once. The names of special tokens inside a text
+    are read as those tokens, as the library does by default."""
 
     def __init__(self, path: str):
         super().__init__(REMEMBERED, LONGEST)
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.merges = self.tokenizer.model
         self.characters = dict(enumerate(byte_characters()))
 
