@@ -4,6 +4,7 @@ import base64
 import hashlib
 import random
 import re
+import zlib
 
 import numpy as np
 import public_tokenizers
@@ -78,6 +79,41 @@ def test_unruled_urls_follow_what_they_look_like(spark):
     assert len(got) == 40 and all((r["verdict"] == "allow") == r["good"] for r in got)
 
 
+def test_verdicts_follow_a_threshold_set_on_held_out_urls(spark):
+    """Folds, models, scores, threshold and verdicts anew, over overlapping kinds of URLs."""
+    draw = random.Random(8)
+    urls = ["http://a.com/" + "".join(draw.choices("abcxy/1", k=9)) for _ in range(300)]
+    urls += ["http://a.net/es/" + "".join(draw.choices("xyzab-9", k=9)) for _ in range(200)]
+    urls += ["http://a.org/" + "".join(draw.choices("abcxyz/-19", k=9)) for _ in range(200)] + [urls[0], urls[400], None, ""]
+    got = url_filter.url_filter(spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "n int, url string").repartition(3), RULES).collect()
+    counts = np.zeros((2, url_filter.GRAMS), np.int64)
+
+    def grams(url):
+        codes = [0, 0, 0, *(int(url_filter._TABLE[b]) for b in (url or "").encode()), 0]
+        return [((codes[i - 3] * 40 + codes[i - 2]) * 40 + codes[i - 1]) * 40 + codes[i] for i in range(3, len(codes))]
+
+    ruled = [(u, brute_url(u)[3] == "allow") for u in urls if u and brute_url(u)[3]]
+    for u, good in ruled:
+        if zlib.crc32(u.encode()) % 5:
+            np.add.at(counts[int(good)], grams(u), 1)
+    ratio = url_filter._model(counts[1]) - url_filter._model(counts[0])
+    score = {u: float(np.mean(ratio[grams(u)].astype(float))) for u in set(urls)}
+    held = [(score[u], good) for u, good in ruled if zlib.crc32(u.encode()) % 5 == 0]
+
+    def accuracy(threshold):
+        kinds = [[(s >= threshold) == good for s, good in held if good == kind] for kind in (True, False)]
+        return sum(sum(k) / len(k) for k in kinds) / 2
+
+    best = max(accuracy(round(b * url_filter.BIN, 6)) for b in range(-3200, 3200))
+    unruled = [r for r in got if r["rule"] is None]
+    assert len(unruled) >= 200 and all(r["score"] == pytest.approx(score[r["url"]], abs=1e-5) for r in got)
+    allowed = [r["score"] for r in unruled if r["verdict"] == "allow"]
+    blocked = [r["score"] for r in unruled if r["verdict"] == "block"]
+    assert allowed and blocked and max(blocked) < min(allowed)
+    tried = [round(b * url_filter.BIN, 6) for b in range(-3200, 3200)]
+    assert any(accuracy(t) >= best - 1e-9 for t in tried if max(blocked) < t <= min(allowed) + 1e-9)
+
+
 def test_urls_without_both_kinds(spark):
     only = spark.createDataFrame([("http://a.com/x",), ("http://a.org/x",), (None,)], "url string")
     assert [r["verdict"] for r in url_filter.url_filter(only, RULES).collect()] == ["allow"] * 3

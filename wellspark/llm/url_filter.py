@@ -16,6 +16,8 @@ SYMBOLS = 40
 # Context length. SYMBOLS ** (ORDER + 1) counters, 2.56 million, bound what is counted, collected and broadcast.
 ORDER = 3
 GRAMS = SYMBOLS ** (ORDER + 1)
+# URLs whose checksum this divides train no model: the threshold is set on them.
+FOLDS = 5
 # Width of the bins in which scores are counted to set the threshold, and the largest score told apart.
 BIN = 0.005
 FARTHEST = 16.0
@@ -122,8 +124,9 @@ def _scorer(spark, ratio: np.ndarray):
     return log_ratio
 
 
-def _threshold(scored: DataFrame) -> float:
-    """The score with the best mean of both classes' accuracies; of several in a row the middle one."""
+def _threshold(scored: DataFrame) -> float | None:
+    """The score with the best mean of both classes' accuracies; of several in a row the middle one. None unless both classes
+    have rows."""
     place = F.floor(F.greatest(F.lit(-FARTHEST), F.least(F.lit(FARTHEST), F.col("score"))) / BIN).cast("int")
     rows = scored.groupBy("accepted", place.alias("place")).agg(F.count("*").alias("n")).collect()
     first = int(-FARTHEST / BIN)
@@ -131,7 +134,7 @@ def _threshold(scored: DataFrame) -> float:
     for r in rows:
         counts[int(r["accepted"]), r["place"] - first] += r["n"]
     if not counts.sum(axis=1).all():
-        return -np.inf
+        return None
     share = counts / counts.sum(axis=1, keepdims=True)
     below = np.concatenate([np.zeros((2, 1)), np.cumsum(share, axis=1)], axis=1)
     quality = below[0] - below[1]
@@ -144,9 +147,10 @@ def _threshold(scored: DataFrame) -> float:
 def url_filter(pages: DataFrame, rules: list[tuple[str, str]], url: str = "url") -> DataFrame:
     """`pages` with host, path, rule, score (log-likelihood ratio per symbol) and verdict (allow or block).
 
-    URLs that a rule decides train two smoothed variable-order Markov models, one of accepted and one of rejected
-    URLs; the others are allowed if their score reaches the threshold that best parts the ruled ones. Without URLs
-    of both kinds, unruled ones are allowed. Null URLs count as empty ones; equal URLs get equal
+    Of the URLs that a rule decides, those whose crc32 modulo FOLDS is not 0 train two smoothed variable-order Markov models, one of
+    accepted and one of rejected URLs. The held-out rest sets the threshold: the score that best parts its two kinds; if it
+    lacks a kind, the training URLs do. Unruled URLs are allowed if their score reaches the threshold, and all of them
+    if there are no ruled URLs of both kinds. Null URLs count as empty ones; equal URLs get equal
     verdicts; all text is scored; columns with the names of results are refused."""
     if clash := {"host", "path", "rule", "score", "verdict"} & set(pages.columns):
         raise ValueError(f"columns have names of results: {sorted(clash)}")
@@ -154,9 +158,12 @@ def url_filter(pages: DataFrame, rules: list[tuple[str, str]], url: str = "url")
     parts = pages.withColumns({"host": host, "path": path})
     rule, decided = matched_rule(F.col("host"), F.col("path"), rules)
     ruled = parts.withColumns({"rule": rule, "_decided": decided})
-    training = ruled.where("_decided IS NOT NULL").select(F.col(url).alias("url"), (F.col("_decided") == "allow").alias("accepted"))
+    decided_urls = ruled.where("_decided IS NOT NULL").select(F.col(url).alias("url"), (F.col("_decided") == "allow").alias("accepted"))
+    held_out = F.crc32(F.coalesce("url", F.lit(""))) % FOLDS == 0
+    training, rest = decided_urls.where(~held_out), decided_urls.where(held_out)
     score = _scorer(pages.sparkSession, ratio_table(training))
-    threshold = _threshold(training.withColumn("score", score("url")))
+    thresholds = (_threshold(part.withColumn("score", score("url"))) for part in (rest, training))
+    threshold = next((t for t in thresholds if t is not None), -np.inf)
     judged = F.when(F.col("score") >= threshold, "allow").otherwise("block")
     scored = ruled.withColumn("score", score(url))
     return scored.withColumn("verdict", F.coalesce("_decided", judged)).drop("_decided")
