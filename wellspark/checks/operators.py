@@ -13,6 +13,7 @@ from wellspark.checks.documents import DOC_SQL, FOLDED, C, documents, tables
 from wellspark.checks.flat import flatten
 from wellspark.checks.oracle import agg, moment, query
 from wellspark.functions.values import json_sanitize, standardize, timestamp_text
+from wellspark.operators.concave import alpha_edges, alpha_rings
 from wellspark.operators.curves import curve_samples, curve_stats, depth_registration
 from wellspark.operators.ids import match_ids, parse_patterns, restrict
 from wellspark.operators.lists import fold_lists, ordered_lists
@@ -555,6 +556,58 @@ CONVEX_HULL = query(
 )
 
 
+REACH = 12.0
+
+
+def alpha_edges_(spark, folder):
+    edges = alpha_edges(_points(spark, folder), ["project_id"], REACH)
+    return edges.select("project_id", "x1", "y1", "x2", "y2")
+
+
+def alpha_rings_(spark, folder):
+    """Every point of every ring with its place."""
+    rings = alpha_rings(_points(spark, folder), ["project_id"], REACH)
+    area = F.round(F.col("area") * 1_000).cast("bigint").alias("area")
+    named = rings.select("project_id", *(f"ring_{c}" for c in ("x1", "y1", "x2", "y2")), "hole", area, F.posexplode("ring").alias("place", "_p"))
+    return named.select(*named.columns[:-1], "_p.lon", "_p.lat")
+
+
+# Every circle through two points is held against every point.
+_OUTLINE = {
+    "spots": "SELECT DISTINCT project_id, lon, lat FROM points WHERE lon IS NOT NULL AND lat IS NOT NULL",
+    "pairs": f"""SELECT a.project_id, a.lon AS x1, a.lat AS y1, b.lon AS x2, b.lat AS y2,
+            (b.lon - a.lon) * (b.lon - a.lon) + (b.lat - a.lat) * (b.lat - a.lat) AS d2
+        FROM spots a JOIN spots b ON a.project_id = b.project_id AND (a.lon <> b.lon OR a.lat <> b.lat)
+        WHERE (b.lon - a.lon) * (b.lon - a.lon) + (b.lat - a.lat) * (b.lat - a.lat) <= {4 * REACH * REACH}""",
+    "circles": f"""SELECT *, (x1 + x2) / 2 + (y2 - y1) * (sqrt({REACH * REACH} - d2 / 4) / sqrt(d2)) AS cx,
+            (y1 + y2) / 2 - (x2 - x1) * (sqrt({REACH * REACH} - d2 / 4) / sqrt(d2)) AS cy FROM pairs""",
+    "outline": f"""SELECT * FROM circles c WHERE NOT EXISTS (SELECT 1 FROM spots s WHERE s.project_id = c.project_id
+            AND (s.lon - c.cx) * (s.lon - c.cx) + (s.lat - c.cy) * (s.lat - c.cy) < {REACH * REACH * (1 - 1e-9)!r}::DOUBLE)""",
+}
+ALPHA_EDGES = query("SELECT project_id, x1, y1, x2, y2 FROM outline", _OUTLINE)
+# The circle rolls on from every edge, and the walk from a ring's smallest edge is kept.
+ALPHA_RINGS = query(
+    """SELECT project_id, ring.x1 AS ring_x1, ring.y1 AS ring_y1, ring.x2 AS ring_x2, ring.y2 AS ring_y2, area < 0 AS hole,
+        CAST(round(area * 1000) AS BIGINT) AS area, place, lon, lat
+    FROM (SELECT project_id, ring, area, spot AS place, e.x1 AS lon, e.y1 AS lat FROM steps
+        UNION ALL SELECT project_id, ring, area, n, ring.x1, ring.y1 FROM steps WHERE spot = 0)""",
+    _OUTLINE
+    | {
+        "follows": """SELECT a.project_id, {'x1': a.x1, 'y1': a.y1, 'x2': a.x2, 'y2': a.y2} AS e,
+            arg_min({'x1': b.x1, 'y1': b.y1, 'x2': b.x2, 'y2': b.y2},
+                (atan2(b.cy - b.y1, b.cx - b.x1) - atan2(a.cy - a.y2, a.cx - a.x2) + 1e-7 + 4 * pi()) % (2 * pi())) AS next
+        FROM outline a JOIN outline b ON a.project_id = b.project_id AND b.x1 = a.x2 AND b.y1 = a.y2 GROUP BY ALL""",
+        "walk": """SELECT project_id, e AS ring, e, next, 0 AS spot FROM follows
+        UNION ALL SELECT w.project_id, w.ring, f.e, f.next, w.spot + 1
+        FROM walk w JOIN follows f ON f.project_id = w.project_id AND f.e = w.next WHERE w.next > w.ring""",
+        "whole": "SELECT project_id, ring FROM walk GROUP BY project_id, ring HAVING count(*) FILTER (next = ring) = 1",
+        "steps": """SELECT w.*, count(*) OVER r AS n,
+            sum((e.x1 - ring.x1) * (e.y2 - ring.y1) - (e.y1 - ring.y1) * (e.x2 - ring.x1)) OVER r / 2 AS area
+        FROM walk w JOIN whole USING (project_id, ring) WINDOW r AS (PARTITION BY project_id, ring)""",
+    },
+).replace("WITH ", "WITH RECURSIVE ", 1)
+
+
 QUERIES = {
     "scan_count": (scan_count, SCAN_COUNT),
     "standardize_columns": (
@@ -588,4 +641,6 @@ QUERIES = {
     "coverage_boundary": (coverage_boundary_, COVERAGE_BOUNDARY),
     "coverage_rings": (coverage_rings_, COVERAGE_RINGS),
     "convex_hull": (convex_hull_, CONVEX_HULL),
+    "alpha_edges": (alpha_edges_, ALPHA_EDGES),
+    "alpha_rings": (alpha_rings_, ALPHA_RINGS),
 }
