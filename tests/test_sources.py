@@ -325,6 +325,40 @@ def test_counts_zero_and_null(spark):
     assert counts["q"].wells_with_core == 0 and counts["q"].wells_with_zone is None
 
 
+def test_writers_at_once_lose_no_row(spark, tmp_path):
+    """A second writer comes between what the first reads and writes, twice."""
+    folder, rivals = str(tmp_path / "catalog"), ["first", "second"]
+    cat.Catalog(spark, folder).upsert(spark.createDataFrame([catalog_row(id="A", name="old")], cat.SCHEMA))
+
+    class Slow(cat.Catalog):
+        def _take(self, name, version):
+            if rivals:
+                row = catalog_row(id=rivals.pop(), name="rival")
+                cat.Catalog(spark, folder).upsert(spark.createDataFrame([row, catalog_row(id="A", name="rival")], cat.SCHEMA))
+            return super()._take(name, version)
+
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    rows = [catalog_row(id="A", name="mine"), catalog_row(id="B", name="mine")]
+    got = Slow(spark, folder).upsert(spark.createDataFrame(rows, cat.SCHEMA).mapInArrow(counted, cat.SCHEMA)).collect()
+    assert sorted((r.id, r.name) for r in got) == [("A", "mine"), ("B", "mine")] and seen.value == 2
+    catalog = cat.Catalog(spark, folder)
+    assert {r.id: r.name for r in catalog.read().collect()} == {"A": "mine", "B": "mine", "first": "rival", "second": "rival"}
+    assert {r.id: r.name for r in catalog.read(2).collect()} == {"A": "rival", "second": "rival"}
+    assert catalog.versions() == [1, 2, 3, 4] and sorted(os.listdir(folder)) == [f"version={v}" for v in (1, 2, 3, 4)]
+    assert catalog.expire(2) == [1, 2] and catalog.versions() == [3, 4] and catalog.expire(2) == []
+    rivals.extend(["third", "fourth"])
+    with pytest.raises(RuntimeError):
+        Slow(spark, folder).upsert(spark.createDataFrame([catalog_row(id="C")], cat.SCHEMA), attempts=2)
+    with pytest.raises(ValueError):
+        catalog.expire(0)
+
+
 def test_inventory_rows_fit_the_catalog(spark, tmp_path):
     make_project(tmp_path / "one")
     root = str(tmp_path / "one")

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterable
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -80,42 +82,87 @@ def upsert(base: DataFrame, updates: DataFrame, key: str = "id", latest: str | N
 
 
 class Catalog:
-    """Catalog versions in one folder: readers keep a whole version while the next is written.
+    """Catalog versions in one folder, for any number of readers and writers.
 
-    A version counts once its marker file is there, so a job lost midway leaves the old one. There is one
-    writer at a time: a second one that takes the same number finds the folder there and fails.
+    A writer reads the newest version, writes the next one under a name of its own, and renames it to the next number. Where
+    another writer has taken that number meanwhile, it starts again from the other's version with the updates it has
+    stored: no update is lost, and the later one counts. Readers see whole versions only; a job lost midway leaves its own
+    folder behind and nothing else.
+
+    Taking a number is as safe as the store's rename onto a name that must not exist: atomic on HDFS, checked first and then
+    renamed on a local disk, not enough on object stores without one.
     """
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark = spark
         self.folder = folder.rstrip("/")
+        self._hadoop = spark._jvm.org.apache.hadoop.fs
+
+    def _path(self, name: str = ""):
+        return self._hadoop.Path(f"{self.folder}/{name}" if name else self.folder)
+
+    def _files(self):
+        return self._path().getFileSystem(self.spark._jsc.hadoopConfiguration())
 
-    def _versions(self, whole: bool = True) -> list[int]:
+    def versions(self, whole: bool = True) -> list[int]:
         """Numbers of the versions; with `whole` only those that count."""
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
-        files = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        if not files.exists(path):
+        files = self._files()
+        if not files.exists(self._path()):
             return []
         found = []
-        for status in files.listStatus(path):
+        for status in files.listStatus(self._path()):
             name = status.getPath().getName()
-            done = self.spark._jvm.org.apache.hadoop.fs.Path(status.getPath(), "_SUCCESS")
+            done = self._hadoop.Path(status.getPath(), "_SUCCESS")
             if name.startswith("version=") and (not whole or files.exists(done)):
                 found.append(int(name.split("=")[1]))
         return sorted(found)
 
-    def _stored(self) -> DataFrame:
-        versions = self._versions()
-        if not versions:
+    def _rows(self, version: int | None) -> DataFrame:
+        if version is None:
             return self.spark.createDataFrame([], SCHEMA).withColumn("_update", F.lit(False))
-        return self.spark.read.parquet(f"{self.folder}/version={versions[-1]}")
-
-    def read(self) -> DataFrame:
-        return self._stored().drop("_update")
-
-    def upsert(self, updates: DataFrame) -> DataFrame:
-        """Write the next version and return the upserted rows as stored; `updates` is evaluated once."""
-        following = f"{self.folder}/version={max(self._versions(whole=False), default=0) + 1}"
-        rows = upsert(self.read(), updates.select(*SCHEMA.fieldNames()), latest="repo_mod")
-        rows.write.mode("errorifexists").parquet(following)
-        return self.spark.read.parquet(following).where("_update").drop("_update")
+        return self.spark.read.parquet(f"{self.folder}/version={version}")
+
+    def read(self, version: int | None = None) -> DataFrame:
+        """The newest version, or the one with this number; an empty table while there is none."""
+        return self._rows(version or max(self.versions(), default=None)).drop("_update")
+
+    def _take(self, name: str, version: int) -> bool:
+        """Make the folder `name` this version; False if the number is taken."""
+        path = self._files().makeQualified(self._path())
+        context = self._hadoop.FileContext.getFileContext(path.toUri(), self.spark._jsc.hadoopConfiguration())
+        plain = self.spark.sparkContext._gateway.new_array(self.spark._jvm.org.apache.hadoop.fs.Options.Rename, 0)
+        try:
+            context.rename(self._hadoop.Path(path, name), self._hadoop.Path(path, f"version={version}"), plain)
+        except Py4JJavaError as failure:
+            if not failure.java_exception.getClass().getName().endswith("FileAlreadyExistsException"):
+                raise
+            return False
+        return True
+
+    def upsert(self, updates: DataFrame, attempts: int = 20) -> DataFrame:
+        """Write the next version and return the upserted rows as stored; `updates` is evaluated once.
+
+        RuntimeError if other writers are faster `attempts` times running."""
+        updates, pending = updates.select(*SCHEMA.fieldNames()), None
+        for _ in range(attempts):
+            # In this order: a version that comes in between is seen as a number taken.
+            following = max(self.versions(whole=False), default=0) + 1
+            base = self._rows(max((v for v in self.versions() if v < following), default=None))
+            mine = f"pending-{uuid.uuid4().hex}"
+            upsert(base.drop("_update"), updates, latest="repo_mod").write.parquet(f"{self.folder}/{mine}")
+            if pending:
+                self._files().delete(self._path(pending), True)
+            if self._take(mine, following):
+                return self.spark.read.parquet(f"{self.folder}/version={following}").where("_update").drop("_update")
+            pending = mine
+            updates = self.spark.read.parquet(f"{self.folder}/{mine}").where("_update").drop("_update")
+        raise RuntimeError(f"{attempts} times another writer was faster")
+
+    def expire(self, keep: int) -> list[int]:
+        """Delete all versions but the newest `keep` (at least one) and return their numbers; readers of those fail."""
+        if keep < 1:
+            raise ValueError("the newest version stays")
+        gone = self.versions()[:-keep]
+        for version in gone:
+            self._files().delete(self._path(f"version={version}"), True)
+        return gone
