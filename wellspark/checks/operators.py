@@ -15,7 +15,7 @@ from wellspark.checks.oracle import agg, moment, query
 from wellspark.functions.values import json_sanitize, standardize, timestamp_text
 from wellspark.operators.concave import alpha_edges, alpha_rings
 from wellspark.operators.curves import curve_samples, curve_stats, depth_registration
-from wellspark.operators.ids import match_ids, parse_patterns, restrict
+from wellspark.operators.ids import match_ids, match_pattern_table, parse_patterns, restrict
 from wellspark.operators.lists import fold_lists, ordered_lists
 from wellspark.operators.regroup import max_changed, nest_by_prefix, prefixed, regroup
 from wellspark.operators.spatial import (
@@ -116,6 +116,19 @@ UWI_PATTERNS_MANY = query("""SELECT 'w' || uwi AS uwi, well_name FROM well
        OR (left(uwi, 8) = '00000000' AND CAST(substr(uwi, 9, 4) AS INTEGER) < 1166 AND right(uwi, 1) = '0')""")
 
 
+def uwi_pattern_table(spark, folder):
+    """As many patterns as the wells give: half of them ends of an id, half an id with one letter open."""
+    wells = Given(spark, folder).well().select("uwi", "well_name")
+    ends = wells.where("uwi LIKE '%7'").select(F.concat(F.lit("%"), F.right("uwi", F.lit(5))).alias("pattern"))
+    opened = wells.where("uwi LIKE '%3'").select(F.concat(F.expr("left(uwi, length(uwi) - 1)"), F.lit("_")).alias("pattern"))
+    return match_pattern_table(wells, "uwi", ends.unionByName(opened))
+
+
+UWI_PATTERN_TABLE = query("""SELECT uwi, well_name FROM well w WHERE EXISTS (SELECT 1 FROM (
+        SELECT '%' || right(uwi, 5) AS pattern FROM well WHERE uwi LIKE '%7'
+        UNION ALL SELECT left(uwi, length(uwi) - 1) || '_' FROM well WHERE uwi LIKE '%3') p WHERE w.uwi LIKE p.pattern)""")
+
+
 def ids_with_asset(spark, folder):
     given = Given(spark, folder)
     parts = [
@@ -618,6 +631,7 @@ QUERIES = {
     "prefix_project": (prefix_project, PREFIX_PROJECT),
     "uwi_pattern": (uwi_pattern, UWI_PATTERN),
     "uwi_patterns_many": (uwi_patterns_many, UWI_PATTERNS_MANY),
+    "uwi_pattern_table": (uwi_pattern_table, UWI_PATTERN_TABLE),
     "ids_with_asset": (ids_with_asset, IDS_WITH_ASSET),
     "semi_filter": (semi_filter, SEMI_FILTER),
     "test_filter": (test_filter, TEST_FILTER),
