@@ -14,8 +14,17 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from wellspark.checks.wide import Base, full
+from wellspark.plans import tables as spec
 from wellspark.sources.scan import scan
 
+# What the columns that have no given counterpart are derived from.
+ITEM = Base("price", "flag", "ship")
+WELL = Base("final_td", "current_status", "row_changed_date")
+START = "TIMESTAMP_NTZ '2020-01-01'"
+UNDATED_WELL = Base("gx_wsn", "well_name", START)
+SURVEY = Base("top_depth", "survey_company", "survey_date")
+
 REGISTRATION_HEADER = 12
 
 
@@ -66,7 +75,7 @@ class Given:
 
     def well(self) -> DataFrame:
         orders, customer, nation = self.table("orders"), self.table("customer"), self.table("nation")
-        return (
+        wells = (
             orders.join(customer, orders.o_custkey == customer.c_custkey)
             .join(nation, customer.c_nationkey == nation.n_nationkey)
             .select(
@@ -85,28 +94,32 @@ class Given:
                 F.col("n_nationkey").alias("geographic_region"),
             )
         )
+        return full(wells, spec.WELL, WELL, "*")
 
     def supplier_well(self) -> DataFrame:
         supplier, nation = self.table("supplier"), self.table("nation")
-        return supplier.join(nation, supplier.s_nationkey == nation.n_nationkey).select(
+        wells = supplier.join(nation, supplier.s_nationkey == nation.n_nationkey).select(
             uwi("s_suppkey"),
             F.col("s_suppkey").alias("gx_wsn"),
             F.col("s_name").alias("well_name"),
             F.col("n_name").alias("county"),
             F.col("n_regionkey").alias("province_state"),
         )
+        return full(wells, spec.WELL, UNDATED_WELL, "*")
 
     def conversation_well(self) -> DataFrame:
         ids = self.table("conversations").select("conv_id").distinct()
-        return ids.select(
+        wells = ids.select(
             uwi("conv_id"), F.col("conv_id").alias("gx_wsn"), F.concat(F.lit("conv "), "conv_id").alias("well_name")
         )
+        return full(wells, spec.WELL, UNDATED_WELL, "*")
 
     def curve_well(self) -> DataFrame:
         ids = self.table("embeddings").select(run(16).alias("run")).distinct()
-        return ids.select(
+        wells = ids.select(
             uwi("run"), F.col("run").alias("gx_wsn"), F.concat(F.lit("run "), "run").alias("well_name")
         )
+        return full(wells, spec.WELL, UNDATED_WELL, "*")
 
     # Lineitem, with the columns the child tables share.
 
@@ -130,7 +143,10 @@ class Given:
         return self.item().join(part, "part")
 
     def legal_congress_loc(self) -> DataFrame:
-        return self.item().select(
+        return full(
+            self.item(),
+            spec.LEGAL_CONGRESS_LOC,
+            ITEM,
             "uwi",
             F.col("flag").alias("bh_flag"),
             F.col("supp").alias("ew_footage"),
@@ -139,7 +155,10 @@ class Given:
         )
 
     def well_completion(self) -> DataFrame:
-        return self.item().select(
+        return full(
+            self.item(),
+            spec.WELL_COMPLETION,
+            ITEM,
             "uwi",
             F.col("obs").alias("completion_obs_no"),
             F.col("price").alias("base_depth"),
@@ -151,7 +170,10 @@ class Given:
 
     def well_formation(self) -> DataFrame:
         faulted = F.when(F.col("disc").isNotNull(), F.when(F.col("status") == "F", "true").otherwise("false"))
-        return self.item_part().select(
+        return full(
+            self.item_part(),
+            spec.WELL_FORMATION,
+            ITEM,
             "uwi",
             F.col("obs").alias("form_obs_no"),
             F.col("p_type").alias("form_id"),
@@ -160,7 +182,10 @@ class Given:
         )
 
     def well_perforation(self) -> DataFrame:
-        return self.item().select(
+        return full(
+            self.item(),
+            spec.WELL_PERFORATION,
+            ITEM,
             "uwi",
             F.col("obs").alias("perforation_obs_no"),
             F.col("qty").alias("perforation_count"),
@@ -170,12 +195,16 @@ class Given:
 
     def well_core(self) -> DataFrame:
         keys = ["uwi", F.col("status").alias("source"), F.col("flag").alias("core_id")]
-        return self.item().groupBy(*keys).agg(
+        cores = self.item().groupBy(*keys).agg(
             F.min("price").alias("top_depth"), F.max("ship").alias("row_changed_date")
         )
+        return full(cores, spec.WELL_CORE, Base("top_depth", "source", "row_changed_date"), "*")
 
     def well_core_sample_anal(self) -> DataFrame:
-        return self.item().filter("disc > 3").select(
+        return full(
+            self.item().filter("disc > 3"),
+            spec.WELL_CORE_SAMPLE_ANAL,
+            ITEM,
             "uwi",
             F.col("status").alias("source"),
             F.col("flag").alias("core_id"),
@@ -193,7 +222,10 @@ class Given:
         )
 
     def well_test(self) -> DataFrame:
-        return self._tested().select(
+        return full(
+            self._tested(),
+            spec.IP_WELL_TEST,
+            ITEM,
             "uwi",
             "source",
             "test_type",
@@ -205,7 +237,10 @@ class Given:
         )
 
     def well_test_pressure(self) -> DataFrame:
-        return self._tested().filter("tax > 4").select(
+        return full(
+            self._tested().filter("tax > 4"),
+            spec.WELL_TEST_PRESSURE,
+            ITEM,
             "uwi",
             "source",
             "test_type",
@@ -216,7 +251,10 @@ class Given:
         )
 
     def well_test_recovery(self) -> DataFrame:
-        return self._tested().select(
+        return full(
+            self._tested(),
+            spec.WELL_TEST_RECOVERY,
+            ITEM,
             "uwi",
             "source",
             "test_type",
@@ -228,7 +266,10 @@ class Given:
         )
 
     def well_test_flow(self) -> DataFrame:
-        return self._tested().filter("qty > 25").select(
+        return full(
+            self._tested().filter("qty > 25"),
+            spec.WELL_TEST_FLOW,
+            ITEM,
             "uwi",
             "source",
             "test_type",
@@ -257,20 +298,26 @@ class Given:
             *keys, F.year("ship").alias("volume_year"), F.month("ship").alias("volume_month")
         )
         first = F.make_date("volume_year", "volume_month", F.lit(1)).cast("timestamp_ntz")
-        return by_month.agg(F.sum("qty").alias("gas_volume"), F.sum("price").alias("oil_volume")).withColumn(
+        months = by_month.agg(F.sum("qty").alias("gas_volume"), F.sum("price").alias("oil_volume")).withColumn(
             "pden_date", first
         )
+        return full(months, spec.GX_PDEN_VOL_SUM_BY_MONTH, Base("oil_volume", "zone_id", "pden_date"), "*")
 
     def well_cumulative_production(self) -> DataFrame:
         keys = ["uwi", "zone_id", "activity_type", "volume_method"]
-        return self._produced().groupBy(*keys).agg(
+        totals = self._produced().groupBy(*keys).agg(
             F.sum("qty").alias("cumulative_gas_volume"),
             F.sum("price").alias("cumulative_oil_volume"),
             F.min("ship").alias("first_gas_volume_date"),
         )
+        base = Base("cumulative_oil_volume", "zone_id", "first_gas_volume_date")
+        return full(totals, spec.WELL_CUMULATIVE_PRODUCTION, base, "*")
 
     def log_image_reg_log_section(self) -> DataFrame:
-        return self.table("conversations").select(
+        return full(
+            self.table("conversations"),
+            spec.LOG_IMAGE_REG_LOG_SECTION,
+            Base("length(text)", "role", START),
             uwi("conv_id").alias("well_id"),
             F.col("turn").alias("log_section_index"),
             F.col("role").alias("log_section_name"),
@@ -285,7 +332,10 @@ class Given:
         )
 
     def _stations(self, status: str) -> DataFrame:
-        return self._surveyed().filter(F.col("status") == status).select(
+        return full(
+            self._surveyed().filter(F.col("status") == status),
+            spec.WELL_DIR_SRVY_STATION,
+            ITEM,
             "uwi",
             "survey_id",
             "source",
@@ -312,16 +362,22 @@ class Given:
         keys = self._surveyed().select("uwi", "survey_id", "source").distinct()
         return keys.join(orders, "uwi")
 
+    # Both kinds derive alike what both declare.
+
     def well_dir_srvy(self) -> DataFrame:
-        return self._survey_headers()
+        return full(self._survey_headers(), spec.WELL_DIR_SRVY, SURVEY, "*")
 
     def well_dir_proposed_srvy(self) -> DataFrame:
-        return self._survey_headers().withColumn("gx_lp_tvd", F.col("top_depth"))
+        headers = self._survey_headers().withColumn("gx_lp_tvd", F.col("top_depth"))
+        return full(headers, spec.WELL_DIR_PROPOSED_SRVY, SURVEY, "*")
 
     # Curves: sixteen embeddings are a well, a vector is a curve.
 
     def gx_well_curve(self) -> DataFrame:
-        return self.table("embeddings").select(
+        return full(
+            self.table("embeddings"),
+            spec.GX_WELL_CURVE,
+            Base("vec_id", "string(vec_id % 3)", START),
             uwi(run(16)).alias("wellid"),
             (F.col("vec_id") % 3).cast("string").alias("curveset"),
             F.col("vec_id").cast("string").alias("curvename"),
@@ -330,9 +386,10 @@ class Given:
         )
 
     def gx_well_curveset(self) -> DataFrame:
-        return self.gx_well_curve().groupBy("wellid", "curveset").agg(
+        sets = self.gx_well_curve().groupBy("wellid", "curveset").agg(
             F.min("topdepth").alias("topdepth"), F.max("topdepth").alias("basedepth")
         )
+        return full(sets, spec.GX_WELL_CURVESET, Base("topdepth", "curveset", START), "*")
 
     def gx_well_curve_values(self) -> DataFrame:
         return self.table("embeddings").select(
@@ -349,10 +406,14 @@ class Given:
     # Zones.
 
     def well_zone_interval(self) -> DataFrame:
-        return self.item_part().groupBy("uwi", F.col("p_type").alias("zone_name")).agg(F.min("price").alias("md"))
+        zones = self.item_part().groupBy("uwi", F.col("p_type").alias("zone_name")).agg(F.min("price").alias("md"))
+        return full(zones, spec.WELL_ZONE_INTERVAL, Base("md", "zone_name", START), "*")
 
     def well_zone_intrvl_value(self) -> DataFrame:
-        return self.item_part().filter("qty > 20").select(
+        return full(
+            self.item_part().filter("qty > 20"),
+            spec.WELL_ZONE_INTRVL_VALUE,
+            ITEM,
             "uwi",
             F.col("p_type").alias("zone_name"),
             F.col("p_brand").alias("zattribute_name"),
@@ -361,18 +422,21 @@ class Given:
 
     def gx_zone(self) -> DataFrame:
         types = self.table("part").select("p_type").distinct().filter("p_type NOT LIKE '%PROMO%'")
-        return types.select(F.col("p_type").alias("zone_name"), F.lower("p_type").alias("domain"))
+        zones = types.select(F.col("p_type").alias("zone_name"), F.lower("p_type").alias("domain"))
+        return full(zones, spec.GX_ZONE, Base("length(zone_name)", "domain", START), "*")
 
     def gx_zone_zattribute(self) -> DataFrame:
         pairs = self.table("part").select("p_type", "p_brand").distinct()
-        return pairs.select(F.col("p_type").alias("zone_name"), F.col("p_brand").alias("zattribute_name"))
+        pairs = pairs.select(F.col("p_type").alias("zone_name"), F.col("p_brand").alias("zattribute_name"))
+        return full(pairs, spec.GX_ZONE_ZATTRIBUTE, Base("length(zone_name)", "zattribute_name", START), "*")
 
     def gx_zattribute(self) -> DataFrame:
         brands = self.table("part").select("p_brand").distinct()
-        return brands.select(
+        units = brands.select(
             F.col("p_brand").alias("zattribute_name"),
             F.concat(F.lit("u"), "p_brand").alias("zattribute_value_unit"),
         )
+        return full(units, spec.GX_ZATTRIBUTE, Base("length(zattribute_name)", "zattribute_name", START), "*")
 
     # Catalog side.
 

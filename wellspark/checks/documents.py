@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wellspark.checks.adapters import Given
 from wellspark.checks.flat import flatten, joined
-from wellspark.checks.oracle import HEADER, SHORT_HEADER, agg, moment, pick, query
+from wellspark.checks.oracle import folded, moment, pick, query
+from wellspark.checks.wide import Base, full_sql
+from wellspark.plans import tables as spec
 from wellspark.plans.recipes import RECIPES, Tables
 
 # Domain tables per asset; the well table comes from the adapter named first.
@@ -43,7 +47,7 @@ ASSET_TABLES = {
 def tables(given: Given, asset: str, **options) -> Tables:
     wells, *children = ASSET_TABLES[asset]
     frames = {"well": getattr(given, wells)(), **given.domain(*children)}
-    return Tables(frames, missing="skip", **options)
+    return Tables(frames, **options)
 
 
 def documents(given: Given, asset: str, **options) -> DataFrame:
@@ -65,136 +69,198 @@ def doc_query(asset: str):
     return run
 
 
-# List columns as name -> SQL value over the item twins, in the order the tie-break uses.
-C = {
-    "base_depth": "price",
-    "completion_date": moment("ship"),
-    "completion_obs_no": "obs",
-    "completion_type": "flag",
-    "remark": "'disc ' || disc",
-    "top_depth": "qty",
-    "uwi": "uwi",
-}
-L = {
-    "bh_flag": "flag",
-    "ew_footage": "CAST(supp AS VARCHAR)",
-    "ns_footage": "CAST(part AS VARCHAR)",
-    "source": "status",
-}
+# What derived columns are made of, as in the adapters.
+ITEM = Base("price", "flag", "ship")
+START = "TIMESTAMP '2020-01-01'"
+
+# Columns as name -> SQL value over the item twins, in the declared order, which the tie-break uses.
+C = full_sql(
+    {
+        "base_depth": "price",
+        "completion_date": moment("ship"),
+        "completion_obs_no": "obs",
+        "completion_type": "flag",
+        "remark": "'disc ' || disc",
+        "top_depth": "qty",
+        "uwi": "uwi",
+    },
+    spec.WELL_COMPLETION,
+    ITEM,
+)
+L = full_sql(
+    {
+        "bh_flag": "flag",
+        "ew_footage": "CAST(supp AS VARCHAR)",
+        "ns_footage": "CAST(part AS VARCHAR)",
+        "source": "status",
+    },
+    spec.LEGAL_CONGRESS_LOC,
+    ITEM,
+)
 FAULTED = "CASE WHEN disc IS NOT NULL THEN CASE status WHEN 'F' THEN 'true' ELSE 'false' END END"
-FORM = {"faulted_ind": FAULTED, "form_depth": "price", "form_id": "p_type", "form_obs_no": "obs", "uwi": "uwi"}
-PERF = {
-    "perforation_count": "qty",
-    "perforation_obs_no": "obs",
-    "perforation_type": "status",
-    "top_depth": "price",
-    "uwi": "uwi",
-}
-SAMPLE = {
-    "analysis_obs_no": "analysis_obs_no",
-    "core_id": "core_id",
-    "porosity": "porosity",
-    "row_changed_date": moment("row_changed_date"),
-    "sample_id": "sample_id",
-    "sample_number": "sample_number",
-    "source": "source",
-    "uwi": "uwi",
-}
-TEST = {
-    "remark": "'disc ' || disc",
-    "test_date": moment("ship"),
-    "test_number": "CAST(test_number AS VARCHAR)",
-    "top_depth": "price",
-}
-IP = {
-    **TEST,
-    "run_number": "CAST(run_number AS VARCHAR)",
-    "source": "source",
-    "test_type": "test_type",
-    "uwi": "uwi",
-}
-PRESSURE = {"end_press": "price", "start_press": "qty", "test_number": "test_number"}
-RECOVERY = {
-    "recovery_amt": "qty",
-    "recovery_method": "CASE WHEN disc > 5 THEN 'PIPE' END",
-    "recovery_obs_no": "part",
-    "test_number": "CAST(test_number AS VARCHAR)",
-}
-FLOW = {"fluid_type": "flag", "max_fluid_rate": "price", "test_number": "test_number"}
-STATION = {
-    "row_changed_date": moment("ship"),
-    "source": "source",
-    "station_id": "CAST(part AS VARCHAR)",
-    "station_md": "obs",
-    "station_tvd": "price",
-    "survey_id": "survey_id",
-    "uwi": "uwi",
-    "x_offset": "qty",
-}
-MONTH = {
-    "gas_volume": "gas_volume",
-    "oil_volume": "oil_volume",
-    "pden_date": moment("pden_date"),
-    "volume_month": "volume_month",
-    "volume_year": "volume_year",
-}
+FORM = full_sql(
+    {"faulted_ind": FAULTED, "form_depth": "price", "form_id": "p_type", "form_obs_no": "obs", "uwi": "uwi"},
+    spec.WELL_FORMATION,
+    ITEM,
+)
+PERF = full_sql(
+    {
+        "perforation_count": "qty",
+        "perforation_obs_no": "obs",
+        "perforation_type": "status",
+        "top_depth": "price",
+        "uwi": "uwi",
+    },
+    spec.WELL_PERFORATION,
+    ITEM,
+)
+SAMPLE = full_sql(
+    {
+        "analysis_obs_no": "analysis_obs_no",
+        "core_id": "core_id",
+        "porosity": "porosity",
+        "row_changed_date": moment("row_changed_date"),
+        "sample_id": "sample_id",
+        "sample_number": "sample_number",
+        "source": "source",
+        "uwi": "uwi",
+    },
+    spec.WELL_CORE_SAMPLE_ANAL,
+    Base("price", "core_id", "row_changed_date"),
+)
+TEST = full_sql(
+    {
+        "remark": "'disc ' || disc",
+        "test_date": moment("ship"),
+        "test_number": "CAST(test_number AS VARCHAR)",
+        "top_depth": "price",
+    },
+    spec.WELL_TEST,
+    ITEM,
+)
+IP = full_sql(
+    {
+        **TEST,
+        "run_number": "CAST(run_number AS VARCHAR)",
+        "source": "source",
+        "test_type": "test_type",
+        "uwi": "uwi",
+    },
+    spec.IP_WELL_TEST,
+    ITEM,
+)
+PRESSURE = full_sql(
+    {"end_press": "price", "start_press": "qty", "test_number": "test_number"},
+    spec.WELL_TEST_PRESSURE,
+    ITEM,
+)
+RECOVERY = full_sql(
+    {
+        "recovery_amt": "qty",
+        "recovery_method": "CASE WHEN disc > 5 THEN 'PIPE' END",
+        "recovery_obs_no": "part",
+        "test_number": "CAST(test_number AS VARCHAR)",
+    },
+    spec.WELL_TEST_RECOVERY,
+    ITEM,
+)
+FLOW = full_sql(
+    {"fluid_type": "flag", "max_fluid_rate": "price", "test_number": "test_number"},
+    spec.WELL_TEST_FLOW,
+    ITEM,
+)
+STATION = full_sql(
+    {
+        "row_changed_date": moment("ship"),
+        "source": "source",
+        "station_id": "CAST(part AS VARCHAR)",
+        "station_md": "obs",
+        "station_tvd": "price",
+        "survey_id": "survey_id",
+        "uwi": "uwi",
+        "x_offset": "qty",
+    },
+    spec.WELL_DIR_SRVY_STATION,
+    ITEM,
+)
+MONTH = full_sql(
+    {
+        "gas_volume": "gas_volume",
+        "oil_volume": "oil_volume",
+        "pden_date": moment("pden_date"),
+        "volume_month": "volume_month",
+        "volume_year": "volume_year",
+    },
+    spec.GX_PDEN_VOL_SUM_BY_MONTH,
+    Base("oil_volume", "zone_id", "pden_date"),
+)
+_ZONE_VALUE = {"uwi": "v.uwi", "zattribute_name": "v.attr", "zattribute_value_numeric": "v.price", "zone_name": "v.zone_name"}
+_PAIR = {"zattribute_name": "a.p_brand", "zone_name": "a.p_type"}
+_UNIT = {"zattribute_name": "g.p_brand", "zattribute_value_unit": "'u' || g.p_brand"}
 VALUE = {
-    "well_zone_intrvl_value__uwi": "v.uwi",
-    "well_zone_intrvl_value__zattribute_name": "v.attr",
-    "well_zone_intrvl_value__zattribute_value_numeric": "v.price",
-    "well_zone_intrvl_value__zone_name": "v.zone_name",
-    "gx_zone_zattribute__zattribute_name": "a.p_brand",
-    "gx_zone_zattribute__zone_name": "a.p_type",
-    "gx_zattribute__zattribute_name": "g.p_brand",
-    "gx_zattribute__zattribute_value_unit": "'u' || g.p_brand",
+    f"{table}__{name}": value
+    for table, values in {
+        "well_zone_intrvl_value": full_sql(_ZONE_VALUE, spec.WELL_ZONE_INTRVL_VALUE, Base("v.price", "v.flag", "v.ship")),
+        "gx_zone_zattribute": full_sql(_PAIR, spec.GX_ZONE_ZATTRIBUTE, Base("length(a.p_type)", "a.p_brand", START)),
+        "gx_zattribute": full_sql(_UNIT, spec.GX_ZATTRIBUTE, Base("length(g.p_brand)", "g.p_brand", START)),
+    }.items()
+    for name, value in values.items()
 }
 
+_ZONE_JOIN = """zone_value v
+        JOIN (SELECT DISTINCT p_type, p_brand FROM part) a ON v.zone_name = a.p_type AND v.attr = a.p_brand
+        JOIN (SELECT DISTINCT p_brand FROM part) g ON a.p_brand = g.p_brand"""
+_KIND = "CASE status WHEN 'F' THEN 'actual' ELSE 'proposed' END"
+_TESTS = ["uwi", "source", "test_type", "run_number"]
+_STATIONS = {"uwi": "uwi", "survey_id": "survey_id", "source": "source", "kind": _KIND}
+
 FOLDED = {
-    "completion_f": f"SELECT uwi, {agg('well_completion__', C, ['obs'])} FROM item GROUP BY uwi",
-    "legal_f": f"SELECT uwi, {agg('legal_congress_loc__', L, ['flag'])} FROM item GROUP BY uwi",
-    "formation_f": f"SELECT uwi, {agg('well_formation__', FORM, ['obs'])} FROM item_part GROUP BY uwi",
-    "perforation_f": f"SELECT uwi, {agg('well_perforation__', PERF, ['obs'])} FROM item GROUP BY uwi",
-    "sample_f": f"""SELECT uwi, source, core_id, {agg("well_core_sample_anal__", SAMPLE, ["core_id"])}
-        FROM well_core_sample_anal GROUP BY uwi, source, core_id""",
-    "test_f": f"""SELECT uwi, source, test_type, run_number, {agg("well_test__", TEST, ["test_number"])}
-        FROM tested WHERE test_type = 'DST' GROUP BY uwi, source, test_type, run_number""",
-    "ip_f": f"""SELECT uwi, source, test_type, run_number, {agg("well_test__", IP, ["test_number"])}
-        FROM tested WHERE test_type = 'IP' GROUP BY uwi, source, test_type, run_number""",
-    "pressure_f": f"""SELECT uwi, source, test_type, run_number,
-        {agg("well_test_pressure__", PRESSURE, ["test_number"])}
-        FROM tested WHERE tax > 4 GROUP BY uwi, source, test_type, run_number""",
-    "recovery_f": f"""SELECT uwi, source, test_type, run_number,
-        {agg("well_test_recovery__", RECOVERY, ["test_number"])}
-        FROM tested WHERE disc > 5 GROUP BY uwi, source, test_type, run_number""",
-    "flow_f": f"""SELECT uwi, source, test_type, run_number,
-        {agg("well_test_flow__", FLOW, ["test_number"])}
-        FROM tested WHERE qty > 25 GROUP BY uwi, source, test_type, run_number""",
-    "station_f": f"""SELECT uwi, survey_id, source,
-        CASE status WHEN 'F' THEN 'actual' ELSE 'proposed' END AS kind,
-        count(*) AS n, {agg("well_dir_srvy_station__", STATION, ["obs"])}
-        FROM surveyed GROUP BY uwi, survey_id, source, status""",
+    "completion_f": folded("item", ["uwi"], "well_completion__", C, ["obs"]),
+    "legal_f": folded("item", ["uwi"], "legal_congress_loc__", L, ["flag"]),
+    "formation_f": folded("item_part", ["uwi"], "well_formation__", FORM, ["obs"]),
+    "perforation_f": folded("item", ["uwi"], "well_perforation__", PERF, ["obs"]),
+    "sample_f": folded("well_core_sample_anal", ["uwi", "source", "core_id"], "well_core_sample_anal__", SAMPLE, ["core_id"]),
+    "test_f": folded("tested WHERE test_type = 'DST'", _TESTS, "well_test__", TEST, ["test_number"]),
+    "ip_f": folded("tested WHERE test_type = 'IP'", _TESTS, "well_test__", IP, ["test_number"]),
+    "pressure_f": folded("tested WHERE tax > 4", _TESTS, "well_test_pressure__", PRESSURE, ["test_number"]),
+    "recovery_f": folded("tested WHERE disc > 5", _TESTS, "well_test_recovery__", RECOVERY, ["test_number"]),
+    "flow_f": folded("tested WHERE qty > 25", _TESTS, "well_test_flow__", FLOW, ["test_number"]),
+    "station_f": folded("surveyed", _STATIONS, "well_dir_srvy_station__", STATION, ["obs"], count="n"),
     "header_u": """SELECT 'actual' AS kind, h.*, CAST(NULL AS BIGINT) AS gx_lp_tvd FROM survey_header h
         WHERE uwi IN (SELECT uwi FROM surveyed WHERE status = 'F')
         UNION
         SELECT 'proposed', h.*, top_depth FROM survey_header h
         WHERE uwi IN (SELECT uwi FROM surveyed WHERE status = 'O')""",
-    "monthly_f": f"""SELECT uwi, zone_id, activity_type,
-        {agg("gx_pden_vol_sum_by_month__", MONTH, ["monthly.pden_date"])}
-        FROM monthly GROUP BY uwi, zone_id, activity_type""",
+    "monthly_f": folded("monthly", ["uwi", "zone_id", "activity_type"], "gx_pden_vol_sum_by_month__", MONTH, ["pden_date"]),
     "value_j": """SELECT v.uwi, v.zone_name, v.attr, v.price, a.p_type AS a_type, g.p_brand AS g_brand
         FROM zone_value v
         JOIN (SELECT DISTINCT p_type, p_brand FROM part) a ON v.zone_name = a.p_type AND v.attr = a.p_brand
         JOIN (SELECT DISTINCT p_brand FROM part) g ON a.p_brand = g.p_brand""",
-    "value_f": f"""SELECT v.uwi, v.zone_name, count(*) AS n, {agg("", VALUE, ["v.attr"])}
-        FROM zone_value v
-        JOIN (SELECT DISTINCT p_type, p_brand FROM part) a ON v.zone_name = a.p_type AND v.attr = a.p_brand
-        JOIN (SELECT DISTINCT p_brand FROM part) g ON a.p_brand = g.p_brand
-        GROUP BY v.uwi, v.zone_name""",
+    "value_f": folded(_ZONE_JOIN, {"uwi": "v.uwi", "zone_name": "v.zone_name"}, "", VALUE, ["v.attr"], count="n"),
 }
 
 
-def _one_child(folded: str, header: str = HEADER) -> str:
-    return query(f"SELECT {header}, f.* EXCLUDE (uwi) FROM well w JOIN {folded} f ON w.uwi = f.uwi", FOLDED)
+def _one_child(child: str, declared: str = spec.WELL_HEADER) -> str:
+    return query(f"SELECT {_header(declared)}, f.* EXCLUDE (uwi) FROM well w JOIN {child} f ON w.uwi = f.uwi", FOLDED)
+
+
+_WELL_COLUMNS = (
+    "gx_wsn uwi well_name operator lease_number county province_state current_status plot_symbol final_td net_pay geographic_region"
+).split()
+_DATED = Base("w.final_td", "w.current_status", "w.row_changed_date")
+
+
+def _header(declared: str = spec.WELL_HEADER, given: Sequence[str] = _WELL_COLUMNS, base: Base = _DATED) -> str:
+    """The well header's columns."""
+    known = {name: f"w.{name}" for name in given}
+    if base is _DATED:
+        known["row_changed_date"] = moment("w.row_changed_date")
+    return ", ".join(f"{value} AS well__{name}" for name, value in full_sql(known, declared, base).items())
+
+
+def _undated(*more: str) -> str:
+    """The header of wells that are no orders."""
+    return _header(given=["gx_wsn", "uwi", "well_name", *more], base=Base("w.gx_wsn", "w.well_name", START))
 
 
 def _outer(lists: dict[str, str], order: str) -> str:
@@ -210,77 +276,103 @@ def _items(value: str) -> str:
     return f"string_agg(coalesce(CAST({value} AS VARCHAR), '~'), '|' ORDER BY @ORDER)"
 
 
-WELL_FULL = (
-    HEADER
-    + ", w.current_status AS well__current_status, w.plot_symbol AS well__plot_symbol, "
-    + "w.final_td AS well__final_td, w.net_pay AS well__net_pay, w.geographic_region AS well__geographic_region"
-)
+HEADER = _header()
 
 _KEYS4 = " AND ".join(f"t.{k} = {{0}}.{k}" for k in ("uwi", "source", "test_type", "run_number"))
 
 _MONTH_LISTS = {f"gx_pden_vol_sum_by_month__{c}": _rows(f"m.gx_pden_vol_sum_by_month__{c}") for c in MONTH}
-_TOTALS = {
-    "activity_type": "p.activity_type",
-    "cumulative_gas_volume": "p.gas",
-    "cumulative_oil_volume": "p.oil",
-    "first_gas_volume_date": moment("p.first_date"),
-    "uwi": "p.uwi",
-    "volume_method": "'ACTUAL'",
-    "zone_id": "p.zone_id",
-}
+_TOTALS = full_sql(
+    {
+        "activity_type": "p.activity_type",
+        "cumulative_gas_volume": "p.gas",
+        "cumulative_oil_volume": "p.oil",
+        "first_gas_volume_date": moment("p.first_date"),
+        "uwi": "p.uwi",
+        "volume_method": "'ACTUAL'",
+        "zone_id": "p.zone_id",
+    },
+    spec.WELL_CUMULATIVE_PRODUCTION,
+    Base("p.oil", "p.zone_id", "p.first_date"),
+)
 _TOTAL_LISTS = {f"well_cumulative_production__{c}": _items(v) for c, v in _TOTALS.items()}
-_HEADERS = {
-    "kind": "s.kind",
-    "gx_lp_tvd": "s.gx_lp_tvd",
-    "source": "s.source",
-    "survey_company": "s.survey_company",
-    "survey_date": moment("s.survey_date"),
-    "survey_id": "s.survey_id",
-    "top_depth": "s.top_depth",
-    "uwi": "s.uwi",
-}
-_SECTIONS = {
-    "log_section_index": "turn",
-    "log_section_name": "role",
-    "num_depth_cal_pts": "length(text)",
-    "well_id": "lpad(CAST(conv_id AS VARCHAR), 14, '0')",
-}
-_CURVES = {
-    "gx_well_curve__wellid": _items("c.wellid"),
-    "gx_well_curve__curveset": _items("c.curveset"),
-    "gx_well_curve__curvename": _items("c.curvename"),
-    "gx_well_curve__version": _items("1"),
-    "gx_well_curve__topdepth": _items("c.topdepth"),
-    "gx_well_curveset__wellid": _items("s.wellid"),
-    "gx_well_curveset__curveset": _items("s.curveset"),
-    "gx_well_curveset__topdepth": _items("s.topdepth"),
-    "gx_well_curveset__basedepth": _items("s.basedepth"),
-    "gx_well_curve_values__wellid": _items("c.wellid"),
-    "gx_well_curve_values__curveset": _items("c.curveset"),
-    "gx_well_curve_values__curvename": _items("c.curvename"),
-    "gx_well_curve_values__version": _items("1"),
-    "gx_well_curve_values__curve_values": _rows("c.samples"),
+_HEADERS = full_sql(
+    {
+        "kind": "s.kind",
+        "gx_lp_tvd": "s.gx_lp_tvd",
+        "source": "s.source",
+        "survey_company": "s.survey_company",
+        "survey_date": moment("s.survey_date"),
+        "survey_id": "s.survey_id",
+        "top_depth": "s.top_depth",
+        "uwi": "s.uwi",
+    },
+    "kind:string " + spec.WELL_DIR_PROPOSED_SRVY,
+    Base("s.top_depth", "s.survey_company", "s.survey_date"),
+)
+for _name in spec.kinds(spec.WELL_DIR_PROPOSED_SRVY).keys() - spec.kinds(spec.WELL_DIR_SRVY).keys():
+    _HEADERS[_name] = f"CASE WHEN s.kind = 'proposed' THEN {_HEADERS[_name]} END"
+_SECTIONS = full_sql(
+    {
+        "log_section_index": "turn",
+        "log_section_name": "role",
+        "num_depth_cal_pts": "length(text)",
+        "well_id": "lpad(CAST(conv_id AS VARCHAR), 14, '0')",
+    },
+    spec.LOG_IMAGE_REG_LOG_SECTION,
+    Base("length(text)", "role", START),
+)
+_CURVE = {"wellid": "c.wellid", "curveset": "c.curveset", "curvename": "c.curvename", "version": "1"}
+_CURVE_VALUES = {
+    "gx_well_curve": full_sql(
+        {**_CURVE, "topdepth": "c.topdepth"}, spec.GX_WELL_CURVE, Base("CAST(c.curvename AS BIGINT)", "c.curveset", START)
+    ),
+    "gx_well_curveset": full_sql(
+        {name: f"s.{name}" for name in ("wellid", "curveset", "topdepth", "basedepth")},
+        spec.GX_WELL_CURVESET,
+        Base("s.topdepth", "s.curveset", START),
+    ),
+    "gx_well_curve_values": _CURVE,
 }
+_CURVE_COLUMNS = {f"{table}__{name}": value for table, values in _CURVE_VALUES.items() for name, value in values.items()}
+_CURVES = {name: _items(value) for name, value in _CURVE_COLUMNS.items()}
+_CURVES["gx_well_curve_values__curve_values"] = _rows("c.samples")
 _CURVE_TEXT = {
     "curve_text": """SELECT wellid, curveset, curvename, topdepth, array_to_string(list_transform(embedding,
         lambda x: CAST(CAST(round(CAST(x AS DOUBLE) * 1000000) AS BIGINT) AS VARCHAR)), '|') AS samples FROM curve"""
 }
 _ZONES = {
-    **{f"well_zone_interval__{c}": _items(f"i.{c}") for c in ("md", "uwi", "zone_name")},
-    **{f"gx_zone__{c}": _items(f"z.{c}") for c in ("domain", "zone_name")},
+    **{
+        f"well_zone_interval__{c}": _items(v)
+        for c, v in full_sql(
+            {c: f"i.{c}" for c in ("md", "uwi", "zone_name")}, spec.WELL_ZONE_INTERVAL, Base("i.md", "i.zone_name", START)
+        ).items()
+    },
+    **{
+        f"gx_zone__{c}": _items(v)
+        for c, v in full_sql(
+            {c: f"z.{c}" for c in ("domain", "zone_name")}, spec.GX_ZONE, Base("length(z.zone_name)", "z.domain", START)
+        ).items()
+    },
     **{name: _rows(f"v.{name}") for name in VALUE},
 }
 
 
+_CORES = full_sql(
+    {
+        **{name: f"c.{name}" for name in ("core_id", "source", "uwi", "top_depth")},
+        "row_changed_date": moment("c.row_changed_date"),
+    },
+    spec.WELL_CORE,
+    Base("c.top_depth", "c.source", "c.row_changed_date"),
+)
+
 DOC_SQL = {
-    "doc_well": _one_child("legal_f", WELL_FULL),
+    "doc_well": _one_child("legal_f", spec.WELL),
     "doc_completion": _one_child("completion_f"),
     "doc_formation": _one_child("formation_f"),
     "doc_perforation": _one_child("perforation_f"),
     "doc_core": query(
-        f"""SELECT {HEADER}, c.core_id AS well_core__core_id, c.source AS well_core__source,
-            c.uwi AS well_core__uwi, c.top_depth AS well_core__top_depth,
-            {moment("c.row_changed_date")} AS well_core__row_changed_date,
+        f"""SELECT {HEADER}, {", ".join(f"{v} AS well_core__{n}" for n, v in _CORES.items())},
             {pick("s", "well_core_sample_anal__", list(SAMPLE), "")}
             FROM well w JOIN well_core c ON w.uwi = c.uwi
             LEFT JOIN sample_f s ON c.uwi = s.uwi AND c.source = s.source AND c.core_id = s.core_id""",
@@ -304,8 +396,7 @@ DOC_SQL = {
         FOLDED,
     ),
     "doc_production": query(
-        f"""SELECT {SHORT_HEADER}, w.county AS well__county, w.province_state AS well__province_state,
-            l.* EXCLUDE (uwi) FROM supplier_well w JOIN (
+        f"""SELECT {_undated("county", "province_state")}, l.* EXCLUDE (uwi) FROM supplier_well w JOIN (
             SELECT p.uwi, {_outer({**_TOTAL_LISTS, **_MONTH_LISTS}, "p.zone_id, p.activity_type")}
             FROM cumulative p JOIN monthly_f m
             ON p.uwi = m.uwi AND p.zone_id = m.zone_id AND p.activity_type = m.activity_type
@@ -313,10 +404,8 @@ DOC_SQL = {
         FOLDED,
     ),
     "doc_raster_log": query(
-        f"""SELECT {SHORT_HEADER}, l.* EXCLUDE (uwi) FROM conversation_well w JOIN (
-            SELECT lpad(CAST(conv_id AS VARCHAR), 14, '0') AS uwi,
-            {agg("log_image_reg_log_section__", _SECTIONS, ["turn"])}
-            FROM conversations GROUP BY conv_id) l ON w.uwi = l.uwi""",
+        f"""SELECT {_undated()}, l.* EXCLUDE (uwi) FROM conversation_well w JOIN (
+            {folded("conversations", {"uwi": _SECTIONS["well_id"]}, "log_image_reg_log_section__", _SECTIONS, ["turn"])}) l ON w.uwi = l.uwi""",
     ),
     "doc_survey": query(
         f"""SELECT {HEADER}, l.* EXCLUDE (uwi) FROM well w JOIN (
@@ -334,7 +423,7 @@ DOC_SQL = {
         FOLDED,
     ),
     "doc_vector_log": query(
-        f"""SELECT {SHORT_HEADER}, l.* EXCLUDE (uwi) FROM curve_well w JOIN (
+        f"""SELECT {_undated()}, l.* EXCLUDE (uwi) FROM curve_well w JOIN (
             SELECT c.wellid AS uwi, {_outer(_CURVES, "c.curveset, c.curvename")}
             FROM curve_text c JOIN curveset s ON c.wellid = s.wellid AND c.curveset = s.curveset
             GROUP BY c.wellid) l ON w.uwi = l.uwi""",
@@ -404,12 +493,7 @@ ITEM_SQL = {
     ),
     "items_vector_log": query(
         f"""SELECT c.wellid AS uwi, c.curveset, c.curvename, 1 AS version,
-            c.wellid AS gx_well_curve__wellid, c.curveset AS gx_well_curve__curveset, c.curvename AS gx_well_curve__curvename,
-            1 AS gx_well_curve__version, c.topdepth AS gx_well_curve__topdepth,
-            s.wellid AS gx_well_curveset__wellid, s.curveset AS gx_well_curveset__curveset,
-            s.topdepth AS gx_well_curveset__topdepth, s.basedepth AS gx_well_curveset__basedepth,
-            c.wellid AS gx_well_curve_values__wellid, c.curveset AS gx_well_curve_values__curveset,
-            c.curvename AS gx_well_curve_values__curvename, 1 AS gx_well_curve_values__version,
+            {_long("", _CURVE_COLUMNS)},
             c.samples AS gx_well_curve_values__curve_values
             FROM curve_text c JOIN curveset s ON c.wellid = s.wellid AND c.curveset = s.curveset""",
         _CURVE_TEXT,

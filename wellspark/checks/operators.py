@@ -246,15 +246,17 @@ IDS_UNION = query("""SELECT 'P' || (CAST(uwi AS BIGINT) % 7) AS project_id, coun
 # Lists.
 
 
+LISTED = ["base_depth", "completion_date", "completion_obs_no", "completion_type", "remark", "top_depth"]
+
+
 def ordered_lists_(spark, folder):
     completion = Given(spark, folder).well_completion()
-    cols = ["base_depth", "completion_date", "completion_obs_no", "completion_type", "remark", "top_depth"]
-    lists = ordered_lists(completion, ["uwi"], ["completion_obs_no"], cols)
+    lists = ordered_lists(completion, ["uwi"], ["completion_obs_no"], LISTED)
     return flatten(lists)
 
 
 ORDERED_LISTS = query(
-    "SELECT uwi, " + agg("", {k: v for k, v in C.items() if k != "uwi"}, ["obs"]) + " FROM item GROUP BY uwi"
+    "SELECT uwi, " + agg("", {name: C[name] for name in LISTED}, ["obs"]) + " FROM item GROUP BY uwi"
 )
 
 

@@ -52,7 +52,7 @@ CTES: dict[str, str] = {
         FROM item GROUP BY uwi, status, flag""",
     "well_core_sample_anal": """
         SELECT uwi, status AS source, flag AS core_id, obs AS analysis_obs_no, part AS sample_number,
-               qty AS porosity, CAST(supp AS VARCHAR) AS sample_id, ship AS row_changed_date
+               qty AS porosity, CAST(supp AS VARCHAR) AS sample_id, ship AS row_changed_date, price
         FROM item WHERE disc > 3""",
     "tested": """
         SELECT item.*, status AS source,
@@ -85,7 +85,7 @@ CTES: dict[str, str] = {
     "zone_interval": """
         SELECT uwi, p_type AS zone_name, min(price) AS md FROM item_part GROUP BY uwi, p_type""",
     "zone_value": """
-        SELECT uwi, p_type AS zone_name, p_brand AS attr, price FROM item_part WHERE qty > 20""",
+        SELECT uwi, p_type AS zone_name, p_brand AS attr, price, flag, ship FROM item_part WHERE qty > 20""",
     "zone": """
         SELECT DISTINCT p_type AS zone_name, lower(p_type) AS domain FROM part
         WHERE p_type NOT LIKE '%PROMO%'""",
@@ -155,12 +155,21 @@ def agg(prefix: str, lists: Mapping[str, str], order: Sequence[str], sep: str =
     )
 
 
-HEADER = (
-    "w.gx_wsn AS well__gx_wsn, w.uwi AS well__uwi, w.well_name AS well__well_name, "
-    "w.operator AS well__operator, w.lease_number AS well__lease_number, w.county AS well__county, "
-    f"w.province_state AS well__province_state, {moment('w.row_changed_date')} AS well__row_changed_date"
-)
-SHORT_HEADER = "w.gx_wsn AS well__gx_wsn, w.uwi AS well__uwi, w.well_name AS well__well_name"
+def folded(
+    source: str, keys: Sequence[str] | Mapping[str, str], prefix: str, lists: Mapping[str, str], order: Sequence[str], count: str = ""
+) -> str:
+    """A query with one row per key and one string_agg per listed column, all in one row order, which is numbered once.
+
+    `source` is what follows FROM; `count` names a column with the rows per key."""
+    keys = keys if isinstance(keys, Mapping) else {key: key for key in keys}
+    inner = [f"{v} AS {k}" for k, v in keys.items()]
+    inner += [f"{v} AS _order{i}" for i, v in enumerate(order)] + [f"{v} AS {prefix}{n}" for n, v in lists.items()]
+    ranked = by([*(f"_order{i}" for i in range(len(order))), *(prefix + n for n in lists)])
+    place = f"row_number() OVER (PARTITION BY {', '.join(keys)} ORDER BY {ranked}) AS _place"
+    out = [*keys, *([f"count(*) AS {count}"] if count else [])]
+    out += [f"string_agg({text(prefix + n)}, '|' ORDER BY _place) AS {prefix}{n}" for n in lists]
+    return f"""SELECT {", ".join(out)} FROM (SELECT *, {place} FROM (SELECT {", ".join(inner)} FROM {source}))
+        GROUP BY {", ".join(keys)}"""
 
 
 def pick(alias: str, prefix: str, names: Sequence[str], missing: str | None = None) -> str:

@@ -93,8 +93,8 @@ class Tables:
         """Untyped columns, prefixed, next to the key columns (alias -> column) and order columns (`o_...`)."""
         out = [*self.scope, *[F.col(c).alias(k) for k, c in keys.items()]]
         out += [F.col(c).alias("o_" + c) for c in order]
-        for column in spec.names(columns):
-            found = self.column(df, column, spec.default_type(column))
+        for column, kind in spec.kinds(columns).items():
+            found = self.column(df, column, spec.TYPES[kind])
             if found:
                 out.append(found[0].alias(prefix + column))
         rows = df.select(*out)
@@ -371,8 +371,8 @@ def survey_headers(tables: Tables) -> DataFrame:
     for kind, (stations, headers, columns) in SURVEY_TABLES.items():
         df = restrict(tables.get(headers), tables.get(stations), tables.keys("uwi"))
         wanted = []
-        for c in spec.names(columns):
-            found = tables.column(df, c, spec.default_type(c))
+        for c, kind_of in spec.kinds(columns).items():
+            found = tables.column(df, c, spec.TYPES[kind_of])
             if found:
                 wanted.append(found[0].alias(c))
         parts.append(df.select(*tables.scope, F.lit(kind).alias("kind"), *wanted))
@@ -382,7 +382,7 @@ def survey_headers(tables: Tables) -> DataFrame:
 
 
 def _survey(tables: Tables, made: dict[str, Child]) -> DataFrame:
-    columns = "kind " + spec.WELL_DIR_PROPOSED_SRVY
+    columns = "kind:string " + spec.WELL_DIR_PROPOSED_SRVY
     typed = Tables({"headers": survey_headers(tables)}, tables.scope, missing=tables.missing)
     headers = typed.plain("headers", columns, "s_", {**SURVEY_KEYS, "k_kind": "kind"})
     keys = [*SURVEY_KEYS, "k_kind"]

@@ -1,8 +1,8 @@
 """Columns of the domain tables, as the asset documents carry them.
 
 Fixed values: the names and list types have to equal those of the source databases.
-A plain name is a scalar that keeps the type its table has; `name:type` is a column that is
-folded into a list with that element type.
+`name:type` gives the element type of a column that is folded into a list. A scalar keeps the type its
+table has; its type here is for tables that lack the column.
 """
 
 from __future__ import annotations
@@ -11,8 +11,8 @@ from pyspark.sql import types as T
 
 
 WELL_HEADER = """
-    gx_wsn uwi well_name well_number operator lease_name lease_number county province_state
-    row_changed_date
+    gx_wsn:bigint uwi:string well_name:string well_number:string operator:string lease_name:string
+    lease_number:string county:string province_state:string row_changed_date:timestamp
 """
 
 WELL_COMPLETION = """
@@ -22,9 +22,11 @@ WELL_COMPLETION = """
 """
 
 WELL_CORE = """
-    base_depth base_depth_ouom core_id core_type gx_primary_core_form_alias gx_qualifying_field
-    gx_remark gx_user1 primary_core_form recovered_amt recovery_amt_ouom recovery_date
-    reported_core_number row_changed_date source top_depth top_depth_ouom uwi
+    base_depth:double base_depth_ouom:string core_id:string core_type:string
+    gx_primary_core_form_alias:string gx_qualifying_field:string gx_remark:string gx_user1:string
+    primary_core_form:string recovered_amt:double recovery_amt_ouom:string recovery_date:timestamp
+    reported_core_number:string row_changed_date:timestamp source:string top_depth:double
+    top_depth_ouom:string uwi:string
 """
 
 WELL_CORE_SAMPLE_ANAL = """
@@ -102,17 +104,21 @@ WELL_PERFORATION = """
 """
 
 WELL_CUMULATIVE_PRODUCTION = """
-    activity_type average_gas_volume average_injection_volume average_oil_volume
-    average_total_fluids_volume average_water_volume cumulative_gas_volume
-    cumulative_injection_volume cumulative_oil_volume cumulative_total_fluids_volume
-    cumulative_water_volume first_gas_volume first_gas_volume_date first_injection_volume
-    first_oil_volume first_oil_volume_date first_total_fluids_date first_total_fluids_volume
-    first_water_volume first_water_volume_date gas_eur gas_reserves gx_percent_allocation
-    last_gas_volume last_gas_volume_date last_injection_volume last_oil_volume last_oil_volume_date
-    last_total_fluids_date last_total_fluids_volume last_water_volume last_water_volume_date
-    max_gas_volume max_injection_volume max_oil_volume max_total_fluids_volume max_water_volume
-    min_gas_volume min_injection_volume min_oil_volume min_total_fluids_volume min_water_volume
-    oil_eur oil_reserves row_changed_date uwi volume_method zone_id
+    activity_type:string average_gas_volume:double average_injection_volume:double
+    average_oil_volume:double average_total_fluids_volume:double average_water_volume:double
+    cumulative_gas_volume:double cumulative_injection_volume:double cumulative_oil_volume:double
+    cumulative_total_fluids_volume:double cumulative_water_volume:double first_gas_volume:double
+    first_gas_volume_date:timestamp first_injection_volume:double first_oil_volume:double
+    first_oil_volume_date:timestamp first_total_fluids_date:timestamp
+    first_total_fluids_volume:double first_water_volume:double first_water_volume_date:timestamp
+    gas_eur:double gas_reserves:double gx_percent_allocation:double last_gas_volume:double
+    last_gas_volume_date:timestamp last_injection_volume:double last_oil_volume:double
+    last_oil_volume_date:timestamp last_total_fluids_date:timestamp last_total_fluids_volume:double
+    last_water_volume:double last_water_volume_date:timestamp max_gas_volume:double
+    max_injection_volume:double max_oil_volume:double max_total_fluids_volume:double
+    max_water_volume:double min_gas_volume:double min_injection_volume:double min_oil_volume:double
+    min_total_fluids_volume:double min_water_volume:double oil_eur:double oil_reserves:double
+    row_changed_date:timestamp uwi:string volume_method:double zone_id:string
 """
 
 GX_PDEN_VOL_SUM_BY_MONTH = """
@@ -122,16 +128,20 @@ GX_PDEN_VOL_SUM_BY_MONTH = """
 """
 
 LOG_IMAGE_REG_LOG_SECTION = """
-    log_section_index base_depth base_depth_ouom bottom_left_x_pixel bottom_left_y_pixel
-    bottom_right_x_pixel bottom_right_y_pixel create_date create_user_id curve_bottom_left_x_pixel
-    curve_bottom_left_y_pixel curve_bottom_right_x_pixel curve_bottom_right_y_pixel
-    curve_top_left_x_pixel curve_top_left_y_pixel curve_top_right_x_pixel curve_top_right_y_pixel
-    header_bottom_left_x_pixel header_bottom_left_y_pixel header_bottom_right_x_pixel
-    header_bottom_right_y_pixel header_rotation header_top_left_x_pixel header_top_left_y_pixel
-    header_top_right_x_pixel header_top_right_y_pixel log_depth_cal_vid log_section_name
-    num_depth_cal_pts remark source_registration_filename tif_file_identifier tif_file_path
-    tif_filename top_depth top_depth_ouom top_left_x_pixel top_left_y_pixel top_right_x_pixel
-    top_right_y_pixel update_date update_user_id well_id
+    log_section_index:bigint base_depth:double base_depth_ouom:string bottom_left_x_pixel:double
+    bottom_left_y_pixel:double bottom_right_x_pixel:double bottom_right_y_pixel:double
+    create_date:timestamp create_user_id:string curve_bottom_left_x_pixel:double
+    curve_bottom_left_y_pixel:double curve_bottom_right_x_pixel:double
+    curve_bottom_right_y_pixel:double curve_top_left_x_pixel:double curve_top_left_y_pixel:double
+    curve_top_right_x_pixel:double curve_top_right_y_pixel:double header_bottom_left_x_pixel:double
+    header_bottom_left_y_pixel:double header_bottom_right_x_pixel:double
+    header_bottom_right_y_pixel:double header_rotation:double header_top_left_x_pixel:double
+    header_top_left_y_pixel:double header_top_right_x_pixel:double header_top_right_y_pixel:double
+    log_depth_cal_vid:string log_section_name:string num_depth_cal_pts:bigint remark:string
+    source_registration_filename:string tif_file_identifier:string tif_file_path:string
+    tif_filename:string top_depth:double top_depth_ouom:string top_left_x_pixel:double
+    top_left_y_pixel:double top_right_x_pixel:double top_right_y_pixel:double update_date:timestamp
+    update_user_id:string well_id:string
 """
 
 WELL_DIR_SRVY_STATION = """
@@ -144,59 +154,78 @@ WELL_DIR_SRVY_STATION = """
 """
 
 WELL_DIR_SRVY = """
-    azimuth_north_type base_depth base_depth_ouom calculation_required compute_method
-    ew_magnetic_declination grid_system_id gx_base_e_w_offset gx_base_latitude
-    gx_base_location_string gx_base_longitude gx_base_n_s_offset gx_base_tvd gx_closure gx_footage
-    gx_kop_e_w_offset gx_kop_latitude gx_kop_longitude gx_kop_md gx_kop_n_s_offset gx_kop_tvd
-    magnetic_declination north_reference offset_north_type record_mode remark row_changed_date
-    source source_document survey_company survey_date survey_id survey_quality survey_type top_depth
-    top_depth_ouom uwi
+    azimuth_north_type:string base_depth:double base_depth_ouom:string calculation_required:string
+    compute_method:string ew_magnetic_declination:double grid_system_id:string
+    gx_base_e_w_offset:double gx_base_latitude:double gx_base_location_string:string
+    gx_base_longitude:double gx_base_n_s_offset:double gx_base_tvd:double gx_closure:double
+    gx_footage:string gx_kop_e_w_offset:double gx_kop_latitude:double gx_kop_longitude:double
+    gx_kop_md:double gx_kop_n_s_offset:double gx_kop_tvd:double magnetic_declination:double
+    north_reference:string offset_north_type:string record_mode:string remark:string
+    row_changed_date:timestamp source:string source_document:string survey_company:string
+    survey_date:timestamp survey_id:string survey_quality:string survey_type:string top_depth:double
+    top_depth_ouom:string uwi:string
 """
 
 WELL_DIR_PROPOSED_SRVY = """
-    azimuth_north_type base_depth base_depth_ouom calculation_required compute_method
-    ew_magnetic_declination grid_system_id gx_active gx_base_e_w_offset gx_base_latitude
-    gx_base_location_string gx_base_longitude gx_base_n_s_offset gx_base_tvd gx_closure gx_footage
-    gx_kop_e_w_offset gx_kop_latitude gx_kop_longitude gx_kop_md gx_kop_n_s_offset gx_kop_tvd
-    gx_lp_e_w_offset gx_lp_n_s_offset gx_lp_tvd gx_scenario_name magnetic_declination
-    north_reference offset_north_type record_mode remark row_changed_date source source_document
-    survey_company survey_date survey_id survey_quality survey_type top_depth top_depth_ouom uwi
+    azimuth_north_type:string base_depth:double base_depth_ouom:string calculation_required:string
+    compute_method:string ew_magnetic_declination:double grid_system_id:string gx_active:string
+    gx_base_e_w_offset:double gx_base_latitude:double gx_base_location_string:string
+    gx_base_longitude:double gx_base_n_s_offset:double gx_base_tvd:double gx_closure:double
+    gx_footage:string gx_kop_e_w_offset:double gx_kop_latitude:double gx_kop_longitude:double
+    gx_kop_md:double gx_kop_n_s_offset:double gx_kop_tvd:double gx_lp_e_w_offset:double
+    gx_lp_n_s_offset:double gx_lp_tvd:double gx_scenario_name:string magnetic_declination:double
+    north_reference:string offset_north_type:string record_mode:string remark:string
+    row_changed_date:timestamp source:string source_document:string survey_company:string
+    survey_date:timestamp survey_id:string survey_quality:string survey_type:string top_depth:double
+    top_depth_ouom:string uwi:string
 """
 
 GX_WELL_CURVE = """
-    wellid curveset curvename version cmd_type curve_uom curve_ouom date_modified description
-    tool_type remark topdepth basedepth
+    wellid:string curveset:string curvename:string version:bigint cmd_type:string curve_uom:string
+    curve_ouom:string date_modified:timestamp description:string tool_type:string remark:string
+    topdepth:double basedepth:double
 """
 
 GX_WELL_CURVESET = """
-    wellid curveset topdepth basedepth depthincr log_job log_trip source_file remark type fielddata
-    import_date
+    wellid:string curveset:string topdepth:double basedepth:double depthincr:double log_job:string
+    log_trip:string source_file:string remark:string type:string fielddata:string
+    import_date:timestamp
 """
 
 GX_WELL_CURVE_VALUES = """
-    wellid curveset curvename version curve_values
+    wellid:string curveset:string curvename:string version:bigint curve_values:binary
 """
 
 WELL = """
-    uwi abandonment_date assigned_field base_node_id bottom_hole_latitude bottom_hole_longitude
-    casing_flange_elev casing_flange_elev_ouom common_well_name completion_date confidential_date
-    confidential_depth confidential_depth_ouom confidential_form confidential_type country county
-    current_class current_status current_status_date depth_datum depth_datum_elev
-    depth_datum_elev_ouom discovery_ind district drill_td drill_td_ouom faulted_ind final_drill_date
-    final_td final_td_ouom geodetic_datum_id geographic_region geologic_province ggx_internal_status
-    ground_elev ground_elev_ouom ground_elev_type gx_alternate_id gx_bottom_hole_ew_direction
-    gx_bottom_hole_ns_direction gx_bottom_hole_tvd gx_bottom_hole_x_offset gx_bottom_hole_y_offset
-    gx_formid gx_formid_alias gx_legal_string gx_location_string gx_mag_declination gx_old_id
-    gx_oldest_form_alias gx_original_units gx_percent_allocation gx_permit_date gx_point
-    gx_proposed_flag gx_remarks gx_rigfloor_elev gx_td_form_alias gx_user_date gx_user1 gx_user2
-    gx_wsn initial_class kb_elev kb_elev_ouom lease_name lease_number legal_survey_type log_td
-    log_td_ouom max_tvd max_tvd_ouom net_pay net_pay_ouom oldest_form oldest_form_age operator
-    original_operator parent_relationship_type parent_uwi platform_id platform_source plot_name
-    plot_symbol plugback_depth plugback_depth_ouom primary_source profile_type province_state
-    regulatory_agency rig_release_date row_changed_date source_document spud_date surface_latitude
-    surface_longitude surface_node_id tax_credit_code td_form td_form_age water_depth
-    water_depth_datum water_depth_ouom well_govt_id well_intersect_md well_name well_number
-    whipstock_depth whipstock_depth_ouom
+    uwi:string abandonment_date:timestamp assigned_field:string base_node_id:string
+    bottom_hole_latitude:double bottom_hole_longitude:double casing_flange_elev:double
+    casing_flange_elev_ouom:string common_well_name:string completion_date:timestamp
+    confidential_date:timestamp confidential_depth:double confidential_depth_ouom:string
+    confidential_form:string confidential_type:string country:string county:string
+    current_class:string current_status:string current_status_date:timestamp depth_datum:string
+    depth_datum_elev:double depth_datum_elev_ouom:string discovery_ind:string district:string
+    drill_td:double drill_td_ouom:string faulted_ind:string final_drill_date:timestamp
+    final_td:double final_td_ouom:string geodetic_datum_id:string geographic_region:string
+    geologic_province:string ggx_internal_status:string ground_elev:double ground_elev_ouom:string
+    ground_elev_type:string gx_alternate_id:string gx_bottom_hole_ew_direction:string
+    gx_bottom_hole_ns_direction:string gx_bottom_hole_tvd:double gx_bottom_hole_x_offset:double
+    gx_bottom_hole_y_offset:double gx_formid:string gx_formid_alias:string gx_legal_string:string
+    gx_location_string:string gx_mag_declination:double gx_old_id:string gx_oldest_form_alias:string
+    gx_original_units:string gx_percent_allocation:double gx_permit_date:timestamp gx_point:string
+    gx_proposed_flag:string gx_remarks:string gx_rigfloor_elev:double gx_td_form_alias:string
+    gx_user_date:timestamp gx_user1:string gx_user2:string gx_wsn:bigint initial_class:string
+    kb_elev:double kb_elev_ouom:string lease_name:string lease_number:string
+    legal_survey_type:string log_td:double log_td_ouom:string max_tvd:double max_tvd_ouom:string
+    net_pay:double net_pay_ouom:string oldest_form:string oldest_form_age:string operator:string
+    original_operator:string parent_relationship_type:string parent_uwi:string platform_id:string
+    platform_source:string plot_name:string plot_symbol:string plugback_depth:double
+    plugback_depth_ouom:string primary_source:string profile_type:string province_state:string
+    regulatory_agency:string rig_release_date:timestamp row_changed_date:timestamp
+    source_document:string spud_date:timestamp surface_latitude:double surface_longitude:double
+    surface_node_id:string tax_credit_code:string td_form:string td_form_age:string
+    water_depth:double water_depth_datum:string water_depth_ouom:string well_govt_id:string
+    well_intersect_md:double well_name:string well_number:string whipstock_depth:double
+    whipstock_depth_ouom:string
 """
 
 LEGAL_CONGRESS_LOC = """
@@ -209,8 +238,9 @@ LEGAL_CONGRESS_LOC = """
 """
 
 WELL_ZONE_INTERVAL = """
-    base_md base_tvd base_x base_y md mdss remark row_changed_date top_md top_tvd top_x top_y tvd
-    tvdss uwi x y zone_name
+    base_md:double base_tvd:double base_x:double base_y:double md:double mdss:double remark:string
+    row_changed_date:timestamp top_md:double top_tvd:double top_x:double top_y:double tvd:double
+    tvdss:double uwi:string x:double y:double zone_name:string
 """
 
 WELL_ZONE_INTRVL_VALUE = """
@@ -229,30 +259,23 @@ GX_ZATTRIBUTE = """
 """
 
 GX_ZONE = """
-    domain gx_base_form_name gx_base_form_tb gx_base_modifier gx_base_offset gx_remark
-    gx_top_form_name gx_top_form_tb gx_top_modifier gx_top_offset gx_topmidbase row_changed_date
-    zone_name
+    domain:string gx_base_form_name:string gx_base_form_tb:string gx_base_modifier:string
+    gx_base_offset:double gx_remark:string gx_top_form_name:string gx_top_form_tb:string
+    gx_top_modifier:string gx_top_offset:double gx_topmidbase:string row_changed_date:timestamp
+    zone_name:string
 """
 
 
-def names(columns: str) -> list[str]:
-    return [column.split(":")[0] for column in columns.split()]
+TYPES = {
+    "string": T.StringType(),
+    "double": T.DoubleType(),
+    "bigint": T.LongType(),
+    "timestamp": T.TimestampNTZType(),
+    "boolean": T.BooleanType(),
+    "binary": T.BinaryType(),
+}
 
 
 def kinds(columns: str) -> dict[str, str]:
-    """Element types of a list table."""
+    """Name to type of a table's columns: of a list's elements, or of a scalar that a table lacks."""
     return dict(column.split(":") for column in columns.split())
-
-
-def default_type(name: str) -> T.DataType:
-    """Type of a scalar column that a table lacks."""
-    if name.endswith(("_ouom", "_datum")):
-        return T.StringType()
-    if name.endswith("_date") or name == "date_modified":
-        return T.TimestampNTZType()
-    if name.endswith(("_count", "_no")) or name.startswith("num_"):
-        return T.LongType()
-    measured = ("depth", "elev", "volume", "offset")
-    if name in ("x", "y") or name.endswith(("latitude", "longitude", "pixel", "md", "tvd")):
-        return T.DoubleType()
-    return T.DoubleType() if any(word in name for word in measured) else T.StringType()
