@@ -1,6 +1,6 @@
 """Warm median times of the headline queries: one JSON line.
 
-BENCH_SF_DIR (default /root/testdata/sf0.1), BENCH_CPUS (default all), BENCH_RUNS (default 2),
+BENCH_SF_DIR (default /root/testdata/sf0.1), BENCH_CPUS (default all), BENCH_RUNS (default 1),
 BENCH_QUERIES (names, default the twelve documents and the heavier operators), BENCH_DUCKDB=1
 adds the times of the equivalent SQL in DuckDB on the same machine.
 """
@@ -44,7 +44,7 @@ def timed(action, runs: int) -> float:
 def main() -> None:
     folder = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", str(os.cpu_count()))
-    runs = int(os.environ.get("BENCH_RUNS", "2"))
+    runs = int(os.environ.get("BENCH_RUNS", "1"))
     names = os.environ.get("BENCH_QUERIES", ",".join(HEADLINE)).split(",")
     spark = local_session(cpus, partitions=int(cpus), memory="16g")
 

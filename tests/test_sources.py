@@ -60,7 +60,8 @@ def test_patterns_and_ids_restrict_documents(given):
 def test_missing_columns_and_tables(given):
     from wellspark.checks.documents import tables
 
-    base = tables(given, "completion")
+    whole = tables(given, "completion")
+    base = Tables({**whole.frames, "well_completion": whole.frames["well_completion"].drop("base_form")})
     full = RECIPES["completion"].build(Tables(base.frames))
     assert len(full.schema["well_completion"].dataType.fields) == 12
     row = full.select("well_completion.*").first()

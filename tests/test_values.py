@@ -135,3 +135,10 @@ def test_project_ids_and_paths(spark):
     assert names == ("ab", "Colorado North", "x y") and homes == ("home", "home", "home")
     assert ids[0].startswith("AB__") and ids[1].startswith("COL_") and all(len(i) == 10 and i == i.upper() for i in ids)
     assert labels[2] == "x_y-home"
+
+
+def test_clean_string_by_name_equals_the_column(spark):
+    odd = [None, "", "  a ", "caf\u00c3\u00a9", "\u00e9", "a\x00b\x85c", "\u200bzero", "x\u00a0y", "\u4e2d\n", "\U0001f600 ok", "\u00c3", "don't \\ \"q\""]
+    rows = spark.createDataFrame([(i, v) for i, v in enumerate(odd)], "i int, `a b` string")
+    both = rows.select("i", V.clean_string("a b").alias("named"), V.clean_string(F.col("a b")).alias("given")).collect()
+    assert len(both) == len(odd) and all(r.named == r.given for r in both)

@@ -232,10 +232,6 @@ FOLDED = {
         SELECT 'proposed', h.*, top_depth FROM survey_header h
         WHERE uwi IN (SELECT uwi FROM surveyed WHERE status = 'O')""",
     "monthly_f": folded("monthly", ["uwi", "zone_id", "activity_type"], "gx_pden_vol_sum_by_month__", MONTH, ["pden_date"]),
-    "value_j": """SELECT v.uwi, v.zone_name, v.attr, v.price, a.p_type AS a_type, g.p_brand AS g_brand
-        FROM zone_value v
-        JOIN (SELECT DISTINCT p_type, p_brand FROM part) a ON v.zone_name = a.p_type AND v.attr = a.p_brand
-        JOIN (SELECT DISTINCT p_brand FROM part) g ON a.p_brand = g.p_brand""",
     "value_f": folded(_ZONE_JOIN, {"uwi": "v.uwi", "zone_name": "v.zone_name"}, "", VALUE, ["v.attr"], count="n"),
 }
 

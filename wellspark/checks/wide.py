@@ -29,15 +29,16 @@ def _shift(name: str) -> int:
 
 
 def _derived(name: str, kind: str, base: Base) -> Column:
-    n = F.expr(base.number).cast("bigint") + _shift(name)
+    # As text: one call to the JVM a column instead of one a function.
+    n = f"(CAST({base.number} AS BIGINT) + {_shift(name)})"
     value = {
-        "string": F.concat(F.expr(base.word), F.lit(" "), (n % 10).cast("string")),
-        "double": (n % 1000).cast("double"),
-        "bigint": n % 1000,
-        "timestamp": F.expr(base.day) + F.make_dt_interval((n % 50).cast("int")),
-        "boolean": F.when(n % 2 == 0, "true").otherwise("false"),
+        "string": f"concat({base.word}, ' ', CAST({n} % 10 AS STRING))",
+        "double": f"CAST({n} % 1000 AS DOUBLE)",
+        "bigint": f"{n} % 1000",
+        "timestamp": f"{base.day} + make_dt_interval(CAST({n} % 50 AS INT))",
+        "boolean": f"if({n} % 2 = 0, 'true', 'false')",
     }[kind]
-    return F.when(n % 7 != 0, value).alias(name)
+    return F.expr(f"if({n} % 7 <> 0, {value}, NULL) AS {name}")
 
 
 def _derived_sql(name: str, kind: str, base: Base) -> str:

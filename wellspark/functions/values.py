@@ -35,11 +35,20 @@ NUMERIC = (T.NumericType,)
 TIMESTAMPS = (T.TimestampType, T.TimestampNTZType, T.DateType)
 
 
-def clean_string(value: Column) -> Column:
+# clean_string as text, over a column's name: one call to the JVM for tables of a hundred columns.
+_CLEAN_TEXT = f"""CASE WHEN rlike(@, r'{BEYOND_PRINTABLE_ASCII}') THEN trim(regexp_replace(coalesce(
+    CASE WHEN rlike(@, r'{LATIN1_ONLY}') THEN
+        try_validate_utf8(CAST(encode(regexp_replace(@, r'{CONTROL_CHARS}', ''), 'ISO-8859-1') AS STRING)) END,
+    regexp_replace(@, r'{CONTROL_CHARS}', '')), r'{UNPRINTABLE_CHARS}', '')) ELSE trim(@) END"""
+
+
+def clean_string(value: Column | str) -> Column:
     """Drop control characters, repair UTF-8 that was read as Latin-1, drop unprintables, trim.
 
-    Printable ASCII is untouched by all but the trim, so one scan settles the usual case.
+    Printable ASCII is untouched by all but the trim, so one scan settles the usual case. A column may be given by its name.
     """
+    if isinstance(value, str):
+        return F.expr(_CLEAN_TEXT.replace("@", f"CAST(`{value}` AS STRING)"))
     text = value.cast("string")
     plain = F.regexp_replace(text, CONTROL_CHARS, "")
     # encode() raises on characters beyond Latin-1: it may only be reached inside this branch.
@@ -140,10 +149,11 @@ def identity(value: Column, dtype: T.DataType | None = None) -> Column:
 
 
 # Element transforms by the kind letter used in the table specifications.
-def element(kind: str, value: Column, dtype: T.DataType, truthy: Iterable[str] = ("true",)) -> Column:
-    """One list element. A null stays null whatever its kind."""
+def element(kind: str, value: Column | str, dtype: T.DataType, truthy: Iterable[str] = ("true",)) -> Column:
+    """One list element, given itself or by its column's name. A null stays null whatever its kind."""
     if kind == "string":
         return clean_string(value)
+    value = F.col(value) if isinstance(value, str) else value
     if kind == "double":
         return to_float(value, dtype)
     if kind == "bigint":
@@ -191,10 +201,11 @@ def _kind_type(kind: str, item_type: T.DataType) -> T.DataType:
     }[kind]
 
 
-def scalar(value: Column, dtype: T.DataType) -> Column:
-    """Typing of a plain column by its own type: standardize, then clean."""
+def scalar(value: Column | str, dtype: T.DataType) -> Column:
+    """Typing of a plain column, given itself or by name, by its own type: standardize, then clean."""
     if isinstance(dtype, T.StringType):
         return clean_string(value)
+    value = F.col(value) if isinstance(value, str) else value
     if isinstance(dtype, T.IntegralType):
         return value.cast("bigint")
     if isinstance(dtype, (T.DoubleType, T.FloatType, T.DecimalType)):

@@ -104,7 +104,7 @@ class Tables:
     def plain(self, name: str, columns: str, prefix: str, keys: Mapping[str, str]) -> DataFrame:
         """Scalar columns typed and prefixed, next to the raw key columns."""
         rows = self.raw(self.get(name), columns, prefix, keys)
-        typed = {c: scalar(F.col(c), rows.schema[c].dataType) for c in rows.columns if c.startswith(prefix)}
+        typed = {f.name: scalar(f.name, f.dataType) for f in rows.schema.fields if f.name.startswith(prefix)}
         return rows.withColumns(typed)
 
     def fold(self, child: Child, **options) -> DataFrame:
@@ -151,7 +151,7 @@ class Child:
     def value(self, name: str, source: str, truthy: Sequence[str]) -> Column:
         if self.kinds is None:
             return F.col(source)
-        return element(self.kinds[name], F.col(source), self.rows.schema[source].dataType, truthy=truthy)
+        return element(self.kinds[name], source, self.rows.schema[source].dataType, truthy=truthy)
 
 
 @dataclass(frozen=True)
@@ -371,8 +371,8 @@ def survey_headers(tables: Tables) -> DataFrame:
     for kind, (stations, headers, columns) in SURVEY_TABLES.items():
         df = restrict(tables.get(headers), tables.get(stations), tables.keys("uwi"))
         wanted = []
-        for c, kind_of in spec.kinds(columns).items():
-            found = tables.column(df, c, spec.TYPES[kind_of])
+        for c, type_name in spec.kinds(columns).items():
+            found = tables.column(df, c, spec.TYPES[type_name])
             if found:
                 wanted.append(found[0].alias(c))
         parts.append(df.select(*tables.scope, F.lit(kind).alias("kind"), *wanted))
