@@ -9,7 +9,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wellspark.checks.adapters import Given, project
-from wellspark.checks.documents import DOC_SQL, FOLDED, C, documents, tables
+from wellspark.checks.documents import (
+    DOC_SQL,
+    FLOW,
+    FOLDED,
+    FORM,
+    MONTH,
+    PERF,
+    PRESSURE,
+    RECOVERY,
+    SAMPLE,
+    STATION,
+    TEST,
+    VALUE,
+    C,
+    documents,
+    tables,
+)
 from wellspark.checks.flat import flatten
 from wellspark.checks.oracle import agg, moment, query
 from wellspark.functions.values import json_sanitize, standardize, timestamp_text
@@ -275,28 +291,40 @@ NULL_COUNTS = query("""SELECT uwi, count(*) AS items, count(*) - count(disc) AS
     count(*) - count(price) AS null_depths FROM item GROUP BY uwi""")
 
 
+# Child tables with a date of change by what groups them; the third is what follows FROM in SQL, the fourth the date there.
+_CHANGED = [
+    ("well_core_sample_anal", ["uwi", "source"], "well_core_sample_anal", SAMPLE["row_changed_date"]),
+    ("well_dir_srvy_station", ["uwi", "source"], "surveyed WHERE status = 'F'", STATION["row_changed_date"]),
+    ("well_dir_proposed_srvy_station", ["uwi", "source"], "surveyed WHERE status = 'O'", STATION["row_changed_date"]),
+    ("well_test", ["uwi", "source"], "tested", TEST["row_changed_date"]),
+    ("well_test_pressure", ["uwi", "source"], "tested WHERE tax > 4", PRESSURE["row_changed_date"]),
+    ("well_test_recovery", ["uwi", "source"], "tested", RECOVERY["row_changed_date"]),
+    ("well_test_flow", ["uwi", "source"], "tested WHERE qty > 25", FLOW["row_changed_date"]),
+    ("well_formation", ["uwi"], "item_part", FORM["row_changed_date"]),
+    ("well_perforation", ["uwi"], "item", PERF["row_changed_date"]),
+    ("gx_pden_vol_sum_by_month", ["uwi"], "monthly", MONTH["row_changed_date"]),
+    ("well_zone_intrvl_value", ["uwi"], "zone_value v", VALUE["well_zone_intrvl_value__row_changed_date"]),
+]
+
+
 def max_changed_(spark, folder):
     given = Given(spark, folder)
-    keys = ["uwi", "source"]
-    parts = {
-        "well_core_sample_anal": given.well_core_sample_anal(),
-        "well_dir_srvy_station": given.well_dir_srvy_station(),
-        "well_dir_proposed_srvy_station": given.well_dir_proposed_srvy_station(),
-    }
-    changed = [
-        max_changed(df, keys).select(
-            F.lit(name).alias("table_name"), *keys, timestamp_text(F.col("max_row_changed_date")).alias("changed")
-        )
-        for name, df in parts.items()
-    ]
+    changed = []
+    for name, keys, _, _ in _CHANGED:
+        source = F.col("source") if "source" in keys else F.lit(None).cast("string").alias("source")
+        text = timestamp_text(F.col("max_row_changed_date")).alias("changed")
+        latest = max_changed(getattr(given, name)(), keys)
+        changed.append(latest.select(F.lit(name).alias("table_name"), "uwi", source, text))
     return reduce(DataFrame.unionByName, changed)
 
 
-MAX_CHANGED = query(f"""
-    SELECT 'well_core_sample_anal' AS table_name, uwi, source, {moment("max(row_changed_date)")} AS changed
-    FROM well_core_sample_anal GROUP BY uwi, source
-    UNION ALL SELECT CASE status WHEN 'F' THEN 'well_dir_srvy_station' ELSE 'well_dir_proposed_srvy_station' END,
-        uwi, source, {moment("max(ship)")} FROM surveyed GROUP BY uwi, source, status""")
+MAX_CHANGED = query(
+    " UNION ALL ".join(
+        f"""SELECT '{name}' AS table_name, uwi, {"source" if "source" in keys else "CAST(NULL AS VARCHAR) AS source"},
+        max({date}) AS changed FROM {rows} GROUP BY {", ".join(keys)}"""
+        for name, keys, rows, date in _CHANGED
+    )
+)
 
 
 def refreshed_completion(spark, folder):
