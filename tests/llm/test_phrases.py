@@ -118,3 +118,24 @@ def test_paths_are_compacted(spark):
             assert {want[r["lang"]][tuple(r["words"][i : i + 3])] for i in range(len(r["words"]) - 2)} == {r["n"]}
         if rounds == 6:
             assert len(paths) < len(unary) / 3
+
+
+def test_paths_that_meet_at_one_node_are_all_kept(spark):
+    # Twelve unary paths lead into the node "of the", which is not unary: whichever of them ask there, none may be lost.
+    docs = [("en", f"x{i} a{i} b{i} of the") for i in range(12)] * 10
+    table = spark.createDataFrame(docs, "lang string, text string")
+    _, pairs, edges = m.graph(table)
+    placed = m.nodes(pairs, edges)
+    unary = sorted(r["gram"] for r in placed.where("into_n = n AND out_n = n").collect())
+    assert len(unary) == 24
+    held = [" ".join(r["words"][i : i + 2]) for r in m.unary_paths(placed).collect() for i in range(len(r["words"]) - 2)]
+    assert sorted(held) == unary
+    assert sorted(map(tuple, m.phrases(table).collect())) == sorted(plain(docs))
+
+
+def test_parts_of_texts_without_blanks_end_at_marks(monkeypatch):
+    monkeypatch.setattr(m, "PART", 16)
+    counter, sizes = m._Counter(1), []
+    monkeypatch.setattr(counter, "_add", lambda lang, text: sizes.append(len(text)) or iter(()))
+    list(counter.add("en", b".".join(b"w%d" % i for i in range(100))))
+    assert max(sizes) < 24

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections import defaultdict
 from collections.abc import Iterator
 from itertools import count
@@ -31,6 +32,7 @@ RANKED = 64
 # The characters that end a piece, all told as a full stop, and the blank that a tab is.
 _ENDS = b".,;:!?\n\x0b\x0c\r"
 _PLAIN = bytes.maketrans(_ENDS + b"\t", b"." * len(_ENDS) + b" ")
+_BREAK = re.compile(rb"[ .]")
 _RUN = "bucket int, lang string, grams string, counts array<long>"
 
 
@@ -75,9 +77,9 @@ class _Counter:
         while at < len(text):
             to = at + PART
             if to < len(text):
-                # Words stay whole: a part ends before a blank, or with the text.
-                cut = text.find(b" ", to)
-                to = len(text) if cut < 0 else cut
+                # Words stay whole: a part ends before a blank or a mark, or with the text.
+                cut = _BREAK.search(text, to)
+                to = cut.start() if cut else len(text)
             yield from self._add(lang, text[at:to])
             at = to
         self._put(lang, [b".", b"."])
@@ -224,17 +226,17 @@ def unary_paths(placed: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     A node is unary if all its occurrences come by one edge and leave by one. Its edges have its count, so a path of such
     nodes has one count throughout. In each round a piece may take the one that follows it: which of the two
     asks and which is asked is drawn by hash, so every piece has a part in one joining at most and no piece is
-    gathered anywhere but from two. Pieces stay below 2 ** rounds nodes; what is not joined stays a piece of its own."""
+    gathered anywhere but from two. Pieces that ask where no piece starts stay as they are; many may do so at one node, which
+    is not unary then. Pieces stay below 2 ** rounds nodes; what is not joined stays a piece of its own."""
     unary = placed.where("into_n = n AND out_n = n")
     following = F.concat_ws(" ", _part("gram", 2, 2), F.col("out_word"))
     pieces = unary.select("lang", "n", F.col("gram").alias("head"), following.alias("next"), F.concat(F.split("gram", " "), F.array("out_word")).alias("words"))
     for number in range(rounds):
         asks = F.pmod(F.xxhash64("head", F.lit(number)), F.lit(2)) == 0
         piece = F.struct("n", "head", "next", "words")
-        keyed = pieces.select(
-            "lang", F.when(asks, F.col("next")).otherwise(F.col("head")).alias("at"), F.when(asks, piece).alias("p"), F.when(~asks, piece).alias("q")
-        )
-        met = keyed.groupBy("lang", "at").agg(F.max("p").alias("p"), F.max("q").alias("q"))
+        asking = pieces.where(asks).select("lang", F.col("next").alias("at"), piece.alias("p"))
+        asked = pieces.where(~asks).select("lang", F.col("head").alias("at"), piece.alias("q"))
+        met = asking.join(asked, ["lang", "at"], "full")
         # A piece's last two words are the head of the next one.
         words = F.when(F.col("p").isNull(), F.col("q.words")).when(F.col("q").isNull(), F.col("p.words"))
         words = words.otherwise(F.concat("p.words", F.slice("q.words", 3, F.size("q.words"))))
