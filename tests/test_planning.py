@@ -1,6 +1,7 @@
 """How wide documents are planned: settings of a running session, shuffles of the survey headers."""
 
 from wellspark.checks.adapters import Given
+from wellspark.plans.recipes import Tables, survey_headers
 from wellspark.session import PLANNING, SETTINGS, tune
 
 LIMIT = "spark.sql.codegen.hugeMethodLimit"
@@ -19,3 +20,28 @@ def test_given_tables_tune_a_session_made_elsewhere(spark):
     finally:
         for key, value in old.items():
             spark.conf.set(key, value)
+
+
+def test_survey_headers_are_not_shuffled_again(spark):
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        row = "uwi string, survey_id string, source string, survey_company string"
+        rows = [("w1", "a", "s", "x"), ("w1", "a", "s", "x"), ("w1", "a", "s", None), ("w2", None, "s", "x"), (None, "a", "s", "x")]
+        station = spark.createDataFrame([("w1",), ("w1",), ("w2",), (None,)], "uwi string")
+        frames = {
+            "well_dir_srvy": spark.createDataFrame(rows, row),
+            "well_dir_proposed_srvy": spark.createDataFrame(rows, row),
+            "well_dir_srvy_station": station,
+            "well_dir_proposed_srvy_station": station.where("uwi = 'w1'"),
+        }
+        headers = survey_headers(Tables(frames))
+        # The well's exchanges of the two semi joins, four in all, serve the distinct too.
+        plan = headers._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") == 4
+        got = sorted(map(str, headers.select("kind", "uwi", "survey_id", "survey_company").collect()))
+        want = [("actual", *r) for r in {(r[0], r[1], r[3]) for r in rows} if r[0]]
+        want += [("proposed", *r) for r in {(r[0], r[1], r[3]) for r in rows} if r[0] == "w1"]
+        assert got == sorted(f"Row(kind={k!r}, uwi={u!r}, survey_id={s!r}, survey_company={c!r})" for k, u, s, c in want)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
