@@ -1,6 +1,7 @@
 """How wide documents are planned: settings of a running session, shuffles of the survey headers."""
 
 from wellspark.checks.adapters import Given
+from wellspark.operators.spatial import convex_hull
 from wellspark.plans.recipes import Tables, survey_headers
 from wellspark.session import PLANNING, SETTINGS, tune
 
@@ -45,3 +46,15 @@ def test_survey_headers_are_not_shuffled_again(spark):
         assert got == sorted(f"Row(kind={k!r}, uwi={u!r}, survey_id={s!r}, survey_company={c!r})" for k, u, s, c in want)
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def test_hulls_of_many_keys_take_one_pass_a_task(spark):
+    rows = [(k, float(x), float(y)) for k in ["a", "b", None] for x in range(4) for y in range(4)] * 3 + [("few", 1.0, 2.0)]
+    points = spark.createDataFrame(rows, "project string, lon double, lat double").repartition(5)
+    hulls = convex_hull(points, ["project"])
+    plan = hulls._jdf.queryExecution().executedPlan().toString()
+    # Groups are taken one by one in the last step only, of one group a key.
+    assert plan.count("FlatMapGroupsInPandas") == 1 and plan.count("MapInPandas ") == 2
+    got = {r["project"]: (r["points"], r["polygon"] and sorted({(p["lon"], p["lat"]) for p in r["polygon"]})) for r in hulls.collect()}
+    corners = [(0.0, 0.0), (0.0, 3.0), (3.0, 0.0), (3.0, 3.0)]
+    assert got == {**{k: (48, corners) for k in ["a", "b", None]}, "few": (1, None)}
