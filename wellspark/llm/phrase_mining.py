@@ -97,15 +97,18 @@ class _Counter:
         names = pa.array(self.numbers.keys(), pa.binary())
         order = np.fromiter(self.numbers.values(), np.int64, len(self.numbers))
         names = names.take(pa.array(np.argsort(order)))
+        # What is numbered needs neither the numbers' table nor, once counted, the numbers themselves.
+        self.numbers.clear()
         rest = {}
-        for lang, parts in self.words.items():
-            ids = np.concatenate(parts)
+        for lang in list(self.words):
+            ids = np.concatenate(self.words.pop(lang))
             # The last two words of a text that goes on are counted with what follows them.
             rest[lang] = [names[i].as_py() for i in ids[-2:].tolist()]
             first, second, third = ids[:-2], ids[1:-1], ids[2:]
             third = np.where(second == 0, 0, third)
             codes = (first << 42) | (second << 21) | third
             codes, counts = np.unique(codes[first > 0], return_counts=True)
+            del ids, first, second, third
             sizes = 1 + ((codes >> 21) & (KINDS * 2 - 1) > 0) + (codes & (KINDS * 2 - 1) > 0)
             found, much = [], []
             for size in range(1, LONGEST + 1):
@@ -113,7 +116,9 @@ class _Counter:
                 words = [names.take(pa.array((mine >> shift) & (KINDS * 2 - 1))) for shift in (42, 21, 0)[:size]]
                 found.append(pc.binary_join_element_wise(*words, b" ") if size > 1 else words[0])
                 much.append(counts[sizes == size])
-            yield from _runs(lang, pa.concat_arrays(found), np.concatenate(much), self.buckets)
+            grams, much = pa.concat_arrays(found), np.concatenate(much)
+            del codes, counts, sizes, mine, words, found
+            yield from _runs(lang, grams, much, self.buckets)
         self.clear()
         if not last:
             for lang, words in rest.items():
