@@ -1,6 +1,9 @@
 """How wide documents are planned: settings of a running session, shuffles of the survey headers."""
 
+from pyspark.sql import functions as F
+
 from wellspark.checks.adapters import Given
+from wellspark.operators.lists import fold_lists
 from wellspark.operators.spatial import convex_hull
 from wellspark.plans.recipes import Tables, survey_headers
 from wellspark.session import PLANNING, SETTINGS, tune
@@ -58,3 +61,19 @@ def test_hulls_of_many_keys_take_one_pass_a_task(spark):
     got = {r["project"]: (r["points"], r["polygon"] and sorted({(p["lon"], p["lat"]) for p in r["polygon"]})) for r in hulls.collect()}
     corners = [(0.0, 0.0), (0.0, 3.0), (3.0, 0.0), (3.0, 3.0)]
     assert got == {**{k: (48, corners) for k in ["a", "b", None]}, "few": (1, None)}
+
+
+def test_groups_are_gathered_once_in_one_sorted_pass(spark):
+    rows = [("b", 2, "x", None), ("a", 2, "y", "q"), ("a", 1, None, None), ("a", 2, "y", "p"), (None, 1, "z", None), ("a", 2, "y", None)]
+    df = spark.createDataFrame(rows, "k string, o int, x string, s string")
+    folded = fold_lists(df, ["k"], ["o"], {"x": F.upper("x")}, constants={"key": F.col("k")}, firsts=["s"], extra=[F.count(F.lit(1)).alias("n")])
+    plan = folded._jdf.queryExecution().executedPlan().toString()
+    # Without a partial pass and its buffers, and without rebuilding every item's rank per column.
+    assert plan.count("SortAggregate(") == 1 and "ObjectHashAggregate" not in plan
+    assert plan.count("Exchange hashpartitioning") == 1
+    # The typing of the values lies below the aggregate, where it is compiled.
+    below = plan[plan.index("SortAggregate(") :].split("\n", 1)[1]
+    assert "upper(x" in below and "upper(x" not in plan[: plan.index("SortAggregate(")]
+    assert "upper(x" not in plan[plan.index("SortAggregate(") :].split("\n", 1)[0]
+    got = {r.k: (r.n, r.s, r.x, r.key) for r in folded.collect()}
+    assert got == {"a": (4, "p", [None, "Y", "Y", "Y"], ["a"] * 4), "b": (1, None, ["X"], ["b"]), None: (1, None, ["Z"], [None])}
