@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from wellspark.checks.adapters import Given
 from wellspark.operators.lists import fold_lists
 from wellspark.operators.spatial import convex_hull
-from wellspark.plans.recipes import Tables, survey_headers
+from wellspark.plans.recipes import RECIPES, Tables, survey_headers
 from wellspark.session import PLANNING, SETTINGS, tune
 
 LIMIT = "spark.sql.codegen.hugeMethodLimit"
@@ -77,3 +77,29 @@ def test_groups_are_gathered_once_in_one_sorted_pass(spark):
     assert "upper(x" not in plan[plan.index("SortAggregate(") :].split("\n", 1)[0]
     got = {r.k: (r.n, r.s, r.x, r.key) for r in folded.collect()}
     assert got == {"a": (4, "p", [None, "Y", "Y", "Y"], ["a"] * 4), "b": (1, None, ["X"], ["b"]), None: (1, None, ["Z"], [None])}
+
+
+def test_documents_of_surveys_read_only_headers_with_stations_of_their_own(spark):
+    row = "uwi string, survey_id string, source string, survey_company string"
+    rows = [("w1", "a", "s", "x"), ("w1", "a", "s", "x"), ("w1", "a", "s", "y"), ("w1", "b", "s", "x"), ("w1", None, "s", "x"), ("w2", "a", "s", "x")]
+    station = spark.createDataFrame([("w1", "a", "s", 1.0), ("w1", None, "s", 2.0), ("w2", "a", "t", 1.0)], "uwi string, survey_id string, source string, station_md double")
+    frames = {
+        "well": spark.createDataFrame([("w1", "n"), ("w2", "n")], "uwi string, well_name string"),
+        "well_dir_srvy": spark.createDataFrame(rows, row),
+        "well_dir_proposed_srvy": spark.createDataFrame(rows, row),
+        "well_dir_srvy_station": station,
+        "well_dir_proposed_srvy_station": station.where("uwi = 'w2'"),
+    }
+    wells = survey_headers(Tables(frames))
+    assert wells.where("kind = 'actual'").count() == 5 and wells.where("kind = 'proposed'").count() == 1
+    own = survey_headers(Tables(frames), with_stations=True)
+    assert sorted(map(tuple, own.select("kind", "uwi", "survey_id", "survey_company").collect())) == [("actual", "w1", "a", "x"), ("actual", "w1", "a", "y")]
+    docs = RECIPES["survey"].build(Tables(frames))
+    # The headers that are made distinct are those that meet stations.
+    assert docs._jdf.queryExecution().optimizedPlan().toString().count("Join LeftSemi, (((uwi") == 2
+    (doc,) = docs.select("well_dir_srvy.survey_company", "well_dir_srvy_station.station_md").collect()
+    assert (doc.survey_company, doc.station_md) == (["x", "y"], [[1.0], [1.0]])
+    # Tables without one of the columns are held against those they share.
+    bare = {n: df.drop("source") if n.endswith("_srvy") else df for n, df in frames.items()}
+    assert survey_headers(Tables(bare), with_stations=True).count() == 4
+    assert RECIPES["survey"].build(Tables(bare)).count() == 0
