@@ -1,10 +1,13 @@
 """How wide documents are planned: settings of a running session, shuffles of the survey headers."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from wellspark.checks.adapters import Given
-from wellspark.operators.lists import fold_lists
+from wellspark.checks.documents import ASSET_TABLES
+from wellspark.operators.lists import FIXED_WIDTH, by_type, fold_lists
 from wellspark.operators.spatial import convex_hull
+from wellspark.plans import tables as spec
 from wellspark.plans.recipes import RECIPES, Tables, survey_headers
 from wellspark.session import PLANNING, SETTINGS, tune
 
@@ -79,6 +82,65 @@ def test_groups_are_gathered_once_in_one_sorted_pass(spark):
     assert got == {"a": (4, "p", [None, "Y", "Y", "Y"], ["a"] * 4), "b": (1, None, ["X"], ["b"]), None: (1, None, ["Z"], [None])}
 
 
+def exchanged(df):
+    """Names and types of the columns that each shuffle of the plan moves."""
+    found, todo = [], [df._jdf.queryExecution().executedPlan()]
+    while todo:
+        node = todo.pop()
+        if node.nodeName() == "AdaptiveSparkPlan":
+            todo.append(node.initialPlan())
+        if node.nodeName() == "Exchange":
+            out = node.output()
+            found.append([(out.apply(i).name(), out.apply(i).dataType().simpleString()) for i in range(out.size())])
+        todo += [node.children().apply(i) for i in range(node.children().size())]
+    return found
+
+
+def place(kind):
+    return FIXED_WIDTH.index(kind) if kind in FIXED_WIDTH else -1
+
+
+def test_columns_of_a_type_are_laid_side_by_side(spark):
+    df = spark.sql("SELECT 1L AS a, 'x' AS b, 2D AS `c.d`, array(1) AS e, 3L AS f, 'y' AS `g``h`, TIMESTAMP '2020-01-01' AS i")
+    assert by_type(df).columns == ["b", "e", "g`h", "i", "c.d", "a", "f"]
+    assert by_type(df).first().asDict() == df.first().asDict()
+    twice = spark.sql("SELECT 1L AS a, 'x' AS A")
+    assert by_type(twice).columns == ["a", "A"]
+
+
+@pytest.mark.parametrize(
+    "asset, header, columns",
+    [
+        ("well", spec.WELL, {"legal_congress_loc": spec.LEGAL_CONGRESS_LOC}),
+        ("core", spec.WELL_HEADER, {"well_core": spec.WELL_CORE, "well_core_sample_anal": spec.WELL_CORE_SAMPLE_ANAL}),
+        ("formation", spec.WELL_HEADER, {"well_formation": spec.WELL_FORMATION}),
+    ],
+)
+def test_wide_rows_are_shuffled_with_columns_of_a_type_side_by_side(spark, asset, header, columns):
+    def table(name, declared):
+        # Declared columns with a value each, so that none is a constant that needs no shuffle.
+        kinds = {"uwi": "string"} | spec.kinds(declared)
+        values = [("w" if c in ("uwi", "source", "core_id") else None,) for c in kinds]
+        fields = ", ".join(f"`{c}` {'timestamp_ntz' if k == 'timestamp' else k}" for c, k in kinds.items())
+        return spark.createDataFrame([tuple(v for (v,) in values)], fields)
+
+    frames = {"well": table("well", header)} | {n: table(n, c) for n, c in columns.items()}
+    assert set(columns) == set(ASSET_TABLES[asset][1:])
+    docs = RECIPES[asset].build(Tables(frames))
+    shuffles = exchanged(docs)
+    assert len(shuffles) == len(frames)
+    for moved in shuffles:
+        places = [place(kind) for _, kind in moved]
+        assert places == sorted(places), moved
+    # The documents keep the declared order.
+    assert docs.select("well.*").columns == list(spec.kinds(header))
+    for name, declared in columns.items():
+        assert sorted(docs.select(f"{name}.*").columns) == sorted(spec.kinds(declared))
+    if asset == "core":
+        assert docs.select("well_core.*").columns == list(spec.kinds(spec.WELL_CORE))
+    assert [r.uwi for r in docs.select("well.uwi").collect()] == ["w"]
+
+
 def test_documents_of_surveys_read_only_headers_with_stations_of_their_own(spark):
     row = "uwi string, survey_id string, source string, survey_company string"
     rows = [("w1", "a", "s", "x"), ("w1", "a", "s", "x"), ("w1", "a", "s", "y"), ("w1", "b", "s", "x"), ("w1", None, "s", "x"), ("w2", "a", "s", "x")]
