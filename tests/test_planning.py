@@ -29,6 +29,10 @@ def test_given_tables_tune_a_session_made_elsewhere(spark):
             spark.conf.set(key, value)
 
 
+def test_sessions_of_the_library_compress_shuffles_well(spark):
+    assert spark.sparkContext.getConf().get("spark.io.compression.codec") == "zstd"
+
+
 def test_survey_headers_are_not_shuffled_again(spark):
     old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
